@@ -25,5 +25,15 @@ FROM (SELECT doc_id, {_NORM} AS norm FROM documents)
 WINDOW w AS (PARTITION BY norm)
 """
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_groups
+
+    return near_groups(common.table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op7_simhash": op7_simhash}
 ORACLE = {"op2_exact_dedup": OP2_SQL}
