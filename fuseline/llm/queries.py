@@ -35,5 +35,47 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op7_simhash": op7_simhash}
-ORACLE = {"op2_exact_dedup": OP2_SQL}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import with_hits
+
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = with_hits(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id", "hits.*")
+    listed = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_W = _WORDS.format(_NORM)
+
+OP10_SQL = f"""
+WITH item AS (SELECT item_id, {_W} AS w FROM benchmark),
+pattern AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS p
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+),
+lengths AS (SELECT DISTINCT n FROM pattern),
+doc AS (SELECT doc_id, {_W} AS w FROM documents),
+place AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS p
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, lengths WHERE len(w) >= n)
+),
+hit AS (SELECT doc_id, item_id, i, n FROM place JOIN pattern USING (n, p)),
+word AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS listed
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE = {"op10_decontaminate": OP10_SQL, "op2_exact_dedup": OP2_SQL}
