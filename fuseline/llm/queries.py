@@ -64,7 +64,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_language_id": op5_language_id, "op2_exact_dedup": op2_exact_dedup, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(common.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_language_id": op5_language_id, "op2_exact_dedup": op2_exact_dedup, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _W = _WORDS.format(_NORM)
 
