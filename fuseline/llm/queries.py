@@ -70,7 +70,21 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(common.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_language_id": op5_language_id, "op2_exact_dedup": op2_exact_dedup, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import with_main_text
+
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return with_main_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import with_verdict
+
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
+    return with_verdict(pages).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.score")
+
+
+QUERIES = {"op3_html_text": op3_html_text, "op8_url_filter": op8_url_filter, "op1_best_fit_packing": op1_best_fit_packing, "op5_language_id": op5_language_id, "op2_exact_dedup": op2_exact_dedup, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _W = _WORDS.format(_NORM)
 
