@@ -34,15 +34,17 @@ def fresh_name(taken: Iterable[str], wish: str) -> str:
     return wish
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset
+    (tests, a laptop)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        # Only a session without the setting (tests, a laptop) gets a local folder.
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and cuts its lineage, so that a lost executor
-    costs a re-read and not a recomputation of everything above."""
-    _checkpoint_dir(df.sparkSession)
+    """Writes ``df`` to the shared folder and cuts its lineage, so that a lost executor costs a re-read and not a
+    recomputation of everything above."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -84,7 +84,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_verdict(pages).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict", "judged.score")
 
 
-QUERIES = {"op3_html_text": op3_html_text, "op8_url_filter": op8_url_filter, "op1_best_fit_packing": op1_best_fit_packing, "op5_language_id": op5_language_id, "op2_exact_dedup": op2_exact_dedup, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    return find_secrets(common.table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
+QUERIES = {"op9_secrets": op9_secrets, "op3_html_text": op3_html_text, "op8_url_filter": op8_url_filter, "op1_best_fit_packing": op1_best_fit_packing, "op5_language_id": op5_language_id, "op2_exact_dedup": op2_exact_dedup, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _W = _WORDS.format(_NORM)
 
