@@ -92,7 +92,27 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_secrets": op9_secrets, "op3_html_text": op3_html_text, "op8_url_filter": op8_url_filter, "op1_best_fit_packing": op1_best_fit_packing, "op5_language_id": op5_language_id, "op2_exact_dedup": op2_exact_dedup, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import train, with_toxicity
+
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    categories = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    models = train(docs, common.table(spark, sf_dir, "labels"), categories)
+    return with_toxicity(docs, models, list(categories)).select(
+        "doc_id",
+        F.col("toxicity.low_quality").alias("p_low_quality"),
+        F.col("toxicity.toxic").alias("p_toxic"),
+        (F.col("toxicity.toxic") >= 0.5).alias("toxic"),
+    )
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    return format_chats(common.table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+QUERIES = {"op4_toxicity": op4_toxicity, "op6_chat_format": op6_chat_format, "op9_secrets": op9_secrets, "op3_html_text": op3_html_text, "op8_url_filter": op8_url_filter, "op1_best_fit_packing": op1_best_fit_packing, "op5_language_id": op5_language_id, "op2_exact_dedup": op2_exact_dedup, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _W = _WORDS.format(_NORM)
 
