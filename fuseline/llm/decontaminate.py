@@ -68,6 +68,7 @@ class Scanner:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
+        self.empty = not table
         for key, items in table.items():
             self.automaton.add_word(key, (len(key), key.count(" ") - 1, items))
         self.automaton.make_automaton()
@@ -82,8 +83,8 @@ class Scanner:
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
         """Words in the text, word ranges that matched (end exclusive), items found."""
         words = _words(text) if text else []
-        if not words:
-            return 0, [], set()
+        if not words or self.empty:
+            return len(words), [], set()
         line = b" ".join([b"", *words, b""]).decode("latin-1")
         runs, items, seen, word = [], set(), 0, 0
         for end, (length, n, ids) in self.automaton.iter(line):
