@@ -127,11 +127,11 @@ def frechet_means(points: DataFrame, by: str, vec_col: str = "vector", rounds: i
             .groupBy(by, "dim")
             .agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
             .groupBy(by)
-            .agg(F.sort_array(F.collect_list(F.struct("dim", (F.col("s") / F.col("n")).alias("g")))).alias("g"))
+            .agg(F.sort_array(F.collect_list(F.struct("dim", (F.col("s") / F.col("n")).alias("mean_")))).alias("steps_"))
             .collect()
         )
         for r in sums:
-            g = np.array([x["g"] for x in r["g"]])
+            g = np.array([x["mean_"] for x in r["steps_"]])
             size = np.linalg.norm(g)
             if size > 1e-12:
                 m = center[r[by]]

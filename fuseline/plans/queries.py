@@ -392,12 +392,17 @@ def _trained(spark, d, mode: str, target: int) -> DataFrame:
     return train(seqs, target, mode, window=5 if mode == "entropy" else 3, min_count=5).log(spark)
 
 
+def _short_log(log: DataFrame) -> DataFrame:
+    rounded = (_r("coupling", 4).alias("coupling"), _r("score", 2).alias("score"))
+    return log.select("step", "a", "b", "new_id", "cnt", *rounded, "length")
+
+
 def train_entropy(spark, d):
-    return _trained(spark, d, "entropy", 260)
+    return _short_log(_trained(spark, d, "entropy", 260))
 
 
 def train_frequency(spark, d):
-    return _trained(spark, d, "frequency", 268)
+    return _short_log(_trained(spark, d, "frequency", 268))
 
 
 def train_phi(spark, d):
@@ -407,7 +412,7 @@ def train_phi(spark, d):
 def train_resumed(spark, d):
     seqs = to_sequences(read_table(spark, d, "benchmark"), "item_id")
     first = train(seqs, 260, "frequency")
-    return train(seqs, 264, "frequency", model=first.model).log(spark)
+    return _short_log(train(seqs, 264, "frequency", model=first.model).log(spark))
 
 
 def training_report(spark, d):
@@ -543,6 +548,49 @@ def _centers_sql() -> str:
       FROM (SELECT *, sum(m * m) OVER (PARTITION BY label) AS t FROM dims) GROUP BY label)"""
 
 
+def _training_sql(mode: str, steps: int, window: int, first: int = 256) -> str:
+    """A training log in SQL: for each merge the counts, the best pair, the fused point and the rewritten texts, as one
+    more set of common table expressions."""
+    seq = _SEQ.format("text")
+    ctes = [
+        _base_sql(),
+        f"seq0 AS MATERIALIZED (SELECT item_id, {seq} AS s FROM benchmark)",
+        "point0 AS MATERIALIZED (SELECT k, v FROM base)",
+    ]
+    for t in range(steps):
+        new = first + t
+        ctes += [
+            f"""ids{t} AS MATERIALIZED (SELECT list_transform(regexp_extract_all(s, '(?s).'), lambda c: ord(c)) AS l, length(s) AS n FROM seq{t})""",
+            f"size{t} AS MATERIALIZED (SELECT sum(n)::DOUBLE AS n FROM ids{t})",
+        ]
+        at = f"SELECT l, unnest(range(1, len(l))) AS i FROM ids{t}"
+        if mode == "entropy":
+            context = f"array_to_string(list_concat(l[greatest(i - {window}, 1):i - 1], l[i + 2:i + 1 + {window}]), ' ')"
+            counted = _entropy_sql(f"SELECT l[i] AS a, l[i + 1] AS b, {context} AS context FROM ({at})", 5)
+        else:
+            counted = f"SELECT a, b, count(*) AS cnt, NULL::DOUBLE AS entropy FROM (SELECT l[i] AS a, l[i + 1] AS b FROM ({at})) GROUP BY a, b HAVING count(*) >= 5"
+        score = "cnt * coupling * (1.0::DOUBLE / (entropy + 0.1))" if mode == "entropy" else "cnt * coupling"
+        ctes += [
+            f"""best{t} AS MATERIALIZED (
+              SELECT a, b, cnt, coupling, {score} AS score, va, vb FROM (
+                SELECT a, b, cnt, entropy, va, vb, least((cnt / n) / (d + 0.1) * 1000.0, 100.0) AS coupling FROM (
+                  SELECT a, b, cnt, entropy, x.v AS va, y.v AS vb, {_acos('x.v', 'y.v')} AS d
+                  FROM ({counted}) JOIN point{t} x ON x.k = a JOIN point{t} y ON y.k = b), size{t})
+              ORDER BY score DESC, a, b LIMIT 1)""",
+            f"seq{t + 1} AS MATERIALIZED (SELECT item_id, replace(s, chr(a) || chr(b), chr({new})) AS s FROM seq{t}, best{t})",
+            f"""point{t + 1} AS MATERIALIZED (
+              SELECT k, v FROM point{t} UNION ALL
+              SELECT {new}, list_transform(r, lambda x: x / list_sum(r)) FROM (
+                SELECT list_transform(list_zip(va, vb), lambda z: pow(sqrt(z[1]) + sqrt(z[2]), 2)) AS r FROM best{t}))""",
+        ]
+    rows = " UNION ALL ".join(
+        f"""SELECT {t} AS step, a, b, {first + t} AS new_id, cnt::BIGINT AS cnt, round(coupling, 4) AS coupling, round(score, 2) AS score,
+            (SELECT sum(length(s)) FROM seq{t + 1})::BIGINT AS length FROM best{t}"""
+        for t in range(steps)
+    )
+    return f"WITH {', '.join(ctes)} {rows}"
+
+
 def oracle() -> dict[str, str]:
     rules = demo_rules()
     rule = rules[0]
@@ -650,6 +698,9 @@ def oracle() -> dict[str, str]:
             SELECT label, count(*) AS n, round(CASE WHEN count(*) < 2 THEN 0.5 ELSE greatest(0.3, least(0.95, 1 - avg(d) / (pi() / 2))) END, 6) AS phi,
                    round(CASE WHEN count(*) < 2 THEN 1.0 ELSE greatest(0.1, least(100.0, 10 / (stddev_pop(d) + 0.1))) END, 4) AS kappa
             FROM far GROUP BY label""",
+        "train_entropy": _training_sql("entropy", 4, 5),
+        "train_frequency": _training_sql("frequency", 12, 3),
+        "train_resumed": f"SELECT step - 4 AS step, * EXCLUDE (step) FROM ({_training_sql('frequency', 8, 3)}) WHERE step >= 4",
         "model_roundtrip": "SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}, {b}, {n})" for k, (a, b, n) in enumerate(rules)) + ") t(rank, a, b, new_id)",
         "stream_encode": f"SELECT doc_id, length(s) AS n_tokens, md5(s) AS digest FROM (SELECT doc_id, {encoded} AS s FROM documents)",
     }
