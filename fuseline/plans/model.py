@@ -15,9 +15,14 @@ from ..functions import simplex
 
 Rule = tuple[int, int, int]
 
+# Fixed values of the model file and its vocabulary.
 #: Scales from fine to coarse; a fused point is one step above the coarser parent.
 SCALES = ("byte", "char", "subword", "word", "phrase", "concept")
 RESERVED = "special"
+DEFAULT_TARGET = 32_000
+DIM_KEY, TARGET_KEY, SIZE_KEY = "basin_dim", "target_vocab_size", "vocab_size"
+RULES_KEY, RESERVED_KEY, HISTORY_KEY, VOCAB_KEY = "merge_rules", "special_tokens", "phi_history", "vocab"
+
 POINT = T.StructType(
     [
         T.StructField("coord_id", T.IntegerType(), False),
@@ -82,7 +87,7 @@ class Model:
     reserved: dict[str, int] = field(default_factory=dict)
     form: str = "NFC"
     dim: int = simplex.DIM
-    target: int = 32_000
+    target: int = DEFAULT_TARGET
     mode: str = "default"
     phi_history: tuple[float, ...] = ()
 
@@ -148,14 +153,14 @@ class Model:
         """Learned and reserved points only: the bytes' points follow from their seeds."""
         return json.dumps(
             {
-                "basin_dim": self.dim,
-                "target_vocab_size": self.target,
-                "vocab_size": self.size,
-                "merge_rules": [list(r) for r in self.rules],
-                "special_tokens": self.reserved,
+                DIM_KEY: self.dim,
+                TARGET_KEY: self.target,
+                SIZE_KEY: self.size,
+                RULES_KEY: [list(r) for r in self.rules],
+                RESERVED_KEY: self.reserved,
                 "form": self.form,
-                "phi_history": list(self.phi_history),
-                "vocab": {
+                HISTORY_KEY: list(self.phi_history),
+                VOCAB_KEY: {
                     str(k): {"vector": p.vector.tolist(), "name": p.name, "scale": p.scale}
                     for k, p in self.points.items()
                     if k >= 256
@@ -166,16 +171,16 @@ class Model:
     @staticmethod
     def from_json(text: str) -> Model:
         """Reads what ``to_json`` writes, and older files: the dimension may be missing (then it is the first
-        vector's), the target may be called ``vocab_size``, vectors may not lie on the simplex (they are projected),
+        vector's), the target may be given as the size, vectors may not lie on the simplex (they are projected),
         and without learned vectors the rules are replayed."""
         data = json.loads(text)
-        own = data.get("vocab") or {}
+        own = data.get(VOCAB_KEY) or {}
         first = next(iter(own.values()), None)
-        dim = data.get("basin_dim") or (len(first["vector"]) if first else simplex.DIM)
-        rules = tuple(tuple(int(x) for x in r) for r in data.get("merge_rules", ()))
-        reserved = {k: int(v) for k, v in (data.get("special_tokens") or {}).items()}
-        target = data.get("target_vocab_size") or data.get("vocab_size") or 32_000
-        fields = {"form": data.get("form", "NFC"), "target": target, "phi_history": tuple(data.get("phi_history") or ())}
+        dim = data.get(DIM_KEY) or (len(first["vector"]) if first else simplex.DIM)
+        rules = tuple(tuple(int(x) for x in r) for r in data.get(RULES_KEY, ()))
+        reserved = {k: int(v) for k, v in (data.get(RESERVED_KEY) or {}).items()}
+        target = data.get(TARGET_KEY) or data.get(SIZE_KEY) or DEFAULT_TARGET
+        fields = {"form": data.get("form", "NFC"), "target": target, "phi_history": tuple(data.get(HISTORY_KEY) or ())}
         learned = {r[2] for r in rules}
         if not learned <= {int(k) for k in own}:
             points = dict(Model.from_rules(rules, dim).points)
