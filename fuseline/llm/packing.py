@@ -59,23 +59,22 @@ def _ranges(kind: str) -> str:
     return "".join(out)
 
 
-class Cache:
-    """The most recently used entries, at least ``limit`` of them and at most twice as many."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def get(self, key: str) -> bytes | None:
-        value = self.young.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.add(key, value)
-        return value
-
-    def add(self, key: str, value: bytes) -> bytes:
-        if len(self.young) >= self.limit:
-            self.old = self.young.copy()
-            self.young.clear()
-        self.young[key] = value
+class Cache(dict):
+    """What ``make`` returns for a key, for the most recently used keys: at least ``limit`` of them stay, at most
+    twice as many.  A hit is a plain dict look-up."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
@@ -87,7 +86,7 @@ class Tokens:
     class Unicode versions may differ go through the tokenizer itself.
     """
 
-    LIMIT = 200_000
+    LIMIT = 400_000
     _loaded: dict[str, Tokens] = {}
 
     def __init__(self, path: str, ranks_path: str | None):
@@ -102,8 +101,10 @@ class Tokens:
         settled = "".join(f"{chr(a)}-{chr(b)}" for a, b in _SETTLED)
         self.unsettled = re.compile(f"[^\t-\r{re.escape(settled[0])}{settled[1:]}]").search
         self.other_white = re.compile(r"[^\S \n]").search
-        self.chunks, self.pieces = Cache(self.LIMIT), Cache(self.LIMIT)
-        self.merge = self._merger(ranks_path)
+        merge, split = self._merger(ranks_path), self.split
+        self.piece = Cache(lambda p: array("I", merge(p)).tobytes(), self.LIMIT).__getitem__
+        piece = self.piece
+        self.chunk = Cache(lambda c: b"".join(map(piece, split(" " + c))), self.LIMIT).__getitem__
 
     def _merger(self, ranks_path: str | None):
         if ranks_path is None:
@@ -126,30 +127,15 @@ class Tokens:
             cls._loaded[key] = cls(path, ranks_path)
         return cls._loaded[key]
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces.add(piece, array("I", self.merge(piece)).tobytes())
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes:
-        ids = self.chunks.get(chunk)
-        if ids is None:
-            ids = self.chunks.add(chunk, b"".join(map(self._piece, self.split(" " + chunk))))
-        return ids
-
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
         if self.unsettled(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self.other_white(text):
-            return b"".join(map(self._piece, self.split(text)))
+            return b"".join(map(self.piece, self.split(text)))
         head, *rest = text.split(" ")
-        get, own = self.chunks.young.get, self._chunk
-        out = list(map(self._piece, self.split(head)))
-        out += [get(c) or own(c) for c in rest]
-        return b"".join(out)
+        return b"".join([*map(self.piece, self.split(head)), *map(self.chunk, rest)])
 
 
 def tokenize(

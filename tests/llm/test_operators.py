@@ -232,11 +232,12 @@ def test_tokens_equal_the_tokenizer():
 
 
 def test_cache_is_bounded():
-    cache = packing.Cache(10)
+    made = []
+    cache = packing.Cache(lambda k: made.append(k) or k.encode(), 10)
     for k in range(100):
-        cache.add(str(k), b"x")
-        assert len(cache.young) + len(cache.old) <= 21
-    assert cache.get("99") == b"x" and cache.get("1") is None
+        assert cache[str(k)] == cache[str(k)] == str(k).encode()
+        assert len(cache) <= 10 and len(cache.old) <= 10
+    assert len(made) == 100 and cache["95"] == b"95" and len(made) == 100
 
 
 @pytest.mark.parametrize("capacity", [7, 50, 1024])
