@@ -5,8 +5,9 @@ Two documents are equal when their texts are identical after lower-casing A-Z; a
 Plan.  One aggregation groups by (128-bit hash, normalised text).  The text is part of the grouping key, so the
 aggregate itself compares bytes and a hash collision yields two classes, never one; its map-side half collapses
 the copies that a task holds, hence a class that holds a third of all rows sends one row per task.  The members
-travel as (id, digests) only.  They meet their class in an equi-join that adaptive execution may split when one
-class is hot.
+travel as (id, digests, salt) only and are written down once, so the texts are read twice and no more.  A class is
+told to its salts first (at most ``SALTS`` rows each) and the members meet it by digests and salt, so a hot class is
+spread over that many tasks.
 
 Defined results for odd input:
 
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, checkpointed
 
+#: Parts into which the members of each class are dealt.
+SALTS = 128
+
 
 def _digests(docs: DataFrame, id_col: str, text_col: str, hash128) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -67,12 +71,17 @@ def exact_groups(
             .alias("group_size"),
         )
     )
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     members = rows.groupBy("h128", "sha", "id", "raw").agg(F.count(F.lit(1)).alias("n"))
     # Copies that differ in case share an id only when the table repeats it; the smallest raw hash stays then.
-    first_raw = F.min("raw").alias("first_raw")
-    twins = members.groupBy("h128", "sha", "id").agg(first_raw, F.collect_list(F.struct("raw", "n")).alias("rows"))
+    twins = checkpointed(
+        members.groupBy("h128", "sha", "id")
+        .agg(F.min("raw").alias("first_raw"), F.collect_list(F.struct("raw", "n")).alias("rows"))
+        .withColumn("salt", salt)
+    )
+    told = twins.select("h128", "sha", "salt").distinct().join(classes, ["h128", "sha"])
     return (
-        twins.join(classes, ["h128", "sha"])
+        twins.join(told, ["h128", "sha", "salt"])
         .select("id", "keep_id", "group_size", "sha", "first_raw", F.explode("rows").alias("r"))
         .select(
             "id",
