@@ -66,32 +66,60 @@ def expand_ids(seq: Column, model: Model) -> Column:
     return seq_ids(undo_rules(seq, model.rules))
 
 
+def encoder(model: Model):
+    """Encoding of one text as a plain function, for SQL functions and small texts."""
+    import unicodedata
+
+    strings = [rule_strings(r) for r in model.rules]
+    surfaces = sorted(model.reserved, key=len, reverse=True)
+    split = re.compile("(" + "|".join(map(re.escape, surfaces)) + ")").split if surfaces else lambda t: [t]
+
+    def encode_one(text: str) -> str:
+        out = []
+        for k, piece in enumerate(split(text)):
+            if k % 2:
+                out.append(id_char(model.reserved[piece]))
+                continue
+            seq = unicodedata.normalize(model.form, piece).encode().decode("latin-1")
+            for pair, new in strings:
+                seq = seq.replace(pair, new)
+            out.append(seq)
+        return "".join(out)
+
+    return encode_one
+
+
+def decoder(model: Model, strict: bool = False):
+    """Decoding of one sequence as a plain function."""
+    undo = [rule_strings(r) for r in reversed(model.rules)]
+    surfaces = {id_char(token): name for name, token in model.reserved.items()}
+
+    def decode_one(seq: str) -> str:
+        for pair, new in undo:
+            seq = seq.replace(new, pair)
+        parts = re.split("([^\x00-\xff])", seq)
+        for k, p in enumerate(parts):
+            if k % 2 == 0:
+                parts[k] = p.encode("latin-1").decode("utf-8", "replace")
+            elif p in surfaces:
+                parts[k] = surfaces[p]
+            elif strict:
+                raise ValueError(f"unknown token id {char_id(p)}")
+            else:
+                parts[k] = "\ufffd"
+        return "".join(parts)
+
+    return decode_one
+
+
 def decode(seq: Column, model: Model, strict: bool = False) -> Column:
     """Text of an encoded sequence.  Runs of bytes between reserved tokens are decoded each on its own, with
     replacement where they are not valid UTF-8.  Ids the model does not know become U+FFFD, or fail when ``strict``."""
-    undo = [rule_strings(r) for r in reversed(model.rules)]
-    surfaces = {id_char(token): name for name, token in model.reserved.items()}
+    one = decoder(model, strict)
 
     @F.arrow_udf(T.StringType())
     def text(seqs: pa.Array) -> pa.Array:
-        out = []
-        for s in seqs.to_pylist():
-            if s:
-                for new, pair in ((n, p) for p, n in undo):
-                    s = s.replace(new, pair)
-                parts = re.split("([^\x00-\xff])", s)
-                for k, p in enumerate(parts):
-                    if k % 2 == 0:
-                        parts[k] = p.encode("latin-1").decode("utf-8", "replace")
-                    elif p in surfaces:
-                        parts[k] = surfaces[p]
-                    elif strict:
-                        raise ValueError(f"unknown token id {char_id(p)}")
-                    else:
-                        parts[k] = "�"
-                s = "".join(parts)
-            out.append(s)
-        return pa.array(out, pa.string())
+        return pa.array([s and one(s) for s in seqs.to_pylist()], pa.string())
 
     return text(seq)
 

@@ -172,3 +172,11 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert {r.doc_id: r.seq for r in spark.table("enc").collect()} == want
     per = spark.table("rate").groupBy("coord_id").agg(F.sum("cnt").alias("n")).collect()
     assert {r.coord_id: r.n for r in per}[257] == sum(s.count(chr(257)) for s in want.values())
+
+
+def test_sql_functions(spark):
+    from fuseline.plans.sql import register
+
+    register(spark, Model.from_rules([(116, 104, 256), (256, 101, 257)]).with_reserved(["<u>"]), "t_")
+    row = spark.sql("SELECT t_encode_text('the<u>the') AS ids, t_decode_ids(t_encode_text('the<u>e')) AS back, t_nfc(NULL) AS none").first()
+    assert row.ids == [257, 258, 257] and row.back == "the<u>e" and row.none is None
