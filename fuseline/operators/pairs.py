@@ -80,30 +80,29 @@ def context_counts(
 
     def partial(batches):
         for batch in batches:
-            found: Counter = Counter()
+            found: Counter = Counter()  # a key is the pair followed by its context
             for s in batch.column(0).to_pylist():
                 if not s:
                     continue
-                if chosen is None or len(chosen) > 64:
-                    found.update(
-                        (s[i : i + 2], s[max(0, i - window) : i] + s[i + 2 : i + 2 + window])
-                        for i in range(len(s) - 1)
-                        if chosen is None or s[i : i + 2] in chosen
-                    )
+                if chosen is not None and len(chosen) <= 64:
+                    for pair in chosen:
+                        i = s.find(pair)
+                        while i >= 0:
+                            found[pair + s[max(0, i - window) : i] + s[i + 2 : i + 2 + window]] += 1
+                            i = s.find(pair, i + 1)
                     continue
-                for pair in chosen:
-                    i = s.find(pair)
-                    while i >= 0:
-                        found[pair, s[max(0, i - window) : i] + s[i + 2 : i + 2 + window]] += 1
-                        i = s.find(pair, i + 1)
+                found.update(
+                    s[i : i + 2] + s[max(0, i - window) : i] + s[i + 2 : i + 2 + window]
+                    for i in range(len(s) - 1)
+                    if chosen is None or s[i : i + 2] in chosen
+                )
             if found:
-                pairs = [p for p, _ in found]
-                ids = _codes(pairs).reshape(-1, 3)
+                ids = _codes([k[:2] for k in found]).reshape(-1, 3)
                 yield pa.record_batch(
                     [
                         pa.array(ids[:, 0].astype(np.int32)),
                         pa.array(ids[:, 1].astype(np.int32)),
-                        pa.array([c for _, c in found], pa.string()),
+                        pa.array([k[2:] for k in found], pa.string()),
                         pa.array(list(found.values()), pa.int64()),
                     ],
                     names=["a", "b", "context", "cnt"],

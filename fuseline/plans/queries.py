@@ -136,6 +136,11 @@ def pair_context_entropy(spark, d):
     return pairs.context_entropy(seqs, window=5, min_count=5).select("a", "b", "cnt", _r("entropy").alias("entropy"))
 
 
+def doc_context_entropy(spark, d):
+    found = pairs.context_entropy(_seqs(spark, d), window=2, min_count=5)
+    return found.select("a", "b", "cnt", _r("entropy", 5).alias("entropy"))
+
+
 def pair_entropy_capped(spark, d):
     turns = read_table(spark, d, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
     found = pairs.capped_context_entropy(to_sequences(turns), window=3, cap=64)
@@ -320,9 +325,8 @@ def attach_points(spark, d):
 
 
 def sequence_velocity(spark, d):
-    own = to_sequences(read_table(spark, d, "benchmark"), "item_id")
-    found = codec.velocity(own, Model().vocab(spark))
-    return found.select(F.col("doc_id").alias("item_id"), "n_tokens", _r("velocity").alias("velocity"))
+    found = codec.velocity(_seqs(spark, d), Model().vocab(spark))
+    return found.select("doc_id", "n_tokens", _r("velocity").alias("velocity"))
 
 
 def granularity_case(spark, d):
@@ -387,8 +391,8 @@ def label_frechet(spark, d):
     return found.select("label", F.posexplode("center").alias("dim", "x"))
 
 
-def _trained(spark, d, mode: str, target: int) -> DataFrame:
-    seqs = to_sequences(read_table(spark, d, "benchmark"), "item_id")
+def _trained(spark, d, mode: str, target: int, table: str = "benchmark", id_col: str = "item_id") -> DataFrame:
+    seqs = to_sequences(read_table(spark, d, table), id_col)
     return train(seqs, target, mode, window=5 if mode == "entropy" else 3, min_count=5).log(spark)
 
 
@@ -405,6 +409,10 @@ def train_frequency(spark, d):
     return _short_log(_trained(spark, d, "frequency", 268))
 
 
+def train_documents(spark, d):
+    return _short_log(_trained(spark, d, "frequency", 262, "documents", "doc_id"))
+
+
 def train_phi(spark, d):
     return _trained(spark, d, "phi", 260)
 
@@ -498,15 +506,19 @@ def _entropy_sql(source: str, min_count: int) -> str:
       GROUP BY a, b HAVING sum(c) >= {min_count}"""
 
 
-_BENCH_CONTEXTS = f"""SELECT s[i] AS a, s[i + 1] AS b,
-        array_to_string(list_concat(s[greatest(i - 5, 1):i - 1], s[i + 2:i + 6]), ' ') AS context
-      FROM (SELECT s, unnest(range(1, len(s))) AS i FROM (SELECT {_IDS.format('text')} AS s FROM benchmark))"""
+def _contexts(table: str, key: str, window: int) -> str:
+    """Rows (a, b, context) of a table: neighbours by window functions, the missing ones at the edges left out."""
+    around = [f"lag(k, {n}) OVER w" for n in range(window, 0, -1)] + [f"lead(k, {n + 1}) OVER w" for n in range(1, window + 1)]
+    return f"""SELECT a, b, context FROM (
+        SELECT k AS a, lead(k) OVER w AS b, concat_ws(' ', {', '.join(around)}) AS context
+        FROM (SELECT {key} AS row_id, unnest(s) AS k, generate_subscripts(s, 1) AS pos FROM (SELECT {key}, {_IDS.format('text')} AS s FROM {table}))
+        WINDOW w AS (PARTITION BY row_id ORDER BY pos)) WHERE b IS NOT NULL"""
 
 
 def _bench_sql() -> str:
     return f"""{_base_sql()},
     size AS (SELECT sum(octet_length(encode(nfc_normalize(text))))::DOUBLE AS n FROM benchmark),
-    counted AS ({_entropy_sql(_BENCH_CONTEXTS, 5)}),
+    counted AS ({_entropy_sql(_contexts('benchmark', 'item_id', 5), 5)}),
     scored AS (
       SELECT a, b, cnt, cnt * least((cnt / size.n) / (d + 0.1) * 1000.0, 100.0) * (1.0 / (entropy + 0.1)) AS score
       FROM (SELECT a, b, cnt, entropy, {_acos('x.v', 'y.v')} AS d
@@ -548,13 +560,13 @@ def _centers_sql() -> str:
       FROM (SELECT *, sum(m * m) OVER (PARTITION BY label) AS t FROM dims) GROUP BY label)"""
 
 
-def _training_sql(mode: str, steps: int, window: int, first: int = 256) -> str:
+def _training_sql(mode: str, steps: int, window: int, first: int = 256, table: str = "benchmark") -> str:
     """A training log in SQL: for each merge the counts, the best pair, the fused point and the rewritten texts, as one
     more set of common table expressions."""
     seq = _SEQ.format("text")
     ctes = [
         _base_sql(),
-        f"seq0 AS MATERIALIZED (SELECT item_id, {seq} AS s FROM benchmark)",
+        f"seq0 AS MATERIALIZED (SELECT {seq} AS s FROM {table})",
         "point0 AS MATERIALIZED (SELECT k, v FROM base)",
     ]
     for t in range(steps):
@@ -577,7 +589,7 @@ def _training_sql(mode: str, steps: int, window: int, first: int = 256) -> str:
                   SELECT a, b, cnt, entropy, x.v AS va, y.v AS vb, {_acos('x.v', 'y.v')} AS d
                   FROM ({counted}) JOIN point{t} x ON x.k = a JOIN point{t} y ON y.k = b), size{t})
               ORDER BY score DESC, a, b LIMIT 1)""",
-            f"seq{t + 1} AS MATERIALIZED (SELECT item_id, replace(s, chr(a) || chr(b), chr({new})) AS s FROM seq{t}, best{t})",
+            f"seq{t + 1} AS MATERIALIZED (SELECT replace(s, chr(a) || chr(b), chr({new})) AS s FROM seq{t}, best{t})",
             f"""point{t + 1} AS MATERIALIZED (
               SELECT k, v FROM point{t} UNION ALL
               SELECT {new}, list_transform(r, lambda x: x / list_sum(r)) FROM (
@@ -624,7 +636,8 @@ def oracle() -> dict[str, str]:
         "byte_pair_counts": _DOC_PAIRS,
         "byte_pair_min5": f"{_DOC_PAIRS} HAVING count(*) >= 5",
         "pair_counts_by_lang": f"SELECT lang, a, b, count(*) AS cnt FROM ({_pair_sql('documents', _IDS.format('text'), 'lang,')}) GROUP BY lang, a, b",
-        "pair_context_entropy": f"SELECT a, b, cnt, round(entropy, 6) AS entropy FROM ({_entropy_sql(_BENCH_CONTEXTS, 5)})",
+        "pair_context_entropy": f"SELECT a, b, cnt, round(entropy, 6) AS entropy FROM ({_entropy_sql(_contexts('benchmark', 'item_id', 5), 5)})",
+        "doc_context_entropy": f"SELECT a, b, cnt, round(entropy, 5) AS entropy FROM ({_entropy_sql(_contexts('documents', 'doc_id', 2), 5)})",
         "pair_entropy_capped": _CAPPED,
         "pair_coupling": f"WITH {stats} SELECT a, b, cnt, round(d, 6) AS d, round(coupling, 4) AS coupling FROM stats",
         "pair_score_fast": f"WITH {stats} SELECT a, b, round(cnt * coupling, 2) AS score FROM stats",
@@ -677,10 +690,10 @@ def oracle() -> dict[str, str]:
         "attach_points": f"""WITH {base} SELECT item_id AS doc_id, count(*) AS n, round(sum(v[1]), 6) AS first_component
             FROM (SELECT item_id, unnest({_IDS.format('text')}) AS k FROM benchmark) JOIN base USING (k) GROUP BY item_id""",
         "sequence_velocity": f"""WITH {base},
-            pair AS ({_pair_sql('benchmark', _IDS.format('text'), 'item_id,')}),
+            pair AS ({_pair_sql('documents', _IDS.format('text'), 'doc_id,')}),
             known AS (SELECT a, b, {_acos('x.v', 'y.v')} AS d FROM (SELECT DISTINCT a, b FROM pair) JOIN base x ON x.k = a JOIN base y ON y.k = b)
-            SELECT item_id, strlen(nfc_normalize(text)) AS n_tokens, round(coalesce(v, 0.0), 6) AS velocity
-            FROM benchmark LEFT JOIN (SELECT item_id, avg(d) AS v FROM pair JOIN known USING (a, b) GROUP BY item_id) USING (item_id)""",
+            SELECT doc_id, strlen(nfc_normalize(text)) AS n_tokens, round(coalesce(v, 0.0), 6) AS velocity
+            FROM documents LEFT JOIN (SELECT doc_id, avg(d) AS v FROM pair JOIN known USING (a, b) GROUP BY doc_id) USING (doc_id)""",
         "granularity_case": "SELECT vec_id, CASE WHEN vec_id % 81 >= 50 THEN 'coarse' WHEN vec_id % 81 <= 30 THEN 'fine' ELSE 'normal' END AS granularity FROM embeddings",
         "simplex_project": f"WITH {_projected_sql()} {dims.format('vec_id', 'p', 'point')}",
         "simplex_project_sql": f"WITH {_projected_sql()} {dims.format('vec_id', 'p', 'point')}",
@@ -700,6 +713,7 @@ def oracle() -> dict[str, str]:
             FROM far GROUP BY label""",
         "train_entropy": _training_sql("entropy", 4, 5),
         "train_frequency": _training_sql("frequency", 12, 3),
+        "train_documents": _training_sql("frequency", 6, 3, table="documents"),
         "train_resumed": f"SELECT step - 4 AS step, * EXCLUDE (step) FROM ({_training_sql('frequency', 8, 3)}) WHERE step >= 4",
         "model_roundtrip": "SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}, {b}, {n})" for k, (a, b, n) in enumerate(rules)) + ") t(rank, a, b, new_id)",
         "stream_encode": f"SELECT doc_id, length(s) AS n_tokens, md5(s) AS digest FROM (SELECT doc_id, {encoded} AS s FROM documents)",
@@ -710,13 +724,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         nfc_bytes_len, nfc_bytes_raw, byte_histogram, base_sequence, pretoken_count, pretoken_top, segment_bytes,
-        byte_pair_counts, byte_pair_min5, pair_counts_by_lang, pair_context_entropy, pair_entropy_capped, pair_coupling,
+        byte_pair_counts, byte_pair_min5, pair_counts_by_lang, pair_context_entropy, doc_context_entropy, pair_entropy_capped, pair_coupling,
         pair_score_fast, pair_score_phi, candidate_score, pair_score_entropy, best_pair, top_k_pairs, attention_score,
         cluster_score, live_length, prefix_sample, fuse_one, apply_rules, apply_rules_sql, apply_greedy, merge_occurrences,
         pair_delta, encode_ids, encode_reserved, decode_roundtrip, expand_bytes, token_frequency, compression_ratio,
         coverage_rate, scale_distribution, vocab_size, avg_coupling, vocab_stats, scale_hierarchy, attach_points,
         sequence_velocity, granularity_case, simplex_project, simplex_project_sql, fr_distance_pairs, fr_nearest,
-        midpoint_pairs, label_mean, center_distance, label_phi_kappa, label_frechet, train_entropy, train_frequency,
+        midpoint_pairs, label_mean, center_distance, label_phi_kappa, label_frechet, train_entropy, train_frequency, train_documents,
         train_phi, train_resumed, training_report, model_roundtrip, stream_encode,
     )
 }
