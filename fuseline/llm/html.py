@@ -53,7 +53,7 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"
 
 #: Words in class, id and role that name what is not the article.
 AWAY = frozenset(
-    "ad ads adv advert adverts advertisement advertising adslot adsense banner banners breadcrumb breadcrumbs comment "
+    "ad ads adbox adblock adbanner adv advert adverts advertisement advertising adslot adsense banner banners breadcrumb breadcrumbs comment "
     "comments commentlist cookie cookies consent contentinfo discussion disqus disclaimer footer footnav gdpr "
     "login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pagination pager "
     "paywall popup popups promo promos promoted promotion recommended recommendations related replies "
@@ -61,7 +61,7 @@ AWAY = frozenset(
     "sponsors subscribe subscription tagcloud toolbar topbar widget widgets complementary alert dialog "
     "sidenav subnav copyright alerts".split()
 )
-STATES = frozenset("no has with without is page not".split())
+STATES = frozenset("no has with without".split())
 TITLES = frozenset("article post entry story title content".split())
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
@@ -95,10 +95,10 @@ def _away(tag: str, source: str, inside_article: bool) -> bool:
     for key in ("class", "id", "role"):
         for name in attrs.get(key, "").split():
             words = [w.lower() for w in _NAME.findall(name)]
-            if not words or words[0] in STATES:
+            if STATES.intersection(words):
                 continue  # "no-sidebar", "has-comments": about the page, not what the element is
-            if AWAY.intersection(words):
-                return True
+            if AWAY.intersection(words) or AWAY.intersection(a + b for a, b in zip(words, words[1:], strict=False)):
+                return True  # "side-bar" counts as "sidebar"
             if "header" in words and not inside_article and not TITLES.intersection(words):
                 return True
     return False

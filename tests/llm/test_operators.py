@@ -364,6 +364,12 @@ def test_article_of_a_page():
     assert html.main_text(page) == "A <title>\nOne, two three four.\nFive é – six, and so on.\nitem one\nitem two\ncell a\ncell b"
 
 
+@pytest.mark.parametrize("name", ["page-header", "side-bar left", "userComments", "cookie_notice", "ad", "share-buttons", "main-menu"])
+def test_containers_named_for_something_else_go(name):
+    page = f'<body class="no-sidebar"><div class="post has-comments"><p>One, two, three.</p><div class="{name}"><p>Gone, gone, gone.</p></div><p>Four.</p></div>'
+    assert html.main_text(page) == "One, two, three.\nFour."
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
