@@ -141,15 +141,18 @@ def token_frequency(encoded: DataFrame, seq: str = "seq") -> DataFrame:
     """(coord_id, cnt), counted inside each batch first."""
     import numpy as np
 
-    from .pairs import _PAD, _codes
+    from .pairs import _PAD, _codes, portions
 
     def partial(batches):
         for batch in batches:
-            ids = _codes([s for s in batch.column(0).to_pylist() if s])
-            found, n = np.unique(ids[ids != _PAD], return_counts=True)
-            yield pa.record_batch(
-                [pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["coord_id", "cnt"]
-            )
+            seqs = batch.column(0).to_pylist()
+            for live in portions(seqs):
+                ids = _codes([seqs[k] for k in live])
+                n = np.bincount(ids[ids != _PAD])  # ids are dense from 0
+                found = np.flatnonzero(n)
+                yield pa.record_batch(
+                    [pa.array(found.astype(np.int32)), pa.array(n[found].astype(np.int64))], names=["coord_id", "cnt"]
+                )
 
     return encoded.select(seq).mapInArrow(partial, "coord_id int, cnt long").groupBy("coord_id").agg(F.sum("cnt").alias("cnt"))
 

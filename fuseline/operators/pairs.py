@@ -8,7 +8,7 @@ length of the corpus.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +27,44 @@ def _codes(seqs: list[str]) -> np.ndarray:
     return np.where(joined == 0xD800, _PAD, np.where(joined >= 0xE000, joined - 0x800, joined))
 
 
-def _count(seqs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def portions(seqs: list[str | None], size: int = 1 << 21) -> Iterator[list[int]]:
+    """Positions of the sequences that are not empty, in lists of about ``size`` tokens: what a worker holds as arrays
+    does not grow with the batch."""
+    held, room = [], size
+    for k, s in enumerate(seqs):
+        if s:
+            held.append(k)
+            room -= len(s)
+            if room <= 0:
+                yield held
+                held, room = [], size
+    if held:
+        yield held
+
+
+def _count_by(seqs: list[str], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Group, a, b and count of the pairs of sequences that belong to groups (numbers from 0)."""
     ids = _codes(seqs)
-    left, right = ids[:-1], ids[1:]
+    owner = np.repeat(group, [len(s) + 1 for s in seqs])
+    left, right, owner = ids[:-1], ids[1:], owner[:-1]
     inside = (left != _PAD) & (right != _PAD)
-    left, right = left[inside], right[inside]
+    left, right, owner = left[inside], right[inside], owner[inside]
     if not len(left):
-        return left, right, left
+        return left, left, left, left
     size = int(max(left.max(), right.max())) + 1
-    key = left * size + right
-    if size <= 2048:
-        n = np.bincount(key, minlength=size * size)
+    key = (owner * size + left) * size + right
+    total = (int(owner.max()) + 1) * size * size
+    if total <= 1 << 23:  # few enough to count in place, else sort
+        n = np.bincount(key, minlength=total)
         found = np.flatnonzero(n)
         n = n[found]
     else:
         found, n = np.unique(key, return_counts=True)
-    return found // size, found % size, n
+    return found // (size * size), found // size % size, found % size, n
+
+
+def _count(seqs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _count_by(seqs, np.zeros(len(seqs), np.int64))[1:]
 
 
 def pair_counts(seqs: DataFrame, by: Sequence[str] = (), seq: str = "seq", min_count: int = 1) -> DataFrame:
@@ -54,14 +76,13 @@ def pair_counts(seqs: DataFrame, by: Sequence[str] = (), seq: str = "seq", min_c
     def partial(batches):
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True)) if names else []
-            groups: dict[tuple, list[str]] = {}
-            for k, t in enumerate(texts):
-                if t:
-                    groups.setdefault(keys[k] if names else (), []).append(t)
-            for key, own in groups.items():
-                a, b, n = _count(own)
-                columns = [pa.array([v] * len(a), batch.schema.field(k).type) for k, v in enumerate(key)]
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True)) if names else [()] * len(texts)
+            kinds = [batch.schema.field(k).type for k in range(len(names))]
+            for live in portions(texts):
+                number: dict[tuple, int] = {}
+                group = np.array([number.setdefault(keys[k], len(number)) for k in live], np.int64)
+                own, a, b, n = _count_by([texts[k] for k in live], group)
+                columns = [pa.array([k[c] for k in number], kind).take(pa.array(own)) for c, kind in enumerate(kinds)]
                 columns += [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64))]
                 yield pa.record_batch(columns, names=[*names, "a", "b", "cnt"])
 

@@ -117,8 +117,9 @@ def _changes(seqs: DataFrame, rule: Rule) -> tuple[list[tuple[int, int, int]], i
             after = [s.replace(pair, char) for s in before]
             delta: dict[tuple[int, int], int] = {}
             for sign, own in ((-1, before), (1, after)):
-                for x, y, n in zip(*(c.tolist() for c in P._count(own)), strict=True):
-                    delta[x, y] = delta.get((x, y), 0) + sign * n
+                for live in P.portions(own):
+                    for x, y, n in zip(*(c.tolist() for c in P._count([own[k] for k in live])), strict=True):
+                        delta[x, y] = delta.get((x, y), 0) + sign * n
             rows = [(x, y, n) for (x, y), n in delta.items() if n]
             rows.append((-1, -1, sum(map(len, before)) - sum(map(len, after))))
             x, y, n = zip(*rows, strict=True)
