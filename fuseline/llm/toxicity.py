@@ -4,7 +4,7 @@ Categories are predicted one after the other; each model sees the n-grams of the
 categories before it.  For training those probabilities are out-of-fold: each fold's come from a model that has
 not seen it, as they would look on new texts.
 
-Features are n-grams (4 to 12) of the words' bytes, borders included, hashed to ``2 ** BITS`` numbers; presence, not
+Features are the 5-, 7- and 9-grams of the words' bytes, borders included, hashed to ``2 ** BITS`` numbers; presence, not
 frequency, counts, so a long text does not dilute what it says.  A feature enters a model when its presence differs
 between the category's values by more than ``least_z`` standard errors.
 
@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from .common import checkpointed
 
 BITS = 20
-MOST = 4096
-_ORDERS = (4, 5, 6, 7, 8, 10, 12)
+MOST = 1024
+_ORDERS = (5, 7, 9)
 _BORDER = 32
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else _BORDER for b in range(256))
 
@@ -105,7 +105,7 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(owner: np.ndarray, index: np.ndarray, earlier: np.ndarray, y: np.ndarray, least_z: float = 4.5, most: int = MOST, l2: float = 1.0, rounds: int = 1000) -> Linear:
+def fit(owner: np.ndarray, index: np.ndarray, earlier: np.ndarray, y: np.ndarray, least_z: float = 4.5, most: int = MOST, l2: float = 1.0, rounds: int = 200, step: float = 2.0, momentum: float = 0.95) -> Linear:
     """Full-batch gradient descent with momentum on the selected features."""
     n, pos = len(y), y.sum()
     if pos == 0 or pos == n:
@@ -124,14 +124,13 @@ def fit(owner: np.ndarray, index: np.ndarray, earlier: np.ndarray, y: np.ndarray
     rows, cols = owner[keep], slot[index[keep]]
     w, c, b = np.zeros(len(chosen)), np.zeros(earlier.shape[1]), float(np.log(pos / (n - pos)))
     vw, vc, vb = np.zeros_like(w), np.zeros_like(c), 0.0
-    step = 0.5
     scale = 1 / np.sqrt(np.maximum(with_[chosen] / n, 1e-3))  # rare features learn as fast as common ones
     for _ in range(rounds):
         score = np.bincount(rows, weights=(w * scale)[cols], minlength=n) + b + (earlier @ c if len(c) else 0.0)
         error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y
-        vw = 0.9 * vw - step * (np.bincount(cols, weights=error[rows], minlength=len(w)) * scale / n + l2 * w / n)
-        vc = 0.9 * vc - step * ((error @ earlier) / n + l2 * c / n)
-        vb = 0.9 * vb - step * error.mean()
+        vw = momentum * vw - step * (np.bincount(cols, weights=error[rows], minlength=len(w)) * scale / n + l2 * w / n)
+        vc = momentum * vc - step * ((error @ earlier) / n + l2 * c / n)
+        vb = momentum * vb - step * error.mean()
         w, c, b = w + vw, c + vc, b + vb
     return Linear(chosen, w * scale, c, float(b))
 
@@ -171,7 +170,7 @@ def train(
     categories: dict[str, Column],
     id_col: str = "doc_id",
     text_col: str = "text",
-    per_class: int = 3000,
+    per_class: int = 2000,
     **options,
 ) -> list[Linear]:
     """Models of the chain; ``categories`` maps names, in chain order, to 0/1 expressions over ``labels``."""
