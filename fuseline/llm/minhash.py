@@ -1,0 +1,197 @@
+"""Near-duplicates by the Jaccard similarity of word shingles.
+
+Shingles.  A-Z is lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, shingles are ``size`` words joined by a space, as a
+set of XXH64 values (fewer words: the whole sequence as one shingle; no words: the empty line).
+
+Candidates.  ``rows`` MinHash values make a band, ``bands`` of them are taken; two texts meet when a band is equal.  At a
+similarity s a pair is missed with probability (1 - s^rows)^bands, 7 in a million at 0.8 and fewer above.  Nothing
+else is left out: a bucket of any size is compared, cut into cells of ``tile`` texts and each pair of cells if need be.
+
+Check.  Inside a cell the shingle sets themselves are compared, and a pair links when their similarity is at least
+``similarity``.  Two members that are already in one component are not compared again, so that a large group of
+copies costs a comparison per member.  Only texts that meet another one have their sets sent.
+
+Components and odd input: as in ``simhash``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import checkpointed
+from .simhash import _WORDS, SEED, components
+
+
+def words_of(text: str | None) -> bytes:
+    """The words of a text in lower case, joined by one space."""
+    return b" ".join((text or "").encode("utf-8").translate(_WORDS).split())
+
+
+def shingles(line: bytes, size: int = 5) -> np.ndarray:
+    """Sorted hashes of the shingles of ``words_of`` a text, each once."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    if len(gaps) < size:
+        return np.array([digest(line, SEED)], np.uint64)
+    starts = [0, *(gaps[: len(gaps) + 1 - size] + 1).tolist()]
+    ends = [*gaps[size - 1 :].tolist(), len(line)]
+    return np.unique(np.array([digest(line[i:j], SEED) for i, j in zip(starts, ends, strict=True)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray, bands: int = 30, rows: int = 5) -> np.ndarray:
+    """One key for each band of the MinHash values of a set."""
+    import xxhash
+
+    rng = np.random.RandomState(SEED)
+    by = rng.randint(0, 1 << 63, bands * rows, np.int64).astype(np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+    plus = rng.randint(0, 1 << 63, bands * rows, np.int64).astype(np.uint64)[:, None]
+    least = np.full(bands * rows, ~np.uint64(0))
+    for k in range(0, len(hashes), 1 << 12):
+        part = hashes[None, k : k + (1 << 12)]
+        np.minimum(least, ((part ^ plus) * by).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), SEED) for b in least.reshape(bands, rows)], np.uint64)
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def linked(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Edges (i, j) of a spanning forest of the sets that are similar enough."""
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    groups: list[list[int]] = []  # members of each component in ascending order of size
+    for i in order:
+        joined, rest = [], []
+        for group in groups:
+            for j in reversed(group):
+                if len(sets[j]) < similarity * len(sets[i]) - 1e-9:
+                    break  # the others are smaller still
+                if similar(sets[i], sets[j], similarity):
+                    yield i, j
+                    joined.append(group)
+                    break
+            else:
+                rest.append(group)
+                continue
+            if not joined or joined[-1] is not group:
+                rest.append(group)
+        own = joined[0] if len(joined) == 1 else sorted((k for g in joined for k in g), key=lambda k: len(sets[k]))
+        own.append(i)
+        groups = [*rest, own]
+
+
+def _linker(similarity: float):
+    """Per stream of rows sorted by cell: edges (a, b) of each cell's spanning forest."""
+
+    def flush(nodes: list[int], sets: list[bytes]) -> pa.RecordBatch | None:
+        own = [np.frombuffer(s, np.uint64) for s in sets]
+        found = [(nodes[i], nodes[j]) for i, j in linked(own, similarity)]
+        if not found:
+            return None
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    def link(batches):
+        at, nodes, sets = None, [], []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(6)]
+            for *cell, node, own in zip(*columns, strict=True):
+                if cell != at:
+                    if len(nodes) > 1 and (out := flush(nodes, sets)) is not None:
+                        yield out
+                    at, nodes, sets = cell, [], []
+                nodes.append(node)
+                sets.append(own)
+        if len(nodes) > 1 and (out := flush(nodes, sets)) is not None:
+            yield out
+
+    return link
+
+
+def near_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    similarity: float = 0.8,
+    bands: int = 30,
+    rows: int = 5,
+    tile: int = 512,
+) -> DataFrame:
+    """One row per input row: ``id``, ``raw`` (a hash of the text as it stands), ``component`` (the smallest id
+    reachable over links, itself included)."""
+    import xxhash
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def keys_of(texts: pa.Array) -> pa.Array:
+        found = []
+        for t in texts:
+            line = words_of(t.as_py())
+            keys = band_keys(shingles(line, size), bands, rows)
+            found.append(np.append(np.uint64(xxhash.xxh64_intdigest(line, SEED)), keys).view(np.int64))
+        return pa.array(found, pa.list_(pa.int64()))
+
+    @F.arrow_udf(T.BinaryType())
+    def set_of(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(words_of(t.as_py()), size).tobytes() for t in texts], pa.binary())
+
+    text = F.col(text_col).cast("string")
+    raw = F.xxhash64(F.coalesce(text, F.lit("")))
+    prints = docs.select(F.col(id_col).alias("id"), raw.alias("raw"), keys_of(text).alias("keys"))
+    prints = checkpointed(prints.select("id", "raw", F.col("keys")[0].alias("node"), F.slice("keys", 2, bands).alias("keys")))
+    # Texts of the same words have the same keys; one text speaks for them.
+    distinct = checkpointed(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("raw").alias("raw"), F.min("keys").alias("keys")))
+    placed = distinct.select("node", F.posexplode("keys").alias("t", "key"))
+    buckets = placed.groupBy("t", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
+    )
+    # Of buckets with the same members one is compared.
+    once = buckets.filter("n > 1").groupBy("n", "members").agg(F.min(F.struct("t", "key")).alias("at"))
+    chunks = once.select("at.t", "at.key", F.ceil(F.col("n") / tile).cast("int").alias("chunks"))
+    cells = F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+        F.transform(
+            F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: other != F.col("chunk")),
+            lambda other: F.struct(F.least(other, F.col("chunk")).alias("i"), F.greatest(other, F.col("chunk")).alias("j")),
+        )
+    )
+    members = checkpointed(
+        placed.join(chunks, ["t", "key"])
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        .select("t", "key", F.explode(cells).alias("cell"), "node")
+        .select("t", "key", "cell.i", "cell.j", "node")
+    )
+    wanted = members.select("node").distinct().join(distinct.select("node", "raw"), "node")
+    texts = docs.select(raw.alias("raw"), text.alias("text")).join(wanted.hint("shuffle_hash"), "raw")
+    sets = texts.dropDuplicates(["node"]).select("node", set_of("text").alias("own"))
+    edges = (
+        members.join(sets, "node")
+        .select("t", "key", "i", "j", "node", "own")
+        .repartition("t", "key", "i", "j")
+        .sortWithinPartitions("t", "key", "i", "j")
+        .mapInArrow(_linker(similarity), "a long, b long")
+        .distinct()
+    )
+    found = components(edges)
+    rooted = distinct.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = rooted.join(names, "root").select("node", "component")
+    return prints.join(named, "node").select("id", "raw", "component")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows whose id names their component, with their columns as they were; rows without an id and rows that
+    repeat both id and text are treated as by ``simhash.drop_near_copies``."""
+    raw = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    groups = near_groups(docs, id_col, text_col, **options)
+    stays = F.col("id").isNull() | (F.col("id") == F.col("component"))
+    kept = checkpointed(groups.filter(stays).select("id", "raw").distinct())
+    d, k = docs.alias("d"), kept.hint("shuffle_hash").alias("k")
+    return d.join(k, F.col(f"d.{id_col}").eqNullSafe(F.col("k.id")) & (raw == F.col("k.raw")), "left_semi")

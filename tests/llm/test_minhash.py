@@ -1,0 +1,67 @@
+"""Near-duplicates by shingle similarity, as the pipeline drops them."""
+
+import random
+
+from fuseline.llm import minhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
+
+
+def brute_set(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def jaccard(x, y):
+    a, b = brute_set(x), brute_set(y)
+    return len(a & b) / len(a | b)
+
+
+def brute_kept(rows, least=0.8):
+    root = {k: k for k, _ in rows}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, (k, t) in enumerate(rows):
+        for m, u in rows[:i]:
+            if jaccard(t, u) >= least:
+                a, b = top(k), top(m)
+                root[max(a, b)] = min(a, b)
+    return {k for k in root if root[k] == k}
+
+
+def planted(rng):
+    """Texts and copies of them with some words replaced, at similarities from 0.5 to 0.99."""
+    rows = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((60, 200, 400)))]
+        rows.append((len(rows), " ".join(words)))
+        for share in (0.004, 0.01, 0.02, 0.04):
+            other = [f"x{rng.randrange(3000)}" if rng.random() < share else w for w in words]
+            rows.append((len(rows), " ".join(other).upper()))
+    return rows
+
+
+def test_pipeline_stage_drops_planted_copies(spark):
+    import corpus_pipeline
+
+    rows = planted(random.Random(4))
+    near = [jaccard(rows[k - k % 5][1], t) for k, t in rows if k % 5]
+    assert sum(0.8 <= s <= 0.95 for s in near) > 20 and sum(s < 0.8 for s in near) > 10
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], SCHEMA).repartition(5)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == brute_kept(rows)
+
+
+def test_cells_and_odd_rows(spark):
+    rows = planted(random.Random(5))
+    one = [(500 + k, rows[0][1] + f" end{k}") for k in range(40)]  # one large group, cut into cells
+    docs = spark.createDataFrame([*rows, *one], "doc_id long, text string")
+    kept = {r.doc_id for r in minhash.drop_similar(docs, tile=8).collect()}
+    assert kept == brute_kept([*rows, *one])
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " \t"), (None, "a b"), (4, "A  b"), (5, "a b c")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in minhash.drop_similar(odd).collect()) == ["1", "4", "5", "None"]
+    assert minhash.drop_similar(odd.limit(0)).count() == 0
