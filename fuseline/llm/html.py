@@ -4,8 +4,10 @@ The page becomes a tree (unclosed ``p``, ``li`` and the like are closed as brows
 goes first: scripts, styles, navigation, forms, asides, footers, page headers, hidden parts and containers whose
 class, id or role names menus, adverts, notices, comments and so on.  Then every paragraph-like block passes points
 to its ancestors: one, one for each comma, and one for each hundred characters (three at most); the parent gets
-all, the grandparent half, and so on.  A container's points are discounted by the share of its text inside links.  The best
-container is kept, and of its siblings those that score at least a fifth of it or read like paragraphs.
+all, the grandparent half, and so on.  A container's points are discounted by the share of its text inside links.  An
+``article`` or ``main`` around the best container is kept, and of its siblings those that score at least a fifth of it
+or read like paragraphs.  Without one, the best container is kept with all that stands beside it and beside its
+ancestors, bare text included, but for blocks of which half or more is links.
 
 Text: character references are decoded, white space inside a block (``br`` included) becomes one space, blocks are
 trimmed and joined by one line feed in page order.  Nothing else is dropped or cut.
@@ -37,6 +39,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre blockquote li dd td h1 h2 h3 h4 h5 h6 figcaption".split())
 CLOSED_BY = {  # an open element of the key ends where one of these begins
     "p": BLOCKS - {"body", "html"},
@@ -282,6 +285,26 @@ def _inline(node: Node) -> str:
     return "".join(parts)
 
 
+def _around(best: Node, sizes: dict[int, tuple[int, int]]) -> Node:
+    """The best container with what stands beside it and beside its ancestors, but for parts that are mostly links."""
+    kept = best
+    while best.parent is not None and best.tag not in ("body", "html"):
+        up = best.parent
+        prose = any(type(c) is str and c.strip() for c in up.children)
+        whole = Node(up.tag, None)
+        for c in up.children:
+            if c is best:
+                whole.children.append(kept)
+            elif type(c) is str or c.tag in HEADINGS or c.tag not in BLOCKS and prose:
+                whole.children.append(c)
+            else:
+                text, link = sizes[id(c)]
+                if not text or link < 0.5 * text:
+                    whole.children.append(c)
+        best, kept = up, whole
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """The article of a page."""
     if not page:
@@ -308,8 +331,10 @@ def main_text(page: str | None) -> str:
         # A list, quotation, table or section is a part of the article, not the article.
         while best.parent is not None and best.tag in ("ul", "ol", "dl", "li", "blockquote", "table", "tbody", "thead", "tr", "td", "p", "pre", "figure"):
             best = best.parent
+    if best.tag not in ("article", "main"):
+        return "\n".join(blocks([_around(best, sizes)]))
     kept: list[Node | str] = [best]
-    if best.parent is not None and best.tag not in ("body", "html"):
+    if best.parent is not None:
         least = max(2.0, best.score * 0.2)
         kept = []
         for s in best.parent.children:

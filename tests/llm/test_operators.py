@@ -386,6 +386,15 @@ def test_deep_and_long_pages():
     assert len(html.main_text("<p>word</p>" * 20_000).split("\n")) == 20_000
 
 
+def test_article_without_article_tag_is_kept_whole():
+    paragraph = "word, " * 6 + "w" * 264
+    page = f"""<body><div id=content><div><p>{paragraph}</p><p>{paragraph}</p><p>{paragraph}</p></div><h2>Head</h2><p>{"s" * 60}</p>
+    bare <a href=/x>text</a><div><p>{"t" * 90}</p></div><ul><li>one<li>two</ul><table><tr><td>cell</table><figure><figcaption>cap</figure>
+    <ul><li><a href=/a>link</a><li><a href=/b>link</a></ul></div></body>"""
+    want = [paragraph, paragraph, paragraph, "Head", "s" * 60, "bare text", "t" * 90, "one", "two", "cell", "cap"]
+    assert html.main_text(page) == "\n".join(want)
+
+
 def test_html_column(spark):
     df = spark.createDataFrame([(1, "u", "<p>a"), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert [r.text for r in html.with_main_text(df).orderBy("page_id").collect()] == ["", "a"]
