@@ -218,9 +218,14 @@ def with_distance(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
     return joined.withColumn("d", F.coalesce(simplex.distance(F.col("va"), F.col("vb")), F.lit(0.0))).drop("va", "vb")
 
 
+def _exact(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``d`` as 0 for a token with itself, where the overlap leaves rounding noise."""
+    return pairs.withColumn("d", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")))
+
+
 def with_coupling(pairs: DataFrame, vocab: DataFrame, length: int) -> DataFrame:
     """``pairs`` with ``d`` and ``coupling``; ``length`` is the number of tokens in the corpus."""
-    known = with_distance(pairs, vocab)
+    known = _exact(with_distance(pairs, vocab))
     return known.withColumn("coupling", scores.coupling(F.col("cnt"), F.lit(float(max(length, 1))), F.col("d")))
 
 

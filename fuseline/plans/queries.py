@@ -62,13 +62,16 @@ def _seqs(spark: SparkSession, d: str) -> DataFrame:
     return to_sequences(_docs(spark, d))
 
 
-def _stats(spark: SparkSession, d: str) -> DataFrame:
-    """Byte pairs of the documents with count, distance and coupling; pairs of one byte with itself are left to
-    the count queries, since their distance is rounding noise around zero."""
+def _all_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Byte pairs of the documents with count, distance and coupling, those of one byte with itself included."""
     seqs = _seqs(spark, d)
     length = rewrite.live_length(seqs).first()["length"]
-    counted = pairs.pair_counts(seqs, min_count=5).filter("a <> b")
-    return pairs.with_coupling(counted, Model().vocab(spark), length)
+    return pairs.with_coupling(pairs.pair_counts(seqs, min_count=5), Model().vocab(spark), length)
+
+
+def _stats(spark: SparkSession, d: str) -> DataFrame:
+    """``_all_stats`` as the SQL of the older queries has them: without pairs of one byte with itself."""
+    return _all_stats(spark, d).filter("a <> b")
 
 
 def _bench_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -182,6 +185,28 @@ def top_k_pairs(spark, d):
     return pairs.top_pairs(_stats(spark, d), score, 20).select("a", "b", "cnt", _r("score", 2).alias("score"))
 
 
+def all_pair_scores(spark, d):
+    """Distance, coupling and scores of every pair, those of one byte with itself included."""
+    cnt, coupling = F.col("cnt"), F.col("coupling")
+    return _all_stats(spark, d).select(
+        "a", "b", "cnt", _r("d").alias("d"), _r("coupling", 4).alias("coupling"),
+        _r(scores.by_frequency(cnt, coupling), 2).alias("fast"),
+        _r(scores.by_phi(cnt, coupling, F.lit(0.02)), 2).alias("phi"),
+        _r(scores.candidate(cnt, coupling, F.lit(0.25), F.lit(0.5)), 2).alias("candidate"),
+        _r(scores.attention(F.col("d"))).alias("attention"),
+    )
+
+
+def all_top_k_pairs(spark, d):
+    score = scores.by_frequency(F.col("cnt"), F.col("coupling"))
+    return pairs.top_pairs(_all_stats(spark, d), score, 20).select("a", "b", "cnt", _r("score", 2).alias("score"))
+
+
+def all_vocab_stats(spark, d):
+    found = codec.vocab_stats(_encoded(spark, d), demo_model(), _all_stats(spark, d))
+    return found.select("total", *[_r(c, 4).alias(c) for c in ("avg_coupling", "coverage", "fallback")])
+
+
 def attention_score(spark, d):
     return _stats(spark, d).select("a", "b", _r(scores.attention(F.col("d"))).alias("attention"))
 
@@ -731,6 +756,7 @@ QUERIES = {
         coverage_rate, scale_distribution, vocab_size, avg_coupling, vocab_stats, scale_hierarchy, attach_points,
         sequence_velocity, granularity_case, simplex_project, simplex_project_sql, fr_distance_pairs, fr_nearest,
         midpoint_pairs, label_mean, center_distance, label_phi_kappa, label_frechet, train_entropy, train_frequency, train_documents,
-        train_phi, train_resumed, training_report, model_roundtrip, stream_encode,
+        train_phi, train_resumed, training_report, model_roundtrip, stream_encode, all_pair_scores, all_top_k_pairs,
+        all_vocab_stats,
     )
 }
