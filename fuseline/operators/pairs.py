@@ -256,15 +256,14 @@ def count_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def cluster_scores(targets: DataFrame, stats: DataFrame, vocab: DataFrame, near: float = 1.0, most: int = 64) -> DataFrame:
-    """``targets`` (a, b; at most ``most`` of them, checked) with ``cluster``: 1 / (d + 0.1) plus at most 1 from
+def cluster_scores(targets: DataFrame, stats: DataFrame, vocab: DataFrame, near: float = 1.0, most: int | None = None) -> DataFrame:
+    """``targets`` (a, b; any number, or at most ``most`` of them, checked) with ``cluster``: 1 / (d + 0.1) plus at most 1 from
     pairs that touch a or b and whose other end lies closer than ``near`` to both, a tenth of their count each."""
-    n = targets.limit(most + 1).count()
-    if n > most:
+    if most is not None and targets.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} target pairs")
     vec = vocab.select("coord_id", "vector")
     t = (
-        with_distance(targets.select("a", "b").distinct(), vocab)
+        _exact(with_distance(targets.select("a", "b").distinct(), vocab))
         .join(vec.select(F.col("coord_id").alias("a"), F.col("vector").alias("va")), "a")
         .join(vec.select(F.col("coord_id").alias("b"), F.col("vector").alias("vb")), "b")
     )
@@ -279,7 +278,7 @@ def cluster_scores(targets: DataFrame, stats: DataFrame, vocab: DataFrame, near:
     ).select("e.*")
     touched = t.select("a", "b", "va", "vb", F.explode(F.array_distinct(F.array("a", "b"))).alias("end"))
     around = (
-        ends.join(F.broadcast(touched), "end")  # two rows for each target
+        ends.join(touched, "end")
         .filter((F.col("other") != F.col("a")) & (F.col("other") != F.col("b")))
         .join(vec.select(F.col("coord_id").alias("other"), F.col("vector").alias("vo")), "other")
         .filter((simplex.distance(F.col("vo"), F.col("va")) < near) & (simplex.distance(F.col("vo"), F.col("vb")) < near))

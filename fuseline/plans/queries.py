@@ -218,6 +218,12 @@ def cluster_score(spark, d):
     return out.select("a", "b", _r("cluster").alias("cluster"))
 
 
+def all_cluster_scores(spark, d):
+    """The cluster score of every pair."""
+    stats = _all_stats(spark, d).select("a", "b", "cnt").cache()
+    return pairs.cluster_scores(stats, stats, Model().vocab(spark)).select("a", "b", _r("cluster").alias("cluster"))
+
+
 def live_length(spark, d):
     return rewrite.live_length(_seqs(spark, d))
 
@@ -757,6 +763,6 @@ QUERIES = {
         sequence_velocity, granularity_case, simplex_project, simplex_project_sql, fr_distance_pairs, fr_nearest,
         midpoint_pairs, label_mean, center_distance, label_phi_kappa, label_frechet, train_entropy, train_frequency, train_documents,
         train_phi, train_resumed, training_report, model_roundtrip, stream_encode, all_pair_scores, all_top_k_pairs,
-        all_vocab_stats,
+        all_vocab_stats, all_cluster_scores,
     )
 }

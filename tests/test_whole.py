@@ -8,7 +8,7 @@ import pytest
 from fuseline.functions import simplex
 from fuseline.plans import queries as engine
 
-TEXTS = ["eeee see the tree, the bees and the seed", "aa bb aa bb: a cab, a tab", "the eel ate the bee " * 4]
+TEXTS = ["eeee see the tree, the bees and the seed", "aa bb aa bb: a cab, a tab", "the eel ate the bee " * 4, "The quick brown fox jumps over a lazy dog; Pack my box with five dozen liquor jugs, vexed nymph! " * 6]
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +45,16 @@ def test_pairs_of_one_byte_with_itself_are_scored(spark, folder):
     assert (101, 101) in top
     mean = engine.QUERIES["all_vocab_stats"](spark, folder).first().avg_coupling
     assert abs(mean - np.mean([c for _, _, c in want.values()])) < 1e-3
+
+
+def test_every_pair_has_a_cluster_score(spark, folder):
+    stats = brute_stats()
+    got = {(r.a, r.b): r.cluster for r in engine.QUERIES["all_cluster_scores"](spark, folder).collect()}
+    assert got.keys() == stats.keys() and len(got) > 64
+    for a, b in stats:
+        w = 0
+        for (x, y), (cnt, _, _) in stats.items():
+            for end, other in ((x, y), (y, x)):
+                if end in (a, b) and other not in (a, b) and distance(other, a) < 1 and distance(other, b) < 1:
+                    w += cnt
+        assert abs(got[a, b] - (1 / (distance(a, b) + 0.1) + min(w * 0.1, 1))) < 1e-4
