@@ -385,6 +385,12 @@ def fr_distance_pairs(spark, d):
     return found.filter("query_id < vec_id").select("query_id", "vec_id", _r("d").alias("d"))
 
 
+def all_fr_distances(spark, d):
+    """Distances of every 50th vector to all others."""
+    p = _points(spark, d)
+    return V.distances(p, p.filter("vec_id % 50 = 0")).select("query_id", "vec_id", _r("d").alias("d"))
+
+
 def fr_nearest(spark, d):
     """The five nearest of every 50th vector."""
     p = _points(spark, d)
@@ -763,6 +769,6 @@ QUERIES = {
         sequence_velocity, granularity_case, simplex_project, simplex_project_sql, fr_distance_pairs, fr_nearest,
         midpoint_pairs, label_mean, center_distance, label_phi_kappa, label_frechet, train_entropy, train_frequency, train_documents,
         train_phi, train_resumed, training_report, model_roundtrip, stream_encode, all_pair_scores, all_top_k_pairs,
-        all_vocab_stats, all_cluster_scores,
+        all_vocab_stats, all_cluster_scores, all_fr_distances,
     )
 }

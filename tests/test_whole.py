@@ -58,3 +58,9 @@ def test_every_pair_has_a_cluster_score(spark, folder):
                 if end in (a, b) and other not in (a, b) and distance(other, a) < 1 and distance(other, b) < 1:
                     w += cnt
         assert abs(got[a, b] - (1 / (distance(a, b) + 0.1) + min(w * 0.1, 1))) < 1e-4
+
+
+def test_queries_meet_all_other_vectors(spark, folder):
+    got = {(r.query_id, r.vec_id): r.d for r in engine.QUERIES["all_fr_distances"](spark, folder).collect()}
+    assert got.keys() == {(q, v) for q in (0, 50, 100) for v in range(120) if v != q}
+    assert got[50, 0] == got[0, 50]
