@@ -8,14 +8,17 @@ bin each certified partition, so if the total exceeds the bound of all pieces to
 bins are dissolved and their pieces packed once more together; the better packing stands.
 
 Scale.  Pieces of one length are interchangeable, so a partition is its histogram of lengths: at most ``capacity``
-rows whatever the number of documents, and ``capacity`` x ``PARTITIONS`` x ``SALTS`` rows are all that the driver ever gets.
+rows whatever the number of documents, and ``capacity`` x ``PARTITIONS`` rows are all that the driver ever gets.
 Best fit works on counts too: c pieces of one length go into the fullest bins that they fit, a whole group of equal
 bins at a time.  The plan (which ranks of a length go to which group of bins) is as bounded.  Pieces find their place
-by their rank among the pieces of their length and partition, and by an equi-join with the plan; the ranks are taken
-inside (partition, length, salt), so one length that holds a third of all rows is ranked by many tasks.
+by their rank among the pieces of their length and partition, and by an equi-join with the plan.  Ranks are taken
+inside (partition, length, salt), where the number of salts follows the rows, and each salt begins where the ones
+before it end; so one length that holds a third of all rows is ranked by many tasks.  A piece of ``capacity`` tokens is a
+sequence of its own, which no rank and no shuffle has to tell.
 
 Odd input: a null text is the empty text, whose only token is the end mark; rows with a null or repeated id are
-pieces like any other (the id is carried, not used); an empty table gives no rows; other columns are ignored.
+pieces like any other (the id is carried, not used); an empty table gives no rows; ``pack_documents`` ignores other
+columns, ``pack`` keeps them whatever their names, except that ``sequence_id`` and ``offset`` are made anew.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, fresh_name
 
 PARTITIONS = 16
-SALTS = 8
+#: Rows of one partition and length that one task ranks, about.
+RANKED = 50_000
 END_ID = 2
 
 # ------------------------------------------------------------------------------------------------- tokens
@@ -83,17 +87,19 @@ class Tokens:
 
     A blank between two characters that are not white always starts a pre-token, so the ids of the chunk from there to
     the next such blank do not depend on its neighbours and are looked up whole.  Texts with code points on whose
-    class Unicode versions may differ go through the tokenizer itself.
+    class Unicode versions may differ, and those that hold the string of one of the tokenizer's added tokens, go
+    through the tokenizer itself.
     """
 
-    LIMIT = 400_000
+    LIMIT = 80_000
     _loaded: dict[str, Tokens] = {}
 
     def __init__(self, path: str, ranks_path: str | None):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added) or r"(?!)").search
         letters, digits = _ranges("L"), _ranges("N")
         self.split = re.compile(
             rf" ?[{letters}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{letters}{digits}]+| ?[{digits}]+|\s+(?!\S)|\s+"
@@ -130,7 +136,7 @@ class Tokens:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.unsettled(text):
+        if self.unsettled(text) or self.special(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self.other_white(text):
             return b"".join(map(self.piece, self.split(text)))
@@ -302,13 +308,13 @@ def repack(parts: list[dict[int, int]], capacity: int) -> list[tuple[dict[int, i
     return pools
 
 
-def _plan(parts: dict[tuple[int, int], dict[int, int]], pools, capacity: int):
-    """Rows (part, salt, length, from, until, first bin, bins, offset, seen): pieces with rank r in [from, until) of their
-    length go to bin first + j % bins, at offset + (j // bins) * length, where j = seen + r - from."""
+def _plan(parts: dict[int, dict[int, int]], pools):
+    """Rows (part, length, from, until, first bin, bins, offset, seen): pieces with rank r in [from, until) of their part
+    and length go to bin first + j % bins, at offset + (j // bins) * length, where j = seen + r - from."""
     supply: dict[int, list[list[int]]] = defaultdict(list)
-    for (part, salt), h in sorted(parts.items()):
+    for part, h in sorted(parts.items()):
         for length, n in h.items():
-            supply[length].append([part, salt, 0, n])
+            supply[length].append([part, 0, n])
     rows, first = [], 0
     for _, groups in pools:
         for bins, content in groups:
@@ -317,12 +323,12 @@ def _plan(parts: dict[tuple[int, int], dict[int, int]], pools, capacity: int):
                 need, seen = bins * fits, 0
                 while need:
                     source = supply[length][-1]
-                    take = min(need, source[3] - source[2])
-                    rows.append((source[0], source[1], length, source[2], source[2] + take, first, bins, offset, seen))
-                    source[2] += take
+                    take = min(need, source[2] - source[1])
+                    rows.append((source[0], length, source[1], source[1] + take, first, bins, offset, seen))
+                    source[1] += take
                     seen += take
                     need -= take
-                    if source[2] == source[3]:
+                    if source[1] == source[2]:
                         supply[length].pop()
                 offset += fits * length
             first += bins
@@ -330,65 +336,71 @@ def _plan(parts: dict[tuple[int, int], dict[int, int]], pools, capacity: int):
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, partitions: int = PARTITIONS, length_col: str = "length") -> DataFrame:
-    """``pieces`` (any rows with a length from 1 to ``capacity``) with ``sequence_id`` and ``offset``, gapless from 0.
+    """``pieces`` (any rows with a length from 1 to ``capacity``) with ``sequence_id`` (any numbers; those of full pieces are
+    negative) and ``offset``, gapless from 0.
 
     The order inside a sequence is free.  ``pieces`` is written to the checkpoint folder once, so that everything
     below sees the same rows; pass what you need of them and no more.
     """
     spark = pieces.sparkSession
-    columns = pieces.columns
-    part, salt, rank = (fresh_name(columns, n) for n in ("part_", "salt_", "rank_"))
-    order = F.xxhash64(*columns)
-    dealt = checkpointed(
-        pieces.withColumn(part, F.pmod(order, F.lit(partitions)).cast("int"))
-        # A second, independent number splits what has the same length in one partition.
-        .withColumn(salt, F.pmod(F.shiftright(F.xxhash64(order, F.lit(part)), 7), F.lit(SALTS)).cast("int"))
-    )
-    length = F.col(length_col).cast("long")
+    columns = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    taken = list(columns)
+    names = {}
+    for n in ("size_", "part_", "row_", "salt_", "rank_", "before_", "own_", "ranges_"):
+        names[n[:-1]] = fresh_name(taken, n)
+        taken.append(names[n[:-1]])
+    size, part, row, salt, rank, before, own, ranges = names.values()
+    kept = [F.col(f"`{c}`") for c in columns]
+    length = F.col(f"`{length_col}`").cast("long")
     wrong = F.raise_error(F.lit(f"lengths must be from 1 to {capacity}")).cast("long")
-    counted = (
-        dealt.select(part, salt, F.when(length.between(1, capacity), length).otherwise(wrong).alias("length"))
-        .groupBy(part, salt, "length")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .toArrow()  # at most partitions x SALTS x capacity rows, whatever the input
+    dealt = checkpointed(
+        pieces.select(*kept).select(
+            *kept,
+            F.when(length.between(1, capacity), length).otherwise(wrong).alias(size),
+            F.pmod(F.xxhash64(*kept), F.lit(partitions)).cast("int").alias(part),
+            F.monotonically_increasing_id().alias(row),
+        )
     )
-    parts: dict[tuple[int, int], dict[int, int]] = defaultdict(dict)
-    for p, s, size, n in zip(*(c.to_pylist() for c in counted.columns), strict=True):
-        parts[p, s][size] = n
-    by_part = [_pooled(h for (p, _), h in parts.items() if p == k) for k in range(partitions)]
-    rows, _ = _plan(parts, repack([h for h in by_part if h], capacity), capacity)
-
-    names = ["part", "salt", "length", "low", "high", "first", "bins", "at", "seen"]
-    types = ["int", "int", "long", "long", "long", "long", "long", "long", "long"]
-    schema = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
-    columns_ = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    arrow = pa.table({n: pa.array(c, pa.int32() if t == "int" else pa.int64()) for n, t, c in zip(names, types, columns_, strict=True)})
-    # One row of the plan for each (part, salt, length), with its ranges inside: an equi-join, not a range join.
+    full = dealt.filter(F.col(size) == capacity).select(*kept, (-1 - F.col(row)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = dealt.filter(F.col(size) < capacity)
+    counted = rest.groupBy(part, size).agg(F.count(F.lit(1)).alias("n")).toArrow()  # partitions x capacity rows at most
+    parts: dict[int, dict[int, int]] = defaultdict(dict)
+    for p, x, n in zip(*(c.to_pylist() for c in counted.columns), strict=True):
+        parts[p][x] = n
+    rows, _ = _plan(parts, repack([h for _, h in sorted(parts.items())], capacity))
+
+    fields = {"part": "int", "length": "long", "low": "long", "high": "long", "first": "long", "bins": "long", "at": "long", "seen": "long"}
+    cells = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    arrow = pa.table({n: pa.array(c, pa.int32() if t == "int" else pa.int64()) for (n, t), c in zip(fields.items(), cells, strict=True)})
+    # One row of the plan for each (part, length), with its ranges inside: an equi-join, not a range join.
     plan = (
-        spark.createDataFrame(arrow, schema)
-        .groupBy("part", "salt", "length")
-        .agg(F.sort_array(F.collect_list(F.struct(*names[3:]))).alias("ranges"))
+        spark.createDataFrame(arrow, ", ".join(f"{n} {t}" for n, t in fields.items()))
+        .groupBy(F.col("part").alias(part), F.col("length").alias(size))
+        .agg(F.sort_array(F.collect_list(F.struct(*list(fields)[2:]))).alias(ranges))
     )
-    w = Window.partitionBy(part, salt, length_col).orderBy(order, *[c for c in columns if c != length_col])
-    ranked = dealt.withColumn(rank, F.row_number().over(w).cast("long") - 1)
-    d, p = ranked.alias("d"), plan.alias("p")
-    joined = d.join(
-        p,
-        (F.col(f"d.{part}") == F.col("p.part"))
-        & (F.col(f"d.{salt}") == F.col("p.salt"))
-        & (F.col(f"d.{length_col}") == F.col("p.length")),
+    # A second, independent number splits what has the same length in one partition.
+    salts = max(1, -(-max((n for h in parts.values() for n in h.values()), default=0) // RANKED))
+    salted = rest.withColumn(salt, F.pmod(F.xxhash64(F.lit(1), row), F.lit(salts)).cast("int"))
+    ahead = Window.partitionBy(part, size).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        salted.groupBy(part, size, salt)
+        .agg(F.count(F.lit(1)).alias(rank))
+        .select(part, size, salt, F.coalesce(F.sum(rank).over(ahead), F.lit(0)).alias(before))
+        .join(plan, [part, size])
     )
-    r = F.col(f"d.{rank}")
-    own = F.element_at(F.filter("p.ranges", lambda x: (x["low"] <= r) & (r < x["high"])), 1)
-    length = F.col(f"d.{length_col}").cast("long")
-    return joined.select(*[F.col(f"d.{c}") for c in columns], length.alias("_l"), own.alias("_o"), r.alias("_r")).select(
-        *columns,
-        (F.col("_o.first") + F.pmod(F.col("_o.seen") + F.col("_r") - F.col("_o.low"), F.col("_o.bins"))).alias("sequence_id"),
-        (
-            F.col("_o.at")
-            + F.floor((F.col("_o.seen") + F.col("_r") - F.col("_o.low")) / F.col("_o.bins")).cast("long") * F.col("_l")
-        ).alias("offset"),
+    inside = Window.partitionBy(part, size, salt).orderBy(row)
+    ranked = salted.withColumn(rank, F.row_number().over(inside).cast("long") - 1).join(starts, [part, size, salt])
+    at = F.col(before) + F.col(rank)
+    placed = ranked.withColumn(rank, at).withColumn(
+        own, F.element_at(F.filter(ranges, lambda x: (x["low"] <= F.col(rank)) & (F.col(rank) < x["high"])), 1)
     )
+    nth = F.col(f"{own}.seen") + F.col(rank) - F.col(f"{own}.low")
+    bins = F.col(f"{own}.bins")
+    return placed.select(
+        *kept,
+        (F.col(f"{own}.first") + F.pmod(nth, bins)).alias("sequence_id"),
+        (F.col(f"{own}.at") + F.floor(nth / bins).cast("long") * F.col(size)).alias("offset"),
+    ).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, **options) -> DataFrame:
