@@ -2,12 +2,13 @@
 
 Two documents are equal when their texts are identical after lower-casing A-Z; a null text counts as empty.
 
-Plan.  One aggregation groups by (128-bit hash, normalised text).  The text is part of the grouping key, so the
-aggregate itself compares bytes and a hash collision yields two classes, never one; its map-side half collapses
-the copies that a task holds, hence a class that holds a third of all rows sends one row per task.  The members
-travel as (id, digests, salt) only and are written down once, so the texts are read twice and no more.  A class is
-told to its salts first (at most ``SALTS`` rows each) and the members meet it by digests and salt, so a hot class is
-spread over that many tasks.
+Plan.  The texts are read once for digests: a narrow row (id, hash of the text as it stands, 128-bit hash, SHA-256, row
+number) is written for each document, and grouping goes over those.  A class of one row needs nothing else.  For classes
+of several, the texts are read again, and only those whose hash is among them (a bit map of bounded size tells) are
+grouped by (128-bit hash, normalised text): the text is part of that key, so the aggregate itself compares bytes, and
+its map-side half collapses the copies that a task holds, hence a class that holds a third of all rows sends one row
+per task.  Each class is then told to its salts (at most ``SALTS`` rows each) and the members meet it by digests and
+salt, so a hot class is spread over that many tasks.
 
 Defined results for odd input:
 
@@ -22,17 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed
+from .common import ascii_lower, checkpointed, maybe_among, raw_hash, without
 
 #: Parts into which the members of each class are dealt.
 SALTS = 128
 
 
-def _digests(docs: DataFrame, id_col: str, text_col: str, hash128) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("raw"), ascii_lower(text).alias("norm")).select(
-        "id", "raw", "norm", hash128(F.col("norm")).alias("h128"), F.sha2("norm", 256).alias("sha")
-    )
+def _md5(col: Column) -> Column:
+    return F.unhex(F.md5(col))
 
 
 def exact_groups(
@@ -40,80 +38,68 @@ def exact_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "max",
-    hash128=F.md5,
+    hash128=_md5,
 ) -> DataFrame:
-    """One row per input row: ``id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, ``raw`` (a 64-bit
-    hash of the text as it stands, which with the id names the row) and ``repeats`` (rows with this id and text).
+    """One row per input row: ``id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` and ``raw`` (a 64-bit
+    hash of the text as it stands, which with the id names the row).
 
-    ``keep`` is ``"max"`` or ``"min"``: which id of a class stays.  ``hash128`` maps a text column to its hash.
+    ``keep`` is ``"max"`` or ``"min"``: which id of a class stays; of rows that share that id, the one with the smallest
+    ``raw``, and of those any one.  ``hash128`` maps a text column to its hash.
     """
     if keep not in ("max", "min"):
         raise ValueError("keep must be 'max' or 'min'")
-    best: Column = F.max("id") if keep == "max" else F.min("id")
-    rows = _digests(docs, id_col, text_col, hash128)
-
-    by_bytes = rows.groupBy("h128", "norm").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    classes = (
-        by_bytes.select("h128", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
-        .groupBy("h128", "sha")
-        .agg(
-            F.first("keep_id").alias("keep_id"),
-            F.sum("group_size").alias("group_size"),
-            F.count(F.lit(1)).alias("texts"),
-        )
-        # The bytes above decide; membership below goes by both digests, which must therefore name one text.
-        .select(
-            "h128",
-            "sha",
-            "keep_id",
-            F.when(F.col("texts") == 1, F.col("group_size"))
-            .otherwise(F.raise_error(F.lit("two texts share both digests")).cast("long"))
-            .alias("group_size"),
-        )
+    texts = docs.select(
+        F.col(id_col).alias("id"),
+        raw_hash(text_col).alias("raw"),
+        ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("norm"),
+    ).withColumn("h128", hash128(F.col("norm")))
+    rows = checkpointed(
+        texts.select("id", "raw", "h128", F.unhex(F.sha2("norm", 256)).alias("sha"), F.monotonically_increasing_id().alias("row"))
     )
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    members = rows.groupBy("h128", "sha", "id", "raw").agg(F.count(F.lit(1)).alias("n"))
-    # Copies that differ in case share an id only when the table repeats it; the smallest raw hash stays then.
-    twins = checkpointed(
-        members.groupBy("h128", "sha", "id")
-        .agg(F.min("raw").alias("first_raw"), F.collect_list(F.struct("raw", "n")).alias("rows"))
-        .withColumn("salt", salt)
+    # A null id is never the one that stays unless its class has no other.
+    none = F.col("id").isNull()
+    last = F.max(F.struct("id", F.bitwise_not("raw").alias("raw"), (-F.col("row")).alias("row")))
+    first = F.min(F.struct(none.alias("none"), "id", "raw", "row"))
+    found = rows.groupBy("h128", "sha").agg(F.count(F.lit(1)).alias("group_size"), (last if keep == "max" else first).alias("best"))
+    several = checkpointed(
+        found.filter("group_size > 1").select("h128", "sha", "group_size", F.col("best.id").alias("keep_id"), F.abs("best.row").alias("keep_row"))
+    )
+    again = maybe_among(texts, F.xxhash64("h128"), several.select(F.xxhash64("h128").alias("key")), several.count())
+    by_bytes = again.groupBy("h128", "norm").agg(F.count(F.lit(1)).alias("n"))
+    compared = (
+        by_bytes.select("h128", F.unhex(F.sha2("norm", 256)).alias("sha"), "n")
+        .groupBy("h128", "sha")
+        .agg(F.max("n").alias("same"), F.count(F.lit(1)).alias("texts"))
     )
-    told = twins.select("h128", "sha", "salt").distinct().join(classes, ["h128", "sha"])
-    return (
-        twins.join(told, ["h128", "sha", "salt"])
-        .select("id", "keep_id", "group_size", "sha", "first_raw", F.explode("rows").alias("r"))
-        .select(
-            "id",
-            "keep_id",
-            "group_size",
-            "sha",
-            F.col("r.raw").alias("raw"),
-            F.col("r.n").alias("repeats"),
-            (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("r.raw") == F.col("first_raw"))).alias("stays"),
-            F.explode(F.sequence(F.lit(1).cast("long"), F.col("r.n"))).alias("copy"),
-        )
-        .select(
-            "id",
-            "keep_id",
-            "group_size",
-            (F.col("stays") & (F.col("copy") == 1)).alias("kept"),
-            F.col("sha").alias("text_sha256"),
-            "raw",
-            "repeats",
-        )
+    # The bytes decide; membership goes by both digests, which must therefore name one text of as many rows.
+    one = (F.col("texts") == 1) & (F.col("same") == F.col("group_size"))
+    sure = F.when(one, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share both digests")).cast("long"))
+    classes = several.join(compared, ["h128", "sha"]).select("h128", "sha", "keep_id", "keep_row", sure.alias("group_size"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    told = salted.select("h128", "sha", "salt").distinct().join(classes, ["h128", "sha"])
+    return salted.join(told, ["h128", "sha", "salt"], "left").select(
+        "id",
+        F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (F.coalesce("keep_row", F.col("row")) == F.col("row")).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
+        "raw",
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they were."""
-    kept = checkpointed(
-        exact_groups(docs, id_col, text_col, keep).filter("kept").select("id", "raw", "repeats")
+    rows = exact_groups(docs, id_col, text_col, keep).groupBy("id", "raw")
+    odd = checkpointed(
+        rows.agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")).filter("not stays or n > 1")
     )
-    raw = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    d = docs.alias("d")
-    k = kept.hint("shuffle_hash").alias("k")
-    out = d.join(k, F.col(f"d.{id_col}").eqNullSafe(F.col("k.id")) & (raw == F.col("k.raw")), "left_semi")
-    if kept.filter("repeats > 1").isEmpty():
+    out = without(docs, id_col, text_col, odd.filter("not stays").select("id", "raw"))
+    twice = odd.filter("stays").select("id", "raw")
+    if twice.isEmpty():
         return out
-    return out.dropDuplicates([id_col, text_col])
+    # Rows that repeat both id and text: one of each is left.
+    t = twice.alias("t")
+    o = out.alias("o")
+    same = F.col(f"o.`{id_col}`").eqNullSafe(F.col("t.id")) & (raw_hash(f"o.`{text_col}`") == F.col("t.raw"))
+    repeated = o.join(t, same, "left_semi").dropDuplicates([id_col, text_col])
+    return without(out, id_col, text_col, twice).unionByName(repeated)
