@@ -14,6 +14,9 @@ fingerprint.  A plane xor the same plane shifted by k positions gives that bit's
 at once; carry-save counters add the planes up, and a block of shifts is abandoned as soon as every counter has
 passed the radius.
 
+With ``similarity`` set, texts link by the Jaccard similarity of their shingle sets instead, and ``radius`` only screens
+the pairs; ``similar`` has how candidates are found at such wide radii.
+
 Skew.  Copies collapse to distinct fingerprints before anything is compared.  A bucket larger than ``tile`` is cut
 into hashed chunks, and each pair of chunks is a task's worth of its own, so that no bucket is too large and none is
 left out.  Out of a bucket come the edges of a spanning forest, at most one per fingerprint, never all its pairs.
@@ -37,32 +40,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
-
-SEED = 42
-_WORDS = bytes(32 if b in b" \t\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+from .common import checkpointed, raw_hash, without
+from .similar import SEED, majority, prints_of, words_of
+from .similar import links as similar_links
 
+#: Parts into which the rows of each fingerprint are dealt.
+SALTS = 64
 
 def fingerprint(text: str | None, size: int = 3) -> int:
     """The fingerprint of one text, unsigned."""
     import xxhash
 
-    words = (text or "").encode("utf-8").translate(_WORDS).split()
-    if not words:
+    line = words_of(text)
+    if not line:
         return 0
-    line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return digest(line, SEED)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    starts = [0, *(gaps[: len(words) - size] + 1).tolist()]
+    if len(gaps) < size:
+        return digest(line, SEED)
+    starts = [0, *(gaps[: len(gaps) + 1 - size] + 1).tolist()]
     ends = [*gaps[size - 1 :].tolist(), len(line)]
     hashes = np.array([digest(line[i:j], SEED) for i, j in zip(starts, ends, strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        part = hashes[k : k + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -74,10 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = np.fromiter((fingerprint(t.as_py(), size) for t in texts), np.uint64, len(texts))
         return pa.array(found.view(np.int64))
 
-    text = F.col(text_col).cast("string")
-    return docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("raw"), of(text).alias("fp")
-    )
+    return docs.select(F.col(id_col).alias("id"), raw_hash(text_col).alias("raw"), of(F.col(text_col).cast("string")).alias("fp"))
 
 
 # ---------------------------------------------------------------------------------------------- bit planes
@@ -281,6 +277,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _named(prints: DataFrame, distinct: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``prints`` with ``component``, by the roots of their ``key``."""
+    rooted = distinct.join(found.withColumnRenamed("node", key), key, "left").select(key, "least", F.coalesce("root", key).alias("root"))
+    # A component of very many members meets its name in a join that may be split; the minimum is pre-aggregated.
+    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = rooted.join(names, "root").select(key, "component")
+    # One fingerprint may be that of a third of all rows: its rows are dealt over salts, and so is its name.
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64("id", "raw"), F.lit(SALTS)).cast("int"))
+    told = salted.select(key, "salt").distinct().join(named, key)
+    return salted.join(told, [key, "salt"])
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -294,21 +302,40 @@ def near_groups(
     prints = checkpointed(fingerprints(docs, id_col, text_col, size))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least")))
     found = components(links(distinct.select("fp"), radius, blocks, tile))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    # A component of very many fingerprints meets its name in a join that may be split; the minimum is pre-aggregated.
-    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(names, "root").select("fp", "component")
-    return prints.join(named, "fp").select("id", "raw", "fp", "component")
+    return _named(prints, distinct, found, "fp").select("id", "raw", "fp", "component")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def similar_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    similarity: float = 0.8,
+    radius: int = 26,
+    bands: int = 30,
+    rows: int = 5,
+    tile: int = 256,
+) -> DataFrame:
+    """As ``near_groups``, with links between texts whose sets of ``size``-word shingles have this Jaccard similarity or
+    more; ``fp`` is the fingerprint of the set."""
+    prints = checkpointed(prints_of(docs, id_col, text_col, size, bands, rows))
+    # Texts of the same words have the same keys; one text speaks for them.
+    least = prints.groupBy("node").agg(F.min("id").alias("least"), F.min("raw").alias("raw"))
+    keys = prints.select("node", "fp", "keys").dropDuplicates(["node"])
+    distinct = checkpointed(keys.join(least, "node"))
+    found = components(similar_links(docs, distinct, text_col, size, similarity, radius, tile))
+    return _named(prints.drop("keys"), distinct.select("node", "least"), found, "node").select("id", "raw", "fp", "component")
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options
+) -> DataFrame:
     """The rows whose id names their component, with their columns as they were.  Rows without an id name nothing
-    and all stay; rows that repeat both id and text stay together (exact deduplication is there for those)."""
-    raw = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    groups = near_groups(docs, id_col, text_col, **options)
-    stays = F.col("id").isNull() | (F.col("id") == F.col("component"))
-    kept = checkpointed(groups.filter(stays).select("id", "raw").distinct())
-    d, k = docs.alias("d"), kept.hint("shuffle_hash").alias("k")
-    return d.join(k, F.col(f"d.{id_col}").eqNullSafe(F.col("k.id")) & (raw == F.col("k.raw")), "left_semi")
+    and all stay; rows that repeat both id and text stay together (exact deduplication is there for those).
+    ``similarity`` links by shingle sets (``similar_groups``), None by fingerprints alone (``near_groups``)."""
+    if similarity is None:
+        groups = near_groups(docs, id_col, text_col, **options)
+    else:
+        groups = similar_groups(docs, id_col, text_col, similarity=similarity, **options)
+    gone = checkpointed(groups.filter("id is not null and id <> component").select("id", "raw").distinct())
+    return without(docs, id_col, text_col, gone)

@@ -2,7 +2,7 @@
 
 import random
 
-from fuseline.llm import minhash
+from fuseline.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -60,8 +60,8 @@ def test_cells_and_odd_rows(spark):
     rows = planted(random.Random(5))
     one = [(500 + k, rows[0][1] + f" end{k}") for k in range(40)]  # one large group, cut into cells
     docs = spark.createDataFrame([*rows, *one], "doc_id long, text string")
-    kept = {r.doc_id for r in minhash.drop_similar(docs, tile=8).collect()}
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs, similarity=0.8, tile=8).collect()}
     assert kept == brute_kept([*rows, *one])
     odd = spark.createDataFrame([(1, None), (2, ""), (3, " \t"), (None, "a b"), (4, "A  b"), (5, "a b c")], "doc_id long, text string")
-    assert sorted(str(r.doc_id) for r in minhash.drop_similar(odd).collect()) == ["1", "4", "5", "None"]
-    assert minhash.drop_similar(odd.limit(0)).count() == 0
+    assert sorted(str(r.doc_id) for r in simhash.drop_near_copies(odd, similarity=0.8).collect()) == ["1", "4", "5", "None"]
+    assert simhash.drop_near_copies(odd.limit(0), similarity=0.8).count() == 0
