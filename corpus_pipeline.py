@@ -14,8 +14,8 @@ from fuseline.llm import common
 from fuseline.llm.decontaminate import drop_contaminated
 from fuseline.llm.exact_dedup import drop_exact_copies
 from fuseline.llm.langid import drop_unidentified
-from fuseline.llm.minhash import drop_similar
 from fuseline.llm.packing import pack_documents
+from fuseline.llm.simhash import drop_near_copies
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts linked by a 5-word-shingle similarity of 0.8 or more, the row with the smallest doc_id
     stays."""
-    return drop_similar(docs)
+    return drop_near_copies(docs, similarity=0.8, size=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
