@@ -12,24 +12,29 @@ ancestors, bare text included, but for blocks of which half or more is links.
 Text: character references are decoded, white space inside a block (``br`` included) becomes one space, blocks are
 trimmed and joined by one line feed in page order.  Nothing else is dropped or cut.
 
-Odd input: a null or empty page gives the empty text; markup that is cut off or nested wrongly is repaired; a page
-without any tag is one block of text.  Additional columns stay as they are.
+Odd input: a null or empty page gives the empty text; markup that is cut off or nested wrongly is repaired, and a quote
+in an attribute counts only behind ``=`` and where it is closed; a page without any tag is one block of text; among
+containers of the same score the first wins; repeated rows are judged each by itself; an empty table gives no rows.
+Additional columns stay as they are (one that has the result's name is replaced).
+
+Cost: each character, element and ancestor is looked at a bounded number of times, however deep the page nests.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S
-)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME_OF_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_ATTR = re.compile(r"""[\s/]*(?:([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?|=)""")
+_SKIP = re.compile(r"[\s/]*")
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,8 +56,8 @@ CLOSED_BY = {  # an open element of the key ends where one of these begins
     "tr": frozenset({"tr", "tbody", "tfoot"}),
     "option": frozenset({"option"}),
 }
-#: What a list item, cell or quotation inside them does not close.
-SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
+ITEMS = frozenset("li dt dd".split())
+CELLS = frozenset("table tr td th".split())  # a cell closes nothing outside its table
 
 #: Words in class, id and role that name what is not the article.
 AWAY = frozenset(
@@ -70,27 +75,42 @@ _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attrs", "score")
+    __slots__ = ("tag", "parent", "children", "score")
 
-    def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
-        self.tag, self.parent, self.attrs = tag, parent, attrs
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
         self.score = 0.0
 
 
-def _attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(source)}
+def _tag_end(page: str, at: int) -> tuple[int, dict[str, str], bool] | None:
+    """From behind a tag's name: the place behind its ``>``, its attributes (the first of a name counts) and whether it
+    closes itself; None if the page ends before."""
+    attrs: dict[str, str] = {}
+    size = len(page)
+    behind = at  # the last attribute
+    while at < size:
+        if page[at] == ">":
+            return at + 1, attrs, page[at - 1] == "/" and at > behind
+        # A quote that is never closed is an ordinary character; no other of its kind follows, so looking for it is linear.
+        m = _ATTR.match(page, at)
+        if m is None:
+            at = _SKIP.match(page, at).end()
+            continue
+        if m[1]:
+            attrs.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        at = behind = m.end()
+    return None
 
 
-def _away(tag: str, source: str, inside_article: bool) -> bool:
+def _away(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
     """Whether an element is no part of an article."""
     if tag in DROPPED:
         return True
     if tag == "header":
         return not inside_article  # an article's own header holds its title
-    if not source or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    attrs = _attributes(source)
     if "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
@@ -107,88 +127,149 @@ def _away(tag: str, source: str, inside_article: bool) -> bool:
     return False
 
 
+class _Builder:
+    """The tree in the making: the open node and, so that nothing has to walk up for them, the open blocks, the open
+    cells (with their tables) and how many elements of each tag are open."""
+
+    def __init__(self):
+        self.root = self.node = Node("#root", None)
+        self.blocks: list[Node] = []
+        self.cells: list[Node] = []
+        self.open: Counter[str] = Counter()
+
+    def enter(self, tag: str) -> None:
+        child = Node(tag, self.node)
+        self.node.children.append(child)
+        self.node = child
+        self.open[tag] += 1
+        if tag in BLOCKS:
+            self.blocks.append(child)
+        if tag in CELLS:
+            self.cells.append(child)
+
+    def leave(self, tag: str) -> None:
+        """Closes the innermost open element of the tag, and all inside it."""
+        if not self.open[tag]:
+            return
+        while True:
+            own = self.node
+            self.open[own.tag] -= 1
+            if self.blocks and self.blocks[-1] is own:
+                self.blocks.pop()
+            if self.cells and self.cells[-1] is own:
+                self.cells.pop()
+            self.node = own.parent
+            if own.tag == tag:
+                return
+
+    def close_before(self, tag: str) -> None:
+        """Closes what ends where an element of this tag begins."""
+        if tag in CLOSED_BY["p"] or tag in ITEMS:
+            inner = self.blocks[-1].tag if self.blocks else ""
+            if inner in CLOSED_BY and inner not in CELLS and tag in CLOSED_BY[inner]:
+                self.leave(inner)
+                if inner == "p":
+                    self.close_before(tag)
+        if tag in CLOSED_BY["td"]:
+            for own in ("td", "th", "tr"):
+                if tag in CLOSED_BY[own] and self.cells and self.cells[-1].tag == own:
+                    self.leave(own)
+        if tag == "option" and self.node.tag == "option":
+            self.leave("option")
+
+    @property
+    def in_article(self) -> bool:
+        return self.open["article"] + self.open["main"] > 0
+
+
 def parse(page: str) -> Node:
     """The tree of a page without the parts that are no article."""
-    root = Node("#root", None)
-    node, at, size = root, 0, len(page)
+    tree = _Builder()
+    at, size = 0, len(page)
     skipping: list[str] = []  # open elements inside one that is left out
-    articles = 0
+    skipped: Counter[str] = Counter()
+
+    def text(start: int, end: int) -> None:
+        if end > start and not skipping:
+            tree.node.children.append(page[start:end])
+
     while at < size:
-        m = _TAG.search(page, at)
-        if m is None:
-            text, at = page[at:], size
-            cut = re.search(r"<[a-zA-Z/!][^<]*\Z", text)  # a tag that the end cuts off
-            if not skipping:
-                node.children.append(text[: cut.start()] if cut else text)
+        lt = page.find("<", at)
+        if lt < 0:
+            text(at, size)
             break
-        if m.start() > at and not skipping:
-            node.children.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        after = page[lt + 1 : lt + 2]
+        if after in ("!", "?"):
+            text(at, lt)
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                at = size if end < 0 else end + 3
+            else:
+                end = page.find(">", lt)
+                at = size if end < 0 else end + 1
+            continue
+        name = _NAME_OF_TAG.match(page, lt + 1)
+        if name is None:
+            text(at, lt + 1)  # an ordinary character
+            at = lt + 1
             continue
-        tag = tag.lower()
-        if m[1]:  # an end tag
+        text(at, lt)
+        found = _tag_end(page, name.end())
+        if found is None:
+            break  # a tag that the end cuts off
+        at, attrs, closed = found
+        tag = name[2].lower()
+        if name[1]:
+            ends_all = tag in ("body", "html", "article", "main") and tree.open[tag] > 0
             if skipping:
-                if tag in skipping:
-                    while skipping.pop() != tag:
-                        pass
-                elif _open(node, tag) and tag in ("body", "html", "article", "main"):
-                    skipping = []
+                if skipped[tag]:
+                    while True:
+                        last = skipping.pop()
+                        skipped[last] -= 1
+                        if last == tag:
+                            break
+                    if skipping or not ends_all:
+                        continue
+                elif ends_all:
+                    skipping, skipped = [], Counter()
                 else:
                     continue
-                if skipping or not _open(node, tag) or tag not in ("body", "html", "article", "main"):
-                    continue
-            up = _open(node, tag)
-            if up is not None:
-                while node is not up.parent:
-                    articles -= node.tag in ("article", "main")
-                    node = node.parent
+            tree.leave(tag)
             continue
-        empty = tag in VOID or bool(m[4])
+        empty = tag in VOID or closed
         if skipping:
             if not empty:
                 if tag in RAW:
                     at = _raw_end(page, tag, at)
                 elif skipping[-1] in CLOSED_BY and tag in CLOSED_BY[skipping[-1]] and len(skipping) > 1:
+                    skipped[skipping[-1]] -= 1
                     skipping[-1] = tag
+                    skipped[tag] += 1
                 elif skipping == ["p"] and tag in CLOSED_BY["p"]:
-                    skipping = []
+                    skipping, skipped = [], Counter()
                 else:
                     skipping.append(tag)
+                    skipped[tag] += 1
             if skipping or empty or tag in RAW:
                 continue
         if tag == "br":
-            node.children.append(" ")
+            tree.node.children.append(" ")
             continue
         if tag in RAW:
             at = at if empty else _raw_end(page, tag, at)
             continue
-        closes = [k for k, by in CLOSED_BY.items() if tag in by]
-        for k in closes:
-            up, stop = node, SCOPES.get(k, ())
-            while up is not None and up.tag != k and up.tag not in stop and (k == "p" or up.tag not in BLOCKS or k in ("td", "th", "tr")):
-                if k == "p" and up.tag in BLOCKS:
-                    up = None
-                    break
-                up = up.parent
-            if up is not None and up.tag == k:
-                while node is not up.parent:
-                    node = node.parent
+        tree.close_before(tag)
         if empty:
             if tag == "hr":
-                node.children.append(Node("hr", node))
+                tree.node.children.append(Node("hr", tree.node))
             continue
-        if _away(tag, m[3], articles > 0):
-            skipping = [tag]
+        if _away(tag, attrs, tree.in_article):
+            skipping, skipped = [tag], Counter([tag])
             if tag in BLOCKS:
-                node.children.append(Node("hr", node))  # blocks on either side stay apart
+                tree.node.children.append(Node("hr", tree.node))  # blocks on either side stay apart
             continue
-        child = Node(tag, node, m[3])
-        node.children.append(child)
-        node = child
-        articles += tag in ("article", "main")
-    return root
+        tree.enter(tag)
+    return tree.root
 
 
 def _open(node: Node | None, tag: str) -> Node | None:
@@ -198,10 +279,15 @@ def _open(node: Node | None, tag: str) -> Node | None:
 
 
 def _raw_end(page: str, tag: str, at: int) -> int:
-    m = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+    m = _raw_close(tag).search(page, at)
     return m.end() if m else len(page)
 
 
+@lru_cache(maxsize=None)  # of the tags in RAW
+def _raw_close(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
+
 def _walk(root: Node):
     """Nodes in document order, without recursion: pages nest as deep as they like."""
     stack = [root]
@@ -257,9 +343,11 @@ def _points(root: Node) -> list[Node]:
     """Gives ancestors the points of their paragraphs; returns the nodes that have some."""
     scored: dict[int, Node] = {}
     for node in _walk(root):
+        if node.tag not in BLOCKS and node.tag != "#root":
+            continue
         own = "".join(c if type(c) is str else _inline(c) for c in node.children if type(c) is str or c.tag not in BLOCKS)
         own = own.strip()
-        if not own or node.tag not in BLOCKS and node.tag != "#root":
+        if not own:
             continue
         points = 1 + own.count(",") + min(len(own) // 100, 3)
         if node.tag not in PARAGRAPHS:
@@ -267,7 +355,7 @@ def _points(root: Node) -> list[Node]:
         else:
             up = node.parent
         share = 1.0
-        while up is not None:
+        while up is not None and points * share > 1e-9:  # beyond that, ancestors get nothing that shows
             up.score += points * share
             scored[id(up)] = up
             up, share = up.parent, share / 2
