@@ -11,18 +11,20 @@ through an automaton whose states are the role of the last turn written; what it
 The cheapest repair of the whole conversation is found by dynamic programming; ties go to the first in the order
 above.  The result is rendered as ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn.
 
-Scale.  A turn is a 4x4 min-plus matrix over the states, and matrices of consecutive turns multiply.  Conversations
-are cut by turn number into chunks of ``chunk_turns``; each chunk is reduced to its matrix by a task of its own, the
-few matrices of a conversation give each chunk its entry and exit state, and chunks are repaired and rendered
-independently.  So one conversation that holds a third of all rows is spread over many tasks; its rendering comes
-in segments, one for each chunk, whose concatenation in order is the whole.  A conversation of up to ``chunk_turns`` turns is one
-segment.
+Scale.  A turn is a 4x4 min-plus matrix over the states, and matrices of consecutive turns multiply.  The turns are
+sorted by range over all conversations, so that one conversation that holds a third of all rows lies in many
+partitions, and are cut into segments of ``chunk_turns`` turns by their rank in the conversation; only the first
+conversation of a partition has turns before it, and those few ranks (one number for each partition) are all that the
+driver gets.  Each segment (or the part of it that lies in a partition) is reduced to its matrix, the few matrices of
+a conversation give each its entry and exit state, and segments are repaired and rendered independently.  So a long
+conversation's rendering comes in segments whose concatenation in order is the whole.  A conversation of up to
+``chunk_turns`` turns is one segment.
 
 Odd input: roles are trimmed and lower-cased, ``human``, ``bot``, ``model``, ``gpt`` and ``developer`` are known by
 their usual meaning, others (null too) are unnamed; null texts are empty; the marks' strings inside a text get a
-blank; turns are ordered by turn, then role, then text, null first, and repeated rows are turns of their own; rows
-without a conversation id form one conversation, turns without a number its first chunk; empty tables give no rows;
-additional columns are ignored.
+blank; turns are ordered by turn, then role, then MD5 of the text, null first, and repeated rows are turns of their own; rows
+without a conversation id form one conversation, and turns without a number are its first; a text of any length is
+one turn; empty tables give no rows; additional columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -162,6 +164,7 @@ def render(texts: list[str], steps: list[tuple[int, str]], start: int, last: boo
     return "".join(parts), turns
 
 
+_TURNS = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
 _RENDERED = T.StructType(
     [
         T.StructField("cost", T.DoubleType()),
@@ -170,6 +173,66 @@ _RENDERED = T.StructType(
         T.StructField("rendered", T.StringType()),
     ]
 )
+_PLACE = T.StructType([T.StructField(n, T.LongType()) for n in ("segment", "part", "enter", "leave", "last")])
+
+
+def _cutter(before: dict[int, int], goes_on: set[int], chunk_turns: int):
+    """Rows (part, conv, role, text) in order: one row for each segment, or part of one that the partition's ends cut.
+
+    ``before`` has, by partition, the turns of its first conversation in earlier partitions; ``goes_on`` the partitions
+    whose last conversation continues in the next one.
+    """
+
+    def cut(batches):
+        kind = None
+        own: list[dict] = []
+        at = rank = part = None
+
+        def piece(more: bool):
+            first = rank - len(own)
+            cut_off = first % chunk_turns != 0 or more and rank % chunk_turns != 0
+            codes = matrix([role_code(t["role"]) for t in own])
+            values = [[at], [first // chunk_turns], [part], [cut_off], [own], [codes]]
+            kinds = [kind, pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])), pa.list_(pa.float64())]
+            return pa.record_batch(
+                [pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["conv", "segment", "part", "cut", "turns", "m"]
+            )
+
+        for batch in batches:
+            kind = batch.schema.field(1).type
+            for p, conv, role, text in zip(*batch.columns, strict=True):
+                conv = conv.as_py()
+                if part is None or conv != at:
+                    if own:
+                        yield piece(False)
+                    rank = before.get(p.as_py(), 0) if part is None else 0
+                    part, at, own = p.as_py(), conv, []
+                elif rank % chunk_turns == 0 and own:
+                    yield piece(False)
+                    own = []
+                own.append({"role": role.as_py(), "text": text.as_py()})
+                rank += 1
+        if own:
+            yield piece(part in goes_on)
+
+    return cut
+
+
+def _partition_ends(placed: DataFrame) -> tuple[dict[int, int], set[int]]:
+    """What ``_cutter`` needs to know of each partition's first and last conversation."""
+    runs = placed.groupBy("part", "conv").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("low"), F.max("row").alias("high"))
+    edge = lambda col, best: best(F.struct(col, "conv", "n"))
+    ends = runs.groupBy("part").agg(edge("low", F.min).alias("first"), edge("high", F.max).alias("last")).orderBy("part")
+    before, goes_on = {}, set()
+    conv = count = last = None  # of the conversation at the end of the partition before
+    for r in ends.toLocalIterator():  # one row a partition
+        if last is not None and r["first"]["conv"] == conv:
+            before[r["part"]] = count
+            goes_on.add(last)
+        whole = r["first"]["low"] == r["last"]["high"] - r["last"]["n"] + 1  # the partition holds one conversation
+        count = before.get(r["part"], 0) + r["first"]["n"] if whole else r["last"]["n"]
+        conv, last = r["last"]["conv"], r["part"]
+    return before, goes_on
 
 
 def format_chats(
@@ -180,16 +243,10 @@ def format_chats(
     text_col: str = "text",
     chunk_turns: int = 512,
 ) -> DataFrame:
-    """One row per conversation and chunk: ``conv``, ``segment``, ``n_turns``, ``n_out`` (turns written), ``cost``,
+    """One row per conversation and segment: ``conv``, ``segment``, ``n_turns``, ``n_out`` (turns written), ``cost``,
     ``edits`` (one action per input turn, comma-joined) and ``rendered``."""
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def reduced(roles: pa.Array) -> pa.Array:
-        return pa.array([matrix([role_code(r) for r in x.as_py()]) for x in roles], pa.list_(pa.float64()))
-
-    place = T.StructType([T.StructField(n, T.LongType()) for n in ("segment", "enter", "leave", "last")])
-
-    @F.arrow_udf(T.ArrayType(place))
+    @F.arrow_udf(T.ArrayType(_PLACE))
     def route(chunks: pa.Array) -> pa.Array:
         out = []
         for x in chunks:
@@ -197,11 +254,11 @@ def format_chats(
             ways = entries([c["m"] for c in x])
             out.append(
                 [
-                    {"segment": c["segment"], "enter": a, "leave": b, "last": int(k == len(x) - 1)}
+                    {"segment": c["segment"], "part": c["part"], "enter": a, "leave": b, "last": int(k == len(x) - 1)}
                     for k, (c, (a, b)) in enumerate(zip(x, ways, strict=True))
                 ]
             )
-        return pa.array(out, pa.list_(pa.struct([(n, pa.int64()) for n in ("segment", "enter", "leave", "last")])))
+        return pa.array(out, pa.list_(pa.struct([(f.name, pa.int64()) for f in _PLACE.fields])))
 
     @F.arrow_udf(_RENDERED)
     def rendered(own: pa.Array, enter: pa.Array, leave: pa.Array, last: pa.Array) -> pa.Array:
@@ -214,22 +271,51 @@ def format_chats(
         kinds = [("cost", pa.float64()), ("n_out", pa.int64()), ("edits", pa.string()), ("rendered", pa.string())]
         return pa.array(out, pa.struct(kinds))
 
-    segment = F.coalesce(F.floor(F.col(turn_col) / chunk_turns).cast("long"), F.lit(-(1 << 62)))
-    one = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    text = F.col(text_col).cast("string")
+    order = ["conv", "turn", "role", "digest", "tie"]
+    placed = checkpointed(
+        turns.select(
+            F.col(conv_col).alias("conv"),
+            F.col(turn_col).alias("turn"),
+            F.col(role_col).cast("string").alias("role"),
+            text.alias("text"),
+            F.md5(text).alias("digest"),
+            F.monotonically_increasing_id().alias("tie"),  # deals rows that are alike
+        )
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select(F.spark_partition_id().alias("part"), "conv", "role", "text", F.monotonically_increasing_id().alias("row"))
+    )
+    before, goes_on = _partition_ends(placed)
+    kind = placed.schema["conv"].dataType.simpleString()
     chunks = checkpointed(
-        turns.select(F.col(conv_col).alias("conv"), segment.alias("segment"), one.alias("t"))
-        .groupBy("conv", "segment")
-        .agg(F.sort_array(F.collect_list("t")).alias("turns"))
-        .withColumn("m", reduced(F.transform("turns", lambda t: t["role"])))
+        placed.select("part", "conv", "role", "text").mapInArrow(
+            _cutter(before, goes_on, chunk_turns),
+            f"conv {kind}, segment long, part long, cut boolean, turns {_TURNS.simpleString()}, m array<double>",
+        )
     )
     ways = (
         chunks.groupBy("conv")
-        .agg(F.sort_array(F.collect_list(F.struct("segment", "m"))).alias("own"))
+        .agg(F.sort_array(F.collect_list(F.struct("segment", "part", "m"))).alias("own"))
         .select("conv", F.explode(route("own")).alias("way"))
     )
     c, w = chunks.alias("c"), ways.alias("w")
-    return (
-        c.join(w, F.col("c.conv").eqNullSafe(F.col("w.conv")) & (F.col("c.segment") == F.col("w.way.segment")))
-        .select("c.conv", "c.segment", F.size("c.turns").cast("long").alias("n_turns"), rendered("c.turns", "w.way.enter", "w.way.leave", "w.way.last").alias("r"))
-        .select("conv", "segment", "n_turns", "r.n_out", "r.cost", "r.edits", "r.rendered")
+    same = F.col("c.conv").eqNullSafe(F.col("w.conv")) & (F.col("c.segment") == F.col("w.way.segment")) & (F.col("c.part") == F.col("w.way.part"))
+    pieces = (
+        c.join(w, same)
+        .select("c.conv", "c.segment", "c.part", "c.cut", F.size("c.turns").cast("long").alias("n_turns"), rendered("c.turns", "w.way.enter", "w.way.leave", "w.way.last").alias("r"))
+        .select("conv", "segment", "part", "cut", "n_turns", "r.*")
+    )
+    if not before:
+        return pieces.select("conv", "segment", "n_turns", "n_out", "cost", "edits", "rendered")
+    # The few segments that lie in more than one partition are put together.
+    each = F.sort_array(F.collect_list(F.struct("part", "edits", "rendered")))
+    joined = pieces.filter("cut").groupBy("conv", "segment").agg(
+        F.sum("n_turns").alias("n_turns"), F.sum("n_out").alias("n_out"), F.sum("cost").alias("cost"), each.alias("each")
+    )
+    return pieces.filter("not cut").select("conv", "segment", "n_turns", "n_out", "cost", "edits", "rendered").unionByName(
+        joined.select(
+            "conv", "segment", "n_turns", "n_out", "cost",
+            F.array_join("each.edits", ",").alias("edits"), F.array_join("each.rendered", "").alias("rendered"),
+        )
     )
