@@ -16,14 +16,20 @@ characters apart):
 * ``endpoint``: a URL or a database address; it needs an access identifier or ``identifier``, and a strong ``assign`` or ``hex``
   span or a weak secret, near it.
 
-Positions.  ``split`` and ``regexp_extract_all`` see the same matches, so the lengths of the pieces in between and of
-the matches give each match's place.  The interval join: within a document the spans are ordered by place, and each
-weak one needs only the nearest part of each other kind before and behind it, which windows find without forming
-pairs; whatever lies within the scope, the nearest one does.
+Screens.  Most texts hold nothing, so each pattern is run only where a plain search finds what every match of it must
+hold: a key word for ``assign``, ``AKIA`` for ``access``, ``://`` for ``endpoint``, and a run of 24 token characters for ``hex`` and
+``secret``.  A weak secret is reported only with an access identifier or an endpoint in its document, and an identifier only with an
+endpoint, so neither is looked for where those cannot be.  The screens change no result.
 
-Plan.  One pass over the texts makes a header row for each document and a row for each span; one shuffle by
-(id, text hash) brings a document's rows together.  Texts are never shuffled, and no group is larger than one
-document's spans.
+Positions.  ``split`` and ``regexp_extract_all`` see the same matches; the lengths of the pieces in between and of the matches,
+added up by a running sum over a document's matches of a kind, give each match's place in linear time.  The interval
+join: within a document the spans are ordered by place, and each weak one needs only the nearest part of each other
+kind before and behind it, which windows find without forming pairs; whatever lies within the scope, the nearest one
+does.
+
+Plan.  One pass over the texts makes a header row for each document and a row for each match; what is shuffled are
+numbers, by (id, text hash) at last, which brings a document's matches together.  Texts are never shuffled, and no
+group is larger than one document's matches.
 
 Odd input: a null text is empty; every row gets a result, also without an id; rows repeated with the same id and text
 are returned as often as they occur; an empty table gives no rows; additional columns are ignored.
@@ -46,25 +52,28 @@ IDENTIFIER = r"""(?i)(?<![a-z0-9])(?:user(?:_?name)?|login|account(?:_?id)?|acce
 ENDPOINT = r"""(?<![A-Za-z0-9])(?:https?|ftp|ssh|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}"""
 WEAK = ("secret", "identifier", "endpoint")
 KINDS = (*BASE, *WEAK)
+PORTION = 1 << 16
 
 
-def _spans(text: Column, kind: str, pattern: str, keep=None) -> Column:
-    """Array of (start, order of the kind, end) of a pattern's matches, in code points."""
-    rx = F.lit(pattern)
-    found = F.regexp_extract_all(text, rx, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<a:bigint,k:int,b:bigint,m:string>>").alias("out"))
-    number = F.lit(KINDS.index(kind))
+#: A run as long as the shortest ``hex`` and of characters that ``hex`` and ``secret`` are made of.
+LONG_RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}"
+KEY_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-    def step(acc: Column, pair: Column) -> Column:
-        a = acc["at"] + F.char_length(pair["g"])
-        b = a + F.char_length(pair["m"])
-        one = F.struct(a.alias("a"), number.alias("k"), b.alias("b"), pair["m"].alias("m"))
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    out = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, F.filter(out, keep) if keep else out).otherwise(F.array())
+def _matches(text: Column, kind: str, pattern: str, screen: Column) -> Column:
+    """Array of (order of the kind, number of the match, length of the text between it and the one before, its length,
+    whether it counts), lengths in code points; empty where the screen finds nothing."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(found), F.lit(0)))
+    counts = lambda m: F.char_length(F.regexp_extract(m, pattern, 2)) >= 6 if kind == "assign" else F.lit(True)
+    number = F.lit(KINDS.index(kind))
+    pairs = F.zip_with(
+        found, gaps, lambda m, g: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("size"), counts(m).alias("counts"))
+    )
+    numbered = F.transform(
+        pairs, lambda p, i: F.struct(number.alias("k"), i.alias("i"), p["gap"].alias("gap"), p["size"].alias("size"), p["counts"].alias("counts"))
+    )
+    return F.when(screen, numbered).otherwise(F.array())
 
 
 def _list(col: Column) -> Column:
@@ -78,25 +87,37 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: ``id``, ``n_assign``, ``n_access``, ``n_hex``, ``base`` and ``spans`` (strings
     ``kind:start:end`` joined by commas, ordered by start and then kind), ``found`` (the spans as an array of
     ``kind``, ``start``, ``end``)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    long_enough = lambda s: F.char_length(F.regexp_extract(s["m"], ASSIGN, 2)) >= 6
+    plain = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text, small = F.col("text"), F.lower(F.col("text"))
+    words = F.lit(False)
+    for w in KEY_WORDS:
+        words = words | F.contains(small, F.lit(w))
+    access, endpoint, run = (F.contains(text, F.lit("AKIA")), F.contains(text, F.lit("://")), F.col("run"))
     arrays = [
-        _spans(F.col("text"), "assign", ASSIGN, long_enough),
-        _spans(F.col("text"), "access", ACCESS),
-        _spans(F.col("text"), "hex", HEX),
-        _spans(F.col("text"), "secret", SECRET),
-        _spans(F.col("text"), "identifier", IDENTIFIER),
-        _spans(F.col("text"), "endpoint", ENDPOINT),
+        _matches(text, "assign", ASSIGN, words),
+        _matches(text, "access", ACCESS, access),
+        _matches(text, "hex", HEX, run),
+        _matches(text, "secret", SECRET, run & (access | endpoint)),
+        _matches(text, "identifier", IDENTIFIER, endpoint),
+        _matches(text, "endpoint", ENDPOINT, endpoint),
     ]
-    header = F.array(F.struct(F.lit(-1).cast("long").alias("a"), F.lit(-1).alias("k"), F.lit(-1).cast("long").alias("b")))
-    bare = [F.transform(a, lambda s: F.struct(s["a"].alias("a"), s["k"].alias("k"), s["b"].alias("b"))) for a in arrays]
-    rows = (
-        docs.select(F.col(id_col).alias("id"), text.alias("text"))
-        .select("id", F.xxhash64("text").alias("raw"), F.explode(F.concat(header, *bare)).alias("s"))
+    none = F.lit(-1)
+    header = F.array(F.struct(none.alias("k"), none.alias("i"), none.alias("gap"), F.lit(0).alias("size"), F.lit(True).alias("counts")))
+    each = (
+        docs.select(F.col(id_col).alias("id"), plain.alias("text"))
+        .select("id", "text", F.rlike(F.col("text"), F.lit(LONG_RUN)).alias("run"))
+        .select("id", F.xxhash64("text").alias("raw"), F.explode(F.concat(header, *arrays)).alias("m"))
         # Rows of repeated documents fall together here and are counted by their headers.
-        .groupBy("id", "raw", "s.a", "s.k", "s.b")
+        .groupBy("id", "raw", "m.k", "m.i", "m.gap", "m.size", "m.counts")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    so_far = Window.partitionBy("id", "raw", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = (
+        each.repartition("id", "raw")
+        .withColumn("b", F.sum(F.col("gap").cast("long") + F.col("size")).over(so_far))
+        .filter("counts")
+        .select("id", "raw", (F.col("b") - F.col("size")).alias("a"), "k", "b", "n")
+    )
 
     key = Window.partitionBy("id", "raw")
     before = key.orderBy("a", "k", "b").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,7 +165,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     F.get(F.array(*[F.lit(k) for k in KINDS]), s["k"]).alias("kind"), s["a"].alias("start"), s["b"].alias("end")
                 ),
             ).alias("found"),
-            F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
+            "copies",
+            # Rows that repeat are given out in portions, since a third of a table may be one row.
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(PORTION).cast("long"))).alias("portion"),
         )
-        .drop("copy")
+        .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.least(F.col("copies") - F.col("portion"), F.lit(PORTION)).cast("int"))))
+        .drop("copies", "portion", "copy")
     )
