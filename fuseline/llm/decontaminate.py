@@ -1,17 +1,20 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised questions and answers.
 
 Normalisation: A-Z lower-cased, words are runs of 0-9, a-z and non-ASCII characters.  Every run of ``window`` words of
-an item is a pattern (an item of fewer words, but not none, is one pattern as a whole).  Patterns and texts are
-written as ``" word word ... "``, so that a match always covers whole words.  A text is scanned once; matches are
+an item is a pattern (an item of fewer words, but not none, is one pattern as a whole).  The automaton's symbols are
+words, numbered over the items; a word that no item has leads back to its root.  A text is scanned once; matches are
 word ranges, which are mapped to character offsets of the original only where there is a match.
 
-The automaton lives in the workers; what is broadcast are the benchmark's patterns.  Their size is checked: items
-are dealt into blocks of at most ``block_bytes`` of text, each block is scanned for in turn, and the matches of all
-blocks are united.  One block is the usual case; many only cost more scans.
+Memory.  A window of ten words is ten nodes at most, whatever the words' length.  Items are cut into slices that keep
+every window, and dealt into blocks of about ``max_nodes`` nodes (64 bytes each, and as much again for the patterns, in
+each worker).  What is broadcast are the words of one block, a few megabytes; the driver holds one block's at a
+time.  One block is the usual case.  With more, each is scanned for in a job of its own, which writes down what it
+found by the text's MD5, so that no worker holds two automata; the matches of all blocks are then united.
 
 Odd input: a null or empty text has no words and no hits; items that are null or have no words have no pattern; an
-item without an id marks words as hit but is not listed; repeated items are listed once per id; additional columns
-stay as they are, whatever their names.
+item without an id marks words as hit but is not listed; repeated items are listed once per id; repeated documents get
+the same result each; empty tables give no rows or no hits; additional columns stay as they are, whatever their
+names: where ``into`` is taken, the result's name gets underscores until it is free.
 """
 
 from __future__ import annotations
@@ -24,10 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name
+from .common import ascii_lower, checkpointed, fresh_name
 
 #: A word in an original text, where capitals are not lower-cased yet.
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+#: The same in a text that is lower-cased.
+LOWER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Windows in a slice of an item; parts into which copies of one text are dealt.
+SLICE, SALTS = 4096, 16
 _KEEP = bytes(
     b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
 )
@@ -48,15 +55,7 @@ def _words(text: str) -> list[bytes]:
     return text.encode("utf-8").translate(_KEEP).split()
 
 
-def patterns(items: Iterable[tuple[int | None, str | None]], window: int) -> dict[str, list[int]]:
-    """Pattern (bytes of UTF-8, one character each) -> sorted ids of the items that have it."""
-    found: dict[str, set] = {}
-    for item, text in items:
-        words = _words(text or "")
-        for k in range(max(1, len(words) - window + 1) if words else 0):
-            key = b" ".join([b"", *words[k : k + window], b""]).decode("latin-1")
-            found.setdefault(key, set()).add(item)
-    return {k: sorted(i for i in v if i is not None) for k, v in found.items()}
+Slice = tuple[int | None, str]  # an item's id and some of its words, with a blank between them
 
 
 class Scanner:
@@ -64,34 +63,39 @@ class Scanner:
 
     _built: dict[str, Scanner] = {}
 
-    def __init__(self, table: dict[str, list[int]]):
+    def __init__(self, slices: Iterable[Slice], window: int):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
-        self.empty = not table
-        for key, items in table.items():
-            self.automaton.add_word(key, (len(key), key.count(" ") - 1, items))
+        self.number: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], set] = {}
+        for item, text in slices:
+            # 0 is a word that no item has.
+            words = [self.number.setdefault(w, len(self.number) + 1) for w in text.encode("utf-8").split()]
+            for k in range(max(1, len(words) - window + 1) if words else 0):
+                found.setdefault(tuple(words[k : k + window]), set()).add(item)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.empty = not found
+        self.shortest = min(map(len, found), default=0)
+        for key, items in found.items():
+            self.automaton.add_word(key, (len(key), tuple(sorted(i for i in items if i is not None))))
         self.automaton.make_automaton()
 
     @classmethod
-    def of(cls, name: str, table) -> Scanner:
+    def of(cls, name: str, slices, window: int) -> Scanner:
         if name not in cls._built:
             cls._built.clear()  # one block at a time stays in memory
-            cls._built[name] = cls(table.value)
+            cls._built[name] = cls(slices.value, window)
         return cls._built[name]
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
         """Words in the text, word ranges that matched (end exclusive), items found."""
         words = _words(text) if text else []
-        if not words or self.empty:
+        if len(words) < self.shortest or self.empty or not words:
             return len(words), [], set()
-        line = b" ".join([b"", *words, b""]).decode("latin-1")
-        runs, items, seen, word = [], set(), 0, 0
-        for end, (length, n, ids) in self.automaton.iter(line):
-            # ``end`` is the blank after the last word; matches come in order of their ends.
-            word += line.count(" ", seen, end)
-            seen = end
-            runs.append((word - n, word))
+        number = self.number
+        runs, items = [], set()
+        for end, (length, ids) in self.automaton.iter(tuple([number.get(w, 0) for w in words])):
+            runs.append((end + 1 - length, end + 1))
             items.update(ids)
         return len(words), runs, items
 
@@ -119,38 +123,57 @@ def _offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at_start[a], at_end[b - 1]) for a, b in runs]
 
 
-def _scan_column(table, name: str):
+_KIND = pa.struct(
+    [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64()))]
+    + [(c, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))) for c in ("word_runs", "spans")]
+)
+
+
+def _result(text: str | None, n: int, runs: Iterable[tuple[int, int]], items: Iterable[int]) -> dict:
+    runs = united(runs)
+    return {
+        "n_words": n,
+        "n_hit": sum(e - s for s, e in runs),
+        "items": sorted(items),
+        "word_runs": [{"start": s, "end": e} for s, e in runs],
+        "spans": [{"start": s, "end": e} for s, e in _offsets(text, runs)] if runs else [],
+    }
+
+
+def _scan_column(slices, name: str, window: int):
     @F.arrow_udf(RESULT)
-    def scan(texts: pa.Array, before: pa.Array) -> pa.Array:
-        scanner = Scanner.of(name, table)
+    def scan(texts: pa.Array) -> pa.Array:
+        scanner = Scanner.of(name, slices, window)
         out = []
-        for t, b in zip(texts, before, strict=True):
+        for t in texts:
             text = t.as_py()
-            n, runs, items = scanner.scan(text)
-            if (b := b.as_py()) is not None:
-                runs = runs + [(r["start"], r["end"]) for r in b["word_runs"]]
-                items = items | set(b["items"])
-            runs = united(runs)
-            out.append(
-                {
-                    "n_words": n,
-                    "n_hit": sum(e - s for s, e in runs),
-                    "items": sorted(items),
-                    "word_runs": [{"start": s, "end": e} for s, e in runs],
-                    "spans": [{"start": s, "end": e} for s, e in _offsets(text, runs)] if runs else [],
-                }
-            )
-        return pa.array(
-            out,
-            pa.struct(
-                [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64()))]
-                + [(c, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))) for c in ("word_runs", "spans")]
-            ),
-        )
+            out.append(_result(text, *scanner.scan(text)))
+        return pa.array(out, _KIND)
 
     return scan
 
 
+@F.arrow_udf(RESULT)
+def _united_column(texts: pa.Array, found: pa.Array) -> pa.Array:
+    """The results of several blocks (null where no block found anything) as one."""
+    out = []
+    for t, own in zip(texts, found, strict=True):
+        text, own = t.as_py(), own.as_py() or []
+        runs = [(r["start"], r["end"]) for x in own for r in x["word_runs"]]
+        out.append(_result(text, len(_words(text or "")), runs, {i for x in own for i in x["items"]}))
+    return pa.array(out, _KIND)
+
+
+def _slices(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, words, nodes): the items in slices of at most ``SLICE`` windows, so that each window is in one of them."""
+    words = F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(LOWER_WORD), F.lit(0))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), words.alias("w")).filter(F.size("w") > 0).distinct()
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(SLICE))
+    each = items.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at") + 1, F.lit(SLICE + window - 1)).alias("w"))
+    nodes = F.greatest(F.size("w") - window + 1, F.lit(1)) * F.least(F.size("w"), F.lit(window))
+    return each.select("item", F.array_join("w", " ").alias("words"), nodes.cast("long").alias("nodes"))
+
+
 def with_hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -159,27 +182,41 @@ def with_hits(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    block_bytes: int = 32 << 20,
+    max_nodes: int = 2_000_000,
 ) -> DataFrame:
     """``docs`` with a struct column ``into``: ``n_words``, ``n_hit`` (words inside a match), ``items`` (ids found,
     ascending), ``word_runs`` (matched word ranges, united) and ``spans`` (the same as character offsets of the
     original text, end exclusive)."""
     spark = docs.sparkSession
-    items = benchmark.select(
-        F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")
-    )
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-size // block_bytes))
-    text = F.col(text_col).cast("string")
-    result: Column = F.lit(None).cast(RESULT)
+    into = fresh_name(docs.columns, into)
+    slices = checkpointed(_slices(benchmark, item_col, item_text_col, window))
+    nodes = slices.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-nodes // max_nodes))
+    text = F.col(f"`{text_col}`").cast("string")
+
+    def scan(k: int, col: Column) -> Column:
+        block = slices.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k) if blocks > 1 else slices
+        shared = spark.sparkContext.broadcast([(r["item"], r["words"]) for r in block.toLocalIterator()])
+        return _scan_column(shared, f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}", window)(col)
+
+    if blocks == 1:
+        return docs.select("*", scan(0, text).alias(into))
+    found = None
     for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        table = spark.sparkContext.broadcast(patterns(((r["item"], r["text"]) for r in block.toLocalIterator()), window))
-        result = _scan_column(table, f"{spark.sparkContext.applicationId}-{id(table)}-{table._jbroadcast.id()}")(text, result)
-    return docs.withColumn(into, result)
+        digest = F.md5(F.col("text"))
+        own = docs.select(text.alias("text")).select(digest.alias("digest"), scan(k, F.col("text")).alias("own"))
+        own = checkpointed(own.filter("own.n_hit > 0").dropDuplicates(["digest"]))
+        found = own if found is None else found.unionByName(own)
+    merged = found.groupBy("digest").agg(F.collect_list("own").alias("own"))  # a row of each block at most
+    names = [fresh_name([*docs.columns, into], n) for n in ("digest_", "salt_", "own_")]
+    digest, salt, own = names
+    # Copies of one text are dealt over salts, and so is what was found in it.
+    salted = docs.select("*", F.md5(text).alias(digest), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias(salt))
+    told = merged.select(F.col("digest").alias(digest), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt), F.col("own").alias(own))
+    return salted.join(told, [digest, salt], "left").select(*[F.col(f"`{c}`") for c in docs.columns], _united_column(text, own).alias(into))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows without any hit, with their columns as they were."""
     name = fresh_name(docs.columns, "hits")
-    return with_hits(docs, benchmark, into=name, **options).filter(F.col(f"{name}.n_hit") == 0).select(*docs.columns)
+    return with_hits(docs, benchmark, into=name, **options).filter(F.col(f"{name}.n_hit") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
