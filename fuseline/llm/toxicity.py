@@ -14,8 +14,10 @@ counts are added up by the executors; the driver gets at most ``4 * MOST`` candi
 sampled document has.  Prediction covers every document and the whole text.
 
 Odd input: a null or empty text has no words and gets the models' base probabilities; labels that are null, repeated
-(the largest counts) or without a document are handled, and with none to learn from all probabilities are 0; an empty
-table gives no rows; additional columns stay as they are.
+(the largest counts) or without a document are handled, and with none to learn from all probabilities are 0; of
+documents that share an id, one text is learned from (the smallest) and each row is judged; features of equal weight
+go to the smaller number; an empty table gives no rows; additional columns stay as they are (one that has the
+result's name is replaced).
 """
 
 from __future__ import annotations
@@ -188,10 +190,12 @@ def train(
     part = F.lit(0.0)
     for value, n in counts.items():
         part = F.when(F.col(names[-1]) == value, min(1.0, per_class / n)).otherwise(part)
-    chosen = rows.filter(place < part).limit(4 * per_class)  # twice what is expected: a bound, not a cut
+    # Twice what is expected: a bound, not a cut; if it ever cuts, the smallest hashes stay.
+    chosen = rows.filter(place < part).orderBy(place, "id").limit(4 * per_class)
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = checkpointed(d.join(F.broadcast(chosen), "id").select("id", "text", *names))
+    # An id that repeats counts once, with the smallest of its texts.
+    sample = checkpointed(d.join(F.broadcast(chosen), "id").groupBy("id", *names).agg(F.min("text").alias("text")))
     sums = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names]).first()
     if not sums["n"]:
         return []
