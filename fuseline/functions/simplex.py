@@ -121,7 +121,8 @@ def np_midpoint(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def np_mean(points: np.ndarray, rounds: int = 20, tolerance: float = 1e-12) -> np.ndarray:
-    """Mean on the simplex by the log/exp iteration on the sphere of square roots."""
+    """Mean on the simplex by the log/exp iteration on the sphere of square roots; without rounds its first iterate, which
+    ``centers`` gives too."""
     x = np.sqrt(np.asarray(points, float))
     m = x.mean(axis=0)
     m /= np.linalg.norm(m)
@@ -138,9 +139,10 @@ def np_mean(points: np.ndarray, rounds: int = 20, tolerance: float = 1e-12) -> n
 
 
 def np_phi_kappa(points: np.ndarray) -> tuple[float, float]:
+    """The same as ``phi_kappa``: both measure from the first iterate of the mean."""
     if len(points) < 2:
         return 0.5, 1.0
-    center = np_mean(points)
+    center = np_mean(points, rounds=0)
     d = np.array([np_distance(p, center) for p in points])
     return float(np.clip(1 - d.mean() / (np.pi / 2), 0.3, 0.95)), float(np.clip(10 / (d.std() + 0.1), 0.1, 100.0))
 

@@ -50,8 +50,19 @@ def _normalize_pieces(pieces: Column, form: str) -> Column:
 
 
 def encode(text: Column, model: Model, engine: str = "arrow") -> Column:
-    """Encoded sequence of a text, reserved tokens included."""
-    return apply_rules(base_with_reserved(text, model), model.rules, engine)
+    """Encoded sequence of a text, reserved tokens included.
+
+    ``arrow`` splits, normalises and fuses in one function of Arrow batches; ``sql`` leaves all but the normalisation to
+    the JVM.  Both give the same sequence."""
+    if engine != "arrow":
+        return apply_rules(base_with_reserved(text, model), model.rules, engine)
+    one = encoder(model)
+
+    @F.arrow_udf(T.StringType())
+    def encoded(texts: pa.Array) -> pa.Array:
+        return pa.array([t if not t else one(t) for t in texts.to_pylist()], pa.string())
+
+    return encoded(text)
 
 
 def encode_ids(text: Column, model: Model, engine: str = "arrow") -> Column:
@@ -67,7 +78,7 @@ def expand_ids(seq: Column, model: Model) -> Column:
 
 
 def encoder(model: Model):
-    """Encoding of one text as a plain function, for SQL functions and small texts."""
+    """Encoding of one text as a plain function."""
     import unicodedata
 
     strings = [rule_strings(r) for r in model.rules]
@@ -79,12 +90,12 @@ def encoder(model: Model):
         for k, piece in enumerate(split(text)):
             if k % 2:
                 out.append(id_char(model.reserved[piece]))
-                continue
-            seq = unicodedata.normalize(model.form, piece).encode().decode("latin-1")
-            for pair, new in strings:
-                seq = seq.replace(pair, new)
-            out.append(seq)
-        return "".join(out)
+            else:
+                out.append((piece if piece.isascii() else unicodedata.normalize(model.form, piece)).encode().decode("latin-1"))
+        seq = "".join(out)
+        for pair, new in strings:  # no rule has a reserved token
+            seq = seq.replace(pair, new)
+        return seq
 
     return encode_one
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,37 +98,29 @@ def context_counts(
 ) -> DataFrame:
     """(a, b, context, cnt): the ``window`` tokens before a pair and behind it as one string, the border between them
     not kept.  ``wanted`` restricts the scan to some pairs (a literal list that the caller bounds)."""
-    chosen = None if wanted is None else {id_char(a) + id_char(b): (a, b) for a, b in wanted}
+    chosen = None if wanted is None else {id_char(a) + id_char(b) for a, b in wanted}
 
     def partial(batches):
         for batch in batches:
-            found: Counter = Counter()  # a key is the pair followed by its context
-            for s in batch.column(0).to_pylist():
-                if not s:
-                    continue
-                if chosen is not None and len(chosen) <= 64:
-                    for pair in chosen:
-                        i = s.find(pair)
-                        while i >= 0:
-                            found[pair + s[max(0, i - window) : i] + s[i + 2 : i + 2 + window]] += 1
-                            i = s.find(pair, i + 1)
-                    continue
-                found.update(
+            texts = batch.column(0).to_pylist()
+            for live in portions(texts, 1 << 18):
+                found = Counter(  # a key is the pair followed by its context
                     s[i : i + 2] + s[max(0, i - window) : i] + s[i + 2 : i + 2 + window]
+                    for s in (texts[k] for k in live)
                     for i in range(len(s) - 1)
                     if chosen is None or s[i : i + 2] in chosen
                 )
-            if found:
-                ids = _codes([k[:2] for k in found]).reshape(-1, 3)
-                yield pa.record_batch(
-                    [
-                        pa.array(ids[:, 0].astype(np.int32)),
-                        pa.array(ids[:, 1].astype(np.int32)),
-                        pa.array([k[2:] for k in found], pa.string()),
-                        pa.array(list(found.values()), pa.int64()),
-                    ],
-                    names=["a", "b", "context", "cnt"],
-                )
+                if found:
+                    ids = _codes([k[:2] for k in found]).reshape(-1, 3)
+                    yield pa.record_batch(
+                        [
+                            pa.array(ids[:, 0].astype(np.int32)),
+                            pa.array(ids[:, 1].astype(np.int32)),
+                            pa.array([k[2:] for k in found], pa.string()),
+                            pa.array(list(found.values()), pa.int64()),
+                        ],
+                        names=["a", "b", "context", "cnt"],
+                    )
 
     return (
         seqs.select(seq)
@@ -137,6 +130,75 @@ def context_counts(
     )
 
 
+def pair_places(ids: np.ndarray, wanted: Sequence[tuple[int, int]] | None = None) -> np.ndarray:
+    """Positions of the first tokens of the pairs (of those ``wanted``) in sequences with separators."""
+    left, right = ids[:-1], ids[1:]
+    inside = (left != _PAD) & (right != _PAD)
+    if wanted is not None:
+        keys = np.array([a << 21 | b for a, b in wanted], np.int64)
+        inside &= np.isin(left.astype(np.int64) << 21 | right, keys)
+    return np.flatnonzero(inside)
+
+
+def context_keys(ids: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash, as two numbers, of the context of the pair at each place: up to ``window`` tokens on either side."""
+    padded = np.concatenate([np.full(window + 1, _PAD, ids.dtype), ids, np.full(window + 2, _PAD, ids.dtype)])
+    at = places + window + 1
+    tokens: list[np.ndarray] = []
+    for step, start in ((-1, 0), (1, 1)):
+        live, side = np.ones(len(places), bool), []
+        for k in range(1, window + 1):
+            t = padded[at + start + step * k]
+            live = live & (t != _PAD)
+            side.append(np.where(live, t.astype(np.int64) + 1, 0))
+        tokens += side[::-1] if step < 0 else side
+    one = np.full(len(places), 0x9E3779B97F4A7C15, np.uint64)
+    two = np.full(len(places), 0xC2B2AE3D27D4EB4F, np.uint64)
+    for t in tokens:  # what is missing at an edge is left out, so that the border is not kept
+        there, t = t > 0, t.astype(np.uint64)
+        for h, by in ((one, np.uint64(0xFF51AFD7ED558CCD)), (two, np.uint64(0xC4CEB9FE1A85EC53))):
+            mixed = (h ^ t) * by
+            mixed ^= mixed >> np.uint64(32)
+            np.copyto(h, mixed, where=there)
+    return one.view(np.int64), two.view(np.int64)
+
+
+def count_contexts(ids: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(a, b, h1, h2, n) of the pairs at these places: each context with the times it occurs (now and then in two rows)."""
+    h1, h2 = context_keys(ids, places, window)
+    a, b = ids[places].astype(np.int64), ids[places + 1].astype(np.int64)
+    key = h1 ^ (a << 21 | b) * np.int64(0x5851F42D4C957F2D)
+    order = np.argsort(key, kind="stable")
+    a, b, h1, h2, key = a[order], b[order], h1[order], h2[order], key[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[1:] != key[:-1]) | (h2[1:] != h2[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(new)
+    return a[first], b[first], h1[first], h2[first], np.diff(np.append(first, len(order)))
+
+
+def context_hashes(
+    seqs: DataFrame, window: int, wanted: Sequence[tuple[int, int]] | None = None, seq: str = "seq"
+) -> DataFrame:
+    """(a, b, h1, h2, cnt): as ``context_counts``, with a 128-bit hash in place of the context, counted in portions of
+    bounded size; what is shuffled are numbers."""
+
+    def partial(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for live in portions(texts, 1 << 20):
+                ids = _codes([texts[k] for k in live])
+                a, b, h1, h2, n = count_contexts(ids, pair_places(ids, wanted), window)
+                columns = [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(n.astype(np.int64))]
+                yield pa.record_batch(columns, names=["a", "b", "h1", "h2", "cnt"])
+
+    return (
+        seqs.select(seq)
+        .mapInArrow(partial, "a int, b int, h1 long, h2 long, cnt long")
+        .groupBy("a", "b", "h1", "h2")
+        .agg(F.sum("cnt").alias("cnt"))
+    )
+
+
 def entropy_of(counts: DataFrame, key: Sequence[str] = ("a", "b"), cnt: str = "cnt") -> DataFrame:
     """(key..., n, entropy) from context counts: H = -sum p ln(p + 1e-10).
 
@@ -155,7 +217,7 @@ def context_entropy(
     seqs: DataFrame, window: int = 5, min_count: int = 1, wanted: Sequence[tuple[int, int]] | None = None, seq: str = "seq"
 ) -> DataFrame:
     """(a, b, cnt, entropy) of pairs that occur at least ``min_count`` times."""
-    found = entropy_of(context_counts(seqs, window, wanted, seq)).withColumnRenamed("n", "cnt")
+    found = entropy_of(context_hashes(seqs, window, wanted, seq)).withColumnRenamed("n", "cnt")
     return found.filter(F.col("cnt") >= min_count)
 
 
@@ -164,45 +226,51 @@ def capped_context_entropy(
 ) -> DataFrame:
     """(a, b, cnt, entropy) over the first ``cap`` occurrences of each pair in corpus order; ``cnt`` is the full count.
 
-    A batch keeps its first ``cap`` occurrences of each pair by (order, position); only those are shuffled.
+    A portion keeps its first ``cap`` occurrences of each pair by (order, position); only those are shuffled.
     """
+    kind = seqs.schema[order].dataType.simpleString()
 
     def partial(batches):
         for batch in batches:
-            kept: dict[str, list] = {}
-            total: Counter = Counter()
-            rows = sorted((k, s) for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if s)
-            for key, s in rows:
-                for i in range(len(s) - 1):
-                    pair = s[i : i + 2]
-                    total[pair] += 1
-                    own = kept.setdefault(pair, [])
-                    if len(own) < cap:
-                        own.append((key, i, s[max(0, i - window) : i] + s[i + 2 : i + 2 + window]))
-            if not kept:
-                continue
-            flat = [(p, *o, total[p] if n == 0 else 0) for p, own in kept.items() for n, o in enumerate(own)]
-            ids = _codes([f[0] for f in flat]).reshape(-1, 3)
-            yield pa.record_batch(
-                [
-                    pa.array(ids[:, 0].astype(np.int32)),
-                    pa.array(ids[:, 1].astype(np.int32)),
-                    pa.array([f[1] for f in flat], batch.schema.field(0).type),
-                    pa.array([f[2] for f in flat], pa.int64()),
-                    pa.array([f[3] for f in flat], pa.string()),
-                    pa.array([f[4] for f in flat], pa.int64()),
-                ],
-                names=["a", "b", "doc", "pos", "context", "seen"],
-            )
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            by_key = pa.compute.sort_indices(keys, null_placement="at_start").to_pylist()
+            for live in portions([texts[k] for k in by_key], 1 << 20):
+                rows = [by_key[k] for k in live]
+                ids = _codes([texts[k] for k in rows])
+                places = pair_places(ids)
+                a, b = ids[places].astype(np.int64), ids[places + 1].astype(np.int64)
+                pair = a << 21 | b
+                by_pair = np.argsort(pair, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(pair[by_pair]) != 0)) if len(pair) else np.zeros(0, np.int64)
+                sizes = np.diff(np.append(first, len(pair)))
+                rank = np.arange(len(pair)) - np.repeat(first, sizes)
+                total = np.where(rank == 0, np.repeat(sizes, sizes), 0)
+                kept = rank < cap
+                chosen, total = by_pair[kept], total[kept]
+                h1, h2 = context_keys(ids, places[chosen], window)
+                starts = np.cumsum([0, *(len(texts[k]) + 1 for k in rows)])
+                doc = np.searchsorted(starts, places[chosen], side="right") - 1
+                yield pa.record_batch(
+                    [
+                        pa.array(a[chosen].astype(np.int32)),
+                        pa.array(b[chosen].astype(np.int32)),
+                        keys.take(pa.array(np.array(rows, np.int64)[doc])),
+                        pa.array(places[chosen] - starts[doc]),
+                        pa.array(h1),
+                        pa.array(h2),
+                        pa.array(total),
+                    ],
+                    names=["a", "b", "doc", "pos", "h1", "h2", "seen"],
+                )
 
     from pyspark.sql import Window
 
-    kind = seqs.schema[order].dataType.simpleString()
-    rows = seqs.select(order, seq).mapInArrow(partial, f"a int, b int, doc {kind}, pos long, context string, seen long")
+    schema = f"a int, b int, doc {kind}, pos long, h1 long, h2 long, seen long"
+    rows = seqs.select(order, seq).mapInArrow(partial, schema)
     place = F.row_number().over(Window.partitionBy("a", "b").orderBy("doc", "pos"))
     full = F.sum("seen").over(Window.partitionBy("a", "b"))
     first = rows.withColumn("place", place).withColumn("full", full).filter(F.col("place") <= cap)
-    counts = first.groupBy("a", "b", "full", "context").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = first.groupBy("a", "b", "full", "h1", "h2").agg(F.count(F.lit(1)).alias("cnt"))
     return entropy_of(counts, ("a", "b", "full")).select("a", "b", F.col("full").alias("cnt"), "entropy")
 
 
@@ -210,22 +278,19 @@ def capped_context_entropy(
 
 
 def with_distance(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``pairs`` with the distance ``d`` of their points; 0 when an id has no point.  The vocabulary's size is known to
+    """``pairs`` with the distance ``d`` of their points; 0 of a token to itself and when an id has no point.  The vocabulary's size is known to
     the planner, which broadcasts it while it is small."""
     a = vocab.select(F.col("coord_id").alias("a"), F.col("vector").alias("va"))
     b = vocab.select(F.col("coord_id").alias("b"), F.col("vector").alias("vb"))
     joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.withColumn("d", F.coalesce(simplex.distance(F.col("va"), F.col("vb")), F.lit(0.0))).drop("va", "vb")
-
-
-def _exact(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``d`` as 0 for a token with itself, where the overlap leaves rounding noise."""
-    return pairs.withColumn("d", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")))
+    # The overlap of a point with itself leaves rounding noise; that distance is 0.
+    apart = F.when(F.col("a") != F.col("b"), simplex.distance(F.col("va"), F.col("vb")))
+    return joined.withColumn("d", F.coalesce(apart, F.lit(0.0))).drop("va", "vb")
 
 
 def with_coupling(pairs: DataFrame, vocab: DataFrame, length: int) -> DataFrame:
     """``pairs`` with ``d`` and ``coupling``; ``length`` is the number of tokens in the corpus."""
-    known = _exact(with_distance(pairs, vocab))
+    known = with_distance(pairs, vocab)
     return known.withColumn("coupling", scores.coupling(F.col("cnt"), F.lit(float(max(length, 1))), F.col("d")))
 
 
@@ -256,14 +321,12 @@ def count_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def cluster_scores(targets: DataFrame, stats: DataFrame, vocab: DataFrame, near: float = 1.0, most: int | None = None) -> DataFrame:
-    """``targets`` (a, b; any number, or at most ``most`` of them, checked) with ``cluster``: 1 / (d + 0.1) plus at most 1 from
+def cluster_scores(targets: DataFrame, stats: DataFrame, vocab: DataFrame, near: float = 1.0) -> DataFrame:
+    """``targets`` (a, b; any number) with ``cluster``: 1 / (d + 0.1) plus at most 1 from
     pairs that touch a or b and whose other end lies closer than ``near`` to both, a tenth of their count each."""
-    if most is not None and targets.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} target pairs")
     vec = vocab.select("coord_id", "vector")
     t = (
-        _exact(with_distance(targets.select("a", "b").distinct(), vocab))
+        with_distance(targets.select("a", "b").distinct(), vocab)
         .join(vec.select(F.col("coord_id").alias("a"), F.col("vector").alias("va")), "a")
         .join(vec.select(F.col("coord_id").alias("b"), F.col("vector").alias("vb")), "b")
     )

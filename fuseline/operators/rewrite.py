@@ -109,10 +109,12 @@ def live_length(seqs: DataFrame, seq: str = "seq") -> DataFrame:
 
 def prefix(seqs: DataFrame, n: int, order: str = "doc_id", seq: str = "seq") -> DataFrame:
     """The first n tokens of the corpus in document order.  Only documents that can hold a part of them are kept: the
-    smallest n by order whose sequence is not empty."""
-    first = seqs.filter(F.char_length(seq) > 0).orderBy(order).limit(n)
+    smallest n by order whose sequence is not empty, each cut to n tokens before anything is sorted."""
+    cut = seqs.filter(F.char_length(seq) > 0).select(order, F.substring(seq, 1, n).alias(seq))
+    first = cut.orderBy(order).limit(n)
     from pyspark.sql import Window
 
+    # One window over at most n short rows.
     ahead = F.coalesce(
         F.sum(F.char_length(seq)).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )

@@ -44,49 +44,76 @@ def projected(vectors: DataFrame, vec_col: str, into: str = "vector") -> DataFra
     return vectors.withColumn(into, project(F.col(vec_col).cast("array<double>")))
 
 
-def _query_blocks(queries: DataFrame, id_col: str, vec_col: str, block: int):
-    """The query set in blocks of at most ``block`` rows: broadcasts of bounded size, however many queries there are."""
-    ids, vectors = [], []
-    for r in queries.select(id_col, vec_col).toLocalIterator():
-        ids.append(r[0])
-        vectors.append(r[1])
-        if len(ids) == block:
-            yield np.array(ids), np.sqrt(np.array(vectors))
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids), np.sqrt(np.array(vectors))
+def _scan(ids: np.ndarray, roots: np.ndarray, own: np.ndarray, points: np.ndarray, k: int | None):
+    """(query ids, point ids, distances) of each query to each other point; with ``k`` the k nearest of each query."""
+    d = np.arccos(np.clip(roots @ np.sqrt(points).T, -1.0, 1.0))
+    q, i = np.divmod(np.arange(d.size), len(own))
+    flat = d.ravel()
+    keep = ids[q] != own[i]
+    q, i, flat = q[keep], i[keep], flat[keep]
+    if k is not None:
+        order = np.lexsort((own[i], np.round(flat, 9), q))
+        q, i, flat = q[order], i[order], flat[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        q, i, flat = q[place < k], i[place < k], flat[place < k]
+    return ids[q], own[i], flat
 
 
 def distances(
-    points: DataFrame, queries: DataFrame, k: int | None = None, id_col: str = "vec_id", vec_col: str = "vector", block: int = 4096
+    points: DataFrame,
+    queries: DataFrame,
+    k: int | None = None,
+    id_col: str = "vec_id",
+    vec_col: str = "vector",
+    block: int = 2048,
+    share: int = 50_000,
 ) -> DataFrame:
-    """(query_id, id, d) of every point to every query; with ``k`` only the k nearest that each batch holds."""
+    """(query_id, id, d) of every point to every query; with ``k`` only the k nearest that each batch holds.
+
+    Up to ``block`` queries (counted) are broadcast and the points stay where they are.  More are dealt into blocks of
+    that size, the points into shares, and each block meets each share in a task of its own: one plan, whatever the
+    number of queries.
+    """
     spark = points.sparkSession
     schema = f"query_id long, {id_col} long, d double"
-    out = spark.createDataFrame([], schema)
-    for ids, roots in _query_blocks(queries, id_col, vec_col, block):
-        shared = spark.sparkContext.broadcast((ids, roots))
-
-        def scan(batches, shared=shared):
+    names = ["query_id", id_col, "d"]
+    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    p = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    n = q.count()
+    if not n:
+        return spark.createDataFrame([], schema)
+    if n <= block:
+        rows = q.toArrow()  # at most ``block`` rows
+        shared = spark.sparkContext.broadcast((rows.column(0).to_numpy(), np.sqrt(_matrix(rows.column(1)))))
+
+        def scan(batches):
             ids, roots = shared.value
             for batch in batches:
                 own = batch.column(0).to_numpy()
-                if not len(own):
-                    continue
-                d = np.arccos(np.clip(roots @ np.sqrt(_matrix(batch.column(1))).T, -1.0, 1.0))
-                q, i = np.divmod(np.arange(d.size), len(own))
-                flat = d.ravel()
-                keep = ids[q] != own[i]
-                q, i, flat = q[keep], i[keep], flat[keep]
-                if k is not None:
-                    order = np.lexsort((own[i], np.round(flat, 9), q))
-                    q, i, flat = q[order], i[order], flat[order]
-                    place = np.arange(len(q)) - np.searchsorted(q, q)
-                    q, i, flat = q[place < k], i[place < k], flat[place < k]
-                yield pa.record_batch([pa.array(ids[q]), pa.array(own[i]), pa.array(flat)], names=["query_id", id_col, "d"])
-
-        out = out.union(points.select(id_col, vec_col).mapInArrow(scan, schema))
-    return out
+                for at in range(0, len(own), 1024):
+                    part = batch.slice(at, 1024)
+                    found = _scan(ids, roots, own[at : at + 1024], _matrix(part.column(1)), k)
+                    yield pa.record_batch([pa.array(c) for c in found], names=names)
+
+        return p.mapInArrow(scan, schema)
+
+    blocks, shares = -(-n // block), max(1, -(-p.count() // share))
+    deal = lambda parts, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = q.select(deal(blocks, 1).alias("block"), every(shares).alias("share"), "id", "v")
+    right = p.select(every(blocks).alias("block"), deal(shares, 2).alias("share"), "id", "v")
+
+    def meet(own: pa.Table, other: pa.Table) -> pa.Table:
+        found = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]]
+        if len(own) and len(other):
+            ids, roots = own.column("id").to_numpy(), np.sqrt(_matrix(own.column("v")))
+            for at in range(0, len(other), 1024):
+                part = other.slice(at, 1024)
+                found.append(_scan(ids, roots, part.column("id").to_numpy(), _matrix(part.column("v")), k))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
+
+    cells = ["block", "share"]
+    return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(meet, schema)
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "vector") -> DataFrame:

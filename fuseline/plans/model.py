@@ -161,7 +161,7 @@ class Model:
                 "form": self.form,
                 HISTORY_KEY: list(self.phi_history),
                 VOCAB_KEY: {
-                    str(k): {"vector": p.vector.tolist(), "name": p.name, "scale": p.scale}
+                    str(k): {"coord_id": k, "vector": p.vector.tolist(), "name": p.name, "scale": p.scale}
                     for k, p in self.points.items()
                     if k >= 256
                 },

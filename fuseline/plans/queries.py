@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import lru_cache
 
@@ -13,6 +12,7 @@ from ..functions import scores, simplex, text
 from ..operators import codec, pairs, rewrite
 from ..operators import vectors as V
 from ..sources.corpus import read_table, to_sequences
+from ..sources.shared import shared_folder
 from ..streaming.encode import encode_stream
 from .model import Model
 from .train import train
@@ -25,6 +25,8 @@ PARTS = (
     "eau aux des sch ein der die ich ung cio ado los que"
 ).split()
 RESERVED = ("<|system|>", "<|user|>", "<|assistant|>", "<|u|>")
+#: Merges of the training queries.
+ENTROPY_MERGES, BENCH_MERGES, DOC_MERGES = 8, 256, 200
 
 
 @lru_cache(maxsize=1)
@@ -62,22 +64,18 @@ def _seqs(spark: SparkSession, d: str) -> DataFrame:
     return to_sequences(_docs(spark, d))
 
 
-def _all_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Byte pairs of the documents with count, distance and coupling, those of one byte with itself included."""
+def _stats(spark: SparkSession, d: str) -> DataFrame:
+    """Byte pairs of the documents with count, distance and coupling."""
     seqs = _seqs(spark, d)
     length = rewrite.live_length(seqs).first()["length"]
     return pairs.with_coupling(pairs.pair_counts(seqs, min_count=5), Model().vocab(spark), length)
 
 
-def _stats(spark: SparkSession, d: str) -> DataFrame:
-    """``_all_stats`` as the SQL of the older queries has them: without pairs of one byte with itself."""
-    return _all_stats(spark, d).filter("a <> b")
-
-
-def _bench_stats(spark: SparkSession, d: str) -> DataFrame:
-    seqs = to_sequences(read_table(spark, d, "benchmark"), "item_id")
+def _entropy_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The same with context entropy."""
+    seqs = _seqs(spark, d)
     length = rewrite.live_length(seqs).first()["length"]
-    return pairs.pair_stats(seqs, Model().vocab(spark), length, window=5, min_count=5).filter("a <> b")
+    return pairs.pair_stats(seqs, Model().vocab(spark), length, window=5, min_count=5)
 
 
 # ------------------------------------------------------------------------------------------------- queries
@@ -89,7 +87,7 @@ def nfc_bytes_len(spark, d):
 
 def nfc_bytes_raw(spark, d):
     raw = F.encode("text", "UTF-8")
-    return read_table(spark, d, "benchmark").select("item_id", F.hex(text.normalize_bytes(raw)).alias("hex"))
+    return _docs(spark, d).select("doc_id", F.hex(text.normalize_bytes(raw)).alias("hex"))
 
 
 def byte_histogram(spark, d):
@@ -98,8 +96,7 @@ def byte_histogram(spark, d):
 
 def base_sequence(spark, d):
     ids = text.seq_ids(F.col("seq"))
-    seqs = to_sequences(read_table(spark, d, "benchmark"), "item_id")
-    return seqs.select(F.col("doc_id").alias("item_id"), F.array_join(ids, " ").alias("ids"))
+    return _seqs(spark, d).select("doc_id", F.array_join(ids, " ").alias("ids"))
 
 
 def pretoken_count(spark, d):
@@ -113,8 +110,8 @@ def pretoken_top(spark, d):
 
 def segment_bytes(spark, d):
     own = text.byte_segments(F.col("text"), pretokenize=True)
-    return read_table(spark, d, "benchmark").select("item_id", own.alias("s")).select(
-        "item_id",
+    return _docs(spark, d).select("doc_id", own.alias("s")).select(
+        "doc_id",
         F.size("s").cast("long").alias("n_segments"),
         F.aggregate("s", F.lit(0), lambda acc, x: acc + F.char_length(x)).cast("long").alias("n_bytes"),
         F.array_max(F.transform("s", lambda x: F.char_length(x))).cast("long").alias("longest"),
@@ -140,7 +137,7 @@ def pair_context_entropy(spark, d):
 
 
 def doc_context_entropy(spark, d):
-    found = pairs.context_entropy(_seqs(spark, d), window=2, min_count=5)
+    found = pairs.context_entropy(_seqs(spark, d), window=5, min_count=5)
     return found.select("a", "b", "cnt", _r("entropy", 5).alias("entropy"))
 
 
@@ -172,12 +169,12 @@ def candidate_score(spark, d):
 
 def pair_score_entropy(spark, d):
     score = scores.by_entropy(F.col("cnt"), F.col("coupling"), F.col("entropy"))
-    return _bench_stats(spark, d).select("a", "b", "cnt", _r(score, 3).alias("score"))
+    return _entropy_stats(spark, d).select("a", "b", "cnt", _r(score, 3).alias("score"))
 
 
 def best_pair(spark, d):
     score = scores.by_entropy(F.col("cnt"), F.col("coupling"), F.col("entropy"))
-    return pairs.top_pairs(_bench_stats(spark, d), score, 1).select("a", "b", "cnt", _r("score", 3).alias("score"))
+    return pairs.top_pairs(_entropy_stats(spark, d), score, 1).select("a", "b", "cnt", _r("score", 3).alias("score"))
 
 
 def top_k_pairs(spark, d):
@@ -185,42 +182,14 @@ def top_k_pairs(spark, d):
     return pairs.top_pairs(_stats(spark, d), score, 20).select("a", "b", "cnt", _r("score", 2).alias("score"))
 
 
-def all_pair_scores(spark, d):
-    """Distance, coupling and scores of every pair, those of one byte with itself included."""
-    cnt, coupling = F.col("cnt"), F.col("coupling")
-    return _all_stats(spark, d).select(
-        "a", "b", "cnt", _r("d").alias("d"), _r("coupling", 4).alias("coupling"),
-        _r(scores.by_frequency(cnt, coupling), 2).alias("fast"),
-        _r(scores.by_phi(cnt, coupling, F.lit(0.02)), 2).alias("phi"),
-        _r(scores.candidate(cnt, coupling, F.lit(0.25), F.lit(0.5)), 2).alias("candidate"),
-        _r(scores.attention(F.col("d"))).alias("attention"),
-    )
-
-
-def all_top_k_pairs(spark, d):
-    score = scores.by_frequency(F.col("cnt"), F.col("coupling"))
-    return pairs.top_pairs(_all_stats(spark, d), score, 20).select("a", "b", "cnt", _r("score", 2).alias("score"))
-
-
-def all_vocab_stats(spark, d):
-    found = codec.vocab_stats(_encoded(spark, d), demo_model(), _all_stats(spark, d))
-    return found.select("total", *[_r(c, 4).alias(c) for c in ("avg_coupling", "coverage", "fallback")])
-
-
 def attention_score(spark, d):
     return _stats(spark, d).select("a", "b", _r(scores.attention(F.col("d"))).alias("attention"))
 
 
 def cluster_score(spark, d):
-    stats = _stats(spark, d).select("a", "b", "cnt").cache()
-    targets = stats.orderBy(F.desc("cnt"), "a", "b").limit(20)
-    out = pairs.cluster_scores(targets, stats, Model().vocab(spark))
-    return out.select("a", "b", _r("cluster").alias("cluster"))
-
-
-def all_cluster_scores(spark, d):
     """The cluster score of every pair."""
-    stats = _all_stats(spark, d).select("a", "b", "cnt").cache()
+    shared_folder(spark)
+    stats = _stats(spark, d).select("a", "b", "cnt").checkpoint()
     return pairs.cluster_scores(stats, stats, Model().vocab(spark)).select("a", "b", _r("cluster").alias("cluster"))
 
 
@@ -249,15 +218,13 @@ def apply_rules(spark, d):
 
 
 def apply_rules_sql(spark, d):
-    turns = read_table(spark, d, "benchmark")
-    own = to_sequences(turns, "item_id").withColumn("out", rewrite.apply_rules(F.col("seq"), demo_rules(), "sql"))
-    return own.select(F.col("doc_id").alias("item_id"), F.md5("out").alias("digest"))
+    own = read_table(spark, d, "conversations").withColumn("seq", text.base_seq(F.col("text")))
+    return own.select("conv_id", "turn", F.md5(rewrite.apply_rules(F.col("seq"), demo_rules(), "sql")).alias("digest"))
 
 
 def apply_greedy(spark, d):
-    own = to_sequences(read_table(spark, d, "benchmark"), "item_id")
-    out = rewrite.apply_greedy(F.col("seq"), demo_rules())
-    return own.select(F.col("doc_id").alias("item_id"), F.char_length(out).cast("long").alias("n_tokens"))
+    out = rewrite.apply_greedy(text.base_seq(F.col("text")), demo_rules())
+    return read_table(spark, d, "conversations").select("conv_id", "turn", F.char_length(out).cast("long").alias("n_tokens"))
 
 
 def merge_occurrences(spark, d):
@@ -273,8 +240,8 @@ def pair_delta(spark, d):
 
 
 def encode_ids(spark, d):
-    bench = read_table(spark, d, "benchmark")
-    return bench.select("item_id", F.array_join(codec.encode_ids(F.col("text"), demo_model()), " ").alias("ids"))
+    ids = codec.encode_ids(F.col("text"), demo_model())
+    return _docs(spark, d).select("doc_id", F.array_join(ids, " ").alias("ids"))
 
 
 def _marked(spark, d) -> DataFrame:
@@ -297,15 +264,13 @@ def decode_roundtrip(spark, d):
 
 
 def expand_bytes(spark, d):
-    own = to_sequences(read_table(spark, d, "benchmark"), "item_id")
-    own = own.withColumn("seq", rewrite.apply_rules(F.col("seq"), demo_rules()))
     ids = codec.expand_ids(F.col("seq"), demo_model())
-    return own.select(F.col("doc_id").alias("item_id"), F.array_join(ids, " ").alias("ids"))
+    return _encoded(spark, d).select("doc_id", F.array_join(ids, " ").alias("ids"))
 
 
 def _encoded(spark, d) -> DataFrame:
     docs = _docs(spark, d).select("doc_id", "text")
-    return docs.withColumn("seq", rewrite.apply_rules(text.base_seq(F.col("text")), demo_rules()))
+    return docs.withColumn("seq", codec.encode(F.col("text"), Model.from_rules(demo_rules())))
 
 
 def token_frequency(spark, d):
@@ -339,18 +304,14 @@ def vocab_stats(spark, d):
 
 
 def scale_hierarchy(spark, d):
-    bench = read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    own = bench.withColumn("seq", rewrite.apply_rules(text.base_seq(F.col("text")), demo_rules()))
-    found = codec.scale_hierarchy(own, demo_model())
+    found = codec.scale_hierarchy(_encoded(spark, d), demo_model())
     return found.select("doc_id", F.explode("scales").alias("scale", "ids")).select(
         "doc_id", "scale", F.array_join("ids", " ").alias("ids")
     )
 
 
 def attach_points(spark, d):
-    bench = read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    own = bench.withColumn("seq", text.base_seq(F.col("text")))
-    rows = codec.attach_points(codec.tokens(own), Model().vocab(spark))
+    rows = codec.attach_points(codec.tokens(_seqs(spark, d)), Model().vocab(spark))
     first = F.sum(F.element_at("vector", 1))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), _r(first).alias("first_component"))
 
@@ -379,13 +340,6 @@ def simplex_project_sql(spark, d):
 
 
 def fr_distance_pairs(spark, d):
-    """Distances of every 50th vector to all that follow it."""
-    p = _points(spark, d)
-    found = V.distances(p, p.filter("vec_id % 50 = 0"))
-    return found.filter("query_id < vec_id").select("query_id", "vec_id", _r("d").alias("d"))
-
-
-def all_fr_distances(spark, d):
     """Distances of every 50th vector to all others."""
     p = _points(spark, d)
     return V.distances(p, p.filter("vec_id % 50 = 0")).select("query_id", "vec_id", _r("d").alias("d"))
@@ -428,9 +382,8 @@ def label_frechet(spark, d):
     return found.select("label", F.posexplode("center").alias("dim", "x"))
 
 
-def _trained(spark, d, mode: str, target: int, table: str = "benchmark", id_col: str = "item_id") -> DataFrame:
-    seqs = to_sequences(read_table(spark, d, table), id_col)
-    return train(seqs, target, mode, window=5 if mode == "entropy" else 3, min_count=5).log(spark)
+def _corpus(spark, d, table: str) -> DataFrame:
+    return to_sequences(read_table(spark, d, table), "item_id" if table == "benchmark" else "doc_id")
 
 
 def _short_log(log: DataFrame) -> DataFrame:
@@ -439,48 +392,60 @@ def _short_log(log: DataFrame) -> DataFrame:
 
 
 def train_entropy(spark, d):
-    return _short_log(_trained(spark, d, "entropy", 260))
+    """Eight merges by entropy over the documents."""
+    return _short_log(train(_corpus(spark, d, "documents"), 256 + ENTROPY_MERGES, "entropy").log(spark))
 
 
 def train_frequency(spark, d):
-    return _short_log(_trained(spark, d, "frequency", 268))
+    """256 merges by frequency over the benchmark items."""
+    return _short_log(train(_corpus(spark, d, "benchmark"), 256 + BENCH_MERGES, "frequency").log(spark))
 
 
 def train_documents(spark, d):
-    return _short_log(_trained(spark, d, "frequency", 262, "documents", "doc_id"))
+    """200 merges by frequency over the documents."""
+    return _short_log(train(_corpus(spark, d, "documents"), 256 + DOC_MERGES, "frequency").log(spark))
 
 
 def train_phi(spark, d):
-    return _trained(spark, d, "phi", 260)
+    return train(_corpus(spark, d, "benchmark"), 272, "phi", window=3).log(spark)
 
 
 def train_resumed(spark, d):
-    seqs = to_sequences(read_table(spark, d, "benchmark"), "item_id")
-    first = train(seqs, 260, "frequency")
-    return _short_log(train(seqs, 264, "frequency", model=first.model).log(spark))
+    """The second half of the merges over the benchmark items, after a first training has ended."""
+    seqs = _corpus(spark, d, "benchmark")
+    first = train(seqs, 256 + BENCH_MERGES // 2, "frequency")
+    return _short_log(train(seqs, 256 + BENCH_MERGES, "frequency", model=first.model).log(spark))
 
 
 def training_report(spark, d):
-    seqs = to_sequences(read_table(spark, d, "benchmark"), "item_id")
-    report = train(seqs, 260, "frequency").report
+    report = train(_corpus(spark, d, "benchmark"), 256 + BENCH_MERGES, "frequency").report
     return spark.createDataFrame([tuple(float(x) for x in report.values())], ", ".join(f"{k} double" for k in report))
 
 
+def training_ratio(spark, d):
+    """What the report says of sizes, and phi and kappa before training."""
+    return training_report(spark, d).select(
+        F.col("n_bytes").cast("long").alias("n_bytes"),
+        F.col("n_tokens").cast("long").alias("n_tokens"),
+        *[_r(c, 4).alias(c) for c in ("ratio", "phi_before", "kappa_before")],
+    )
+
+
 def model_roundtrip(spark, d):
     """Rules of a model after it was saved and loaded."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='model-')}/model-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
     demo_model().save(spark, folder)
     return Model.load(spark, folder).rule_table(spark)
 
 
 def stream_encode(spark, d):
-    """The documents as a stream of files, encoded into a memory table."""
-    name = f"encoded_{uuid.uuid4().hex}"
+    """The documents as a stream of files, encoded into files."""
+    folder = f"{shared_folder(spark)}/encoded-{uuid.uuid4().hex}"
     source = spark.readStream.schema(_docs(spark, d).schema).option("pathGlobFilter", "documents.parquet*").parquet(d)
     encoded = encode_stream(source.select("doc_id", "text"), demo_model()).select("doc_id", "n_tokens", F.md5("seq").alias("digest"))
-    query = encoded.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    sink = encoded.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(encoded.schema).parquet(f"{folder}/rows")
 
 
 # ------------------------------------------------------------------------------------------------- oracles
@@ -525,14 +490,19 @@ def _acos(p: str, q: str) -> str:
     return f"acos(greatest(-1.0, least(1.0, {_OVERLAP.format(p, q)})))"
 
 
+def _apart(a: str, b: str, p: str, q: str) -> str:
+    """Distance of the points p and q of the tokens a and b."""
+    return f"CASE WHEN {a} = {b} THEN 0.0::DOUBLE ELSE {_acos(p, q)} END"
+
+
 def _stats_sql() -> str:
     return f"""{_base_sql()},
     size AS (SELECT sum(octet_length(encode(nfc_normalize(text))))::DOUBLE AS n FROM documents),
     counted AS ({_DOC_PAIRS}),
     stats AS (
       SELECT a, b, cnt, d, least((cnt / size.n) / (d + 0.1) * 1000.0, 100.0) AS coupling
-      FROM (SELECT a, b, cnt, {_acos('x.v', 'y.v')} AS d FROM counted JOIN base x ON x.k = a JOIN base y ON y.k = b
-            WHERE cnt >= 5 AND a <> b), size)"""
+      FROM (SELECT a, b, cnt, {_apart('a', 'b', 'x.v', 'y.v')} AS d FROM counted JOIN base x ON x.k = a JOIN base y ON y.k = b
+            WHERE cnt >= 5), size)"""
 
 
 def _entropy_sql(source: str, min_count: int) -> str:
@@ -552,14 +522,14 @@ def _contexts(table: str, key: str, window: int) -> str:
         WINDOW w AS (PARTITION BY row_id ORDER BY pos)) WHERE b IS NOT NULL"""
 
 
-def _bench_sql() -> str:
+def _entropy_stats_sql() -> str:
     return f"""{_base_sql()},
-    size AS (SELECT sum(octet_length(encode(nfc_normalize(text))))::DOUBLE AS n FROM benchmark),
-    counted AS ({_entropy_sql(_contexts('benchmark', 'item_id', 5), 5)}),
+    size AS (SELECT sum(octet_length(encode(nfc_normalize(text))))::DOUBLE AS n FROM documents),
+    counted AS ({_entropy_sql(_contexts('documents', 'doc_id', 5), 5)}),
     scored AS (
       SELECT a, b, cnt, cnt * least((cnt / size.n) / (d + 0.1) * 1000.0, 100.0) * (1.0 / (entropy + 0.1)) AS score
-      FROM (SELECT a, b, cnt, entropy, {_acos('x.v', 'y.v')} AS d
-            FROM counted JOIN base x ON x.k = a JOIN base y ON y.k = b WHERE a <> b), size)"""
+      FROM (SELECT a, b, cnt, entropy, {_apart('a', 'b', 'x.v', 'y.v')} AS d
+            FROM counted JOIN base x ON x.k = a JOIN base y ON y.k = b), size)"""
 
 
 _CAPPED = f"""
@@ -597,47 +567,41 @@ def _centers_sql() -> str:
       FROM (SELECT *, sum(m * m) OVER (PARTITION BY label) AS t FROM dims) GROUP BY label)"""
 
 
-def _training_sql(mode: str, steps: int, window: int, first: int = 256, table: str = "benchmark") -> str:
-    """A training log in SQL: for each merge the counts, the best pair, the fused point and the rewritten texts, as one
-    more set of common table expressions."""
-    seq = _SEQ.format("text")
-    ctes = [
-        _base_sql(),
-        f"seq0 AS MATERIALIZED (SELECT {seq} AS s FROM {table})",
-        "point0 AS MATERIALIZED (SELECT k, v FROM base)",
-    ]
-    for t in range(steps):
-        new = first + t
-        ctes += [
-            f"""ids{t} AS MATERIALIZED (SELECT list_transform(regexp_extract_all(s, '(?s).'), lambda c: ord(c)) AS l, length(s) AS n FROM seq{t})""",
-            f"size{t} AS MATERIALIZED (SELECT sum(n)::DOUBLE AS n FROM ids{t})",
-        ]
-        at = f"SELECT l, unnest(range(1, len(l))) AS i FROM ids{t}"
-        if mode == "entropy":
-            context = f"array_to_string(list_concat(l[greatest(i - {window}, 1):i - 1], l[i + 2:i + 1 + {window}]), ' ')"
-            counted = _entropy_sql(f"SELECT l[i] AS a, l[i + 1] AS b, {context} AS context FROM ({at})", 5)
-        else:
-            counted = f"SELECT a, b, count(*) AS cnt, NULL::DOUBLE AS entropy FROM (SELECT l[i] AS a, l[i + 1] AS b FROM ({at})) GROUP BY a, b HAVING count(*) >= 5"
-        score = "cnt * coupling * (1.0::DOUBLE / (entropy + 0.1))" if mode == "entropy" else "cnt * coupling"
-        ctes += [
-            f"""best{t} AS MATERIALIZED (
-              SELECT a, b, cnt, coupling, {score} AS score, va, vb FROM (
-                SELECT a, b, cnt, entropy, va, vb, least((cnt / n) / (d + 0.1) * 1000.0, 100.0) AS coupling FROM (
-                  SELECT a, b, cnt, entropy, x.v AS va, y.v AS vb, {_acos('x.v', 'y.v')} AS d
-                  FROM ({counted}) JOIN point{t} x ON x.k = a JOIN point{t} y ON y.k = b), size{t})
-              ORDER BY score DESC, a, b LIMIT 1)""",
-            f"seq{t + 1} AS MATERIALIZED (SELECT replace(s, chr(a) || chr(b), chr({new})) AS s FROM seq{t}, best{t})",
-            f"""point{t + 1} AS MATERIALIZED (
-              SELECT k, v FROM point{t} UNION ALL
-              SELECT {new}, list_transform(r, lambda x: x / list_sum(r)) FROM (
-                SELECT list_transform(list_zip(va, vb), lambda z: pow(sqrt(z[1]) + sqrt(z[2]), 2)) AS r FROM best{t}))""",
-        ]
-    rows = " UNION ALL ".join(
-        f"""SELECT {t} AS step, a, b, {first + t} AS new_id, cnt::BIGINT AS cnt, round(coupling, 4) AS coupling, round(score, 2) AS score,
-            (SELECT sum(length(s)) FROM seq{t + 1})::BIGINT AS length FROM best{t}"""
-        for t in range(steps)
-    )
-    return f"WITH {', '.join(ctes)} {rows}"
+def _training_sql(mode: str, steps: int, table: str, window: int = 5) -> str:
+    """A training log in SQL.  One recursion holds texts (kind 0), points (1) and merges (2); each round counts the
+    pairs, takes the best, rewrites the texts and adds the fused point."""
+    ids = "list_transform(regexp_extract_all(s, '(?s).'), lambda c: ord(c))"
+    at = "SELECT l, unnest(range(1, len(l))) AS i FROM ids"
+    if mode == "entropy":
+        context = f"array_to_string(list_concat(l[greatest(i - {window}, 1):i - 1], l[i + 2:i + 1 + {window}]), ' ')"
+        counted = _entropy_sql(f"SELECT l[i] AS a, l[i + 1] AS b, {context} AS context FROM ({at})", 5)
+        score = "cnt * coupling * (1.0::DOUBLE / (entropy + 0.1))"
+    else:
+        counted = f"SELECT a, b, count(*) AS cnt, NULL::DOUBLE AS entropy FROM (SELECT l[i] AS a, l[i + 1] AS b FROM ({at})) GROUP BY a, b HAVING count(*) >= 5"
+        score = "cnt * coupling"
+    fused = "list_transform(r, lambda x: x / list_sum(r)) FROM (SELECT list_transform(list_zip(va, vb), lambda z: pow(sqrt(z[1]) + sqrt(z[2]), 2)) AS r FROM best)"
+    none = "NULL::INT, NULL::INT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT"
+    return f"""WITH RECURSIVE {_base_sql()},
+    run(step, kind, k, s, v, a, b, cnt, coupling, score, length) AS (
+      SELECT 0, 0, 0, {_SEQ.format('text')}, NULL::DOUBLE[], {none} FROM {table}
+      UNION ALL SELECT 0, 1, k, NULL, v, {none} FROM base
+      UNION ALL (
+        WITH now AS MATERIALIZED (SELECT * FROM run WHERE step < {steps}),
+        ids AS MATERIALIZED (SELECT {ids} AS l FROM now WHERE kind = 0),
+        size AS (SELECT sum(len(l))::DOUBLE AS n FROM ids),
+        best AS MATERIALIZED (
+          SELECT a, b, cnt, coupling, {score} AS score, va, vb, (SELECT max(step) FROM now) AS step FROM (
+            SELECT a, b, cnt, entropy, va, vb, least((cnt / n) / (d + 0.1) * 1000.0, 100.0) AS coupling FROM (
+              SELECT counted.a, counted.b, counted.cnt, entropy, x.v AS va, y.v AS vb, {_apart('counted.a', 'counted.b', 'x.v', 'y.v')} AS d
+              FROM ({counted}) counted JOIN now x ON x.kind = 1 AND x.k = counted.a JOIN now y ON y.kind = 1 AND y.k = counted.b), size)
+          ORDER BY score DESC, a, b LIMIT 1),
+        texts AS MATERIALIZED (SELECT replace(now.s, chr(best.a) || chr(best.b), chr(256 + best.step)) AS s FROM now, best WHERE kind = 0)
+        SELECT best.step + 1, 0, 0, texts.s, NULL::DOUBLE[], {none} FROM texts, best
+        UNION ALL SELECT best.step + 1, 1, now.k, NULL, now.v, {none} FROM now, best WHERE kind = 1
+        UNION ALL SELECT best.step + 1, 1, 256 + best.step, NULL, (SELECT {fused}), {none} FROM best
+        UNION ALL SELECT best.step + 1, 2, 256 + best.step, NULL, NULL::DOUBLE[], a, b, cnt, coupling, score, (SELECT sum(length(s)) FROM texts)::BIGINT FROM best
+      ))
+    SELECT step - 1 AS step, a, b, k AS new_id, cnt, round(coupling, 4) AS coupling, round(score, 2) AS score, length FROM run WHERE kind = 2"""
 
 
 def oracle() -> dict[str, str]:
@@ -653,6 +617,8 @@ def oracle() -> dict[str, str]:
     by_role = "CASE role " + " ".join(f"WHEN '{s[2:-2]}' THEN {model.reserved[s]}" for s in RESERVED[:3]) + " END"
     sizes = codec.byte_lengths(model)
     scales = ", ".join(f"({k}, '{p.scale}', {sizes[k]})" for k, p in model.points.items())
+    rule_rows = ", ".join(f"({k}, {a}, {b})" for k, (a, b, _) in enumerate(rules))
+    surfaces = ", ".join(f"('{x}')" for x in RESERVED)
     ids = "list_transform(regexp_extract_all(s, '(?s).'), lambda c: ord(c))"
     doc_tokens = f"(SELECT unnest({ids}) AS coord_id FROM (SELECT {encoded} AS s FROM documents))"
     coverage_sql = f"""SELECT round(sum(n_bytes) FILTER (scale IN ('word', 'phrase', 'concept')) / sum(n_bytes), 6) AS coverage,
@@ -662,37 +628,37 @@ def oracle() -> dict[str, str]:
     between = f"{_acos('x.p', 'y.p')}"
     return {
         "nfc_bytes_len": "SELECT doc_id, strlen(nfc_normalize(text)) AS n_bytes FROM documents",
-        "nfc_bytes_raw": "SELECT item_id, hex(encode(nfc_normalize(text))) AS hex FROM benchmark",
+        "nfc_bytes_raw": "SELECT doc_id, hex(encode(nfc_normalize(text))) AS hex FROM documents",
         "byte_histogram": f"SELECT byte, count(*) AS cnt FROM (SELECT unnest({_IDS.format('text')}) AS byte FROM documents) GROUP BY byte",
-        "base_sequence": f"SELECT item_id, array_to_string({_IDS.format('text')}, ' ') AS ids FROM benchmark",
+        "base_sequence": f"SELECT doc_id, array_to_string({_IDS.format('text')}, ' ') AS ids FROM documents",
         "pretoken_count": f"SELECT doc_id, len({_segments('text')}) AS n_segments FROM documents",
         "pretoken_top": f"SELECT segment, count(*) AS cnt FROM (SELECT unnest({_segments('text')}) AS segment FROM conversations) GROUP BY segment ORDER BY cnt DESC, segment LIMIT 50",
-        "segment_bytes": f"""SELECT item_id, len(s) AS n_segments, list_sum(list_transform(s, lambda x: strlen(x)))::BIGINT AS n_bytes,
+        "segment_bytes": f"""SELECT doc_id, len(s) AS n_segments, list_sum(list_transform(s, lambda x: strlen(x)))::BIGINT AS n_bytes,
             list_max(list_transform(s, lambda x: strlen(x))) AS longest
-            FROM (SELECT item_id, {_segments('nfc_normalize(text)')} AS s FROM benchmark)""",
+            FROM (SELECT doc_id, {_segments('nfc_normalize(text)')} AS s FROM documents)""",
         "byte_pair_counts": _DOC_PAIRS,
         "byte_pair_min5": f"{_DOC_PAIRS} HAVING count(*) >= 5",
         "pair_counts_by_lang": f"SELECT lang, a, b, count(*) AS cnt FROM ({_pair_sql('documents', _IDS.format('text'), 'lang,')}) GROUP BY lang, a, b",
         "pair_context_entropy": f"SELECT a, b, cnt, round(entropy, 6) AS entropy FROM ({_entropy_sql(_contexts('benchmark', 'item_id', 5), 5)})",
-        "doc_context_entropy": f"SELECT a, b, cnt, round(entropy, 5) AS entropy FROM ({_entropy_sql(_contexts('documents', 'doc_id', 2), 5)})",
+        "doc_context_entropy": f"SELECT a, b, cnt, round(entropy, 5) AS entropy FROM ({_entropy_sql(_contexts('documents', 'doc_id', 5), 5)})",
         "pair_entropy_capped": _CAPPED,
         "pair_coupling": f"WITH {stats} SELECT a, b, cnt, round(d, 6) AS d, round(coupling, 4) AS coupling FROM stats",
         "pair_score_fast": f"WITH {stats} SELECT a, b, round(cnt * coupling, 2) AS score FROM stats",
         "pair_score_phi": f"WITH {stats} SELECT a, b, round(cnt * coupling * (1.0::DOUBLE / (1.0::DOUBLE + 0.1)) * greatest(0.0, 0.02::DOUBLE + 0.1), 2) AS score FROM stats",
         "candidate_score": f"WITH {stats} SELECT a, b, round(cnt * coupling * 1.25 * 0.5, 2) AS score FROM stats",
-        "pair_score_entropy": f"WITH {_bench_sql()} SELECT a, b, cnt, round(score, 3) AS score FROM scored",
-        "best_pair": f"WITH {_bench_sql()} SELECT a, b, cnt, round(score, 3) AS score FROM scored ORDER BY scored.score DESC, a, b LIMIT 1",
+        "pair_score_entropy": f"WITH {_entropy_stats_sql()} SELECT a, b, cnt, round(score, 3) AS score FROM scored",
+        "best_pair": f"WITH {_entropy_stats_sql()} SELECT a, b, cnt, round(score, 3) AS score FROM scored ORDER BY scored.score DESC, a, b LIMIT 1",
         "top_k_pairs": f"WITH {stats} SELECT a, b, cnt, round(cnt * coupling, 2) AS score FROM stats ORDER BY cnt * coupling DESC, a, b LIMIT 20",
         "attention_score": f"WITH {stats} SELECT a, b, round(greatest(0.0, 1.0 - d / (pi() / 2)), 6) AS attention FROM stats",
         "cluster_score": f"""WITH {stats},
-            target AS (SELECT a, b, d, x.v AS va, y.v AS vb FROM (SELECT * FROM stats ORDER BY cnt DESC, a, b LIMIT 20) JOIN base x ON x.k = a JOIN base y ON y.k = b),
+            apart AS MATERIALIZED (SELECT x.k AS i, y.k AS j FROM base x, base y WHERE {_acos('x.v', 'y.v')} < 1.0),
+            ends AS (SELECT a AS e, b AS o, cnt FROM stats UNION ALL SELECT b, a, cnt FROM stats),
+            touched AS (SELECT a, b, a AS e FROM stats UNION SELECT a, b, b FROM stats),
             near AS (
-              SELECT t.a, t.b, sum(s.cnt) AS w
-              FROM target t JOIN stats s ON s.a IN (t.a, t.b) OR s.b IN (t.a, t.b)
-              JOIN base o ON o.k = CASE WHEN s.a IN (t.a, t.b) THEN s.b ELSE s.a END
-              WHERE o.k NOT IN (t.a, t.b) AND {_acos('o.v', 't.va')} < 1.0 AND {_acos('o.v', 't.vb')} < 1.0
-              GROUP BY t.a, t.b)
-            SELECT a, b, round(1.0 / (d + 0.1) + least(coalesce(w, 0) * 0.1, 1.0), 6) AS cluster FROM target LEFT JOIN near USING (a, b)""",
+              SELECT t.a, t.b, sum(cnt) AS w FROM touched t JOIN ends USING (e)
+              JOIN apart p ON p.i = o AND p.j = t.a JOIN apart q ON q.i = o AND q.j = t.b
+              WHERE o <> t.a AND o <> t.b GROUP BY t.a, t.b)
+            SELECT a, b, round(1.0 / (d + 0.1) + least(coalesce(w, 0) * 0.1, 1.0), 6) AS cluster FROM stats LEFT JOIN near USING (a, b)""",
         "live_length": "SELECT sum(strlen(nfc_normalize(text)))::BIGINT AS length FROM documents",
         "prefix_sample": f"""SELECT doc_id, length(p) AS n, md5(p) AS digest FROM (
             SELECT doc_id, s[1:(5000 - ahead)::BIGINT] AS p FROM (
@@ -700,7 +666,7 @@ def oracle() -> dict[str, str]:
               FROM (SELECT doc_id, {_SEQ.format('text')} AS s FROM documents)) WHERE ahead < 5000)""",
         "fuse_one": f"SELECT doc_id, length(s) AS n_tokens, md5(s) AS digest FROM (SELECT doc_id, {fused} AS s FROM documents)",
         "apply_rules": f"SELECT doc_id, length(s) AS n_tokens, md5(s) AS digest FROM (SELECT doc_id, {encoded} AS s FROM documents)",
-        "apply_rules_sql": f"SELECT item_id, md5({encoded}) AS digest FROM benchmark",
+        "apply_rules_sql": f"SELECT conv_id, turn, md5({encoded}) AS digest FROM conversations",
         "merge_occurrences": f"SELECT sum(length({_SEQ.format('text')}) - length({fused}))::BIGINT AS merged FROM documents",
         "pair_delta": f"""WITH before AS ({_DOC_PAIRS}),
             after AS (SELECT a, b, count(*) AS cnt FROM (
@@ -708,33 +674,39 @@ def oracle() -> dict[str, str]:
                 FROM (SELECT {ids.replace('(s,', f'({fused},')} AS l FROM documents))) GROUP BY a, b)
             SELECT a, b, coalesce(after.cnt, 0) AS cnt FROM before FULL JOIN after USING (a, b)
             WHERE coalesce(before.cnt, 0) <> coalesce(after.cnt, 0)""",
-        "encode_ids": f"SELECT item_id, array_to_string({ids}, ' ') AS ids FROM (SELECT item_id, {encoded} AS s FROM benchmark)",
+        "encode_ids": f"SELECT doc_id, array_to_string({ids}, ' ') AS ids FROM (SELECT doc_id, {encoded} AS s FROM documents)",
         "encode_reserved": f"SELECT conv_id, turn, length(s) AS n_tokens, md5(s) AS digest FROM (SELECT conv_id, turn, {_nested(pieces.format(by_role), rules)} AS s FROM conversations)",
         "decode_roundtrip": f"SELECT conv_id, turn, nfc_normalize({marked}) AS decoded FROM conversations",
-        "expand_bytes": f"SELECT item_id, array_to_string({_IDS.format('text')}, ' ') AS ids FROM benchmark",
+        "expand_bytes": f"SELECT doc_id, array_to_string({_IDS.format('text')}, ' ') AS ids FROM documents",
         "token_frequency": f"SELECT coord_id, count(*) AS cnt FROM {doc_tokens} GROUP BY coord_id",
         "compression_ratio": f"SELECT sum(strlen(text))::BIGINT AS n_bytes, sum(n)::BIGINT AS n_tokens, round(sum(n) / sum(strlen(text)), 6) AS ratio FROM (SELECT text, length({encoded}) AS n FROM documents)",
         "coverage_rate": coverage_sql,
-        "scale_distribution": f"SELECT scale, count(*) AS n FROM (VALUES {scales}) v(coord_id, scale, n_bytes) GROUP BY scale",
-        "vocab_size": f"SELECT {256 + len(rules) + len(RESERVED)}::BIGINT AS n",
+        "scale_distribution": f"""WITH RECURSIVE rule AS (SELECT * FROM (VALUES {rule_rows}) t(rank, a, b)),
+            climb(n, steps) AS (  -- the step of each token on the ladder, bytes first; a fused one stands above the coarser part
+              SELECT 0, list_transform(range(256), lambda x: 0)
+              UNION ALL SELECT n + 1, list_append(steps, least(greatest(steps[a + 1], steps[b + 1]) + 1, 5)) FROM climb JOIN rule ON rank = n),
+            token AS (SELECT ['byte', 'char', 'subword', 'word', 'phrase', 'concept'][step + 1] AS scale FROM (SELECT unnest(arg_max(steps, n)) AS step FROM climb)
+              UNION ALL SELECT 'special' FROM (VALUES {surfaces}) t(surface))
+            SELECT scale, count(*) AS n FROM token GROUP BY scale""",
+        "vocab_size": f"SELECT 256 + (SELECT count(*) FROM (VALUES {rule_rows}) t(rank, a, b)) + (SELECT count(DISTINCT surface) FROM (VALUES {surfaces}) t(surface)) AS n",
         "avg_coupling": f"WITH {stats} SELECT round(avg(coupling), 4) AS avg_coupling FROM stats",
         "vocab_stats": f"""WITH {stats}, cover AS ({coverage_sql})
             SELECT {256 + len(rules) + len(RESERVED)}::BIGINT AS total, round((SELECT avg(coupling) FROM stats), 4) AS avg_coupling,
                    round(coverage, 4) AS coverage, round(fallback, 4) AS fallback FROM cover""",
         "scale_hierarchy": f"""SELECT doc_id, scale, string_agg(coord_id::VARCHAR, ' ' ORDER BY pos) AS ids
-            FROM (SELECT item_id AS doc_id, unnest({ids}) AS coord_id, generate_subscripts({ids}, 1) AS pos FROM (SELECT item_id, {encoded} AS s FROM benchmark))
+            FROM (SELECT doc_id, unnest(l) AS coord_id, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, {ids} AS l FROM (SELECT doc_id, {encoded} AS s FROM documents)))
             JOIN (VALUES {scales}) v(coord_id, scale, n_bytes) USING (coord_id) GROUP BY doc_id, scale""",
-        "attach_points": f"""WITH {base} SELECT item_id AS doc_id, count(*) AS n, round(sum(v[1]), 6) AS first_component
-            FROM (SELECT item_id, unnest({_IDS.format('text')}) AS k FROM benchmark) JOIN base USING (k) GROUP BY item_id""",
+        "attach_points": f"""WITH {base} SELECT doc_id, count(*) AS n, round(sum(v[1]), 6) AS first_component
+            FROM (SELECT doc_id, unnest({_IDS.format('text')}) AS k FROM documents) JOIN base USING (k) GROUP BY doc_id""",
         "sequence_velocity": f"""WITH {base},
             pair AS ({_pair_sql('documents', _IDS.format('text'), 'doc_id,')}),
-            known AS (SELECT a, b, {_acos('x.v', 'y.v')} AS d FROM (SELECT DISTINCT a, b FROM pair) JOIN base x ON x.k = a JOIN base y ON y.k = b)
+            known AS (SELECT a, b, {_apart('a', 'b', 'x.v', 'y.v')} AS d FROM (SELECT DISTINCT a, b FROM pair) JOIN base x ON x.k = a JOIN base y ON y.k = b)
             SELECT doc_id, strlen(nfc_normalize(text)) AS n_tokens, round(coalesce(v, 0.0), 6) AS velocity
             FROM documents LEFT JOIN (SELECT doc_id, avg(d) AS v FROM pair JOIN known USING (a, b) GROUP BY doc_id) USING (doc_id)""",
         "granularity_case": "SELECT vec_id, CASE WHEN vec_id % 81 >= 50 THEN 'coarse' WHEN vec_id % 81 <= 30 THEN 'fine' ELSE 'normal' END AS granularity FROM embeddings",
         "simplex_project": f"WITH {_projected_sql()} {dims.format('vec_id', 'p', 'point')}",
         "simplex_project_sql": f"WITH {_projected_sql()} {dims.format('vec_id', 'p', 'point')}",
-        "fr_distance_pairs": f"WITH {_projected_sql()} SELECT x.vec_id AS query_id, y.vec_id, round({between}, 6) AS d FROM point x JOIN point y ON x.vec_id < y.vec_id WHERE x.vec_id % 50 = 0",
+        "fr_distance_pairs": f"WITH {_projected_sql()} SELECT x.vec_id AS query_id, y.vec_id, round({between}, 6) AS d FROM point x JOIN point y ON x.vec_id <> y.vec_id WHERE x.vec_id % 50 = 0",
         "fr_nearest": f"""WITH {_projected_sql()} SELECT query_id, rank, vec_id, d FROM (
             SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank
             FROM (SELECT x.vec_id AS query_id, y.vec_id, round({between}, 6) AS d FROM point x JOIN point y ON x.vec_id <> y.vec_id WHERE x.vec_id % 50 = 0))
@@ -748,10 +720,21 @@ def oracle() -> dict[str, str]:
             SELECT label, count(*) AS n, round(CASE WHEN count(*) < 2 THEN 0.5 ELSE greatest(0.3, least(0.95, 1 - avg(d) / (pi() / 2))) END, 6) AS phi,
                    round(CASE WHEN count(*) < 2 THEN 1.0 ELSE greatest(0.1, least(100.0, 10 / (stddev_pop(d) + 0.1))) END, 4) AS kappa
             FROM far GROUP BY label""",
-        "train_entropy": _training_sql("entropy", 4, 5),
-        "train_frequency": _training_sql("frequency", 12, 3),
-        "train_documents": _training_sql("frequency", 6, 3, table="documents"),
-        "train_resumed": f"SELECT step - 4 AS step, * EXCLUDE (step) FROM ({_training_sql('frequency', 8, 3)}) WHERE step >= 4",
+        "train_entropy": _training_sql("entropy", ENTROPY_MERGES, "documents"),
+        "train_frequency": _training_sql("frequency", BENCH_MERGES, "benchmark"),
+        "train_documents": _training_sql("frequency", DOC_MERGES, "documents"),
+        "train_resumed": f"SELECT step - {BENCH_MERGES // 2} AS step, * EXCLUDE (step) FROM ({_training_sql('frequency', BENCH_MERGES, 'benchmark')}) WHERE step >= {BENCH_MERGES // 2}",
+        "training_ratio": f"""WITH log AS ({_training_sql('frequency', BENCH_MERGES, 'benchmark')}), {base},
+            size AS (SELECT sum(octet_length(encode(nfc_normalize(text))))::BIGINT AS n_bytes FROM benchmark),
+            token AS (SELECT row_number() OVER (ORDER BY item_id, pos) AS place, k FROM (
+              SELECT item_id, unnest(l) AS k, generate_subscripts(l, 1) AS pos FROM (SELECT item_id, {_IDS.format('text')} AS l FROM benchmark))),
+            first AS (SELECT place, v FROM token JOIN base USING (k) WHERE place <= 100),
+            dims AS (SELECT dim, avg(sqrt(v[dim])) AS m FROM (SELECT v, unnest(range(1, 65)) AS dim FROM first) GROUP BY dim),
+            center AS (SELECT list(m * m / t ORDER BY dim) AS c FROM (SELECT dim, m, sum(m * m) OVER () AS t FROM dims)),
+            far AS (SELECT {_acos('v', 'c')} AS d FROM first, center)
+            SELECT n_bytes, coalesce((SELECT min(length) FROM log), n_bytes) AS n_tokens, round(coalesce((SELECT min(length) FROM log), n_bytes) / n_bytes, 4) AS ratio,
+              (SELECT round(greatest(0.3, least(0.95, 1 - avg(d) / (pi() / 2))), 4) FROM far) AS phi_before,
+              (SELECT round(greatest(0.1, least(100.0, 10 / (stddev_pop(d) + 0.1))), 4) FROM far) AS kappa_before FROM size""",
         "model_roundtrip": "SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}, {b}, {n})" for k, (a, b, n) in enumerate(rules)) + ") t(rank, a, b, new_id)",
         "stream_encode": f"SELECT doc_id, length(s) AS n_tokens, md5(s) AS digest FROM (SELECT doc_id, {encoded} AS s FROM documents)",
     }
@@ -768,7 +751,6 @@ QUERIES = {
         coverage_rate, scale_distribution, vocab_size, avg_coupling, vocab_stats, scale_hierarchy, attach_points,
         sequence_velocity, granularity_case, simplex_project, simplex_project_sql, fr_distance_pairs, fr_nearest,
         midpoint_pairs, label_mean, center_distance, label_phi_kappa, label_frechet, train_entropy, train_frequency, train_documents,
-        train_phi, train_resumed, training_report, model_roundtrip, stream_encode, all_pair_scores, all_top_k_pairs,
-        all_vocab_stats, all_cluster_scores, all_fr_distances,
+        train_phi, train_resumed, training_report, training_ratio, model_roundtrip, stream_encode,
     )
 }

@@ -1,23 +1,30 @@
 """Learning merge rules: greedily the best pair, one after the other.
 
-The corpus is a DataFrame of sequences; the driver holds the pair counts (at most one number for each distinct pair: 65,536 to begin
-with, and few new ones per merge) and the points.  A merge costs one job: only rows that contain the pair are
-rewritten, and only the differences of their pair counts come back.  The rewritten sequences are a lazy chain of
-``replace`` calls that is written to the checkpoint folder every ``cut_every`` merges.
+The driver holds the pair counts (at most one number for each distinct pair: 65,536 to begin with, and few new ones per
+merge), the points, and a heap that gives the best pair without sorting.  What a merge does to the counts is told by
+the corpus, which is scanned for several merges at a time: the first is the best pair, the next ones are guessed, and
+each scan returns the differences of the pair counts for every one of them.  A guessed merge is taken only if, with the
+true counts of those before it, it is the best pair indeed; the first that is not ends the batch and its differences
+are dropped.  So the rules are those of one merge at a time, whatever the guesses are worth, and the batch grows and
+shrinks with their luck.
+
+A corpus of up to ``local_tokens`` tokens (checked) is scanned in the driver's memory, any other by Spark: its sequences
+stay in a DataFrame, workers apply the rules since the last checkpoint and count around the places that a merge fuses,
+and every ``cut_every`` merges the rewritten sequences are written to the checkpoint folder.
 
 Modes.  ``frequency``: count x coupling.  ``entropy``: count x coupling / (context entropy + 0.1).  No entropy is below
 -1e-10, so count x coupling / (0.1 - 1e-10) bounds a pair's score, and contexts are scanned only for pairs whose
-bound reaches the best score found.  ``phi``: the best ten of the slate by count x coupling are fused in a sample, and the gain in phi
-weighs in.
+bound reaches the best score found and whose entropy is not known; a merge makes unknown those of the pairs that
+occur within reach of a fused place.  ``phi``: the best ten of the slate by count x coupling are fused in a sample, and the
+gain in phi weighs in.
 
 Pairs never span two rows.  A corpus of one row reproduces training on one byte stream.
 """
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, simplex
-from ..functions.text import char_id, id_char
+from ..functions.text import char_id
 from ..operators import pairs as P
-from ..operators.rewrite import apply_rules, fuse, live_length, prefix
+from ..operators.rewrite import apply_rules, live_length, prefix, rule_strings
+from ..sources.shared import remove, shared_folder
+from .heap import Pair, PairTable
 from .model import Model, Rule, fused_point
 
 Kernel = Callable[[np.ndarray], tuple[float, float]]
@@ -66,115 +75,229 @@ class Result:
         )
 
 
-@dataclass
-class _Pairs:
-    """Counts and distances of all live pairs, aligned."""
-
-    points: dict
-    index: dict[tuple[int, int], int] = field(default_factory=dict)
-    ids: list[tuple[int, int]] = field(default_factory=list)
-    count: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    dist: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def add(self, changes: list[tuple[int, int, int]]) -> None:
-        fresh = [(a, b) for a, b, _ in changes if (a, b) not in self.index]
-        for p in fresh:
-            self.index[p] = len(self.ids)
-            self.ids.append(p)
-        if fresh:
-            known = lambda p: p[0] in self.points and p[1] in self.points
-            d = [simplex.np_distance(self.points[p[0]].vector, self.points[p[1]].vector) if known(p) else 0.0 for p in fresh]
-            self.count = np.concatenate([self.count, np.zeros(len(fresh))])
-            self.dist = np.concatenate([self.dist, d])
-        for a, b, n in changes:
-            self.count[self.index[a, b]] += n
-
-    def ranked(self, length: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of the eligible pairs, best first by count x coupling and then the smaller pair; their couplings
-        and products."""
-        link = np.minimum((self.count / max(length, 1)) / (self.dist + scores.SOFTEN) * scores.SCALE, scores.CAP)
-        product = self.count * link
-        live = np.flatnonzero((self.count >= min_count) & (self.count > 0))
-        ids = np.array([self.ids[k] for k in live], np.int64).reshape(-1, 2)
-        order = np.lexsort((ids[:, 1], ids[:, 0], -product[live]))
-        return live[order], link, product
-
-
-def _shared(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-
-
-def _changes(seqs: DataFrame, rule: Rule) -> tuple[list[tuple[int, int, int]], int]:
-    """Differences of the pair counts that a merge makes, and how many occurrences it fuses."""
+# ------------------------------------------------------------------------------------------------- corpora
+
+
+def fuse_ids(ids: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """One left-to-right, non-overlapping pass over ids with separators: the new ids, and the fused places in the old."""
     a, b, new = rule
-    pair, char = id_char(a) + id_char(b), id_char(new)
-
-    def partial(batches):
-        for batch in batches:
-            before = batch.column(0).to_pylist()
-            after = [s.replace(pair, char) for s in before]
-            delta: dict[tuple[int, int], int] = {}
-            for sign, own in ((-1, before), (1, after)):
-                for live in P.portions(own):
-                    for x, y, n in zip(*(c.tolist() for c in P._count([own[k] for k in live])), strict=True):
-                        delta[x, y] = delta.get((x, y), 0) + sign * n
-            rows = [(x, y, n) for (x, y), n in delta.items() if n]
-            rows.append((-1, -1, sum(map(len, before)) - sum(map(len, after))))
-            x, y, n = zip(*rows, strict=True)
-            yield pa.record_batch([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(n, pa.int64())], names=["a", "b", "n"])
-
-    found = (
-        seqs.filter(F.col("seq").contains(pair))
-        .select("seq")
-        .mapInArrow(partial, "a int, b int, n long")
-        .groupBy("a", "b")
-        .agg(F.sum("n").alias("n"))
-        .filter("n <> 0")
-        .toArrow()
-    )
-    rows = list(zip(*(c.to_pylist() for c in found.columns), strict=True))
-    return [r for r in rows if r[0] >= 0], sum(r[2] for r in rows if r[0] < 0)
-
-
-def _by_entropy(table: _Pairs, seqs: DataFrame, length: int, window: int, min_count: int):
+    at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
+    if a == b and len(at):  # of a run of places every second one
+        starts = np.flatnonzero(np.append(True, np.diff(at) != 1))
+        rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+        at = at[rank % 2 == 0]
+    if not len(at):
+        return ids, at
+    out = ids.copy()
+    out[at] = new
+    left = np.ones(len(ids), bool)
+    left[at + 1] = False
+    return out[left], at
+
+
+def _around(places: np.ndarray, low: int, high: int, size: int) -> np.ndarray:
+    """Positions from ``low`` before to ``high`` behind the places, each once."""
+    near = (places[:, None] + np.arange(-low, high + 1)[None, :]).ravel()
+    return np.unique(near[(near >= 0) & (near < size)])
+
+
+def _pair_keys(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    left, right = ids[at].astype(np.int64), ids[at + 1].astype(np.int64)
+    inside = (left != P._PAD) & (right != P._PAD)
+    return left[inside] << 21 | right[inside]
+
+
+Change = tuple[list[tuple[int, int, int]], int, set[Pair]]  # count differences, fused places, pairs with new contexts
+
+
+def step_changes(ids: np.ndarray, rules: Sequence[Rule], window: int) -> tuple[np.ndarray, list[tuple]]:
+    """The ids after all rules, and for each rule in turn: keys and differences of the pair counts, how many places it
+    fuses, and (with ``window``) keys of the pairs whose contexts it changes."""
+    none = np.zeros(0, np.int64)
+    found = []
+    for rule in rules:
+        out, at = fuse_ids(ids, rule)
+        if not len(at):
+            found.append((none, none, 0, none))
+            continue
+        now = at - np.arange(len(at))  # the same places in the new ids
+        before = _pair_keys(ids, _around(at, 1, 1, len(ids) - 1))
+        after = _pair_keys(out, _around(now, 1, 0, len(out) - 1))
+        keys, where = np.unique(np.concatenate([before, after]), return_inverse=True)
+        sign = np.concatenate([np.full(len(before), -1), np.ones(len(after), np.int64)])
+        n = np.bincount(where, weights=sign, minlength=len(keys)).astype(np.int64)
+        dirty = np.unique(_pair_keys(out, _around(now, window + 1, window, len(out) - 1))) if window else none
+        found.append((keys, n, len(at), dirty))
+        ids = out
+    return ids, found
+
+
+def _entropies(a, b, h1, h2, n) -> dict[Pair, float]:
+    """Context entropy of each pair from its contexts' counts."""
+    order = np.lexsort((h2, h1, b, a))
+    a, b, h1, h2, n = a[order], b[order], h1[order], h2[order], n[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    first = np.flatnonzero(new)
+    counts = np.add.reduceat(n, first) if len(first) else n
+    a, b = a[first], b[first]
+    own = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else first
+    out = {}
+    for k, end in zip(own, np.append(own[1:], len(a)), strict=True):
+        kinds, times = np.unique(counts[k:end], return_counts=True)
+        total, h = float(counts[k:end].sum()), 0.0
+        for c, m in zip(kinds.tolist(), times.tolist(), strict=True):
+            h -= (c / total) * float(np.log(c / total + 1e-10)) * m
+        out[int(a[k]), int(b[k])] = h
+    return out
+
+
+class _Local:
+    """A small corpus as one array."""
+
+    batch = 1
+
+    def __init__(self, rows: list[tuple], seqs: DataFrame):
+        self.ids, self.base, self.rules = P._codes([s for _, s in rows]), seqs, []
+
+    def pair_counts(self) -> list[tuple[int, int, int]]:
+        keys, n = np.unique(_pair_keys(self.ids, np.arange(max(len(self.ids) - 1, 0))), return_counts=True)
+        return list(zip((keys >> 21).tolist(), (keys & (1 << 21) - 1).tolist(), n.tolist(), strict=True))
+
+    def changes(self, rules: Sequence[Rule], window: int) -> list[Change]:
+        self.after, found = step_changes(self.ids, rules, window)
+        return [
+            (list(zip((k >> 21).tolist(), (k & (1 << 21) - 1).tolist(), n.tolist(), strict=True)), fused, {(x >> 21, x & (1 << 21) - 1) for x in dirty.tolist()})
+            for k, n, fused, dirty in found
+        ]
+
+    def accept(self, rules: Sequence[Rule]) -> None:
+        self.ids = self.after  # one rule at a time
+        self.rules += rules
+
+    def entropies(self, wanted: list[Pair], window: int) -> dict[Pair, float]:
+        return _entropies(*P.count_contexts(self.ids, P.pair_places(self.ids, wanted), window))
+
+    def first(self, n: int) -> list[int]:
+        return self.ids[self.ids != P._PAD][:n].tolist()
+
+    def seqs(self) -> DataFrame:
+        return self.base.withColumn("seq", apply_rules(F.col("seq"), self.rules))
+
+
+class _Spread:
+    """A corpus of any size as a DataFrame, with the rules that are not written down yet."""
+
+    batch = 8
+
+    def __init__(self, seqs: DataFrame, cut_every: int):
+        self.base, self.rules, self.cut_every = seqs, [], cut_every
+
+    def pair_counts(self) -> list[tuple[int, int, int]]:
+        return [tuple(r.values()) for r in P.pair_counts(self.base).toArrow().to_pylist()]
+
+    def changes(self, rules: Sequence[Rule], window: int) -> list[Change]:
+        done, rules = [rule_strings(r) for r in self.rules], list(rules)
+
+        def partial(batches):
+            for batch in batches:
+                texts = batch.column(0).to_pylist()
+                for live in P.portions(texts):
+                    own = []
+                    for k in live:
+                        s = texts[k]
+                        for pair, new in done:
+                            s = s.replace(pair, new)
+                        own.append(s)
+                    _, found = step_changes(P._codes(own), rules, window)
+                    step, key, n, near = [], [], [], []
+                    for t, (keys, diff, fused, dirty) in enumerate(found):
+                        for k, d, kind in ((keys, diff, 0), ([-1], [fused], 0), (dirty, np.zeros(len(dirty), np.int64), 1)):
+                            step.append(np.full(len(k), t))
+                            key.append(np.asarray(k, np.int64))
+                            n.append(np.asarray(d, np.int64))
+                            near.append(np.full(len(k), kind))
+                    columns = [np.concatenate(c) for c in (step, key, n, near)]
+                    yield pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], names=["step", "key", "n", "near"])
+
+        found = (
+            self.base.select("seq")
+            .mapInArrow(partial, "step long, key long, n long, near long")
+            .groupBy("step", "key")
+            .agg(F.sum("n").alias("n"), F.max("near").alias("near"))
+            .filter("n <> 0 or near <> 0")
+            .toArrow()  # the pairs that these merges change
+        )
+        out: list[Change] = [([], 0, set()) for _ in rules]
+        for t, k, n, near in zip(*(c.to_pylist() for c in found.columns), strict=True):
+            if k < 0:
+                out[t] = (out[t][0], n, out[t][2])
+                continue
+            pair = (k >> 21, k & (1 << 21) - 1)
+            if n:
+                out[t][0].append((*pair, n))
+            if near:
+                out[t][2].add(pair)
+        return out
+
+    def accept(self, rules: Sequence[Rule]) -> None:
+        self.rules += rules
+        if len(self.rules) >= self.cut_every:
+            self.base, self.rules = self.seqs().checkpoint(), []
+
+    def entropies(self, wanted: list[Pair], window: int) -> dict[Pair, float]:
+        return {(r["a"], r["b"]): r["entropy"] for r in P.context_entropy(self.seqs(), window, wanted=wanted).toArrow().to_pylist()}
+
+    def first(self, n: int) -> list[int]:
+        return [char_id(c) for r in prefix(self.seqs(), n).orderBy("doc_id").collect() for c in r["seq"]][:n]
+
+    def seqs(self) -> DataFrame:
+        return self.base.withColumn("seq", apply_rules(F.col("seq"), self.rules))
+
+
+# ------------------------------------------------------------------------------------------------- selection
+
+
+def _by_entropy(table: PairTable, corpus, length: int, window: int, known: dict[Pair, float]):
     """The best pair by entropy score, exactly: bounds decide which contexts must be read."""
-    order, link, product = table.ranked(length, min_count)
-    bound = product[order] / (scores.SOFTEN - 1.1e-10)
-    best, at, size = None, 0, 64
-    while at < len(order) and (best is None or bound[at] >= best[0]):
-        part = order[at : at + size]
-        at, size = at + size, size * 4
-        wanted = [table.ids[k] for k in part]
-        for r in P.context_entropy(seqs, window, wanted=wanted).toArrow().to_pylist():
-            k = table.index[r["a"], r["b"]]
-            score = table.count[k] * link[k] * (1.0 / (r["entropy"] + scores.SOFTEN))
-            key = (-score, r["a"], r["b"])
+    product = table.products(length)
+    best, seen, size = None, 0, 64
+    while True:
+        order = table.top(size, length)[seen:]
+        if not len(order) or best is not None and product[order[0]] / (scores.SOFTEN - 1.1e-10) < best[0]:
+            break
+        seen, size = seen + len(order), size * 4
+        pairs = table.pairs(order)
+        if missing := [p for p in pairs if p not in known]:
+            known.update(corpus.entropies(missing, window))
+        for k, pair in zip(order.tolist(), pairs, strict=True):
+            link = table.coupling(k, length)
+            score = float(table.count[k]) * link * (1.0 / (known[pair] + scores.SOFTEN))
+            key = (-score, *pair)
             if best is None or key < best[1]:
-                best = (score, key, k, r["entropy"])
-    return None if best is None else (best[2], best[0], link[best[2]], best[3], None)
+                best = (score, key, k, known[pair])
+    return None if best is None else (best[2], best[0], best[3], None)
 
 
-def _by_phi(table: _Pairs, sample: list[int], length: int, min_count: int, slate: int, measured: int, kernel: Kernel):
+def _by_phi(table: PairTable, sample: list[int], length: int, slate: int, measured: int, kernel: Kernel):
     """The best of the slate's first candidates by count x coupling x gain in phi; the first wins a tie."""
-    order, link, product = table.ranked(length, min_count)
+    order = table.top(slate, length)
     if not len(order):
         return None
-    points = table.points
+    points, product = table.points, table.products(length)
     base = kernel(np.array([points[t].vector for t in sample]))[0] if sample else 0.5
     best = None
-    for k in order[:slate][:measured]:
-        a, b = table.ids[k]
-        middle, fused, i = simplex.np_midpoint(points[a].vector, points[b].vector), [], 0
+    for k in order[:measured].tolist():
+        (pair,) = table.pairs([k])
+        middle, fused, i = simplex.np_midpoint(points[pair[0]].vector, points[pair[1]].vector), [], 0
         while i < len(sample):
-            hit = i + 1 < len(sample) and sample[i] == a and sample[i + 1] == b
+            hit = tuple(sample[i : i + 2]) == pair
             fused.append(middle if hit else points[sample[i]].vector)
             i += 2 if hit else 1
         gain = (kernel(np.array(fused))[0] if fused else 0.5) - base
         score = product[k] * (1.0 / (1.0 + scores.SOFTEN)) * max(0.0, gain + 0.1)
         if best is None or score > best[1]:
-            best = (k, score, link[k], None, gain)
+            best = (k, score, None, gain)
     return best
 
 
@@ -186,9 +309,8 @@ def settled(history: list[float], window: int = 5, relative: float = 0.05, least
     return bool((last.max() - last.min()) <= relative * max(abs(last.mean()), 1e-12))
 
 
-def measure(seqs: DataFrame, model: Model, n: int, kernel: Kernel, order: str = "doc_id") -> tuple[float, float]:
-    """phi and kappa of the corpus's first n tokens."""
-    tokens = [char_id(c) for r in prefix(seqs, n, order).orderBy(order).collect() for c in r["seq"]][:n]
+def measure(tokens: Sequence[int], model: Model, kernel: Kernel) -> tuple[float, float]:
+    """phi and kappa of some tokens."""
     return kernel(np.array([model.points[t].vector for t in tokens])) if tokens else (0.5, 1.0)
 
 
@@ -204,7 +326,8 @@ def train(
     measured: int = 10,
     sample: int = 1000,
     batch_accept: int = 200,
-    cut_every: int = 16,
+    local_tokens: int = 1 << 20,
+    cut_every: int = 48,
     save_every: int = 0,
     save_to: str | None = None,
     keep: int = 3,
@@ -218,58 +341,76 @@ def train(
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     spark = seqs.sparkSession
-    _shared(spark)
+    shared_folder(spark)
     model = replace(model or Model(), target=target)
     seqs = seqs.select("doc_id", "seq").filter(F.col("seq").isNotNull())
     n_bytes = live_length(seqs).first()["length"]
     seqs = seqs.withColumn("seq", apply_rules(F.col("seq"), model.rules)).checkpoint()
     length = live_length(seqs).first()["length"]
-    table = _Pairs(dict(model.points))
-    table.add([tuple(r.values()) for r in P.pair_counts(seqs).toArrow().to_pylist()])
-    phi0, kappa0 = measure(seqs, model, 100, kernel)
+    if length <= local_tokens:
+        rows = seqs.filter("char_length(seq) > 0").orderBy("doc_id").toArrow()
+        corpus = _Local(list(zip(*(c.to_pylist() for c in rows.columns), strict=True)), seqs)
+    else:
+        corpus = _Spread(seqs, cut_every)
+    table = PairTable(dict(model.points), min_count)
+    table.push_changed(corpus.pair_counts())
+    phi0, kappa0 = measure(corpus.first(100), model, kernel)
 
     rules, points, steps, history = list(model.rules), table.points, [], []
-    skipped = 0
+    known: dict[Pair, float] = {}
+    near = window if mode == "entropy" else 0
+    skipped, batch, stopped = 0, corpus.batch, False
     next_id = max(max((r[2] for r in rules), default=255), max((k for k in points), default=255)) + 1
-    learned = 256 + len(rules)
-    while learned < target and not should_stop():
+    while not stopped and 256 + len(rules) < target and not should_stop():
+        measuring = mode == "phi" and skipped == 0
         if mode == "entropy":
-            found = _by_entropy(table, seqs, length, window, min_count)
-        elif mode == "phi" and skipped == 0:
-            taken = [char_id(c) for r in prefix(seqs, sample).orderBy("doc_id").collect() for c in r["seq"]][:sample]
-            found = _by_phi(table, taken, length, min_count, slate, measured, kernel)
+            found = _by_entropy(table, corpus, length, window, known)
+        elif measuring:
+            found = _by_phi(table, corpus.first(sample), length, slate, measured, kernel)
         else:
-            skipped = max(0, skipped - 1)
-            order, link, product = table.ranked(length, min_count)
-            found = (order[0], product[order[0]], link[order[0]], None, None) if len(order) else None
-        if found is None:
+            found = (top := table.pop_best(length)) and (*top, None, None)
+        if not found:
             break
-        k, score, link_k, entropy, gain = found
-        a, b = table.ids[k]
-        rule = (a, b, next_id)
-        points[next_id] = fused_point(points, a, b, decode_bytes=mode != "entropy")
-        count = int(table.count[k])
-        changes, merged = _changes(seqs, rule)
-        table.add(changes)
-        seqs = seqs.withColumn("seq", fuse(F.col("seq"), rule))
-        length -= merged
-        rules.append(rule)
-        step = Step(rule, count, float(link_k), float(score), merged, length, entropy, gain)
-        steps.append(step)
-        on_step(step)
-        next_id, learned = next_id + 1, learned + 1
-        if len(steps) % cut_every == 0:
-            seqs = seqs.checkpoint()
-        if mode == "phi" and gain is not None:
-            history.append(float(link_k))
-            if settled(history) and np.mean(history[-5:]) < 2.0:
-                skipped = batch_accept
-        if save_every and save_to and len(steps) % save_every == 0:
-            _save(spark, replace(model, rules=tuple(rules), points=dict(points)), save_to, learned, keep)
+        alone = mode == "entropy" or measuring or corpus.batch == 1
+        left = target - 256 - len(rules)
+        planned = table.pairs([found[0]]) if alone else table.guess(found[0], length, min(batch, left, max(skipped, 1) if mode == "phi" else batch), next_id)
+        trial = [(a, b, next_id + t) for t, (a, b) in enumerate(planned)]
+        taken: list[Rule] = []
+        for rule, (changes, merged, dirty) in zip(trial, corpus.changes(trial, near), strict=True):
+            if taken:
+                if should_stop():
+                    stopped = True
+                    break
+                found = (top := table.pop_best(length)) and (*top, None, None)
+                if not found or table.pairs([found[0]])[0] != rule[:2]:
+                    break
+            k, score, entropy, gain = found
+            count, link = int(table.count[k]), table.coupling(k, length)
+            points[rule[2]] = fused_point(points, *rule[:2], decode_bytes=mode != "entropy")
+            table.push_changed(changes)
+            for pair in (*dirty, *((a, b) for a, b, _ in changes if near)):
+                known.pop(pair, None)
+            length -= merged
+            rules.append(rule)
+            taken.append(rule)
+            step = Step(rule, count, link, float(score), merged, length, entropy, gain)
+            steps.append(step)
+            on_step(step)
+            skipped = max(0, skipped - 1)
+            if gain is not None:
+                history.append(link)
+                if settled(history) and np.mean(history[-5:]) < 2.0:
+                    skipped = batch_accept
+            if save_every and save_to and len(steps) % save_every == 0:
+                _save(spark, replace(model, rules=tuple(rules), points=dict(points)), save_to, 256 + len(rules), keep)
+        corpus.accept(taken)
+        next_id += len(taken)
+        if len(planned) > 1:
+            batch = min(2 * batch, 64) if len(taken) == len(trial) else max(2, 2 * len(taken))
 
     gains = tuple(s.gain for s in steps if s.gain is not None)
     model = replace(model, rules=tuple(rules), points=dict(points), phi_history=(*model.phi_history, *gains))
-    phi1, kappa1 = measure(seqs, model, 100, kernel)
+    phi1, kappa1 = measure(corpus.first(100), model, kernel)
     report = {
         "n_bytes": n_bytes,
         "n_tokens": length,
@@ -279,58 +420,14 @@ def train(
         "phi_after": phi1,
         "kappa_after": kappa1,
     }
-    return Result(model, tuple(steps), seqs, report)
+    return Result(model, tuple(steps), corpus.seqs(), report)
 
 
 def _save(spark: SparkSession, model: Model, folder: str, size: int, keep: int) -> None:
     """Writes the model and removes all but the newest ``keep``."""
     model.save(spark, f"{folder}/model-{size:08d}")
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     old = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("model-"))
     for name in old[:-keep]:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(path, name), True)
-
-
-def naive_train(corpus: bytes, target: int, mode: str = "frequency", window: int = 5, min_count: int = 2) -> list[Rule]:
-    """The specification in plain Python, for tests: a full scan for every merge over one byte sequence."""
-    ids, points, rules = list(corpus), dict(Model().points), []
-    while 256 + len(rules) < target:
-        contexts: dict[tuple[int, int], list] = {}
-        for i in range(len(ids) - 1):
-            own = tuple(ids[max(0, i - window) : i]) + tuple(ids[i + 2 : i + 2 + window])
-            contexts.setdefault((ids[i], ids[i + 1]), []).append(own)
-        best = None
-        for (a, b), seen in contexts.items():
-            n = len(seen)
-            if n < min_count:
-                continue
-            d = simplex.np_distance(points[a].vector, points[b].vector)
-            score = n * min((n / len(ids)) / (d + 0.1) * 1000.0, 100.0)
-            if mode == "entropy":
-                kinds: dict[tuple, int] = {}
-                for c in seen:
-                    kinds[c] = kinds.get(c, 0) + 1
-                by_count: dict[int, int] = {}
-                for c in kinds.values():
-                    by_count[c] = by_count.get(c, 0) + 1
-                h = 0.0
-                for c in sorted(by_count):
-                    h -= (c / n) * np.log(c / n + 1e-10) * by_count[c]
-                score *= 1.0 / (h + 0.1)
-            if best is None or (-score, a, b) < best:
-                best = (-score, a, b)
-        if best is None:
-            break
-        _, a, b = best
-        new = 256 + len(rules)
-        points[new] = fused_point(points, a, b)
-        rules.append((a, b, new))
-        out, i = [], 0
-        while i < len(ids):
-            hit = i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b
-            out.append(new if hit else ids[i])
-            i += 2 if hit else 1
-        ids = out
-    return rules
+        remove(spark, f"{folder}/{name}")

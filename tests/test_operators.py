@@ -117,8 +117,6 @@ def test_cluster_scores(spark):
                 if other not in (r.a, r.b) and d(other, r.a) < 0.7 and d(other, r.b) < 0.7:
                     bonus += 0.1 * n
         assert r.cluster == pytest.approx(1 / (d(r.a, r.b) + 0.1) + min(bonus, 1.0))
-    with pytest.raises(ValueError):
-        pairs.cluster_scores(stats, stats, Model().vocab(spark), most=2)
 
 
 def brute_fuse(ids, a, b, new):

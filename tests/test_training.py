@@ -1,4 +1,6 @@
 import json
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,15 +9,77 @@ from pyspark.sql import functions as F
 from fuseline.functions import simplex
 from fuseline.operators import pairs
 from fuseline.plans.model import Model, Point, ReservedIds, promoted
-from fuseline.plans.train import naive_train, settled, train
+from fuseline.plans import train as training
+from fuseline.plans.heap import PairTable
+from fuseline.plans.model import fused_point
+from fuseline.plans.train import settled, train
 from fuseline.sources.corpus import from_bytes, to_sequences
 from fuseline.streaming.encode import encode_stream, token_rate
 
+WORDS = "river rain stone boat cloud field path light moss reed heron wind slow bright under over along between every".split()
+
+
+def prose(size, seed):
+    """Lower-case sentences of some common words and many rare ones."""
+    rng = random.Random(seed)
+    rare = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 9))) for _ in range(150)]
+    out = ""
+    while len(out) < size:
+        out += " ".join(rng.choice(WORDS if rng.random() < 0.6 else rare) for _ in range(rng.randint(4, 12))) + ". "
+    return out[:size].encode()
+
+
+def naive_train(corpus, target, mode="frequency", window=5, min_count=2):
+    """The specification in plain Python: a full scan for every merge over one byte sequence."""
+    ids, points, rules, known = list(corpus), dict(Model().points), [], {}
+
+    def distance(a, b):
+        if (a, b) not in known:
+            known[a, b] = 0.0 if a == b else simplex.np_distance(points[a].vector, points[b].vector)
+        return known[a, b]
+
+    while 256 + len(rules) < target:
+        if mode == "entropy":
+            contexts = {}
+            for i in range(len(ids) - 1):
+                contexts.setdefault((ids[i], ids[i + 1]), []).append((*ids[max(0, i - window) : i], *ids[i + 2 : i + 2 + window]))
+            counts = {p: len(c) for p, c in contexts.items()}
+        else:
+            counts = Counter(zip(ids, ids[1:]))
+        best = None
+        for (a, b), n in counts.items():
+            if n < min_count:
+                continue
+            score = n * min((n / len(ids)) / (distance(a, b) + 0.1) * 1000.0, 100.0)
+            if mode == "entropy":
+                by_count = Counter(Counter(contexts[a, b]).values())
+                h = 0.0
+                for c in sorted(by_count):
+                    h -= (c / n) * np.log(c / n + 1e-10) * by_count[c]
+                score *= 1.0 / (h + 0.1)
+            if best is None or (-score, a, b) < best:
+                best = (-score, a, b)
+        if best is None:
+            break
+        _, a, b = best
+        new = 256 + len(rules)
+        points[new] = fused_point(points, a, b)
+        rules.append((a, b, new))
+        out, i = [], 0
+        while i < len(ids):
+            hit = i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b
+            out.append(new if hit else ids[i])
+            i += 2 if hit else 1
+        ids = out
+    return rules
+
+
 TRUTH = b"the geometry is the truth trust the phi. " * 20
 RUNS = b"aaaa b " * 10
 ASCII = (b"a quick sentence about rivers and rain; the river rose, and the rain went on. " * 110)[:8000]
 UNICODE = ("café naïve “quoted” αβγ x² 漢字 — résumé. " * 200).encode()[:8000]
-REVERSE = (bytes([3, 1, 2, 0, 0, 2, 1, 3]) + b" ") * 600
+#: Pairs of the same bytes both ways round, equally often.
+MIRRORED = (bytes([9, 4, 7, 7, 4, 9]) + b"-" + bytes([4, 9, 9, 4]) + b"-") * 500
 
 
 @pytest.mark.parametrize(
@@ -34,7 +98,7 @@ def test_golden_rules(spark, corpus, mode, window, rules, score, length):
     assert out.steps[0].score == pytest.approx(score, abs=1e-4) and out.steps[0].length == length
 
 
-@pytest.mark.parametrize("corpus", [ASCII, UNICODE, REVERSE])
+@pytest.mark.parametrize("corpus", [ASCII, UNICODE, MIRRORED])
 def test_frequency_mode_equals_the_specification(spark, corpus):
     out = train(from_bytes(spark, corpus), 272, "frequency", 3, 2, cut_every=5)
     text = corpus.decode("utf-8", "ignore") if corpus is UNICODE else None
@@ -42,14 +106,76 @@ def test_frequency_mode_equals_the_specification(spark, corpus):
     assert [s.rule for s in out.steps] == naive_train(corpus, 272, "frequency", 3, 2)
 
 
+@pytest.mark.parametrize(("target", "seed"), [(300, 1), (512, 2), (1024, 3), (4096, 4)])
+def test_larger_vocabularies_equal_the_specification(spark, target, seed):
+    corpus = prose(8000, seed)
+    out = train(from_bytes(spark, corpus), target, "frequency", 3, 2)
+    assert [s.rule for s in out.steps] == naive_train(corpus, target, "frequency", 3, 2)
+
+
+@pytest.mark.parametrize("size", [2000, 6000])
+def test_guessed_merges_change_nothing(spark, size):
+    """Spread over rows and scanned in batches, the corpus gives the rules of one merge at a time."""
+    rows = [(k, t) for k, t in enumerate(prose(size, 7).decode().split(". "))]
+    seqs = to_sequences(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    one = train(seqs, 330, "frequency", 3, 2)
+    many = train(seqs, 330, "frequency", 3, 2, local_tokens=0, cut_every=20)
+    assert [s.rule for s in one.steps] == [s.rule for s in many.steps] and len(one.steps) == 74
+    assert one.report == many.report
+    tokens = lambda out: sorted(map(tuple, out.seqs.collect()))
+    assert tokens(one) == tokens(many)
+
+
 def test_entropy_mode_equals_the_specification(spark):
-    out = train(from_bytes(spark, ASCII[:2000]), 259, "entropy", 5, 2)
-    assert [s.rule for s in out.steps] == naive_train(ASCII[:2000], 259, "entropy", 5, 2)
+    corpus = prose(3000, 5)
+    want = naive_train(corpus, 300, "entropy", 5, 2)
+    assert [s.rule for s in train(from_bytes(spark, corpus), 300, "entropy", 5, 2).steps] == want
+    spread = train(from_bytes(spark, corpus), 262, "entropy", 5, 2, local_tokens=0)
+    assert [s.rule for s in spread.steps] == want[:6]
+
+
+def test_known_entropies_are_those_of_a_full_count(spark, monkeypatch):
+    """What a merge leaves known is what counting all contexts again gives."""
+    seen = []
+
+    def checked(table, corpus, length, window, known, own=training._by_entropy):
+        out = own(table, corpus, length, window, known)
+        again = corpus.entropies(list(known), window)
+        assert all(abs(known[p] - again[p]) < 1e-9 for p in again)
+        seen.append(len(known))
+        return out
+
+    monkeypatch.setattr(training, "_by_entropy", checked)
+    train(from_bytes(spark, prose(2500, 6)), 300, "entropy", 5, 2)
+    assert len(seen) >= 44 and max(seen) > 64
+
+
+def test_the_heap_gives_the_best_pair():
+    rng = random.Random(3)
+    table = PairTable(dict(Model().points), min_count=3)
+    for length in range(3000, 200, -40):
+        changes = [(rng.randrange(97, 110), rng.randrange(97, 110), rng.randint(-6, 9)) for _ in range(40)]
+        total = Counter()
+        for a, b, n in changes:
+            total[a, b] += n
+        low = {p: -int(table.count[table.index[p]]) if p in table.index else 0 for p in total}
+        table.push_changed([(*p, max(n, low[p])) for p, n in total.items()])
+        live = [k for k in range(table.size) if table.count[k] >= 3]
+        want = min(((-float(table.count[k]) * table.coupling(k, length), *table.pairs([k])[0]) for k in live), default=None)
+        got = table.pop_best(length)
+        assert (got is None) == (want is None)
+        if got is not None:
+            assert table.pairs([got[0]])[0] == want[1:] and got[1] == -want[0] and table.pop_best(length) == got
+            top = table.top(7, length).tolist()
+            assert top == sorted(live, key=lambda k: (-table.products(length)[k], *table.pairs([k])[0]))[:7]
 
 
 def test_counts_equal_a_recount_after_every_merge(spark):
-    corpus = b"a" * 50 + b" " + b"a" * 31 + b"baaab" * 7
+    corpus = b"z" * 41 + b"-" + b"z" * 26 + b"yzzzzy" * 9
     out = train(from_bytes(spark, corpus), 262, "frequency", min_count=1)
+    assert out.steps[0].rule[:2] == (122, 122) and [s.rule for s in out.steps] == naive_train(corpus, 262, "frequency", min_count=1)
+    spread = train(from_bytes(spark, corpus), 262, "frequency", min_count=1, local_tokens=0)
+    assert [(s.rule, s.merged, s.length) for s in spread.steps] == [(s.rule, s.merged, s.length) for s in out.steps]
     length = len(corpus)
     for s in out.steps:
         length -= s.merged
@@ -111,6 +237,7 @@ def test_checkpoints_keep_the_newest(spark, tmp_path):
 
 def test_model_files(spark, tmp_path):
     model = Model.from_rules([(97, 98, 256), (256, 99, 257)]).with_reserved(["<a>", "<b>"])
+    assert all(p["coord_id"] == int(k) and len(p["vector"]) == 64 for k, p in json.loads(model.to_json())["vocab"].items())
     again = Model.from_json(model.to_json())
     assert again.rules == model.rules and again.reserved == model.reserved and again.size == model.size
     for k, p in model.points.items():

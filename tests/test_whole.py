@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from fuseline.functions import simplex
+from fuseline.operators import vectors
 from fuseline.plans import queries as engine
 
 TEXTS = ["eeee see the tree, the bees and the seed", "aa bb aa bb: a cab, a tab", "the eel ate the bee " * 4, "The quick brown fox jumps over a lazy dog; Pack my box with five dozen liquor jugs, vexed nymph! " * 6]
@@ -37,19 +38,32 @@ def brute_stats():
 
 def test_pairs_of_one_byte_with_itself_are_scored(spark, folder):
     want = brute_stats()
-    got = {(r.a, r.b): r for r in engine.QUERIES["all_pair_scores"](spark, folder).collect()}
-    assert got.keys() == want.keys() and (101, 101) in got and got[101, 101].d == 0
+    got = {(r.a, r.b): r for r in engine.QUERIES["pair_coupling"](spark, folder).collect()}
+    fast = {(r.a, r.b): r.score for r in engine.QUERIES["pair_score_fast"](spark, folder).collect()}
+    assert got.keys() == fast.keys() == want.keys() and (101, 101) in got and got[101, 101].d == 0
     for p, (cnt, d, coupling) in want.items():
-        assert got[p].cnt == cnt and abs(got[p].d - d) < 1e-5 and abs(got[p].fast - cnt * coupling) < 0.01
-    top = [(r.a, r.b) for r in engine.QUERIES["all_top_k_pairs"](spark, folder).collect()]
+        assert got[p].cnt == cnt and abs(got[p].d - d) < 1e-5 and abs(fast[p] - cnt * coupling) < 0.01
+    top = [(r.a, r.b) for r in engine.QUERIES["top_k_pairs"](spark, folder).collect()]
     assert (101, 101) in top
-    mean = engine.QUERIES["all_vocab_stats"](spark, folder).first().avg_coupling
+    mean = engine.QUERIES["vocab_stats"](spark, folder).first().avg_coupling
     assert abs(mean - np.mean([c for _, _, c in want.values()])) < 1e-3
 
 
+def test_entropies_of_the_documents(spark, folder):
+    want = {}
+    for t in map(str.encode, TEXTS):
+        for i in range(len(t) - 1):
+            want.setdefault((t[i], t[i + 1]), Counter())[t[max(0, i - 5) : i] + t[i + 2 : i + 7]] += 1
+    got = {(r.a, r.b): r for r in engine.QUERIES["doc_context_entropy"](spark, folder).collect()}
+    assert got.keys() == {p for p, c in want.items() if c.total() >= 5}
+    for p, r in got.items():
+        share = np.array(list(want[p].values())) / want[p].total()
+        assert r.cnt == want[p].total() and abs(r.entropy + (share * np.log(share + 1e-10)).sum()) < 2e-5
+
+
 def test_every_pair_has_a_cluster_score(spark, folder):
     stats = brute_stats()
-    got = {(r.a, r.b): r.cluster for r in engine.QUERIES["all_cluster_scores"](spark, folder).collect()}
+    got = {(r.a, r.b): r.cluster for r in engine.QUERIES["cluster_score"](spark, folder).collect()}
     assert got.keys() == stats.keys() and len(got) > 64
     for a, b in stats:
         w = 0
@@ -61,6 +75,16 @@ def test_every_pair_has_a_cluster_score(spark, folder):
 
 
 def test_queries_meet_all_other_vectors(spark, folder):
-    got = {(r.query_id, r.vec_id): r.d for r in engine.QUERIES["all_fr_distances"](spark, folder).collect()}
+    got = {(r.query_id, r.vec_id): r.d for r in engine.QUERIES["fr_distance_pairs"](spark, folder).collect()}
     assert got.keys() == {(q, v) for q in (0, 50, 100) for v in range(120) if v != q}
     assert got[50, 0] == got[0, 50]
+
+
+def test_many_queries_go_in_blocks(spark, folder):
+    points = engine._points(spark, folder)
+    queries = points.filter("vec_id % 2 = 0")
+    rows = lambda **o: {(r.query_id, r.vec_id): round(r.d, 9) for r in vectors.distances(points, queries, **o).collect()}
+    assert rows() == rows(block=7, share=25) and len(rows()) == 60 * 119
+    near = lambda **o: sorted(map(tuple, vectors.nearest(points, queries, 3, **o).select("query_id", "rank", "vec_id").collect()))
+    assert len(near()) == 180
+    assert vectors.distances(points, queries.limit(0)).count() == 0
