@@ -1,7 +1,13 @@
 """Corpus pipeline: language ID, exact dedup, near dedup, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return
-the columns of ``docs``.  ``run`` writes every stage's rows as Parquet to the shared folder and reads them again.
+the columns of ``docs``.  ``run`` writes every stage's rows as Parquet to the shared folder and reads them again; the last
+stage's rows stay there, those of the others are removed when the next stage is written.
+
+Odd input: null, empty and letterless texts go in the first stage; rows without an id are kept as their texts are (of equal
+texts, one); of rows that repeat an id and a text one is kept, and rows that share an id only are documents of their
+own; texts of any length are read whole; columns of any name pass through all stages but the last; an empty
+``documents`` or ``benchmark`` table gives no rows, or nothing to remove.
 """
 
 from __future__ import annotations
@@ -16,10 +22,12 @@ from fuseline.llm.exact_dedup import drop_exact_copies
 from fuseline.llm.langid import drop_unidentified
 from fuseline.llm.packing import pack_documents
 from fuseline.llm.simhash import drop_near_copies
+from fuseline.sources.shared import remove
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found (null texts, texts without a letter) go."""
+    """Documents in which no language is found go: null texts, texts without a letter, and texts of whose n-grams no
+    language has a tenth."""
     return drop_unidentified(docs)
 
 
@@ -59,8 +67,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         at = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before is not None:
+            remove(spark, before)  # what a stage has read is not needed any more
+        before = at
     return docs
