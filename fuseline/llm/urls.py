@@ -9,7 +9,9 @@ The model is trained on the driver from ``LABELLED``, a small table of labelled
 n-grams of host and path are hashed to ``2 ** bits`` weights.  It judges every URL that no rule decides.
 
 Odd input: a null URL or one without ``://`` has an empty host and an empty path and gets the model's verdict on
-those; empty tables give no rows; additional columns stay as they are.
+those; a URL of any length is judged whole (of its host only as many suffixes are formed as rules have labels);
+hosts with empty labels keep them; of rules of the same length the larger text wins; repeated rows are judged each by
+itself; empty tables give no rows; additional columns stay as they are (one that has the result's name is replaced).
 """
 
 from __future__ import annotations
@@ -139,7 +141,8 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULE
     )
     labels = F.split(host, r"\.", -1)
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, k, n), "."))
+    most = max(suffix.count(".") + 1 for suffix in by_host)
+    suffixes = F.transform(F.sequence(F.greatest(n - most + 1, F.lit(1)), n), lambda k: F.array_join(F.slice(labels, k, n), "."))
     own = F.flatten(F.transform(suffixes, lambda s: F.coalesce(F.element_at(table, s), F.array())))
     fits = F.filter(own, lambda r: F.startswith(path, r["path"]))
     # The longest first; the text itself settles ties.
