@@ -513,19 +513,24 @@ def _entropy_sql(source: str, min_count: int) -> str:
       GROUP BY a, b HAVING sum(c) >= {min_count}"""
 
 
-def _contexts(table: str, key: str, window: int) -> str:
-    """Rows (a, b, context) of a table: neighbours by window functions, the missing ones at the edges left out."""
+def _contexts(sequences: str, window: int) -> str:
+    """Rows (a, b, context) of ``sequences``, a query of (row_id, s) with lists of ids: neighbours by window functions, the
+    missing ones at the edges left out."""
     around = [f"lag(k, {n}) OVER w" for n in range(window, 0, -1)] + [f"lead(k, {n + 1}) OVER w" for n in range(1, window + 1)]
     return f"""SELECT a, b, context FROM (
         SELECT k AS a, lead(k) OVER w AS b, concat_ws(' ', {', '.join(around)}) AS context
-        FROM (SELECT {key} AS row_id, unnest(s) AS k, generate_subscripts(s, 1) AS pos FROM (SELECT {key}, {_IDS.format('text')} AS s FROM {table}))
+        FROM (SELECT row_id, unnest(s) AS k, generate_subscripts(s, 1) AS pos FROM ({sequences}))
         WINDOW w AS (PARTITION BY row_id ORDER BY pos)) WHERE b IS NOT NULL"""
 
 
+def _id_lists(table: str, key: str) -> str:
+    return f"SELECT {key} AS row_id, {_IDS.format('text')} AS s FROM {table}"
+
+
 def _entropy_stats_sql() -> str:
     return f"""{_base_sql()},
     size AS (SELECT sum(octet_length(encode(nfc_normalize(text))))::DOUBLE AS n FROM documents),
-    counted AS ({_entropy_sql(_contexts('documents', 'doc_id', 5), 5)}),
+    counted AS ({_entropy_sql(_contexts(_id_lists('documents', 'doc_id'), 5), 5)}),
     scored AS (
       SELECT a, b, cnt, cnt * least((cnt / size.n) / (d + 0.1) * 1000.0, 100.0) * (1.0 / (entropy + 0.1)) AS score
       FROM (SELECT a, b, cnt, entropy, {_apart('a', 'b', 'x.v', 'y.v')} AS d
@@ -573,8 +578,7 @@ def _training_sql(mode: str, steps: int, table: str, window: int = 5) -> str:
     ids = "list_transform(regexp_extract_all(s, '(?s).'), lambda c: ord(c))"
     at = "SELECT l, unnest(range(1, len(l))) AS i FROM ids"
     if mode == "entropy":
-        context = f"array_to_string(list_concat(l[greatest(i - {window}, 1):i - 1], l[i + 2:i + 1 + {window}]), ' ')"
-        counted = _entropy_sql(f"SELECT l[i] AS a, l[i + 1] AS b, {context} AS context FROM ({at})", 5)
+        counted = _entropy_sql(_contexts("SELECT k AS row_id, l AS s FROM ids", window), 5)
         score = "cnt * coupling * (1.0::DOUBLE / (entropy + 0.1))"
     else:
         counted = f"SELECT a, b, count(*) AS cnt, NULL::DOUBLE AS entropy FROM (SELECT l[i] AS a, l[i + 1] AS b FROM ({at})) GROUP BY a, b HAVING count(*) >= 5"
@@ -583,11 +587,11 @@ def _training_sql(mode: str, steps: int, table: str, window: int = 5) -> str:
     none = "NULL::INT, NULL::INT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT"
     return f"""WITH RECURSIVE {_base_sql()},
     run(step, kind, k, s, v, a, b, cnt, coupling, score, length) AS (
-      SELECT 0, 0, 0, {_SEQ.format('text')}, NULL::DOUBLE[], {none} FROM {table}
+      SELECT 0, 0, row_number() OVER (), {_SEQ.format('text')}, NULL::DOUBLE[], {none} FROM {table}
       UNION ALL SELECT 0, 1, k, NULL, v, {none} FROM base
       UNION ALL (
         WITH now AS MATERIALIZED (SELECT * FROM run WHERE step < {steps}),
-        ids AS MATERIALIZED (SELECT {ids} AS l FROM now WHERE kind = 0),
+        ids AS MATERIALIZED (SELECT k, {ids} AS l FROM now WHERE kind = 0),
         size AS (SELECT sum(len(l))::DOUBLE AS n FROM ids),
         best AS MATERIALIZED (
           SELECT a, b, cnt, coupling, {score} AS score, va, vb, (SELECT max(step) FROM now) AS step FROM (
@@ -595,8 +599,8 @@ def _training_sql(mode: str, steps: int, table: str, window: int = 5) -> str:
               SELECT counted.a, counted.b, counted.cnt, entropy, x.v AS va, y.v AS vb, {_apart('counted.a', 'counted.b', 'x.v', 'y.v')} AS d
               FROM ({counted}) counted JOIN now x ON x.kind = 1 AND x.k = counted.a JOIN now y ON y.kind = 1 AND y.k = counted.b), size)
           ORDER BY score DESC, a, b LIMIT 1),
-        texts AS MATERIALIZED (SELECT replace(now.s, chr(best.a) || chr(best.b), chr(256 + best.step)) AS s FROM now, best WHERE kind = 0)
-        SELECT best.step + 1, 0, 0, texts.s, NULL::DOUBLE[], {none} FROM texts, best
+        texts AS MATERIALIZED (SELECT now.k, replace(now.s, chr(best.a) || chr(best.b), chr(256 + best.step)) AS s FROM now, best WHERE kind = 0)
+        SELECT best.step + 1, 0, texts.k, texts.s, NULL::DOUBLE[], {none} FROM texts, best
         UNION ALL SELECT best.step + 1, 1, now.k, NULL, now.v, {none} FROM now, best WHERE kind = 1
         UNION ALL SELECT best.step + 1, 1, 256 + best.step, NULL, (SELECT {fused}), {none} FROM best
         UNION ALL SELECT best.step + 1, 2, 256 + best.step, NULL, NULL::DOUBLE[], a, b, cnt, coupling, score, (SELECT sum(length(s)) FROM texts)::BIGINT FROM best
@@ -639,8 +643,8 @@ def oracle() -> dict[str, str]:
         "byte_pair_counts": _DOC_PAIRS,
         "byte_pair_min5": f"{_DOC_PAIRS} HAVING count(*) >= 5",
         "pair_counts_by_lang": f"SELECT lang, a, b, count(*) AS cnt FROM ({_pair_sql('documents', _IDS.format('text'), 'lang,')}) GROUP BY lang, a, b",
-        "pair_context_entropy": f"SELECT a, b, cnt, round(entropy, 6) AS entropy FROM ({_entropy_sql(_contexts('benchmark', 'item_id', 5), 5)})",
-        "doc_context_entropy": f"SELECT a, b, cnt, round(entropy, 5) AS entropy FROM ({_entropy_sql(_contexts('documents', 'doc_id', 5), 5)})",
+        "pair_context_entropy": f"SELECT a, b, cnt, round(entropy, 6) AS entropy FROM ({_entropy_sql(_contexts(_id_lists('benchmark', 'item_id'), 5), 5)})",
+        "doc_context_entropy": f"SELECT a, b, cnt, round(entropy, 5) AS entropy FROM ({_entropy_sql(_contexts(_id_lists('documents', 'doc_id'), 5), 5)})",
         "pair_entropy_capped": _CAPPED,
         "pair_coupling": f"WITH {stats} SELECT a, b, cnt, round(d, 6) AS d, round(coupling, 4) AS coupling FROM stats",
         "pair_score_fast": f"WITH {stats} SELECT a, b, round(cnt * coupling, 2) AS score FROM stats",
