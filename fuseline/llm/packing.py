@@ -43,55 +43,25 @@ END_ID = 2
 # ------------------------------------------------------------------------------------------------- tokens
 
 
-#: Blocks that all Unicode versions in use see alike: Latin, Greek, Cyrillic, punctuation, symbols, common Han.
-_SETTLED = ((0x20, 0x52F), (0x2000, 0x22FF), (0x4E00, 0x9FA5))
-
-
-def _ranges(kind: str) -> str:
-    """Body of a character class: the settled code points whose general category begins with ``kind``."""
-    import unicodedata
-
-    out, start = [], None
-    for first, last in _SETTLED:
-        for c in range(first, last + 2):
-            inside = c <= last and unicodedata.category(chr(c))[0] == kind
-            if inside and start is None:
-                start = c
-            elif not inside and start is not None:
-                out.append(f"\\u{start:04x}-\\u{c - 1:04x}")
-                start = None
-    return "".join(out)
-
-
-class Cache(dict):
-    """What ``make`` returns for a key, for the most recently used keys: at least ``limit`` of them stay, at most
-    twice as many.  A hit is a plain dict look-up."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+#: Ranges whose characters have long had their classes in all Unicode versions in use: Latin, Greek, Cyrillic, Hebrew, Arabic,
+#: Devanagari, Thai, punctuation, symbols, kana, common Han, Hangul, full-width forms, emoji.
+_SETTLED = (
+    (0x20, 0x52F), (0x5D0, 0x5EA), (0x620, 0x64A), (0x660, 0x669), (0x900, 0x97F), (0xE01, 0xE3A), (0xE40, 0xE5B), (0x2000, 0x22FF),
+    (0x2500, 0x27BF), (0x3000, 0x303F), (0x3041, 0x3096), (0x3099, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFE0F, 0xFE0F),
+    (0xFF01, 0xFF5E), (0x1F300, 0x1FAFF),
+)
+#: The pre-tokens of byte-level BPE; a fixed value.
+_PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 class Tokens:
-    """Ids of the byte-level BPE in ``path`` as little-endian 32-bit integers, with a bounded cache.
+    """Ids of the byte-level BPE in ``path`` as little-endian 32-bit integers.
 
-    A blank between two characters that are not white always starts a pre-token, so the ids of the chunk from there to
-    the next such blank do not depend on its neighbours and are looked up whole.  Texts with code points on whose
-    class Unicode versions may differ, and those that hold the string of one of the tokenizer's added tokens, go
-    through the tokenizer itself.
+    The same vocabulary in ``ranks_path`` is read by a library that is several times faster.  Texts with code points on
+    whose class Unicode versions may differ, and those that hold the string of one of the tokenizer's added tokens,
+    go through the tokenizer itself.
     """
 
-    LIMIT = 80_000
     _loaded: dict[str, Tokens] = {}
 
     def __init__(self, path: str, ranks_path: str | None):
@@ -100,31 +70,17 @@ class Tokens:
         self.whole = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added) or r"(?!)").search
-        letters, digits = _ranges("L"), _ranges("N")
-        self.split = re.compile(
-            rf" ?[{letters}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{letters}{digits}]+| ?[{digits}]+|\s+(?!\S)|\s+"
-        ).findall
         settled = "".join(f"{chr(a)}-{chr(b)}" for a, b in _SETTLED)
         self.unsettled = re.compile(f"[^\t-\r{re.escape(settled[0])}{settled[1:]}]").search
-        self.other_white = re.compile(r"[^\S \n]").search
-        merge, split = self._merger(ranks_path), self.split
-        self.piece = Cache(lambda p: array("I", merge(p)).tobytes(), self.LIMIT).__getitem__
-        piece = self.piece
-        self.chunk = Cache(lambda c: b"".join(map(piece, split(" " + c))), self.LIMIT).__getitem__
-
-    def _merger(self, ranks_path: str | None):
-        if ranks_path is None:
-            return lambda piece: self.whole.encode(piece, add_special_tokens=False).ids
-        import base64
-
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        # The same vocabulary; only pre-tokens come here, which its pattern must leave whole.
-        fast = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        slow = self.whole  # whose time does not grow with the square of a very long piece
-        return lambda piece: fast(piece) if len(piece) < 200 else slow.encode(piece, add_special_tokens=False).ids
+        self.fast = None
+        if ranks_path is not None:
+            import base64
+
+            import tiktoken
+
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("pieces", pat_str=_PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @classmethod
     def of(cls, path: str, ranks_path: str | None) -> Tokens:
@@ -134,14 +90,9 @@ class Tokens:
         return cls._loaded[key]
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.unsettled(text) or self.special(text):
+        if self.fast is None or self.unsettled(text) or self.special(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self.other_white(text):
-            return b"".join(map(self.piece, self.split(text)))
-        head, *rest = text.split(" ")
-        return b"".join([*map(self.piece, self.split(head)), *map(self.chunk, rest)])
+        return array("I", self.fast(text)).tobytes()
 
 
 def tokenize(
@@ -156,7 +107,7 @@ def tokenize(
     """One row per piece: ``id``, ``piece``, ``start``, ``length`` and ``ids`` (little-endian unsigned 32-bit).
 
     ``tokenizer`` and ``ranks`` name files of the public tokenizers (or are paths); ``ranks`` holds the same
-    vocabulary for the library that merges single pre-tokens faster, None does without.  Only documents longer than ``capacity`` are cut; of their
+    vocabulary for the faster library, None does without.  Only documents longer than ``capacity`` are cut; of their
     pieces the first may be shorter, the others are full.
     """
 
