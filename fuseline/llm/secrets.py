@@ -120,8 +120,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
     key = Window.partitionBy("id", "raw")
-    before = key.orderBy("a", "k", "b").rowsBetween(Window.unboundedPreceding, -1)
-    after = key.orderBy("a", "k", "b").rowsBetween(1, Window.unboundedFollowing)
+    order = ["a", "k", "b"]
+    before = key.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # The rows behind are those before in the reverse order, whose running frame is linear.
+    after = key.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
 
     def near(*kinds: str) -> Column:
         """Whether a span of these kinds lies within the scope."""
