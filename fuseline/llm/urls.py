@@ -43,6 +43,11 @@ BLOCK_HOSTS = (
     "spam-farm.example.org", "link-farm.example.net", "spam-links.example.org", "seo-spam.example.net",
     "ads-track.example.org", "track-ads.example.net", "adserver.example.org", "click-ads.example.net",
     "free-money.example.org", "cheap-loans.example.net", "adult-cams.example.org", "xxx-video.example.net",
+    "win-lottery.example.org", "lottery-jackpot.example.net", "bets-and-poker.example.org", "poker-casino.example.net",
+    "viagra-pills.example.org", "cheap-viagra.example.net", "fast-money.example.org", "loans-online.example.net",
+    "adult-video.example.org", "xxx-cams.example.net", "spam-seo.example.org", "adserver-track.example.net",
+    "jackpot-win.example.org", "money-loans.example.net", "adult-xxx.example.org", "seo-farm.example.net",
+    "my-adserver.example.org", "sport-betting.example.net", "betting-bets.example.org", "click-track.example.net",
 )
 ALLOW_HOSTS = (
     "library.example.org", "news.example.net", "weather.example.org", "university.example.net", "museum.example.org",
@@ -52,6 +57,8 @@ ALLOW_HOSTS = (
     "wiki.example.org", "docs.example.net", "code.example.org", "research.example.net", "there.example.org",
     "nation.example.net", "other.example.org", "the.example.net", "that.example.org", "this.example.net",
     "their.example.org", "another.example.net", "without.example.org", "thing.example.net", "area.example.org",
+    "sports-news.example.net", "music-school.example.org", "city-museum.example.net", "nature-garden.example.org", "online-library.example.net",
+    "travel-books.example.org", "weather-now.example.net", "video-lessons.example.org", "winter-walks.example.net", "track-and-field.example.org",
 )
 _PREFIXES = ("", "www.", "m.", "blog.")
 _PATHS = ("/en/12", "/de/345/", "/fr/67.html", "/es/890")
