@@ -38,7 +38,7 @@ UNKNOWN = "und"
 RESULT = T.StructType(
     [T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("share", T.DoubleType())]
 )
-PORTION = 1 << 19
+PORTION = 1 << 17
 _ORDERS = (2, 3, 4)
 _BORDER = 1
 
