@@ -19,6 +19,7 @@ is capped or left out.  Sets travel only for texts that have a candidate.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +38,58 @@ def words_of(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8").translate(_WORDS).split())
 
 
-def shingles(line: bytes, size: int = 5) -> np.ndarray:
-    """Sorted hashes of the shingles of ``words_of`` a text, each once."""
+#: Bytes that are hashed at a time.
+_RUN = 1 << 18
+_FACTOR = 0x5851F42D4C957F2D
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of an odd factor and of its inverse, modulo 2^64, and a number for each byte."""
+    tables = []
+    for base in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
+        table = np.full(_RUN + 1, base, np.uint64)
+        table[0] = 1
+        tables.append(np.cumprod(table, dtype=np.uint64))
+    values = np.random.RandomState(SEED).randint(0, 1 << 62, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    return tables[0], tables[1], values
+
+
+def _hashes(line: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of substrings, which depend on their bytes alone: differences of a running polynomial, mixed."""
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
+    power, inverse, values = _powers()
+    out = np.empty(len(starts), np.uint64)
+    flat = np.frombuffer(line, np.uint8)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        until = int(np.searchsorted(ends, base + _RUN, side="right"))
+        if until <= at:  # one that is so long by itself
+            out[at] = xxhash.xxh64_intdigest(line[base : int(ends[at])], SEED)
+            at += 1
+            continue
+        own = flat[base : int(ends[until - 1])]
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[own] * power[: len(own)], dtype=np.uint64)])
+        first, last = starts[at:until] - base, ends[at:until] - base
+        h = (run[last] - run[first]) * inverse[first]
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xC4CEB9FE1A85EC53)
+        out[at:until] = h ^ h >> np.uint64(32)
+        at = until
+    return out
+
+
+def shingles(line: bytes, size: int = 5) -> np.ndarray:
+    """Sorted hashes of the shingles of ``words_of`` a text, each once."""
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     if len(gaps) < size:
-        return np.array([digest(line, SEED)], np.uint64)
-    starts = [0, *(gaps[: len(gaps) + 1 - size] + 1).tolist()]
-    ends = [*gaps[size - 1 :].tolist(), len(line)]
-    return np.unique(np.array([digest(line[i:j], SEED) for i, j in zip(starts, ends, strict=True)], np.uint64))
+        starts, ends = np.array([0]), np.array([len(line)])
+    else:
+        starts = np.concatenate([[0], gaps[: len(gaps) + 1 - size] + 1])
+        ends = np.concatenate([gaps[size - 1 :], [len(line)]])
+    return np.unique(_hashes(line, starts, ends))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -59,18 +101,26 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+@lru_cache(maxsize=4)
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.RandomState(SEED)
+    by = rng.randint(0, 1 << 31, n, np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    return by, rng.randint(0, 1 << 32, n, np.int64).astype(np.uint32)
+
+
 def band_keys(hashes: np.ndarray, bands: int = 30, rows: int = 5) -> np.ndarray:
     """One key for each band of the MinHash values of a set; keys of different bands differ too."""
     import xxhash
 
-    rng = np.random.RandomState(SEED)
-    by = rng.randint(0, 1 << 63, bands * rows, np.int64).astype(np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
-    plus = rng.randint(0, 1 << 63, bands * rows, np.int64).astype(np.uint64)[:, None]
-    least = np.full(bands * rows, ~np.uint64(0))
-    for k in range(0, len(hashes), 1 << 12):
-        part = hashes[None, k : k + (1 << 12)]
-        np.minimum(least, ((part ^ plus) * by).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), SEED + t) for t, b in enumerate(least.reshape(bands, rows))], np.uint64)
+    by, plus = _permutations(bands * rows)
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)[:, None]
+    least = np.full(bands * rows, ~np.uint32(0))
+    for k in range(0, len(upper), 256):
+        part = np.bitwise_xor(upper[k : k + 256], plus)
+        np.multiply(part, by, out=part)
+        np.minimum(least, part.min(axis=0), out=least)
+    raw, width = least.tobytes(), 4 * rows
+    return np.array([xxhash.xxh64_intdigest(raw[width * t : width * (t + 1)], SEED + t) for t in range(bands)], np.uint64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
