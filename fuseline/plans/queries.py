@@ -26,7 +26,7 @@ PARTS = (
 ).split()
 RESERVED = ("<|system|>", "<|user|>", "<|assistant|>", "<|u|>")
 #: Merges of the training queries.
-ENTROPY_MERGES, BENCH_MERGES, DOC_MERGES = 8, 256, 200
+ENTROPY_MERGES, BENCH_MERGES, DOC_MERGES, SAVED_MERGES = 8, 256, 200, 20
 
 
 @lru_cache(maxsize=1)
@@ -431,6 +431,24 @@ def training_ratio(spark, d):
     )
 
 
+def train_saved(spark, d):
+    """Rules of the newest model that a training with saves has left."""
+    folder = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    train(_corpus(spark, d, "benchmark"), 256 + SAVED_MERGES, "frequency", save_every=5, save_to=folder, keep=2)
+    return Model.load(spark, f"{folder}/model-{256 + SAVED_MERGES:08d}").rule_table(spark)
+
+
+def reserved_ids(spark, d):
+    """Ids of the reserved tokens, after some are registered again."""
+    model = demo_model().with_reserved((*RESERVED[:2], "<|end|>"))
+    return spark.createDataFrame(sorted(model.reserved.items()), "surface string, coord_id int")
+
+
+def token_scales(spark, d):
+    """Scale of each token."""
+    return demo_model().vocab(spark).select("coord_id", "scale")
+
+
 def model_roundtrip(spark, d):
     """Rules of a model after it was saved and loaded."""
     folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
@@ -628,6 +646,14 @@ def oracle() -> dict[str, str]:
     coverage_sql = f"""SELECT round(sum(n_bytes) FILTER (scale IN ('word', 'phrase', 'concept')) / sum(n_bytes), 6) AS coverage,
         round(coalesce(sum(n_bytes) FILTER (scale IN ('byte', 'char')), 0) / sum(n_bytes), 6) AS fallback
         FROM {doc_tokens} JOIN (VALUES {scales}) v(coord_id, scale, n_bytes) USING (coord_id)"""
+    token_scale = f"""rule AS (SELECT * FROM (VALUES {rule_rows}) t(rank, a, b)),
+            climb(n, steps) AS (  -- the step of each token on the ladder, bytes first; a fused one stands above the coarser part
+              SELECT 0, list_transform(range(256), lambda x: 0)
+              UNION ALL SELECT n + 1, list_append(steps, least(greatest(steps[a + 1], steps[b + 1]) + 1, 5)) FROM climb JOIN rule ON rank = n),
+            last AS (SELECT arg_max(steps, n) AS steps FROM climb),
+            token AS (SELECT ['byte', 'char', 'subword', 'word', 'phrase', 'concept'][step + 1] AS scale, k - 1 AS coord_id
+              FROM (SELECT unnest(steps) AS step, generate_subscripts(steps, 1) AS k FROM last)
+              UNION ALL SELECT 'special', len(steps) - 1 + row_number() OVER () FROM last, (VALUES {surfaces}) t(surface))"""
     dims = "SELECT {0}, dim, round({1}[dim + 1], 6) AS x FROM (SELECT {0}, {1}, unnest(range(0, len({1}))) AS dim FROM {2})"
     between = f"{_acos('x.p', 'y.p')}"
     return {
@@ -685,13 +711,12 @@ def oracle() -> dict[str, str]:
         "token_frequency": f"SELECT coord_id, count(*) AS cnt FROM {doc_tokens} GROUP BY coord_id",
         "compression_ratio": f"SELECT sum(strlen(text))::BIGINT AS n_bytes, sum(n)::BIGINT AS n_tokens, round(sum(n) / sum(strlen(text)), 6) AS ratio FROM (SELECT text, length({encoded}) AS n FROM documents)",
         "coverage_rate": coverage_sql,
-        "scale_distribution": f"""WITH RECURSIVE rule AS (SELECT * FROM (VALUES {rule_rows}) t(rank, a, b)),
-            climb(n, steps) AS (  -- the step of each token on the ladder, bytes first; a fused one stands above the coarser part
-              SELECT 0, list_transform(range(256), lambda x: 0)
-              UNION ALL SELECT n + 1, list_append(steps, least(greatest(steps[a + 1], steps[b + 1]) + 1, 5)) FROM climb JOIN rule ON rank = n),
-            token AS (SELECT ['byte', 'char', 'subword', 'word', 'phrase', 'concept'][step + 1] AS scale FROM (SELECT unnest(arg_max(steps, n)) AS step FROM climb)
-              UNION ALL SELECT 'special' FROM (VALUES {surfaces}) t(surface))
-            SELECT scale, count(*) AS n FROM token GROUP BY scale""",
+        "scale_distribution": f"WITH RECURSIVE {token_scale} SELECT scale, count(*) AS n FROM token GROUP BY scale",
+        "token_scales": f"WITH RECURSIVE {token_scale} SELECT coord_id, scale FROM token",
+        "reserved_ids": f"""SELECT surface, {256 + len(rules) - 1} + place AS coord_id FROM (
+            SELECT surface, row_number() OVER () AS place FROM (VALUES {surfaces}) t(surface))
+            UNION ALL SELECT '<|end|>', {256 + len(rules) + len(RESERVED)} + 2  -- a known name still counts as a step""",
+        "train_saved": f"SELECT step AS rank, a, b, new_id FROM ({_training_sql('frequency', SAVED_MERGES, 'benchmark')})",
         "vocab_size": f"SELECT 256 + (SELECT count(*) FROM (VALUES {rule_rows}) t(rank, a, b)) + (SELECT count(DISTINCT surface) FROM (VALUES {surfaces}) t(surface)) AS n",
         "avg_coupling": f"WITH {stats} SELECT round(avg(coupling), 4) AS avg_coupling FROM stats",
         "vocab_stats": f"""WITH {stats}, cover AS ({coverage_sql})
@@ -755,6 +780,6 @@ QUERIES = {
         coverage_rate, scale_distribution, vocab_size, avg_coupling, vocab_stats, scale_hierarchy, attach_points,
         sequence_velocity, granularity_case, simplex_project, simplex_project_sql, fr_distance_pairs, fr_nearest,
         midpoint_pairs, label_mean, center_distance, label_phi_kappa, label_frechet, train_entropy, train_frequency, train_documents,
-        train_phi, train_resumed, training_report, training_ratio, model_roundtrip, stream_encode,
+        train_phi, train_resumed, training_report, training_ratio, train_saved, reserved_ids, token_scales, model_roundtrip, stream_encode,
     )
 }
