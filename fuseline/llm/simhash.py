@@ -22,7 +22,8 @@ into hashed chunks, and each pair of chunks is a task's worth of its own, so tha
 left out.  Out of a bucket come the edges of a spanning forest, at most one per fingerprint, never all its pairs.
 
 Components come from alternating large-star and small-star steps on DataFrames, checkpointed each round; nothing but
-two numbers per round reaches the driver.
+two numbers per round reaches the driver.  The joins of these steps carry pairs of numbers only; a node with very many
+neighbours is left to the skew join of adaptive execution.
 
 Odd input: null or empty text has fingerprint zero; rows without an id are linked, but give no component its name
 (the component is null if none of its rows has an id); repeated rows are returned as often as they occur; an empty table gives no rows; additional
