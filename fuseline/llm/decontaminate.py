@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, checkpointed, fresh_name
+from .common import ascii_lower, checkpointed, fresh_name, small_batches
 
 #: A word in an original text, where capitals are not lower-cased yet.
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -187,7 +187,7 @@ def with_hits(
     """``docs`` with a struct column ``into``: ``n_words``, ``n_hit`` (words inside a match), ``items`` (ids found,
     ascending), ``word_runs`` (matched word ranges, united) and ``spans`` (the same as character offsets of the
     original text, end exclusive)."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     into = fresh_name(docs.columns, into)
     slices = checkpointed(_slices(benchmark, item_col, item_text_col, window))
     nodes = slices.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("n")).first()["n"]

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 _NAME_OF_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""[\s/]*(?:([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?|=)""")
 _SKIP = re.compile(r"[\s/]*")
@@ -445,4 +447,4 @@ def with_main_text(pages: DataFrame, into: str = "text", html_col: str = "html")
     def extract(pages_: pa.Array) -> pa.Array:
         return pa.array([main_text(p.as_py()) for p in pages_], pa.string())
 
-    return pages.withColumn(into, extract(F.col(html_col).cast("string")))
+    return small_batches(pages).withColumn(into, extract(F.col(html_col).cast("string")))

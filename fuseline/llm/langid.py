@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fresh_name
+from .common import checkpointed, fresh_name, small_batches
 
 UNKNOWN = "und"
 RESULT = T.StructType(
@@ -227,7 +227,7 @@ def train(
     Bounds: ``per_language`` documents expected of each language, ``max_ngrams`` n-grams of each.  What reaches the driver and
     the workers are the languages' names, those n-grams of one language after the other, and 2 ** ``bits`` slots.
     """
-    labelled = docs.filter(learn_from & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    labelled = small_batches(docs).filter(learn_from & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
@@ -295,7 +295,7 @@ def with_language(docs: DataFrame, model: Model | None, into: str = "language",
         kinds = (pa.string(), pa.float64(), pa.float64())
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], RESULT.names)
 
-    return docs.withColumn(into, predict(F.col(text_col).cast("string")))
+    return small_batches(docs).withColumn(into, predict(F.col(text_col).cast("string")))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh_name
+from .common import checkpointed, fresh_name, small_batches
 
 PARTITIONS = 16
 #: Rows of one partition and length that one task ranks, about.
@@ -149,7 +149,7 @@ def tokenize(
                 yield batch(rows)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         cut, f"id {kind}, piece int, start long, length long, ids binary"
     )
 

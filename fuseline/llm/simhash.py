@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, raw_hash, without
+from .common import checkpointed, raw_hash, small_batches, without
 from .similar import SEED, majority, prints_of, words_of
 from .similar import links as similar_links
 
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = np.fromiter((fingerprint(t.as_py(), size) for t in texts), np.uint64, len(texts))
         return pa.array(found.view(np.int64))
 
-    return docs.select(F.col(id_col).alias("id"), raw_hash(text_col).alias("raw"), of(F.col(text_col).cast("string")).alias("fp"))
+    return small_batches(docs).select(F.col(id_col).alias("id"), raw_hash(text_col).alias("raw"), of(F.col(text_col).cast("string")).alias("fp"))
 
 
 # ---------------------------------------------------------------------------------------------- bit planes

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, maybe_among, raw_hash
+from .common import checkpointed, maybe_among, raw_hash, small_batches
 
 SEED = 42
 _WORDS = bytes(32 if b in b" \t\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -247,7 +247,7 @@ def prints_of(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int
             found.append(np.concatenate([head, band_keys(own, bands, rows)]).view(np.int64))
         return pa.array(found, pa.list_(pa.int64()))
 
-    each = docs.select(F.col(id_col).alias("id"), raw_hash(text_col).alias("raw"), of(F.col(text_col).cast("string")).alias("all"))
+    each = small_batches(docs).select(F.col(id_col).alias("id"), raw_hash(text_col).alias("raw"), of(F.col(text_col).cast("string")).alias("all"))
     return each.select("id", "raw", F.col("all")[0].alias("node"), F.col("all")[1].alias("fp"), F.slice("all", 3, bands).alias("keys"))
 
 

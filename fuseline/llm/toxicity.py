@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 
 BITS = 20
 MOST = 1024
@@ -193,7 +193,7 @@ def train(
     # Twice what is expected: a bound, not a cut; if it ever cuts, the smallest hashes stay.
     chosen = rows.filter(place < part).orderBy(place, "id").limit(4 * per_class)
 
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    d = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # An id that repeats counts once, with the smallest of its texts.
     sample = checkpointed(d.join(F.broadcast(chosen), "id").groupBy("id", *names).agg(F.min("text").alias("text")))
     sums = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names]).first()
@@ -264,4 +264,4 @@ def with_toxicity(docs: DataFrame, models: list[Linear], names: Sequence[str], i
         p = np.concatenate(out)
         return pa.StructArray.from_arrays([pa.array(p[:, k]) for k in range(len(names))], list(names))
 
-    return docs.withColumn(into, predict(F.col(text_col).cast("string")))
+    return small_batches(docs).withColumn(into, predict(F.col(text_col).cast("string")))
