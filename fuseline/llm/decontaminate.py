@@ -2,7 +2,7 @@
 
 Normalisation: A-Z lower-cased, words are runs of 0-9, a-z and non-ASCII characters.  Every run of ``window`` words of
 an item is a pattern (an item of fewer words, but not none, is one pattern as a whole).  The automaton's symbols are
-words, numbered over the items; a word that no item has leads back to its root.  A text is scanned once; matches are
+words, each written as one character; a word that no item has leads back to its root.  A text is scanned once; matches are
 word ranges, which are mapped to character offsets of the original only where there is a match.
 
 Memory.  A window of ten words is ten nodes at most, whatever the words' length.  Items are cut into slices that keep
@@ -66,20 +66,26 @@ class Scanner:
     def __init__(self, slices: Iterable[Slice], window: int):
         import ahocorasick
 
-        self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set] = {}
+        self.symbol: dict[bytes, str] = {}
+        found: dict[str, set] = {}
         for item, text in slices:
-            # 0 is a word that no item has.
-            words = [self.number.setdefault(w, len(self.number) + 1) for w in text.encode("utf-8").split()]
+            words = "".join([self._symbol(w) for w in text.encode("utf-8").split()])
             for k in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[k : k + window]), set()).add(item)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                found.setdefault(words[k : k + window], set()).add(item)
+        self.automaton = ahocorasick.Automaton()
         self.empty = not found
         self.shortest = min(map(len, found), default=0)
         for key, items in found.items():
             self.automaton.add_word(key, (len(key), tuple(sorted(i for i in items if i is not None))))
         self.automaton.make_automaton()
 
+    def _symbol(self, word: bytes) -> str:
+        """The character that stands for a word of the items; U+0000 is a word that none has."""
+        if word not in self.symbol:
+            n = len(self.symbol) + 1
+            self.symbol[word] = chr(n if n < 0xD800 else n + 0x800)
+        return self.symbol[word]
+
     @classmethod
     def of(cls, name: str, slices, window: int) -> Scanner:
         if name not in cls._built:
@@ -92,9 +98,9 @@ class Scanner:
         words = _words(text) if text else []
         if len(words) < self.shortest or self.empty or not words:
             return len(words), [], set()
-        number = self.number
+        symbol = self.symbol.get
         runs, items = [], set()
-        for end, (length, ids) in self.automaton.iter(tuple([number.get(w, 0) for w in words])):
+        for end, (length, ids) in self.automaton.iter("".join([symbol(w, "\0") for w in words])):
             runs.append((end + 1 - length, end + 1))
             items.update(ids)
         return len(words), runs, items
