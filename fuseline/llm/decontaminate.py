@@ -2,10 +2,10 @@
 
 Normalisation: A-Z lower-cased, words are runs of 0-9, a-z and non-ASCII characters.  Every run of ``window`` words of
 an item is a pattern (an item of fewer words, but not none, is one pattern as a whole).  The automaton's symbols are
-words, each written as one character; a word that no item has leads back to its root.  A text is scanned once; matches are
+words, each written as two characters; a word that no item has leads back to its root.  A text is scanned once; matches are
 word ranges, which are mapped to character offsets of the original only where there is a match.
 
-Memory.  A window of ten words is ten nodes at most, whatever the words' length.  Items are cut into slices that keep
+Memory.  A window of ten words is twenty nodes at most, whatever the words' length.  Items are cut into slices that keep
 every window, and dealt into blocks of about ``max_nodes`` nodes (64 bytes each, and as much again for the patterns, in
 each worker).  What is broadcast are the words of one block, a few megabytes; the driver holds one block's at a
 time.  One block is the usual case.  With more, each is scanned for in a job of its own, which writes down what it
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -66,26 +67,24 @@ class Scanner:
     def __init__(self, slices: Iterable[Slice], window: int):
         import ahocorasick
 
-        self.symbol: dict[bytes, str] = {}
+        items = [(item, text.encode("utf-8").split()) for item, text in slices]
+        known = dict.fromkeys(w for _, words in items for w in words)
+        # Two characters a word, of alphabets apart: a node's children are searched one by one, and the root has one for
+        # each first character.
+        base = 1 + int(len(known) ** 0.5)
+        self.symbol = {w: chr(1 + k // base) + chr(2 + base + k % base) for k, w in enumerate(known)}
         found: dict[str, set] = {}
-        for item, text in slices:
-            words = "".join([self._symbol(w) for w in text.encode("utf-8").split()])
+        for item, words in items:
+            line = "".join([self.symbol[w] for w in words])
             for k in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(words[k : k + window], set()).add(item)
+                found.setdefault(line[2 * k : 2 * (k + window)], set()).add(item)
         self.automaton = ahocorasick.Automaton()
         self.empty = not found
-        self.shortest = min(map(len, found), default=0)
-        for key, items in found.items():
-            self.automaton.add_word(key, (len(key), tuple(sorted(i for i in items if i is not None))))
+        self.shortest = min(map(len, found), default=0) // 2
+        for key, ids in found.items():
+            self.automaton.add_word(key, (len(key) // 2, tuple(sorted(i for i in ids if i is not None))))
         self.automaton.make_automaton()
 
-    def _symbol(self, word: bytes) -> str:
-        """The character that stands for a word of the items; U+0000 is a word that none has."""
-        if word not in self.symbol:
-            n = len(self.symbol) + 1
-            self.symbol[word] = chr(n if n < 0xD800 else n + 0x800)
-        return self.symbol[word]
-
     @classmethod
     def of(cls, name: str, slices, window: int) -> Scanner:
         if name not in cls._built:
@@ -98,10 +97,11 @@ class Scanner:
         words = _words(text) if text else []
         if len(words) < self.shortest or self.empty or not words:
             return len(words), [], set()
-        symbol = self.symbol.get
+        line = "".join(map(self.symbol.get, words, repeat("\0\0")))  # no item has that word
         runs, items = [], set()
-        for end, (length, ids) in self.automaton.iter("".join([symbol(w, "\0") for w in words])):
-            runs.append((end + 1 - length, end + 1))
+        for end, (length, ids) in self.automaton.iter(line):
+            word = (end + 1) // 2
+            runs.append((word - length, word))
             items.update(ids)
         return len(words), runs, items
 
@@ -176,7 +176,7 @@ def _slices(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), words.alias("w")).filter(F.size("w") > 0).distinct()
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(SLICE))
     each = items.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at") + 1, F.lit(SLICE + window - 1)).alias("w"))
-    nodes = F.greatest(F.size("w") - window + 1, F.lit(1)) * F.least(F.size("w"), F.lit(window))
+    nodes = F.greatest(F.size("w") - window + 1, F.lit(1)) * F.least(F.size("w"), F.lit(window)) * 2
     return each.select("item", F.array_join("w", " ").alias("words"), nodes.cast("long").alias("nodes"))
 
 

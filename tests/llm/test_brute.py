@@ -346,7 +346,7 @@ def test_an_automaton_is_bounded_by_its_nodes(spark):
     items = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(300))) for k in range(60)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     nodes = decontaminate._slices(bench, "item_id", "text", 10).agg(F.sum("nodes")).first()[0]
-    assert nodes == 60 * 291 * 10
+    assert nodes == 60 * 291 * 10 * 2
     scanner = decontaminate.Scanner([(k, t) for k, t in items], 10)
     assert scanner.automaton.get_stats()["nodes_count"] <= nodes + 1
     docs = spark.createDataFrame([(k, "x " + t[: len(t) // 2] + " y") for k, t in items[:20]] * 2 + [(99, None)], "doc_id long, text string")
