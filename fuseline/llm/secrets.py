@@ -106,7 +106,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = (
         docs.select(F.col(id_col).alias("id"), plain.alias("text"))
         .select("id", "text", F.rlike(F.col("text"), F.lit(LONG_RUN)).alias("run"))
-        .select("id", F.xxhash64("text").alias("raw"), F.explode(F.concat(header, *arrays)).alias("m"))
+        # Hashed below the explode: beside it, the whole text would be hashed again for each match.
+        .select("id", F.xxhash64("text").alias("raw"), F.concat(header, *arrays).alias("ms"))
+        .select("id", "raw", F.explode("ms").alias("m"))
         # Rows of repeated documents fall together here and are counted by their headers.
         .groupBy("id", "raw", "m.k", "m.i", "m.gap", "m.size", "m.counts")
         .agg(F.count(F.lit(1)).alias("n"))
