@@ -233,11 +233,12 @@ class PieceModel:
         joined = b"".join(map(raw.__getitem__, ids))
         if self.prefix_space and first < len(ids) and kinds[ids[first]] == NORMAL and joined[:1] == b" ":
             joined = joined[1:]
-        try:
-            return joined.decode()
-        except UnicodeDecodeError:
-            pass
-        out, run, text = [], bytearray(), []
+        if CONTROL not in {kinds[k] for k in ids[first:-1]}:  # else a control id parts two runs of bytes
+            try:
+                return joined.decode()
+            except UnicodeDecodeError:
+                pass
+        out, run = [], bytearray()
         for n, k in enumerate(ids):
             if kinds[k] == BYTE:
                 run += raw[k]
@@ -247,7 +248,7 @@ class PieceModel:
                 run = bytearray()
             piece = raw[k].decode()
             out.append(piece[1:] if n == first and self.prefix_space and kinds[k] == NORMAL and piece[:1] == " " else piece)
-        return "".join(out) + _loose(run) + "".join(text)
+        return "".join(out) + _loose(run)
 
 
 def _loose(data: bytes) -> str:
