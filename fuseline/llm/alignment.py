@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import scratch
-from .common import BROADCAST_ROWS, checkpointed
+from .common import BROADCAST_ROWS, checkpointed, joined_back
 from .packing import Tokens
 from .pieces import MODEL, PieceModel, path_of
 
@@ -198,22 +198,6 @@ def pair_counts(links: DataFrame) -> DataFrame:
     return counts.join(highest, "b").select("a", "b", "cnt", (F.col("cnt") == F.col("highest")).alias("best"))
 
 
-def with_counts(links: DataFrame, counts: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``links`` (with a, b) and their pair's ``cnt`` and ``best``; ``counts`` has every pair and is read several times."""
-    levels = counts.groupBy(F.floor(F.log2("cnt")).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
-    held, least = 0, 64  # levels are 63 at most
-    for level, n in sorted(((r["level"], r["n"]) for r in levels), reverse=True):
-        if held + n > most:
-            break
-        held, least = held + n, level
-    if held == sum(r["n"] for r in levels):
-        return links.join(F.broadcast(counts), ["a", "b"])
-    hot = F.floor(F.log2("cnt")).cast("int") >= least
-    tried = links.join(F.broadcast(counts.filter(hot)), ["a", "b"], "left")
-    rest = tried.filter("cnt is null").drop("cnt", "best").join(counts.filter(~hot), ["a", "b"])
-    return tried.filter("cnt is not null").unionByName(rest)
-
-
 def alignment_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_ROWS, **options) -> DataFrame:
     """One row per text: what ``align_tokens`` gives without the pairs, and ``n_best`` (links whose count is the highest of
     their B id) and ``count_sum`` (sum of the counts of all links)."""
@@ -226,7 +210,7 @@ def alignment_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     counts = checkpointed(pair_counts(links))
     sums = (
-        with_counts(links, counts, most)
+        joined_back(links, counts, ["a", "b"], "cnt", most)
         .groupBy("row")
         .agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("cnt")).alias("count_sum"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
 
-__all__ = ["ascii_lower", "checkpointed", "fresh_name", "maybe_among", "raw_hash", "shared_folder", "small_batches", "table", "without"]
+__all__ = ["ascii_lower", "checkpointed", "fresh_name", "joined_back", "maybe_among", "raw_hash", "shared_folder", "small_batches", "table", "without"]
 
 #: Rows of narrow keys up to which a side is broadcast (about 16 bytes each).
 BROADCAST_ROWS = 500_000
@@ -115,3 +115,23 @@ def without(rows: DataFrame, id_col: str, text_col: str, gone: DataFrame) -> Dat
     marked = flagged(rows, F.xxhash64(F.col(id_col), raw_hash(text_col)), gone.select(F.xxhash64("id", "raw").alias("key")), n, flag)
     suspects = marked.filter(flag).drop(flag)
     return marked.filter(~F.col(flag)).drop(flag).unionByName(anti(suspects, gone.hint("shuffle_hash")))
+
+
+def joined_back(rows: DataFrame, totals: DataFrame, keys: list[str], times: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` with the columns of ``totals``, which has one row for every combination of ``keys`` in them and, as ``times``, in
+    how many rows (or how often) it occurs; read several times, so written down before.
+
+    Up to ``most`` totals (counted) are broadcast.  Of more, those that occur most are broadcast, as many as fit, and only
+    rows of the others meet their total in a shuffle; none of those can be hot, as ``most`` / 2 others are as frequent."""
+    level = F.floor(F.log2(times)).cast("int")
+    levels = totals.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()  # 64 rows at most
+    held, least = 0, 64
+    for k, n in sorted(((r["level"], r["n"]) for r in levels), reverse=True):
+        if held + n > most:
+            break
+        held, least = held + n, k
+    if held == sum(r["n"] for r in levels):
+        return rows.join(F.broadcast(totals), keys)
+    tried = rows.join(F.broadcast(totals.filter(level >= least)), keys, "left")
+    rest = tried.filter(F.col(times).isNull()).select(*rows.columns).join(totals.filter(level < least), keys)
+    return tried.filter(F.col(times).isNotNull()).unionByName(rest)

@@ -112,7 +112,33 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(common.table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
 
 
-QUERIES = {"op4_toxicity": op4_toxicity, "op6_chat_format": op6_chat_format, "op9_secrets": op9_secrets, "op3_html_text": op3_html_text, "op8_url_filter": op8_url_filter, "op1_best_fit_packing": op1_best_fit_packing, "op5_language_id": op5_language_id, "op2_exact_dedup": op2_exact_dedup, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codebooks import compress
+
+    coded, books = compress(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import alignment_report
+
+    return alignment_report(common.table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import decode_pieces, encode_pieces
+
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", encode_pieces(F.col("text"), end_id=True).alias("ids"))
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return docs.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2(decode_pieces(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op4_toxicity": op4_toxicity, "op6_chat_format": op6_chat_format, "op9_secrets": op9_secrets, "op3_html_text": op3_html_text, "op8_url_filter": op8_url_filter, "op1_best_fit_packing": op1_best_fit_packing, "op5_language_id": op5_language_id, "op2_exact_dedup": op2_exact_dedup, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate, "op11_vector_codes": op11_vector_codes, "op12_token_alignment": op12_token_alignment, "op13_pieces": op13_pieces}
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _W = _WORDS.format(_NORM)
 
@@ -139,4 +165,36 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE = {"op10_decontaminate": OP10_SQL, "op2_exact_dedup": OP2_SQL}
+
+
+def _op11_sql(rounds: int = 6) -> str:
+    """Lloyd rounds with a full recount in each, as a chain of tables: parts, then assignment and codebook of every round."""
+
+    def assigned(k: int) -> str:
+        far = "list_sum(list_transform(list_zip(t.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"""
+a{k} AS MATERIALIZED (SELECT r, p, min({{'d': d, 'e': e}}) AS best FROM (SELECT r, p, e, {far} AS d FROM part AS t JOIN b{k} AS b USING (p)) GROUP BY r, p)"""
+
+    def moved(k: int) -> str:
+        return f"""
+b{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{k} AS b LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x
+    FROM (SELECT p, best.e AS e, i, sum(t.x[i])::BIGINT AS s, count(*) AS n FROM part AS t JOIN a{k} USING (r, p), unnest(range(1, len(t.x) + 1)) AS u(i) GROUP BY ALL)
+    GROUP BY p, e) AS m USING (p, e))"""
+
+    chain = ",".join(assigned(k) + "," + moved(k) for k in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT r, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM kept, range(8) AS q(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x FROM part WHERE r <= 16),{chain},{assigned(rounds)},
+digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest
+"""
+
+
+ORACLE = {"op11_vector_codes": _op11_sql(), "op10_decontaminate": OP10_SQL, "op2_exact_dedup": OP2_SQL}
