@@ -6,6 +6,7 @@ Encoding is a narrow map over rows; it runs unchanged on a stream.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,8 @@ from pyspark.sql import types as T
 from ..functions import simplex
 from ..functions.text import char_id, id_char, normalize_text, seq_ids
 from ..plans.model import SCALES, Model
-from .rewrite import apply_rules, rule_strings
+from .merging import Merger, expansions
+from .rewrite import apply_rules
 
 
 def base_with_reserved(text: Column, model: Model) -> Column:
@@ -56,11 +58,12 @@ def encode(text: Column, model: Model, engine: str = "arrow") -> Column:
     the JVM.  Both give the same sequence."""
     if engine != "arrow":
         return apply_rules(base_with_reserved(text, model), model.rules, engine)
-    one = encoder(model)
 
     @F.arrow_udf(T.StringType())
-    def encoded(texts: pa.Array) -> pa.Array:
-        return pa.array([t if not t else one(t) for t in texts.to_pylist()], pa.string())
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        many = encoder(model)
+        for texts in batches:
+            yield pa.array(many(texts.to_pylist()), pa.string())
 
     return encoded(text)
 
@@ -78,37 +81,33 @@ def expand_ids(seq: Column, model: Model) -> Column:
 
 
 def encoder(model: Model):
-    """Encoding of one text as a plain function."""
+    """Encoding of a list of texts as a plain function; nulls stay."""
     import unicodedata
 
-    strings = [rule_strings(r) for r in model.rules]
+    merger = Merger(model.rules)
     surfaces = sorted(model.reserved, key=len, reverse=True)
     split = re.compile("(" + "|".join(map(re.escape, surfaces)) + ")").split if surfaces else lambda t: [t]
 
-    def encode_one(text: str) -> str:
+    def base(text: str) -> str:
         out = []
         for k, piece in enumerate(split(text)):
             if k % 2:
                 out.append(id_char(model.reserved[piece]))
             else:
                 out.append((piece if piece.isascii() else unicodedata.normalize(model.form, piece)).encode().decode("latin-1"))
-        seq = "".join(out)
-        for pair, new in strings:  # no rule has a reserved token
-            seq = seq.replace(pair, new)
-        return seq
+        return "".join(out)
 
-    return encode_one
+    # No rule has a reserved token, so none is fused.
+    return lambda texts: merger.apply([t and base(t) for t in texts])
 
 
 def decoder(model: Model, strict: bool = False):
     """Decoding of one sequence as a plain function."""
-    undo = [rule_strings(r) for r in reversed(model.rules)]
+    table = expansions(model.rules)
     surfaces = {id_char(token): name for name, token in model.reserved.items()}
 
     def decode_one(seq: str) -> str:
-        for pair, new in undo:
-            seq = seq.replace(new, pair)
-        parts = re.split("([^\x00-\xff])", seq)
+        parts = re.split("([^\x00-\xff])", seq.translate(table))
         for k, p in enumerate(parts):
             if k % 2 == 0:
                 parts[k] = p.encode("latin-1").decode("utf-8", "replace")
@@ -126,11 +125,12 @@ def decoder(model: Model, strict: bool = False):
 def decode(seq: Column, model: Model, strict: bool = False) -> Column:
     """Text of an encoded sequence.  Runs of bytes between reserved tokens are decoded each on its own, with
     replacement where they are not valid UTF-8.  Ids the model does not know become U+FFFD, or fail when ``strict``."""
-    one = decoder(model, strict)
 
     @F.arrow_udf(T.StringType())
-    def text(seqs: pa.Array) -> pa.Array:
-        return pa.array([s and one(s) for s in seqs.to_pylist()], pa.string())
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = decoder(model, strict)
+        for seqs in batches:
+            yield pa.array([s and one(s) for s in seqs.to_pylist()], pa.string())
 
     return text(seq)
 

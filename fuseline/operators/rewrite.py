@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import char_id, id_char
+from .merging import Merger, expansions
 
 Rule = tuple[int, int, int]
 
@@ -28,46 +29,40 @@ def fuse(seq: Column, rule: Rule) -> Column:
 def apply_rules(seq: Column, rules: Sequence[Rule], engine: str = "arrow") -> Column:
     """All rules in learned order.
 
-    ``sql`` folds ``replace`` over a literal array inside the JVM; ``arrow`` does the same passes on Arrow batches,
-    several times faster for long rule lists.  Both give the same sequence.
+    ``sql`` folds ``replace`` over a literal array inside the JVM, a pass for each rule; ``arrow`` merges Arrow batches by
+    rank (``merging``), with work that follows the fusions and not the number of rules.  Both give the same sequence.
     """
-    strings = [rule_strings(r) for r in rules]
-    if not strings:
+    if not rules:
         return seq
     if engine == "sql":
+        strings = [rule_strings(r) for r in rules]
         table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(n).alias("n")) for p, n in strings])
         return F.aggregate(table, seq, lambda acc, r: F.replace(acc, r["p"], r["n"]))
     if engine != "arrow":
         raise ValueError("engine must be 'sql' or 'arrow'")
 
+    rules = list(rules)
+
     @F.arrow_udf(T.StringType())
-    def passes(seqs: pa.Array) -> pa.Array:
-        out = []
-        for s in seqs.to_pylist():
-            if s:
-                for pair, new in strings:
-                    s = s.replace(pair, new)
-            out.append(s)
-        return pa.array(out, pa.string())
+    def merged_seqs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        merger = Merger(rules)
+        for seqs in batches:
+            yield pa.array(merger.apply(seqs.to_pylist()), pa.string())
 
-    return passes(seq)
+    return merged_seqs(seq)
 
 
 def undo_rules(seq: Column, rules: Sequence[Rule]) -> Column:
-    """Every learned token back to bytes; reserved tokens stay."""
-    strings = [rule_strings(r) for r in reversed(rules)]
-    if not strings:
+    """Every learned token back to bytes; reserved tokens stay.  One look-up a token, whatever the number of rules."""
+    if not rules:
         return seq
+    rules = list(rules)
 
     @F.arrow_udf(T.StringType())
-    def expand(seqs: pa.Array) -> pa.Array:
-        out = []
-        for s in seqs.to_pylist():
-            if s:
-                for pair, new in strings:
-                    s = s.replace(new, pair)
-            out.append(s)
-        return pa.array(out, pa.string())
+    def expand(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = expansions(rules)
+        for seqs in batches:
+            yield pa.array([s and s.translate(table) for s in seqs.to_pylist()], pa.string())
 
     return expand(seq)
 

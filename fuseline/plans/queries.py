@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,7 @@ from ..functions import scores, simplex, text
 from ..operators import codec, pairs, rewrite
 from ..operators import vectors as V
 from ..sources.corpus import read_table, to_sequences
-from ..sources.shared import shared_folder
+from ..sources.shared import scratch
 from ..streaming.encode import encode_stream
 from .model import Model
 from .train import train
@@ -26,7 +25,7 @@ PARTS = (
 ).split()
 RESERVED = ("<|system|>", "<|user|>", "<|assistant|>", "<|u|>")
 #: Merges of the training queries.
-ENTROPY_MERGES, BENCH_MERGES, DOC_MERGES, SAVED_MERGES = 8, 256, 200, 20
+ENTROPY_MERGES, LONG_MERGES, DOC_MERGES, PHI_MERGES, SAVED_MERGES, CODEC_MERGES = 8, 400, 200, 8, 40, 96
 
 
 @lru_cache(maxsize=1)
@@ -286,14 +285,6 @@ def coverage_rate(spark, d):
     return found.select(_r("coverage").alias("coverage"), _r("fallback").alias("fallback"))
 
 
-def scale_distribution(spark, d):
-    return codec.scale_distribution(demo_model().vocab(spark))
-
-
-def vocab_size(spark, d):
-    return demo_model().vocab(spark).agg(F.count(F.lit(1)).alias("n"))
-
-
 def avg_coupling(spark, d):
     return codec.average_coupling(_stats(spark, d)).select(_r("avg_coupling", 4).alias("avg_coupling"))
 
@@ -397,8 +388,8 @@ def train_entropy(spark, d):
 
 
 def train_frequency(spark, d):
-    """256 merges by frequency over the benchmark items."""
-    return _short_log(train(_corpus(spark, d, "benchmark"), 256 + BENCH_MERGES, "frequency").log(spark))
+    """400 merges by frequency over the documents, in a table that is written anew more often than by default."""
+    return _short_log(train(_corpus(spark, d, "documents"), 256 + LONG_MERGES, "frequency", cut_every=64).log(spark))
 
 
 def train_documents(spark, d):
@@ -407,18 +398,26 @@ def train_documents(spark, d):
 
 
 def train_phi(spark, d):
-    return train(_corpus(spark, d, "benchmark"), 272, "phi", window=3).log(spark)
+    return train(_corpus(spark, d, "documents"), 256 + PHI_MERGES, "phi", window=3).log(spark)
 
 
 def train_resumed(spark, d):
-    """The second half of the merges over the benchmark items, after a first training has ended."""
-    seqs = _corpus(spark, d, "benchmark")
-    first = train(seqs, 256 + BENCH_MERGES // 2, "frequency")
-    return _short_log(train(seqs, 256 + BENCH_MERGES, "frequency", model=first.model).log(spark))
+    """The second half of the merges over the documents, after a first training has ended."""
+    seqs = _corpus(spark, d, "documents")
+    first = train(seqs, 256 + DOC_MERGES // 2, "frequency")
+    return _short_log(train(seqs, 256 + DOC_MERGES, "frequency", model=first.model).log(spark))
+
+
+def train_restarted(spark, d):
+    """A training over the documents that is stopped twice, once behind a manifest, and goes on from its state."""
+    seqs, folder = _corpus(spark, d, "documents"), scratch(spark, "state")
+    for merges in (DOC_MERGES // 3, DOC_MERGES // 2, DOC_MERGES):
+        out = train(seqs, 256 + merges, "frequency", cut_every=48, state_to=folder)
+    return _short_log(out.log(spark))
 
 
 def training_report(spark, d):
-    report = train(_corpus(spark, d, "benchmark"), 256 + BENCH_MERGES, "frequency").report
+    report = train(_corpus(spark, d, "documents"), 256 + DOC_MERGES, "frequency").report
     return spark.createDataFrame([tuple(float(x) for x in report.values())], ", ".join(f"{k} double" for k in report))
 
 
@@ -433,32 +432,61 @@ def training_ratio(spark, d):
 
 def train_saved(spark, d):
     """Rules of the newest model that a training with saves has left."""
-    folder = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
-    train(_corpus(spark, d, "benchmark"), 256 + SAVED_MERGES, "frequency", save_every=5, save_to=folder, keep=2)
+    folder = scratch(spark, "saved")
+    train(_corpus(spark, d, "documents"), 256 + SAVED_MERGES, "frequency", save_every=5, save_to=folder, keep=2)
     return Model.load(spark, f"{folder}/model-{256 + SAVED_MERGES:08d}").rule_table(spark)
 
 
+def _learned(spark, d) -> Model:
+    """A model of rules learned on the documents, with reserved tokens."""
+    return train(_corpus(spark, d, "documents"), 256 + CODEC_MERGES, "frequency").model.with_reserved(RESERVED)
+
+
+def encode_learned(spark, d):
+    """The documents encoded with rules learned on them."""
+    out = codec.encode(F.col("text"), _learned(spark, d))
+    rows = _docs(spark, d).select("doc_id", out.alias("seq"))
+    return rows.select("doc_id", F.char_length("seq").cast("long").alias("n_tokens"), F.md5("seq").alias("digest"))
+
+
+def scale_distribution(spark, d):
+    """Tokens of each scale in a learned vocabulary."""
+    return codec.scale_distribution(_learned(spark, d).vocab(spark))
+
+
+def vocab_size(spark, d):
+    return _learned(spark, d).vocab(spark).agg(F.count(F.lit(1)).alias("n"))
+
+
 def reserved_ids(spark, d):
-    """Ids of the reserved tokens, after some are registered again."""
-    model = demo_model().with_reserved((*RESERVED[:2], "<|end|>"))
+    """Ids of the reserved tokens of a learned model, after some are registered again."""
+    model = _learned(spark, d).with_reserved((*RESERVED[:2], "<|end|>"))
     return spark.createDataFrame(sorted(model.reserved.items()), "surface string, coord_id int")
 
 
 def token_scales(spark, d):
-    """Scale of each token."""
-    return demo_model().vocab(spark).select("coord_id", "scale")
+    """Scale of each token of a learned vocabulary."""
+    return _learned(spark, d).vocab(spark).select("coord_id", "scale")
 
 
 def model_roundtrip(spark, d):
-    """Rules of a model after it was saved and loaded."""
-    folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
-    demo_model().save(spark, folder)
+    """Rules of a learned model after it was saved and loaded."""
+    folder = scratch(spark, "model")
+    _learned(spark, d).save(spark, folder)
     return Model.load(spark, folder).rule_table(spark)
 
 
+def model_tables(spark, d):
+    """First components of the points of a learned model, from its Parquet tables."""
+    folder = scratch(spark, "model")
+    _learned(spark, d).save_tables(spark, folder)
+    vocab = spark.read.parquet(f"{folder}/vocab").filter("scale <> 'special'")
+    return vocab.select("coord_id", _r(F.element_at("vector", 1)).alias("first_component"))
+
+
 def stream_encode(spark, d):
     """The documents as a stream of files, encoded into files."""
-    folder = f"{shared_folder(spark)}/encoded-{uuid.uuid4().hex}"
+    folder = scratch(spark, "encoded")
     source = spark.readStream.schema(_docs(spark, d).schema).option("pathGlobFilter", "documents.parquet*").parquet(d)
     encoded = encode_stream(source.select("doc_id", "text"), demo_model()).select("doc_id", "n_tokens", F.md5("seq").alias("digest"))
     sink = encoded.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log")
@@ -590,17 +618,12 @@ def _centers_sql() -> str:
       FROM (SELECT *, sum(m * m) OVER (PARTITION BY label) AS t FROM dims) GROUP BY label)"""
 
 
-def _training_sql(mode: str, steps: int, table: str, window: int = 5) -> str:
-    """A training log in SQL.  One recursion holds texts (kind 0), points (1) and merges (2); each round counts the
-    pairs, takes the best, rewrites the texts and adds the fused point."""
+def _entropy_training_sql(steps: int, table: str, window: int = 5) -> str:
+    """A log of training by entropy in SQL.  One recursion holds texts (kind 0), points (1) and merges (2); each round counts
+    the pairs and their contexts, takes the best, rewrites the texts and adds the fused point."""
     ids = "list_transform(regexp_extract_all(s, '(?s).'), lambda c: ord(c))"
-    at = "SELECT l, unnest(range(1, len(l))) AS i FROM ids"
-    if mode == "entropy":
-        counted = _entropy_sql(_contexts("SELECT k AS row_id, l AS s FROM ids", window), 5)
-        score = "cnt * coupling * (1.0::DOUBLE / (entropy + 0.1))"
-    else:
-        counted = f"SELECT a, b, count(*) AS cnt, NULL::DOUBLE AS entropy FROM (SELECT l[i] AS a, l[i + 1] AS b FROM ({at})) GROUP BY a, b HAVING count(*) >= 5"
-        score = "cnt * coupling"
+    counted = _entropy_sql(_contexts("SELECT k AS row_id, l AS s FROM ids", window), 5)
+    score = "cnt * coupling * (1.0::DOUBLE / (entropy + 0.1))"
     fused = "list_transform(r, lambda x: x / list_sum(r)) FROM (SELECT list_transform(list_zip(va, vb), lambda z: pow(sqrt(z[1]) + sqrt(z[2]), 2)) AS r FROM best)"
     none = "NULL::INT, NULL::INT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT"
     return f"""WITH RECURSIVE {_base_sql()},
@@ -626,6 +649,54 @@ def _training_sql(mode: str, steps: int, table: str, window: int = 5) -> str:
     SELECT step - 1 AS step, a, b, k AS new_id, cnt, round(coupling, 4) AS coupling, round(score, 2) AS score, length FROM run WHERE kind = 2"""
 
 
+def _training_sql(steps: int, table: str) -> str:
+    """A log of training by frequency in SQL."""
+    log = "s::BIGINT AS step, k AS a, b, 256 + s::BIGINT AS new_id, cnt, round(coupling, 4) AS coupling, round(score, 2) AS score, length"
+    return f"WITH RECURSIVE {_training_tables(steps, table)} SELECT {log} FROM run WHERE kind = 2"
+
+
+def _training_tables(steps: int, table: str) -> str:
+    """The table ``run`` of a training by frequency.  One keyed recursion holds texts (kind 0), points (1), merges (2), pairs with
+    count and distance (3) and the number of merges and tokens (4).  A round takes the best pair, splits the texts that hold it, and
+    changes the counts at the pieces' borders."""
+    ids = _IDS.format("text")
+    fused = "(SELECT list_transform(r, lambda x: x / list_sum(r)) FROM (SELECT list_transform(list_zip(va, vb), lambda z: pow(sqrt(z[1]) + sqrt(z[2]), 2)) AS r FROM best))"
+    return f"""{_base_sql()},
+    source AS MATERIALIZED (SELECT row_number() OVER () AS k, {_SEQ.format('text')} AS s, {ids} AS l FROM {table} WHERE text IS NOT NULL),
+    begun AS MATERIALIZED (SELECT a, b, count(*) AS cnt FROM (SELECT l[i] AS a, l[i + 1] AS b FROM (SELECT l, unnest(range(1, len(l))) AS i FROM source)) GROUP BY a, b),
+    run(kind, k, b, s, v, cnt, d, coupling, score, length) USING KEY (kind, k, b) AS (
+      SELECT 0, k::BIGINT, 0, s, NULL::DOUBLE[], NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT FROM source
+      UNION ALL SELECT 1, k, 0, NULL, v, NULL, NULL, NULL, NULL, NULL FROM base
+      UNION ALL SELECT 3, begun.a, begun.b, NULL, NULL, cnt, {_apart('begun.a', 'begun.b', 'x.v', 'y.v')}, NULL, NULL, NULL FROM begun JOIN base x ON x.k = a JOIN base y ON y.k = b
+      UNION ALL SELECT 4, 0, 0, NULL, NULL, 0, NULL, NULL, NULL, sum(len(l))::BIGINT FROM source
+      UNION (
+        WITH now AS MATERIALIZED (SELECT * FROM recurring.run),
+        status AS MATERIALIZED (SELECT cnt AS step, length AS n FROM now WHERE kind = 4),
+        best AS MATERIALIZED (
+          SELECT pair.*, x.v AS va, y.v AS vb, 256 + step AS c, chr(a::INT) || chr(pair.b::INT) AS ab, chr((256 + step)::INT) AS new, step FROM (
+            SELECT a, b, cnt, coupling, cnt * coupling AS score, step FROM (
+              SELECT k AS a, b, cnt, least((cnt / n::DOUBLE) / (d + 0.1) * 1000.0, 100.0) AS coupling, step FROM now, status WHERE kind = 3 AND now.cnt >= 5 AND step < {steps})
+            ORDER BY score DESC, a, b LIMIT 1) pair
+          JOIN now x ON x.kind = 1 AND x.k = pair.a JOIN now y ON y.kind = 1 AND y.k = pair.b),
+        hit AS MATERIALIZED (SELECT now.k, now.s, string_split(now.s, ab) AS p FROM now, best WHERE kind = 0 AND contains(now.s, ab)),
+        piece AS (SELECT len(p) AS m, i, p[i] AS t FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM hit)),
+        delta AS (
+          SELECT a, b, -sum(len(p) - 1) AS n FROM hit, best GROUP BY a, b
+          UNION ALL SELECT CASE WHEN t <> '' THEN ord(right(t, 1)) ELSE b END, a, -1 FROM piece, best WHERE i < m AND (t <> '' OR i > 1)
+          UNION ALL SELECT CASE WHEN t <> '' THEN ord(right(t, 1)) ELSE c END, c, 1 FROM piece, best WHERE i < m AND (t <> '' OR i > 1)
+          UNION ALL SELECT b, ord(left(t, 1)), -1 FROM piece, best WHERE i > 1 AND t <> ''
+          UNION ALL SELECT c, ord(left(t, 1)), 1 FROM piece, best WHERE i > 1 AND t <> ''),
+        moved AS MATERIALIZED (SELECT a, b, sum(n)::BIGINT AS n FROM delta GROUP BY a, b),
+        point AS MATERIALIZED (SELECT k, v FROM now WHERE kind = 1 UNION ALL SELECT c, {fused} FROM best)
+        SELECT 0, k, 0, replace(s, ab, new), NULL::DOUBLE[], NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT FROM hit, best
+        UNION ALL SELECT 1, c, 0, NULL, {fused}, NULL, NULL, NULL, NULL, NULL FROM best
+        UNION ALL SELECT 2, a, best.b, best.step::VARCHAR, NULL, cnt, NULL, coupling, score, n - (SELECT sum(len(p) - 1) FROM hit)::BIGINT FROM best, status
+        UNION ALL SELECT 3, moved.a, moved.b, NULL, NULL, coalesce(now.cnt, 0) + moved.n, coalesce(now.d, {_apart('moved.a', 'moved.b', 'x.v', 'y.v')}), NULL, NULL, NULL
+          FROM moved LEFT JOIN now ON now.kind = 3 AND now.k = moved.a AND now.b = moved.b JOIN point x ON x.k = moved.a JOIN point y ON y.k = moved.b
+        UNION ALL SELECT 4, 0, 0, NULL, NULL, best.step + 1, NULL, NULL, NULL, n - (SELECT sum(len(p) - 1) FROM hit)::BIGINT FROM best, status
+      ))"""
+
+
 def oracle() -> dict[str, str]:
     rules = demo_rules()
     rule = rules[0]
@@ -639,14 +710,15 @@ def oracle() -> dict[str, str]:
     by_role = "CASE role " + " ".join(f"WHEN '{s[2:-2]}' THEN {model.reserved[s]}" for s in RESERVED[:3]) + " END"
     sizes = codec.byte_lengths(model)
     scales = ", ".join(f"({k}, '{p.scale}', {sizes[k]})" for k, p in model.points.items())
-    rule_rows = ", ".join(f"({k}, {a}, {b})" for k, (a, b, _) in enumerate(rules))
+    learned = _training_sql(CODEC_MERGES, "documents")
+    encoded_texts = f"WITH RECURSIVE {_training_tables(CODEC_MERGES, 'documents')}"
     surfaces = ", ".join(f"('{x}')" for x in RESERVED)
     ids = "list_transform(regexp_extract_all(s, '(?s).'), lambda c: ord(c))"
     doc_tokens = f"(SELECT unnest({ids}) AS coord_id FROM (SELECT {encoded} AS s FROM documents))"
     coverage_sql = f"""SELECT round(sum(n_bytes) FILTER (scale IN ('word', 'phrase', 'concept')) / sum(n_bytes), 6) AS coverage,
         round(coalesce(sum(n_bytes) FILTER (scale IN ('byte', 'char')), 0) / sum(n_bytes), 6) AS fallback
         FROM {doc_tokens} JOIN (VALUES {scales}) v(coord_id, scale, n_bytes) USING (coord_id)"""
-    token_scale = f"""rule AS (SELECT * FROM (VALUES {rule_rows}) t(rank, a, b)),
+    token_scale = f"""rule AS MATERIALIZED (SELECT step AS rank, a, b FROM ({learned})),
             climb(n, steps) AS (  -- the step of each token on the ladder, bytes first; a fused one stands above the coarser part
               SELECT 0, list_transform(range(256), lambda x: 0)
               UNION ALL SELECT n + 1, list_append(steps, least(greatest(steps[a + 1], steps[b + 1]) + 1, 5)) FROM climb JOIN rule ON rank = n),
@@ -713,11 +785,12 @@ def oracle() -> dict[str, str]:
         "coverage_rate": coverage_sql,
         "scale_distribution": f"WITH RECURSIVE {token_scale} SELECT scale, count(*) AS n FROM token GROUP BY scale",
         "token_scales": f"WITH RECURSIVE {token_scale} SELECT coord_id, scale FROM token",
-        "reserved_ids": f"""SELECT surface, {256 + len(rules) - 1} + place AS coord_id FROM (
+        "reserved_ids": f"""WITH learned AS MATERIALIZED (SELECT count(*) AS n FROM ({learned}))
+            SELECT surface, 255 + n + place AS coord_id FROM learned, (
             SELECT surface, row_number() OVER () AS place FROM (VALUES {surfaces}) t(surface))
-            UNION ALL SELECT '<|end|>', {256 + len(rules) + len(RESERVED)} + 2  -- a known name still counts as a step""",
-        "train_saved": f"SELECT step AS rank, a, b, new_id FROM ({_training_sql('frequency', SAVED_MERGES, 'benchmark')})",
-        "vocab_size": f"SELECT 256 + (SELECT count(*) FROM (VALUES {rule_rows}) t(rank, a, b)) + (SELECT count(DISTINCT surface) FROM (VALUES {surfaces}) t(surface)) AS n",
+            UNION ALL SELECT '<|end|>', 256 + n + {len(RESERVED)} + 2 FROM learned  -- a known name still counts as a step""",
+        "train_saved": f"SELECT step AS rank, a, b, new_id FROM ({_training_sql(SAVED_MERGES, 'documents')})",
+        "vocab_size": f"SELECT 256 + (SELECT count(*) FROM ({learned})) + (SELECT count(DISTINCT surface) FROM (VALUES {surfaces}) t(surface)) AS n",
         "avg_coupling": f"WITH {stats} SELECT round(avg(coupling), 4) AS avg_coupling FROM stats",
         "vocab_stats": f"""WITH {stats}, cover AS ({coverage_sql})
             SELECT {256 + len(rules) + len(RESERVED)}::BIGINT AS total, round((SELECT avg(coupling) FROM stats), 4) AS avg_coupling,
@@ -749,14 +822,14 @@ def oracle() -> dict[str, str]:
             SELECT label, count(*) AS n, round(CASE WHEN count(*) < 2 THEN 0.5 ELSE greatest(0.3, least(0.95, 1 - avg(d) / (pi() / 2))) END, 6) AS phi,
                    round(CASE WHEN count(*) < 2 THEN 1.0 ELSE greatest(0.1, least(100.0, 10 / (stddev_pop(d) + 0.1))) END, 4) AS kappa
             FROM far GROUP BY label""",
-        "train_entropy": _training_sql("entropy", ENTROPY_MERGES, "documents"),
-        "train_frequency": _training_sql("frequency", BENCH_MERGES, "benchmark"),
-        "train_documents": _training_sql("frequency", DOC_MERGES, "documents"),
-        "train_resumed": f"SELECT step - {BENCH_MERGES // 2} AS step, * EXCLUDE (step) FROM ({_training_sql('frequency', BENCH_MERGES, 'benchmark')}) WHERE step >= {BENCH_MERGES // 2}",
-        "training_ratio": f"""WITH log AS ({_training_sql('frequency', BENCH_MERGES, 'benchmark')}), {base},
-            size AS (SELECT sum(octet_length(encode(nfc_normalize(text))))::BIGINT AS n_bytes FROM benchmark),
-            token AS (SELECT row_number() OVER (ORDER BY item_id, pos) AS place, k FROM (
-              SELECT item_id, unnest(l) AS k, generate_subscripts(l, 1) AS pos FROM (SELECT item_id, {_IDS.format('text')} AS l FROM benchmark))),
+        "train_entropy": _entropy_training_sql(ENTROPY_MERGES, "documents"),
+        "train_frequency": _training_sql(LONG_MERGES, "documents"),
+        "train_documents": _training_sql(DOC_MERGES, "documents"),
+        "train_resumed": f"SELECT step - {DOC_MERGES // 2} AS step, * EXCLUDE (step) FROM ({_training_sql(DOC_MERGES, 'documents')}) WHERE step >= {DOC_MERGES // 2}",
+        "training_ratio": f"""WITH log AS ({_training_sql(DOC_MERGES, 'documents')}), {base},
+            size AS (SELECT sum(octet_length(encode(nfc_normalize(text))))::BIGINT AS n_bytes FROM documents),
+            token AS (SELECT row_number() OVER (ORDER BY doc_id, pos) AS place, k FROM (
+              SELECT doc_id, unnest(l) AS k, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, {_IDS.format('text')} AS l FROM documents))),
             first AS (SELECT place, v FROM token JOIN base USING (k) WHERE place <= 100),
             dims AS (SELECT dim, avg(sqrt(v[dim])) AS m FROM (SELECT v, unnest(range(1, 65)) AS dim FROM first) GROUP BY dim),
             center AS (SELECT list(m * m / t ORDER BY dim) AS c FROM (SELECT dim, m, sum(m * m) OVER () AS t FROM dims)),
@@ -764,7 +837,11 @@ def oracle() -> dict[str, str]:
             SELECT n_bytes, coalesce((SELECT min(length) FROM log), n_bytes) AS n_tokens, round(coalesce((SELECT min(length) FROM log), n_bytes) / n_bytes, 4) AS ratio,
               (SELECT round(greatest(0.3, least(0.95, 1 - avg(d) / (pi() / 2))), 4) FROM far) AS phi_before,
               (SELECT round(greatest(0.1, least(100.0, 10 / (stddev_pop(d) + 0.1))), 4) FROM far) AS kappa_before FROM size""",
-        "model_roundtrip": "SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}, {b}, {n})" for k, (a, b, n) in enumerate(rules)) + ") t(rank, a, b, new_id)",
+        "model_roundtrip": f"SELECT step AS rank, a, b, new_id FROM ({learned})",
+        "model_tables": f"{encoded_texts} SELECT k AS coord_id, round(v[1], 6) AS first_component FROM run WHERE kind = 1",
+        "encode_learned": f"{encoded_texts}, row AS (SELECT row_number() OVER () AS k, doc_id FROM documents WHERE text IS NOT NULL) "
+        "SELECT doc_id, length(s) AS n_tokens, md5(s) AS digest FROM documents LEFT JOIN row USING (doc_id) LEFT JOIN (SELECT k, s FROM run WHERE kind = 0) USING (k)",
+        "train_restarted": _training_sql(DOC_MERGES, "documents"),
         "stream_encode": f"SELECT doc_id, length(s) AS n_tokens, md5(s) AS digest FROM (SELECT doc_id, {encoded} AS s FROM documents)",
     }
 
@@ -780,6 +857,7 @@ QUERIES = {
         coverage_rate, scale_distribution, vocab_size, avg_coupling, vocab_stats, scale_hierarchy, attach_points,
         sequence_velocity, granularity_case, simplex_project, simplex_project_sql, fr_distance_pairs, fr_nearest,
         midpoint_pairs, label_mean, center_distance, label_phi_kappa, label_frechet, train_entropy, train_frequency, train_documents,
-        train_phi, train_resumed, training_report, training_ratio, train_saved, reserved_ids, token_scales, model_roundtrip, stream_encode,
+        train_phi, train_resumed, train_restarted, training_report, training_ratio, train_saved, encode_learned, reserved_ids, token_scales,
+        model_roundtrip, model_tables, stream_encode,
     )
 }

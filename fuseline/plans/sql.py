@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -16,15 +17,19 @@ from .model import Model
 
 def register(spark: SparkSession, model: Model, prefix: str = "") -> None:
     """Registers ``{prefix}encode_text`` (text to ids), ``{prefix}decode_ids`` (ids to text) and ``{prefix}nfc``."""
-    to_seq, to_text = encoder(model), decoder(model)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode_text(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else [char_id(c) for c in to_seq(t)] for t in texts.to_pylist()], pa.list_(pa.int32()))
+    def encode_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        to_seqs = encoder(model)
+        for texts in batches:
+            seqs = to_seqs(texts.to_pylist())
+            yield pa.array([None if s is None else [char_id(c) for c in s] for s in seqs], pa.list_(pa.int32()))
 
     @F.arrow_udf(T.StringType())
-    def decode_ids(ids: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else to_text("".join(map(id_char, x))) for x in ids.to_pylist()], pa.string())
+    def decode_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        to_text = decoder(model)
+        for ids in batches:
+            yield pa.array([None if x is None else to_text("".join(map(id_char, x))) for x in ids.to_pylist()], pa.string())
 
     @F.arrow_udf(T.StringType())
     def nfc(texts: pa.Array) -> pa.Array:

@@ -8,9 +8,14 @@ true counts of those before it, it is the best pair indeed; the first that is no
 are dropped.  So the rules are those of one merge at a time, whatever the guesses are worth, and the batch grows and
 shrinks with their luck.
 
-A corpus of up to ``local_tokens`` tokens (checked) is scanned in the driver's memory, any other by Spark: its sequences
-stay in a DataFrame, workers apply the rules since the last checkpoint and count around the places that a merge fuses,
-and every ``cut_every`` merges the rewritten sequences are written to the checkpoint folder.
+The corpus is a ``Blocks``: a table of token ids which workers scan, opening only blocks that hold the pairs of a scan where
+these are rare, and which is rewritten every ``cut_every`` merges.  ``local=True``, for a caller whose corpus fits the driver, trains
+there on one array instead; nothing chooses that by itself.
+
+With ``state_to`` the training can be killed at any time: every table's pair counts and known entropies are written beside it, a
+manifest, there whole or not at all, names them, and the merges of each scan since then are logged.  A call
+with the same folder goes on from the last manifest: one scan over the logged rules brings the counts up to date, and the
+rules are those of a training that was never stopped.
 
 Modes.  ``frequency``: count x coupling.  ``entropy``: count x coupling / (context entropy + 0.1).  No entropy is below
 -1e-10, so count x coupling / (0.1 - 1e-10) bounds a pair's score, and contexts are scanned only for pairs whose
@@ -23,8 +28,9 @@ Pairs never span two rows.  A corpus of one row reproduces training on one byte
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import astuple, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, simplex
-from ..functions.text import char_id
 from ..operators import pairs as P
-from ..operators.rewrite import apply_rules, live_length, prefix, rule_strings
-from ..sources.shared import remove, shared_folder
+from ..operators.merging import PAD, to_ids
+from ..operators.rewrite import apply_rules, live_length
+from ..sources.shared import read_texts, remove, shared_folder, write_text
+from .blocks import BLOCK_TOKENS, Blocks, distinct_keys, step_changes
 from .heap import Pair, PairTable
 from .model import Model, Rule, fused_point
 
@@ -78,60 +85,9 @@ class Result:
 # ------------------------------------------------------------------------------------------------- corpora
 
 
-def fuse_ids(ids: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """One left-to-right, non-overlapping pass over ids with separators: the new ids, and the fused places in the old."""
-    a, b, new = rule
-    at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
-    if a == b and len(at):  # of a run of places every second one
-        starts = np.flatnonzero(np.append(True, np.diff(at) != 1))
-        rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-        at = at[rank % 2 == 0]
-    if not len(at):
-        return ids, at
-    out = ids.copy()
-    out[at] = new
-    left = np.ones(len(ids), bool)
-    left[at + 1] = False
-    return out[left], at
-
-
-def _around(places: np.ndarray, low: int, high: int, size: int) -> np.ndarray:
-    """Positions from ``low`` before to ``high`` behind the places, each once."""
-    near = (places[:, None] + np.arange(-low, high + 1)[None, :]).ravel()
-    return np.unique(near[(near >= 0) & (near < size)])
-
-
-def _pair_keys(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    left, right = ids[at].astype(np.int64), ids[at + 1].astype(np.int64)
-    inside = (left != P._PAD) & (right != P._PAD)
-    return left[inside] << 21 | right[inside]
-
-
 Change = tuple[list[tuple[int, int, int]], int, set[Pair]]  # count differences, fused places, pairs with new contexts
 
 
-def step_changes(ids: np.ndarray, rules: Sequence[Rule], window: int) -> tuple[np.ndarray, list[tuple]]:
-    """The ids after all rules, and for each rule in turn: keys and differences of the pair counts, how many places it
-    fuses, and (with ``window``) keys of the pairs whose contexts it changes."""
-    none = np.zeros(0, np.int64)
-    found = []
-    for rule in rules:
-        out, at = fuse_ids(ids, rule)
-        if not len(at):
-            found.append((none, none, 0, none))
-            continue
-        now = at - np.arange(len(at))  # the same places in the new ids
-        before = _pair_keys(ids, _around(at, 1, 1, len(ids) - 1))
-        after = _pair_keys(out, _around(now, 1, 0, len(out) - 1))
-        keys, where = np.unique(np.concatenate([before, after]), return_inverse=True)
-        sign = np.concatenate([np.full(len(before), -1), np.ones(len(after), np.int64)])
-        n = np.bincount(where, weights=sign, minlength=len(keys)).astype(np.int64)
-        dirty = np.unique(_pair_keys(out, _around(now, window + 1, window, len(out) - 1))) if window else none
-        found.append((keys, n, len(at), dirty))
-        ids = out
-    return ids, found
-
-
 def _entropies(a, b, h1, h2, n) -> dict[Pair, float]:
     """Context entropy of each pair from its contexts' counts."""
     order = np.lexsort((h2, h1, b, a))
@@ -158,98 +114,30 @@ class _Local:
     batch = 1
 
     def __init__(self, rows: list[tuple], seqs: DataFrame):
-        self.ids, self.base, self.rules = P._codes([s for _, s in rows]), seqs, []
+        self.ids, self.base, self.rules = to_ids([s for _, s in rows]), seqs, []
 
     def pair_counts(self) -> list[tuple[int, int, int]]:
-        keys, n = np.unique(_pair_keys(self.ids, np.arange(max(len(self.ids) - 1, 0))), return_counts=True)
+        keys, n = distinct_keys(self.ids)
         return list(zip((keys >> 21).tolist(), (keys & (1 << 21) - 1).tolist(), n.tolist(), strict=True))
 
-    def changes(self, rules: Sequence[Rule], window: int) -> list[Change]:
+    def changes(self, rules: Sequence[Rule], window: int, occurrences: int | None = None) -> list[Change]:
         self.after, found = step_changes(self.ids, rules, window)
         return [
             (list(zip((k >> 21).tolist(), (k & (1 << 21) - 1).tolist(), n.tolist(), strict=True)), fused, {(x >> 21, x & (1 << 21) - 1) for x in dirty.tolist()})
             for k, n, fused, dirty in found
         ]
 
-    def accept(self, rules: Sequence[Rule]) -> None:
+    def accept(self, rules: Sequence[Rule], length: int | None = None) -> bool:
         self.ids = self.after  # one rule at a time
         self.rules += rules
+        return False
 
     def entropies(self, wanted: list[Pair], window: int) -> dict[Pair, float]:
-        return _entropies(*P.count_contexts(self.ids, P.pair_places(self.ids, wanted), window))
-
-    def first(self, n: int) -> list[int]:
-        return self.ids[self.ids != P._PAD][:n].tolist()
-
-    def seqs(self) -> DataFrame:
-        return self.base.withColumn("seq", apply_rules(F.col("seq"), self.rules))
-
-
-class _Spread:
-    """A corpus of any size as a DataFrame, with the rules that are not written down yet."""
-
-    batch = 8
-
-    def __init__(self, seqs: DataFrame, cut_every: int):
-        self.base, self.rules, self.cut_every = seqs, [], cut_every
-
-    def pair_counts(self) -> list[tuple[int, int, int]]:
-        return [tuple(r.values()) for r in P.pair_counts(self.base).toArrow().to_pylist()]
-
-    def changes(self, rules: Sequence[Rule], window: int) -> list[Change]:
-        done, rules = [rule_strings(r) for r in self.rules], list(rules)
-
-        def partial(batches):
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for live in P.portions(texts):
-                    own = []
-                    for k in live:
-                        s = texts[k]
-                        for pair, new in done:
-                            s = s.replace(pair, new)
-                        own.append(s)
-                    _, found = step_changes(P._codes(own), rules, window)
-                    step, key, n, near = [], [], [], []
-                    for t, (keys, diff, fused, dirty) in enumerate(found):
-                        for k, d, kind in ((keys, diff, 0), ([-1], [fused], 0), (dirty, np.zeros(len(dirty), np.int64), 1)):
-                            step.append(np.full(len(k), t))
-                            key.append(np.asarray(k, np.int64))
-                            n.append(np.asarray(d, np.int64))
-                            near.append(np.full(len(k), kind))
-                    columns = [np.concatenate(c) for c in (step, key, n, near)]
-                    yield pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], names=["step", "key", "n", "near"])
-
-        found = (
-            self.base.select("seq")
-            .mapInArrow(partial, "step long, key long, n long, near long")
-            .groupBy("step", "key")
-            .agg(F.sum("n").alias("n"), F.max("near").alias("near"))
-            .filter("n <> 0 or near <> 0")
-            .toArrow()  # the pairs that these merges change
-        )
-        out: list[Change] = [([], 0, set()) for _ in rules]
-        for t, k, n, near in zip(*(c.to_pylist() for c in found.columns), strict=True):
-            if k < 0:
-                out[t] = (out[t][0], n, out[t][2])
-                continue
-            pair = (k >> 21, k & (1 << 21) - 1)
-            if n:
-                out[t][0].append((*pair, n))
-            if near:
-                out[t][2].add(pair)
-        return out
-
-    def accept(self, rules: Sequence[Rule]) -> None:
-        self.rules += rules
-        if len(self.rules) >= self.cut_every:
-            self.base, self.rules = self.seqs().checkpoint(), []
-
-    def entropies(self, wanted: list[Pair], window: int) -> dict[Pair, float]:
-        return {(r["a"], r["b"]): r["entropy"] for r in P.context_entropy(self.seqs(), window, wanted=wanted).toArrow().to_pylist()}
+        ids = self.ids.astype(np.int64)
+        return _entropies(*P.count_contexts(ids, P.pair_places(ids, wanted), window))
 
     def first(self, n: int) -> list[int]:
-        return [char_id(c) for r in prefix(self.seqs(), n).orderBy("doc_id").collect() for c in r["seq"]][:n]
+        return self.ids[self.ids != PAD][:n].tolist()
 
     def seqs(self) -> DataFrame:
         return self.base.withColumn("seq", apply_rules(F.col("seq"), self.rules))
@@ -326,8 +214,10 @@ def train(
     measured: int = 10,
     sample: int = 1000,
     batch_accept: int = 200,
-    local_tokens: int = 1 << 20,
-    cut_every: int = 48,
+    local: bool = False,
+    cut_every: int = 128,
+    block_tokens: int = BLOCK_TOKENS,
+    state_to: str | None = None,
     save_every: int = 0,
     save_to: str | None = None,
     keep: int = 3,
@@ -344,21 +234,52 @@ def train(
     shared_folder(spark)
     model = replace(model or Model(), target=target)
     seqs = seqs.select("doc_id", "seq").filter(F.col("seq").isNotNull())
-    n_bytes = live_length(seqs).first()["length"]
-    seqs = seqs.withColumn("seq", apply_rules(F.col("seq"), model.rules)).checkpoint()
-    length = live_length(seqs).first()["length"]
-    if length <= local_tokens:
-        rows = seqs.filter("char_length(seq) > 0").orderBy("doc_id").toArrow()
-        corpus = _Local(list(zip(*(c.to_pylist() for c in rows.columns), strict=True)), seqs)
-    else:
-        corpus = _Spread(seqs, cut_every)
+    docs = seqs.withColumn("seq", apply_rules(F.col("seq"), model.rules))
     table = PairTable(dict(model.points), min_count)
-    table.push_changed(corpus.pair_counts())
-    phi0, kappa0 = measure(corpus.first(100), model, kernel)
-
-    rules, points, steps, history = list(model.rules), table.points, [], []
     known: dict[Pair, float] = {}
+    state = None if state_to is None else _State(spark, state_to)
+    kept = None if state is None else state.load()
+    logged: list[Step] = []
+    if kept is not None:
+        n_bytes, length, steps, logged = kept["n_bytes"], kept["length"], [Step(*x) for x in kept["steps"]], [Step(*x) for x in kept["logged"]]
+        corpus = Blocks(docs, length, cut_every, block_tokens, state_to, kept["table"], [s.rule for s in steps])
+        for s in steps:
+            table.points[s.rule[2]] = fused_point(table.points, *s.rule[:2], decode_bytes=mode != "entropy")
+        counts, known = state.pairs(kept["pairs"])
+        table.push_changed(counts)
+    else:
+        n_bytes, steps = live_length(seqs).first()["length"], []
+        length = n_bytes if not model.rules else live_length(docs).first()["length"]
+        if local:
+            rows = docs.filter("char_length(seq) > 0").orderBy("doc_id").toArrow()
+            corpus = _Local(list(zip(*(c.to_pylist() for c in rows.columns), strict=True)), docs)
+        else:
+            corpus = Blocks(docs, length, cut_every, block_tokens, state_to)
+        table.push_changed(corpus.pair_counts())
     near = window if mode == "entropy" else 0
+    rules, points = [*model.rules, *(s.rule for s in steps)], table.points
+    if logged:  # merges behind the last manifest: one scan for all of them
+        for step, (changes, merged, dirty) in zip(logged, corpus.changes([s.rule for s in logged], near), strict=True):
+            points[step.rule[2]] = fused_point(points, *step.rule[:2], decode_bytes=mode != "entropy")
+            table.push_changed(changes)
+            for pair in (*dirty, *((a, b) for a, b, _ in changes if near)):
+                known.pop(pair, None)
+            length -= merged
+        steps += logged
+        rules += [s.rule for s in logged]
+        corpus.accept([s.rule for s in logged])
+    if kept is not None:
+        phi0, kappa0 = kept["before"]
+    else:
+        phi0, kappa0 = measure(corpus.first(100), model, kernel)
+
+    def snapshot() -> None:
+        if state is not None:
+            state.save(corpus, table, known, steps, n_bytes, length, (phi0, kappa0))
+
+    if kept is None:
+        snapshot()
+    history = [s.coupling for s in steps if s.gain is not None]
     skipped, batch, stopped = 0, corpus.batch, False
     next_id = max(max((r[2] for r in rules), default=255), max((k for k in points), default=255)) + 1
     while not stopped and 256 + len(rules) < target and not should_stop():
@@ -376,7 +297,8 @@ def train(
         planned = table.pairs([found[0]]) if alone else table.guess(found[0], length, min(batch, left, max(skipped, 1) if mode == "phi" else batch), next_id)
         trial = [(a, b, next_id + t) for t, (a, b) in enumerate(planned)]
         taken: list[Rule] = []
-        for rule, (changes, merged, dirty) in zip(trial, corpus.changes(trial, near), strict=True):
+        most = int(table.count[found[0]]) * len(trial)
+        for rule, (changes, merged, dirty) in zip(trial, corpus.changes(trial, near, most), strict=True):
             if taken:
                 if should_stop():
                     stopped = True
@@ -403,7 +325,10 @@ def train(
                     skipped = batch_accept
             if save_every and save_to and len(steps) % save_every == 0:
                 _save(spark, replace(model, rules=tuple(rules), points=dict(points)), save_to, 256 + len(rules), keep)
-        corpus.accept(taken)
+        if corpus.accept(taken, length):
+            snapshot()
+        elif state is not None:
+            state.log(steps, len(taken))
         next_id += len(taken)
         if len(planned) > 1:
             batch = min(2 * batch, 64) if len(taken) == len(trial) else max(2, 2 * len(taken))
@@ -423,6 +348,55 @@ def train(
     return Result(model, tuple(steps), corpus.seqs(), report)
 
 
+class _State:
+    """The folder of a training that can go on: block tables, pair tables, manifests and the log of merges."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def load(self) -> dict | None:
+        """What the newest manifest holds, and as ``logged`` the steps behind it."""
+        manifests = read_texts(self.spark, self.folder, ".manifest")
+        if not manifests:
+            return None
+        kept = json.loads(manifests[max(manifests)])
+        done = len(kept["steps"])
+        logged = [json.loads(text) for _, text in sorted(read_texts(self.spark, self.folder, ".steps").items())]
+        kept["logged"] = [x for first, steps in logged for k, x in enumerate(steps, first) if k >= done]
+        for x in (*kept["steps"], *kept["logged"]):
+            x[0] = tuple(x[0])
+        return kept
+
+    def pairs(self, path: str) -> tuple[list[tuple[int, int, int]], dict[Pair, float]]:
+        rows = self.spark.read.parquet(path).toArrow().to_pylist()
+        return [(r["a"], r["b"], r["cnt"]) for r in rows], {(r["a"], r["b"]): r["entropy"] for r in rows if r["entropy"] is not None}
+
+    def save(self, corpus: Blocks, table: PairTable, known: dict[Pair, float], steps: list[Step], n_bytes: int, length: int, before) -> None:
+        """Pair table first, then the manifest that names it and the block table; only then the ones before go."""
+        if corpus.pending:
+            corpus.cut()
+        path = f"{self.folder}/pairs-{len(steps):08d}"
+        a, b, n = (x[: table.size][table.count[: table.size] > 0].astype(np.int64) for x in (table.a, table.b, table.count))
+        entropies = [known.get(p) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        rows = pa.table({"a": a, "b": b, "cnt": n, "entropy": pa.array(entropies, pa.float64())})
+        self.spark.createDataFrame(rows).write.mode("overwrite").parquet(path)
+        manifest = {"steps": [astuple(s) for s in steps], "n_bytes": n_bytes, "length": length, "table": corpus.path, "pairs": path, "before": before}
+        old = [*read_texts(self.spark, self.folder, ".manifest"), *read_texts(self.spark, self.folder, ".steps")]
+        own = f"{len(steps):08d}.manifest"
+        write_text(self.spark, f"{self.folder}/{own}", json.dumps(manifest))
+        for name in old:
+            if name != own:
+                remove(self.spark, f"{self.folder}/{name}")
+                if name.endswith(".manifest"):
+                    remove(self.spark, f"{self.folder}/pairs-{name[:8]}")
+        corpus.drop_stale()
+
+    def log(self, steps: list[Step], n: int) -> None:
+        if n:
+            first = len(steps) - n
+            write_text(self.spark, f"{self.folder}/{first:08d}.steps", json.dumps([first, [astuple(s) for s in steps[first:]]]))
+
+
 def _save(spark: SparkSession, model: Model, folder: str, size: int, keep: int) -> None:
     """Writes the model and removes all but the newest ``keep``."""
     model.save(spark, f"{folder}/model-{size:08d}")

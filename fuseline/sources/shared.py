@@ -36,6 +36,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of any file system, there whole or not at all."""
+    fs, target = _at(spark, path)
+    _, part = _at(spark, f"{path}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.rename(part, target)
+
+
+def read_texts(spark: SparkSession, folder: str, suffix: str) -> dict[str, str]:
+    """Names and contents of the small files of a folder whose names end so; none if the folder is not there."""
+    fs, target = _at(spark, folder)
+    if not fs.exists(target):
+        return {}
+    found = {}
+    for status in fs.listStatus(target):
+        name = status.getPath().getName()
+        if name.endswith(suffix):
+            stream = fs.open(status.getPath())
+            found[name] = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            stream.close()
+    return found
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any file system that the session knows."""
     fs, target = _at(spark, path)

@@ -1,3 +1,4 @@
+import functools
 import json
 import random
 from collections import Counter
@@ -12,10 +13,12 @@ from fuseline.plans.model import Model, Point, ReservedIds, promoted
 from fuseline.plans import train as training
 from fuseline.plans.heap import PairTable
 from fuseline.plans.model import fused_point
-from fuseline.plans.train import settled, train
+from fuseline.plans.train import settled
 from fuseline.sources.corpus import from_bytes, to_sequences
 from fuseline.streaming.encode import encode_stream, token_rate
 
+#: Small corpora in the driver, where a test does not ask for workers.
+train = functools.partial(training.train, local=True)
 WORDS = "river rain stone boat cloud field path light moss reed heron wind slow bright under over along between every".split()
 
 
@@ -119,7 +122,7 @@ def test_guessed_merges_change_nothing(spark, size):
     rows = [(k, t) for k, t in enumerate(prose(size, 7).decode().split(". "))]
     seqs = to_sequences(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     one = train(seqs, 330, "frequency", 3, 2)
-    many = train(seqs, 330, "frequency", 3, 2, local_tokens=0, cut_every=20)
+    many = train(seqs, 330, "frequency", 3, 2, local=False, cut_every=20)
     assert [s.rule for s in one.steps] == [s.rule for s in many.steps] and len(one.steps) == 74
     assert one.report == many.report
     tokens = lambda out: sorted(map(tuple, out.seqs.collect()))
@@ -130,7 +133,7 @@ def test_entropy_mode_equals_the_specification(spark):
     corpus = prose(3000, 5)
     want = naive_train(corpus, 300, "entropy", 5, 2)
     assert [s.rule for s in train(from_bytes(spark, corpus), 300, "entropy", 5, 2).steps] == want
-    spread = train(from_bytes(spark, corpus), 262, "entropy", 5, 2, local_tokens=0)
+    spread = train(from_bytes(spark, corpus), 262, "entropy", 5, 2, local=False)
     assert [s.rule for s in spread.steps] == want[:6]
 
 
@@ -174,7 +177,7 @@ def test_counts_equal_a_recount_after_every_merge(spark):
     corpus = b"z" * 41 + b"-" + b"z" * 26 + b"yzzzzy" * 9
     out = train(from_bytes(spark, corpus), 262, "frequency", min_count=1)
     assert out.steps[0].rule[:2] == (122, 122) and [s.rule for s in out.steps] == naive_train(corpus, 262, "frequency", min_count=1)
-    spread = train(from_bytes(spark, corpus), 262, "frequency", min_count=1, local_tokens=0)
+    spread = train(from_bytes(spark, corpus), 262, "frequency", min_count=1, local=False)
     assert [(s.rule, s.merged, s.length) for s in spread.steps] == [(s.rule, s.merged, s.length) for s in out.steps]
     length = len(corpus)
     for s in out.steps:
