@@ -7,17 +7,16 @@ length of the corpus.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, simplex
-from ..functions.text import id_char
 
 _PAD = 0x110000  # no character has it
 
@@ -93,43 +92,6 @@ def pair_counts(seqs: DataFrame, by: Sequence[str] = (), seq: str = "seq", min_c
     return counted.filter(F.col("cnt") >= min_count) if min_count > 1 else counted
 
 
-def context_counts(
-    seqs: DataFrame, window: int, wanted: Sequence[tuple[int, int]] | None = None, seq: str = "seq"
-) -> DataFrame:
-    """(a, b, context, cnt): the ``window`` tokens before a pair and behind it as one string, the border between them
-    not kept.  ``wanted`` restricts the scan to some pairs (a literal list that the caller bounds)."""
-    chosen = None if wanted is None else {id_char(a) + id_char(b) for a, b in wanted}
-
-    def partial(batches):
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for live in portions(texts, 1 << 18):
-                found = Counter(  # a key is the pair followed by its context
-                    s[i : i + 2] + s[max(0, i - window) : i] + s[i + 2 : i + 2 + window]
-                    for s in (texts[k] for k in live)
-                    for i in range(len(s) - 1)
-                    if chosen is None or s[i : i + 2] in chosen
-                )
-                if found:
-                    ids = _codes([k[:2] for k in found]).reshape(-1, 3)
-                    yield pa.record_batch(
-                        [
-                            pa.array(ids[:, 0].astype(np.int32)),
-                            pa.array(ids[:, 1].astype(np.int32)),
-                            pa.array([k[2:] for k in found], pa.string()),
-                            pa.array(list(found.values()), pa.int64()),
-                        ],
-                        names=["a", "b", "context", "cnt"],
-                    )
-
-    return (
-        seqs.select(seq)
-        .mapInArrow(partial, "a int, b int, context string, cnt long")
-        .groupBy("a", "b", "context")
-        .agg(F.sum("cnt").alias("cnt"))
-    )
-
-
 def pair_places(ids: np.ndarray, wanted: Sequence[tuple[int, int]] | None = None) -> np.ndarray:
     """Positions of the first tokens of the pairs (of those ``wanted``) in sequences with separators."""
     left, right = ids[:-1], ids[1:]
@@ -179,8 +141,8 @@ def count_contexts(ids: np.ndarray, places: np.ndarray, window: int) -> tuple[np
 def context_hashes(
     seqs: DataFrame, window: int, wanted: Sequence[tuple[int, int]] | None = None, seq: str = "seq"
 ) -> DataFrame:
-    """(a, b, h1, h2, cnt): as ``context_counts``, with a 128-bit hash in place of the context, counted in portions of
-    bounded size; what is shuffled are numbers."""
+    """(a, b, h1, h2, cnt): the contexts of the pairs (of those ``wanted``, a list that the caller bounds) by a 128-bit hash, counted in
+    portions of bounded size; what is shuffled are numbers."""
 
     def partial(batches):
         for batch in batches:
@@ -226,7 +188,9 @@ def capped_context_entropy(
 ) -> DataFrame:
     """(a, b, cnt, entropy) over the first ``cap`` occurrences of each pair in corpus order; ``cnt`` is the full count.
 
-    A portion keeps its first ``cap`` occurrences of each pair by (order, position); only those are shuffled.
+    The smallest ``cap`` by (order, position) are taken as a tree: by portion, by pair and salt (as many salts as the root of the
+    number of tasks), by pair.  Spark applies the bound of a rank before its shuffle too, so no task meets more than ``cap`` rows
+    of a pair from each task before it, and no salt or pair more than ``cap`` from each of a root of the tasks.
     """
     kind = seqs.schema[order].dataType.simpleString()
 
@@ -244,9 +208,7 @@ def capped_context_entropy(
                 first = np.flatnonzero(np.append(True, np.diff(pair[by_pair]) != 0)) if len(pair) else np.zeros(0, np.int64)
                 sizes = np.diff(np.append(first, len(pair)))
                 rank = np.arange(len(pair)) - np.repeat(first, sizes)
-                total = np.where(rank == 0, np.repeat(sizes, sizes), 0)
-                kept = rank < cap
-                chosen, total = by_pair[kept], total[kept]
+                chosen = by_pair[rank < cap]
                 h1, h2 = context_keys(ids, places[chosen], window)
                 starts = np.cumsum([0, *(len(texts[k]) + 1 for k in rows)])
                 doc = np.searchsorted(starts, places[chosen], side="right") - 1
@@ -258,20 +220,22 @@ def capped_context_entropy(
                         pa.array(places[chosen] - starts[doc]),
                         pa.array(h1),
                         pa.array(h2),
-                        pa.array(total),
                     ],
-                    names=["a", "b", "doc", "pos", "h1", "h2", "seen"],
+                    names=["a", "b", "doc", "pos", "h1", "h2"],
                 )
 
-    from pyspark.sql import Window
+    rows = seqs.select(order, seq).mapInArrow(partial, f"a int, b int, doc {kind}, pos long, h1 long, h2 long")
+    salts = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+
+    def smallest(found: DataFrame, *key: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("doc", "pos"))
+        return found.withColumn("place", place).filter(F.col("place") <= cap).drop("place")
 
-    schema = f"a int, b int, doc {kind}, pos long, h1 long, h2 long, seen long"
-    rows = seqs.select(order, seq).mapInArrow(partial, schema)
-    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("doc", "pos"))
-    full = F.sum("seen").over(Window.partitionBy("a", "b"))
-    first = rows.withColumn("place", place).withColumn("full", full).filter(F.col("place") <= cap)
-    counts = first.groupBy("a", "b", "full", "h1", "h2").agg(F.count(F.lit(1)).alias("cnt"))
-    return entropy_of(counts, ("a", "b", "full")).select("a", "b", F.col("full").alias("cnt"), "entropy")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(salts)).cast("int"))
+    first = smallest(smallest(salted, "a", "b", "salt"), "a", "b")
+    counts = first.groupBy("a", "b", "h1", "h2").agg(F.count(F.lit(1)).alias("cnt"))
+    entropies = entropy_of(counts).select("a", "b", "entropy")
+    return pair_counts(seqs, seq=seq).join(entropies, ["a", "b"]).select("a", "b", "cnt", "entropy")
 
 
 # ---------------------------------------------------------------------------------------------- scores
@@ -324,12 +288,10 @@ def count_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 def cluster_scores(targets: DataFrame, stats: DataFrame, vocab: DataFrame, near: float = 1.0) -> DataFrame:
     """``targets`` (a, b; any number) with ``cluster``: 1 / (d + 0.1) plus at most 1 from
     pairs that touch a or b and whose other end lies closer than ``near`` to both, a tenth of their count each."""
-    vec = vocab.select("coord_id", "vector")
-    t = (
-        with_distance(targets.select("a", "b").distinct(), vocab)
-        .join(vec.select(F.col("coord_id").alias("a"), F.col("vector").alias("va")), "a")
-        .join(vec.select(F.col("coord_id").alias("b"), F.col("vector").alias("vb")), "b")
-    )
+    known = vocab.select("coord_id")
+    t = with_distance(targets.select("a", "b").distinct(), vocab)
+    for x in ("a", "b"):
+        t = t.join(known.withColumnRenamed("coord_id", x), x, "left_semi")
     # Each entry of the statistics touches a target through its first or its second member.
     ends = stats.select(
         F.explode(
@@ -338,15 +300,15 @@ def cluster_scores(targets: DataFrame, stats: DataFrame, vocab: DataFrame, near:
                 F.struct(F.col("b").alias("end"), F.col("a").alias("other"), "cnt", F.lit(1).alias("side")),
             )
         ).alias("e")
-    ).select("e.*")
-    touched = t.select("a", "b", "va", "vb", F.explode(F.array_distinct(F.array("a", "b"))).alias("end"))
-    around = (
-        ends.join(touched, "end")
-        .filter((F.col("other") != F.col("a")) & (F.col("other") != F.col("b")))
-        .join(vec.select(F.col("coord_id").alias("other"), F.col("vector").alias("vo")), "other")
-        .filter((simplex.distance(F.col("vo"), F.col("va")) < near) & (simplex.distance(F.col("vo"), F.col("vb")) < near))
-        .groupBy("a", "b")
-        .agg(F.sum("cnt").alias("weight"))
-    )
+    ).select("e.*").join(known.withColumnRenamed("coord_id", "other"), "other", "left_semi")
+    touched = t.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("end"))
+    around = ends.join(touched, "end").filter((F.col("other") != F.col("a")) & (F.col("other") != F.col("b"))).select("a", "b", "other", "cnt")
+    # Each distance once, whatever the number of targets that need it; the smaller token first, as distances are symmetric.
+    sides = around.select(F.explode(F.array(*[F.struct(F.least("other", x).alias("a"), F.greatest("other", x).alias("b")) for x in ("a", "b")])).alias("p"))
+    close = with_distance(sides.select("p.a", "p.b").distinct(), vocab).filter(F.col("d") < near)
+    for x in ("a", "b"):
+        side = close.select(F.col("a").alias("low"), F.col("b").alias("high"))
+        around = around.withColumn("low", F.least("other", x)).withColumn("high", F.greatest("other", x)).join(side, ["low", "high"], "left_semi").drop("low", "high")
+    weights = around.groupBy("a", "b").agg(F.sum("cnt").alias("weight"))
     bonus = F.least(F.coalesce("weight", F.lit(0)) * 0.1, F.lit(1.0))
-    return t.join(around, ["a", "b"], "left").select("a", "b", (1.0 / (F.col("d") + 0.1) + bonus).alias("cluster"))
+    return t.join(weights, ["a", "b"], "left").select("a", "b", (1.0 / (F.col("d") + 0.1) + bonus).alias("cluster"))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import simplex
+from ..sources.shared import shared_folder
+
+#: Centers that are broadcast: 8 MB of 64 components.
+CENTERS = 1 << 14
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -123,45 +127,59 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     return found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "d")
 
 
-def frechet_means(points: DataFrame, by: str, vec_col: str = "vector", rounds: int = 8) -> DataFrame:
-    """(by, center): means on the simplex by the log/exp iteration; each round is one aggregation of partial sums,
-    so a group may be as large as it likes.  The number of groups bounds what the driver holds."""
-    spark = points.sparkSession
+def frechet_means(points: DataFrame, by: str, vec_col: str = "vector", rounds: int = 8, least: float = 1e-12) -> DataFrame:
+    """(by, center): means on the simplex by the log/exp iteration, in at most ``rounds`` rounds from the first iterate.
+
+    Each round joins the points with the centers of the groups that still move, sums the tangents in every batch and then by group,
+    and moves those centers; a group whose center moves by ``least`` or less is done.  Groups may be as many and as large as they
+    like: up to ``CENTERS`` centers (counted) are broadcast, and more meet the points in a shuffle, where adaptive execution
+    splits large groups; sums are partial before they are shuffled.  Nothing but counts comes to the driver.  Rows with
+    a null group are a group."""
     kind = points.schema[by].dataType.simpleString()
-    start = simplex.centers(points, [by], vec_col).collect()
-    center = {r[by]: np.sqrt(np.array(r["center"])) for r in start}
+    rows = points.select(F.col(by).alias("key"), F.col(vec_col).alias("x"))
+    shared_folder(points.sparkSession)
+    root = F.transform("center", lambda x: F.sqrt(x))
+    state = simplex.centers(points, [by], vec_col).select(F.col(by).alias("key"), root.alias("m"), F.lit(True).alias("live")).checkpoint()
+
+    def tangents(batches):
+        for batch in batches:
+            keys = batch.column(0).dictionary_encode()
+            code = keys.indices.fill_null(len(keys.dictionary)).to_numpy(zero_copy_only=False)
+            x, m = np.sqrt(_matrix(batch.column(1))), _matrix(batch.column(2))
+            c = np.clip((x * m).sum(axis=1), -1.0, 1.0)
+            theta = np.arccos(c)
+            scale = np.where(theta < 1e-12, 1.0, theta / np.maximum(np.sin(theta), 1e-300))
+            step = (x - c[:, None] * m) * scale[:, None]
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(code[order]) != 0)) if len(code) else order
+            if len(first):
+                sums, n = np.add.reduceat(step[order], first, axis=0), np.diff(np.append(first, len(code)))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
+                yield pa.record_batch([batch.column(0).take(pa.array(order[first])), flat, pa.array(n)], names=["key", "step", "n"])
+
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y))
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(center)
-
-        def partial(batches, shared=shared):
-            for batch in batches:
-                keys, x = batch.column(0).to_pylist(), np.sqrt(_matrix(batch.column(1)))
-                for key in set(keys):
-                    own = x[[k for k, v in enumerate(keys) if v == key]]
-                    m = shared.value[key]
-                    c = np.clip(own @ m, -1.0, 1.0)
-                    theta = np.arccos(c)
-                    scale = np.where(theta < 1e-12, 1.0, theta / np.maximum(np.sin(theta), 1e-300))
-                    step = ((own - c[:, None] * m) * scale[:, None]).sum(axis=0)
-                    yield pa.record_batch(
-                        [pa.array([key], batch.schema.field(0).type), pa.array([step.tolist()], pa.list_(pa.float64())), pa.array([len(own)], pa.int64())],
-                        names=[by, "step", "n"],
-                    )
-
-        parts = points.select(by, vec_col).mapInArrow(partial, f"{by} {kind}, step array<double>, n long")
-        sums = (
-            parts.select(by, "n", F.posexplode("step").alias("dim", "s"))
-            .groupBy(by, "dim")
-            .agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-            .groupBy(by)
-            .agg(F.sort_array(F.collect_list(F.struct("dim", (F.col("s") / F.col("n")).alias("mean_")))).alias("steps_"))
-            .collect()
+        live = state.filter("live").select(F.col("key").alias("own"), "m")
+        groups = live.count()
+        if not groups:
+            break
+        met = rows.join(F.broadcast(live) if groups <= CENTERS else live, F.col("key").eqNullSafe(F.col("own")))
+        dims = met.select("key", "x", "m").mapInArrow(tangents, f"key {kind}, step array<double>, n long").select(
+            "key", "n", F.posexplode("step").alias("dim", "s")
+        )
+        moves = (
+            dims.groupBy("key", "dim")
+            .agg((F.sum("s") / F.sum("n")).alias("s"))
+            .groupBy(F.col("key").alias("moved"))
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "s"))), lambda d: d["s"]).alias("g"))
+            .withColumn("size", norm("g"))
+            .filter(F.col("size") > least)
+        )
+        moved = F.zip_with("m", "g", lambda m, g: F.cos("size") * m + F.sin("size") * g / F.col("size"))
+        state = (
+            state.join(moves, F.col("key").eqNullSafe(F.col("moved")), "left")
+            .select("key", F.when(F.col("size").isNull(), F.col("m")).otherwise(moved).alias("m"), F.col("size").isNotNull().alias("live"))
+            .checkpoint()
         )
-        for r in sums:
-            g = np.array([x["mean_"] for x in r["steps_"]])
-            size = np.linalg.norm(g)
-            if size > 1e-12:
-                m = center[r[by]]
-                center[r[by]] = np.cos(size) * m + np.sin(size) * g / size
-    rows = [(key, [float(x) for x in m * m / (m * m).sum()]) for key, m in sorted(center.items())]
-    return spark.createDataFrame(rows, f"{by} {kind}, center array<double>")
+    total = F.aggregate("m", F.lit(0.0), lambda a, y: a + y * y)
+    return state.select(F.col("key").alias(by), F.transform("m", lambda y: y * y / total).alias("center"))

@@ -32,7 +32,7 @@ from ..sources.shared import remove, scratch
 
 Rule = tuple[int, int, int]
 Pair = tuple[int, int]
-MAX_BLOCKS, BLOCK_TOKENS = 1024, 1 << 17
+MAX_BLOCKS, BLOCK_TOKENS = 1024, 1 << 19
 SHIFT, LOW = 21, (1 << 21) - 1
 
 
@@ -160,19 +160,21 @@ class Blocks:
             self.path, self.table = written, self._read(written)
             return
 
+        room = min(PORTION, max(block_tokens, length // self.count))
+
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = [t for t in batch.column(0).to_pylist() if t]
                 k = 0
                 while k < len(texts):
                     end, size = k, 0
-                    while end < len(texts) and size < PORTION:
+                    while end < len(texts) and size < room:
                         size += len(texts[end])
                         end += 1
                     yield pa.record_batch([pa.array([to_ids(texts[k:end]).astype("<i4").tobytes()], pa.large_binary())], names=["ids"])
                     k = end
 
-        self._write(seqs.select("seq").repartition(self.count).mapInArrow(pack, "ids binary").withColumn("block", F.spark_partition_id()))
+        self._write(seqs.select("seq").mapInArrow(pack, "ids binary").repartition(self.count).withColumn("block", F.spark_partition_id()))
 
     def _read(self, path: str) -> DataFrame:
         return self.spark.read.schema("ids binary, block int").parquet(path)

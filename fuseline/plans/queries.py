@@ -11,7 +11,7 @@ from ..functions import scores, simplex, text
 from ..operators import codec, pairs, rewrite
 from ..operators import vectors as V
 from ..sources.corpus import read_table, to_sequences
-from ..sources.shared import scratch
+from ..sources.shared import scratch, shared_folder
 from ..streaming.encode import encode_stream
 from .model import Model
 from .train import train
@@ -24,6 +24,8 @@ PARTS = (
     "eau aux des sch ein der die ich ung cio ado los que"
 ).split()
 RESERVED = ("<|system|>", "<|user|>", "<|assistant|>", "<|u|>")
+#: Rounds of the iterated means.
+FRECHET_ROUNDS = 8
 #: Merges of the training queries.
 ENTROPY_MERGES, LONG_MERGES, DOC_MERGES, PHI_MERGES, SAVED_MERGES, CODEC_MERGES = 8, 400, 200, 8, 40, 96
 
@@ -368,9 +370,9 @@ def label_phi_kappa(spark, d):
 
 
 def label_frechet(spark, d):
-    """Means by the full iteration, merged from partial sums; rows only."""
-    found = V.frechet_means(_points(spark, d), "label")
-    return found.select("label", F.posexplode("center").alias("dim", "x"))
+    """Means by the full iteration, merged from partial sums."""
+    found = V.frechet_means(_points(spark, d), "label", rounds=FRECHET_ROUNDS)
+    return found.select("label", F.posexplode("center").alias("dim", "x")).select("label", "dim", _r("x").alias("x"))
 
 
 def _corpus(spark, d, table: str) -> DataFrame:
@@ -618,6 +620,27 @@ def _centers_sql() -> str:
       FROM (SELECT *, sum(m * m) OVER (PARTITION BY label) AS t FROM dims) GROUP BY label)"""
 
 
+def _frechet_sql(rounds: int) -> str:
+    """The log/exp iteration as a chain of tables, a center for each label and round."""
+
+    def moved(k: int) -> str:
+        return f"""
+    met{k} AS (SELECT label, x, m, greatest(-1.0, least(1.0, list_sum(list_transform(list_zip(x, m), lambda z: z[1] * z[2])))) AS c FROM roots JOIN c{k} USING (label)),
+    step{k} AS (
+      SELECT label, dim, avg((x[dim] - c * m[dim]) * CASE WHEN acos(c) < 1e-12 THEN 1.0 ELSE acos(c) / sin(acos(c)) END) AS g, any_value(m[dim]) AS m
+      FROM (SELECT *, unnest(range(1, len(x) + 1)) AS dim FROM met{k}) GROUP BY label, dim),
+    c{k + 1} AS MATERIALIZED (
+      SELECT label, list(CASE WHEN size > 1e-12 THEN cos(size) * m + sin(size) * g / size ELSE m END ORDER BY dim) AS m
+      FROM (SELECT *, sqrt(sum(g * g) OVER (PARTITION BY label)) AS size FROM step{k}) GROUP BY label)"""
+
+    chain = ",".join(moved(k) for k in range(rounds))
+    return f"""WITH {_centers_sql()},
+    roots AS MATERIALIZED (SELECT label, list_transform(p, lambda t: sqrt(t)) AS x FROM point),
+    c0 AS MATERIALIZED (SELECT label, list_transform(c, lambda t: sqrt(t)) AS m FROM center),{chain}
+    SELECT label, dim, round(m[dim + 1] * m[dim + 1] / list_sum(list_transform(m, lambda t: t * t)), 6) AS x
+    FROM (SELECT label, m, unnest(range(0, len(m))) AS dim FROM c{rounds})"""
+
+
 def _entropy_training_sql(steps: int, table: str, window: int = 5) -> str:
     """A log of training by entropy in SQL.  One recursion holds texts (kind 0), points (1) and merges (2); each round counts
     the pairs and their contexts, takes the best, rewrites the texts and adds the fused point."""
@@ -822,6 +845,7 @@ def oracle() -> dict[str, str]:
             SELECT label, count(*) AS n, round(CASE WHEN count(*) < 2 THEN 0.5 ELSE greatest(0.3, least(0.95, 1 - avg(d) / (pi() / 2))) END, 6) AS phi,
                    round(CASE WHEN count(*) < 2 THEN 1.0 ELSE greatest(0.1, least(100.0, 10 / (stddev_pop(d) + 0.1))) END, 4) AS kappa
             FROM far GROUP BY label""",
+        "label_frechet": _frechet_sql(FRECHET_ROUNDS),
         "train_entropy": _entropy_training_sql(ENTROPY_MERGES, "documents"),
         "train_frequency": _training_sql(LONG_MERGES, "documents"),
         "train_documents": _training_sql(DOC_MERGES, "documents"),

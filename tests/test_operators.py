@@ -288,3 +288,30 @@ def test_sources(spark, tmp_path):
     assert read_corpus(spark, str(tmp_path / "p")).count() == 2
     assert {r.text for r in read_corpus(spark, str(tmp_path / "t.txt"), "text").collect()} == {"one", "two"}
     assert ids(from_bytes(spark, b"\xff\x00a").first().seq) == [255, 0, 97]
+
+
+def test_frechet_means_of_many_groups_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CENTERS", 0)
+    rng = np.random.default_rng(3)
+    rows = [(None if k % 7 == 0 else k % 40, rng.dirichlet(np.ones(6)).tolist()) for k in range(900)] + [(999, [1.0] + [0.0] * 5)]
+    df = spark.createDataFrame(rows, "g int, vector array<double>").repartition(5)
+    found = {r.g: r.center for r in vectors.frechet_means(df, "g", rounds=25).collect()}
+    assert len(found) == 42 and found[999] == pytest.approx([1, 0, 0, 0, 0, 0])
+    for g, center in found.items():
+        x, m = np.sqrt([v for k, v in rows if k == g]), np.sqrt(center)
+        c = np.clip(x @ m, -1, 1)
+        theta = np.arccos(c)
+        tangent = ((x - c[:, None] * m) * np.where(theta < 1e-12, 1, theta / np.maximum(np.sin(theta), 1e-300))[:, None]).mean(axis=0)
+        assert np.linalg.norm(tangent) < 1e-6 and sum(center) == pytest.approx(1)
+
+
+def test_capped_entropy_of_one_pair_in_many_tasks(spark):
+    """Every place of the corpus is the same pair, in many tasks: the first ones by document and place are taken."""
+    rows = [(k, "a" * 30) for k in range(400)] + [(-1, "aaab"), (-2, None), (-3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, seq string").repartition(40)
+    out = {(r.a, r.b): (r.cnt, r.entropy) for r in pairs.capped_context_entropy(df, 3, 64).collect()}
+    seen = [(s[max(0, i - 3) : i] + s[i + 2 : i + 5]) for _, s in sorted((k, t) for k, t in rows if t) for i in range(len(s) - 1) if s[i : i + 2] == "aa"]
+    n = Counter(seen[:64])
+    want = -sum(c / 64 * np.log(c / 64 + 1e-10) for c in n.values())
+    assert out[97, 97][0] == len(seen) and out[97, 97][1] == pytest.approx(want)
+    assert out[97, 98] == (1, pytest.approx(-np.log(1 + 1e-10)))
