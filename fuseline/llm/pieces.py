@@ -9,9 +9,10 @@ two neighbours make a piece.  The encoder here gets the same pieces without a qu
 * from the left, the longest piece that is compatible is taken, then shorter ones; where none is, the last piece is
   given up for a shorter one, and the place is marked in a bit field, so that no place fails twice.
 
-Checks of two pieces are remembered, as are short segments: a border that no piece crosses (behind a character that
-is no space, before a space) is never merged over, so the segments between such borders encode on their own.  Both
-memories are emptied when full; a segment of any length is read whole, with work that follows its length.
+What fits behind a piece is remembered, as are short segments: a border that no piece crosses (before a space behind
+another character, and beside characters that no piece holds) is never merged over, so the segments between such borders
+encode on their own.  Memories are bounded: a full one becomes the older of two generations, from which what is
+used again moves on.  A segment of any length is read whole, with work that follows its length.
 
 Characters that are no piece become byte pieces.  Supported are models of merges with byte fallback, identity
 normalisation and no user-defined pieces; any other raises ``ValueError``.
@@ -35,8 +36,8 @@ from pyspark.sql import types as T
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Entries of a worker's memories, and characters of the longest segment that is remembered.
-MEMORY, SHORT = 1 << 17, 48
+#: Entries of a generation of a worker's memories, and characters of the longest segment that is remembered.
+MEMORY, SHORT = 1 << 18, 48
 
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the file format
 _MERGES = 2
@@ -77,6 +78,24 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Memory(dict):
+    """Values of a function, two generations of at most ``MEMORY`` each."""
+
+    def __init__(self, function):
+        super().__init__()
+        self.function, self.older = function, {}
+
+    def __missing__(self, key):
+        if len(self) >= MEMORY:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(key)
+        if found is None:
+            found = self.function(key)
+        self[key] = found
+        return found
+
+
 class PieceModel:
     """Pieces, ids and settings of a model file, with the encoder's memories; one for each worker and file."""
 
@@ -119,12 +138,15 @@ class PieceModel:
         ]
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, p)
+            if len(p) > 1:  # every place has a match of one character
+                self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
         crossed = any(x != SPACE and y == SPACE for p in self.ids for x, y in zip(p, p[1:], strict=False))
-        self.segments = (lambda s: [s]) if crossed else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.compatible: dict[tuple[str, str], bool] = {}
+        held = "".join(map(re.escape, sorted({c for p in self.ids for c in p} - {SPACE})))
+        spaced = f"[{held}{SPACE}]+" if crossed else f"{SPACE}*[{held}]+|{SPACE}+"
+        self.segments = re.compile(f"{spaced}|[^{held}{SPACE}]+").findall
+        self.known = Memory(self._segment_ids)
+        self.following = Memory(lambda key: self._first_fit(*key))
         self.shorter: dict[str, str] = {}
 
     @classmethod
@@ -151,12 +173,7 @@ class PieceModel:
 
     def fits(self, last: str, piece: str) -> bool:
         """Whether merging the joined text again gives these two pieces (``last`` is empty at the beginning)."""
-        found = self.compatible.get((last, piece))
-        if found is None:
-            if len(self.compatible) >= MEMORY:
-                self.compatible.clear()
-            found = self.compatible[last, piece] = self.merge(last + piece) == ([last, piece] if last else [piece])
-        return found
+        return self.merge(last + piece) == ([last, piece] if last else [piece])
 
     def shortened(self, piece: str) -> str:
         """The longest piece that is a proper prefix, at least one character; empty for one character."""
@@ -167,27 +184,39 @@ class PieceModel:
                 self.shorter[piece] = found
         return found
 
+    def _first_fit(self, last: str, piece: str) -> str:
+        """Of a piece and its shorter ones the first that fits behind ``last``; empty if none does."""
+        while piece and not self.fits(last, piece):
+            piece = self.shortened(piece)
+        return piece
+
     def split(self, segment: str) -> list[str]:
         """The pieces of a segment; a character that is no piece stands for itself."""
         n = len(segment)
         longest = list(segment)
-        for end, piece in self.automaton.iter(segment):  # ends ascend, so the last match at a place is its longest
-            longest[end - len(piece) + 1] = piece
+        for end, (back, piece) in self.automaton.iter(segment):  # ends ascend, so the last match at a place is its longest
+            longest[end - back] = piece
         failed = bytearray((n >> 3) + 1)  # a bit for each place from which no compatible rest was found
         out: list[str] = []
-        at, piece, fits, shortened = 0, longest[0], self.fits, self.shortened
+        at, last, wish, following = 0, "", longest[0], self.following
         while True:
-            end = at + len(piece)
-            if not failed[end >> 3] >> (end & 7) & 1 and fits(out[-1] if out else "", piece):
+            piece = following[last, wish]
+            while piece and failed[(end := at + len(piece)) >> 3] >> (end & 7) & 1:
+                piece = (wish := self.shortened(piece)) and following[last, wish]
+            if piece:
                 out.append(piece)
-                at = end
+                at += len(piece)
                 if at == n:
                     return out
-                piece = longest[at]
-            elif not (piece := shortened(piece)):
+                last, wish = piece, longest[at]
+                continue
+            while True:  # no piece is left here: give up the one before for a shorter one
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
+                if wish := self.shortened(piece):
+                    break
+            last = out[-1] if out else ""
 
     def _segment_ids(self, segment: str) -> tuple[int, ...]:
         out: list[int] = []
@@ -206,17 +235,10 @@ class PieceModel:
         line = text.replace(" ", SPACE)
         if self.prefix_space:
             line = SPACE + line
-        known, parts = self.known, []
-        for s in self.segments(line):
-            found = known.get(s)
-            if found is None:
-                found = self._segment_ids(s)
-                if len(s) <= SHORT:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[s] = found
-            parts.append(found)
-        return list(chain.from_iterable(parts))
+        parts = self.segments(line)
+        if max(map(len, parts)) <= SHORT:
+            return list(chain.from_iterable(map(self.known.__getitem__, parts)))
+        return list(chain.from_iterable(self.known[s] if len(s) <= SHORT else self._segment_ids(s) for s in parts))
 
     # ------------------------------------------------------------------------------------------ decoding
 
