@@ -60,65 +60,60 @@ class PlainTokens(Tokens):
             self.raw[k] = bytes(byte.get(c, 0x20) for c in entry)
 
 
-def merge_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def merge_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Merges two ascending lists of ends (the last ones equal): every end once, the A token and the B token that lie
-    before it, and whether both end there."""
+    before it, and whether a token of A, and one of B, ends there."""
     both = np.concatenate([ends_a, ends_b])
     order = np.argsort(both, kind="stable")  # two runs in order, which this sort merges
     ends, from_a = both[order], order < len(ends_a)
-    last = np.append(ends[1:] != ends[:-1], True)  # of two equal ends, A's comes first
-    passed_a = np.cumsum(from_a)
-    passed_b = np.arange(1, len(ends) + 1) - passed_a
-    shared = np.append(False, ends[1:] == ends[:-1])[last]
-    # The token that ends here, or the one under way.
-    a = np.where(shared | from_a[last], passed_a[last] - 1, passed_a[last])
-    b = np.where(shared | ~from_a[last], passed_b[last] - 1, passed_b[last])
-    return ends[last], a, b, shared
-
-
-def _listed(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Decimal ids, each followed by its mark (0: none), as one array of bytes, and the bytes of each id."""
-    width = len(str(int(ids.max()))) if len(ids) else 1
-    cells = np.zeros((len(ids), width + 1), np.uint8)
-    rest = ids.astype(np.int64)
-    for k in range(width - 1, -1, -1):
-        cells[:, k] = rest % 10 + 48
-        rest //= 10
-    for k in range(width - 1):  # leading zeros go
-        cells[ids < 10 ** (width - 1 - k), k] = 0
-    cells[:, width] = marks
-    kept = cells != 0
-    return cells[kept], kept.sum(axis=1)
-
-
-def align(a_ids: list[np.ndarray], b_ids: list[np.ndarray], a_size: np.ndarray, b_size: np.ndarray):
+    again = np.append(ends[1:] == ends[:-1], False)  # of two equal ends A's comes first, and B's stands for both
+    kept = ~again
+    stop_a, stop_b = (from_a | np.append(False, again[:-1]))[kept], ~from_a[kept]
+    passed_a, passed_b = np.cumsum(stop_a), np.cumsum(stop_b)
+    return ends[kept], passed_a - stop_a, passed_b - stop_b, stop_a, stop_b
+
+
+def decimals(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of the numbers below ``size`` (zero bytes for leading zeros), and how many they are."""
+    width = len(str(max(size - 1, 1)))
+    numbers = np.arange(size)
+    cells = np.stack([numbers // 10**k % 10 + 48 for k in range(width - 1, -1, -1)], axis=1).astype(np.uint8)
+    for k in range(width - 1):
+        cells[numbers < 10 ** (width - 1 - k), k] = 0
+    return cells, (cells != 0).sum(axis=1)
+
+
+def align(a_ids: list[np.ndarray], b_ids: list[np.ndarray], a_size: np.ndarray, b_size: np.ndarray, digits: tuple[np.ndarray, np.ndarray]):
     """Aligns texts given by their ids on both sides (each text has tokens, and the same bytes on both sides): for each
-    text the numbers of groups and links and the groups' digest, and as arrays (text, a, b, n) its distinct id pairs."""
+    text the numbers of groups and links and the groups' digest, and as arrays (text, a, b, n) its distinct id pairs.
+    ``digits``: ``decimals`` for all ids."""
     a, b = np.concatenate(a_ids).astype(np.int64), np.concatenate(b_ids).astype(np.int64)
     n_a, n_b = np.array([len(x) for x in a_ids]), np.array([len(x) for x in b_ids])
     ends_a, ends_b = np.cumsum(a_size[a]), np.cumsum(b_size[b])
-    ends, at_a, at_b, shared = merge_ends(ends_a, ends_b)
-    text_ends = ends_a[np.cumsum(n_a) - 1]
-    text = np.searchsorted(text_ends, ends)
-    n = len(a_ids)
-    links, groups = np.bincount(text, minlength=n), np.bincount(text[shared], minlength=n)
+    ends, at_a, at_b, stop_a, stop_b = merge_ends(ends_a, ends_b)
+    shared = stop_a & stop_b
+    until = np.searchsorted(ends, ends_a[np.cumsum(n_a) - 1], side="right")
+    links, groups = np.diff(until, prepend=0), np.diff(np.cumsum(shared)[until - 1], prepend=0)
 
+    text = np.repeat(np.arange(len(a_ids)), links)
     key = (text * len(a_size) + a[at_a]) * len(b_size) + b[at_b]
     pairs, times = np.unique(key, return_counts=True)
     owner, pair_a, pair_b = pairs // (len(a_size) * len(b_size)), pairs // len(b_size) % len(a_size), pairs % len(b_size)
 
     # In the digest's line A's ids of a group come before B's.
-    stops = ends[shared]
-    group_a, group_b = np.searchsorted(stops, ends_a), np.searchsorted(stops, ends_b)
-    before_b, until_a = np.searchsorted(group_b, group_a), np.searchsorted(group_a, group_b, side="right")
-    line, marks = np.zeros(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.uint8)
-    place_a, place_b = np.arange(len(a)) + before_b, np.arange(len(b)) + until_a
+    last_a, last_b = shared[stop_a], shared[stop_b]  # for each token, whether its group ends with it
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    of_a, of_b = np.bincount(group_a), np.bincount(group_b)
+    line, marks = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+    place_a, place_b = np.arange(len(a)) + (np.cumsum(of_b) - of_b)[group_a], np.arange(len(b)) + np.cumsum(of_a)[group_b]
     line[place_a], line[place_b] = a, b
-    marks[place_a] = np.where(ends_a == stops[group_a], ord("|"), ord(","))
-    marks[place_b] = np.where(ends_b == stops[group_b], ord(";"), ord(","))
+    marks[place_a] = np.where(last_a, ord("|"), ord(","))
+    marks[place_b] = np.where(last_b, ord(";"), ord(","))
     marks[np.cumsum(n_a + n_b) - 1] = 0
-    data, sizes = _listed(line, marks)
-    cuts = np.append(0, np.cumsum(np.add.reduceat(sizes, np.cumsum(n_a + n_b) - (n_a + n_b))))
+    cells, sizes = digits
+    listed = np.concatenate([cells[line], marks[:, None]], axis=1)
+    data = listed[listed != 0]
+    cuts = np.append(0, np.cumsum(sizes[line] + (marks != 0))[np.cumsum(n_a + n_b) - 1])
     digests = [hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
     return groups, links, digests, (owner, pair_a, pair_b, times)
 
@@ -152,6 +147,7 @@ def align_tokens(
         first = PlainTokens.of(path_of(tokenizer), ranks and path_of(ranks))
         second = PieceModel.of(path_of(model))
         size_a, size_b = (np.array([len(x) for x in side.raw], np.int64) for side in (first, second))
+        digits = decimals(max(len(size_a), len(size_b)))
 
         for batch in batches:
             for at, texts in _portions(batch.column(1)):
@@ -171,7 +167,7 @@ def align_tokens(
                 digests, sizes = [""] * n, np.zeros(n, np.int64)
                 pairs = [np.zeros(0, np.int64)] * 3
                 if live:
-                    groups, links, own, (owner, *pairs) = align(a_ids, b_ids, size_a, size_b)
+                    groups, links, own, (owner, *pairs) = align(a_ids, b_ids, size_a, size_b, digits)
                     counts[:, live] = [[len(x) for x in a_ids], [len(x) for x in b_ids], groups, links]
                     sizes[live] = np.bincount(owner, minlength=len(live))
                     for k, d in zip(live, own, strict=True):

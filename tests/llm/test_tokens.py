@@ -68,7 +68,7 @@ def test_long_segments_and_small_memories(monkeypatch):
     own = pieces.PieceModel(pieces.path_of(pieces.MODEL))
     for text in ("the cat sat on the mat and thing " * 40, "a" * 20_000, "中国的" * 3_000, "ab" * 9_000 + " x"):
         assert own.encode(text) == LIBRARY.encode(text)
-        assert len(own.known) <= 16 and len(own.compatible) <= 16
+        assert all(len(x) <= 16 for m in (own.known, own.following) for x in (m, m.older))
 
 
 def test_other_models_and_ids_are_refused(tmp_path):
@@ -166,10 +166,11 @@ def test_merging_ends_meets_every_overlap_once(x, y):
     gap = sum(x) - sum(y)
     x, y = (x, y + [gap]) if gap > 0 else (x + [-gap], y) if gap < 0 else (x, y)
     ends_a, ends_b = np.cumsum(x), np.cumsum(y)
-    ends, a, b, shared = alignment.merge_ends(ends_a, ends_b)
+    ends, a, b, stop_a, stop_b = alignment.merge_ends(ends_a, ends_b)
+    assert ends[stop_a].tolist() == ends_a.tolist() and ends[stop_b].tolist() == ends_b.tolist()
     over = [(i, j) for i in range(len(x)) for j in range(len(y)) if max(ends_a[i] - x[i], ends_b[j] - y[j]) < min(ends_a[i], ends_b[j])]
     assert list(zip(a.tolist(), b.tolist())) == over
-    assert ends[shared].tolist() == sorted(set(ends_a.tolist()) & set(ends_b.tolist()))
+    assert ends[stop_a & stop_b].tolist() == sorted(set(ends_a.tolist()) & set(ends_b.tolist()))
 
 
 def test_joined_back_is_whole_beyond_the_bound(spark):
