@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,11 +83,13 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Memory(dict):
     """Values of a function, two generations of at most ``MEMORY`` each."""
 
-    def __init__(self, function):
+    def __init__(self, function, longest: int | None = None):
         super().__init__()
-        self.function, self.older = function, {}
+        self.function, self.longest, self.older = function, longest, {}
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.function(key)
         if len(self) >= MEMORY:
             self.older = dict(self)
             self.clear()
@@ -129,6 +133,7 @@ class PieceModel:
         self.bytes = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         surface = trainer.get(44, " ⁇ ".encode())
         self.kinds = [kind for _, _, kind in pieces]
+        self.controls = {k for k, kind in enumerate(self.kinds) if kind == CONTROL}
         #: What each id stands for: bytes with spaces as spaces.
         self.raw = [
             {BYTE: lambda: bytes([int(p[3:5], 16)]), CONTROL: lambda: b"", UNKNOWN: lambda: surface}.get(
@@ -145,7 +150,7 @@ class PieceModel:
         held = "".join(map(re.escape, sorted({c for p in self.ids for c in p} - {SPACE})))
         spaced = f"[{held}{SPACE}]+" if crossed else f"{SPACE}*[{held}]+|{SPACE}+"
         self.segments = re.compile(f"{spaced}|[^{held}{SPACE}]+").findall
-        self.known = Memory(self._segment_ids)
+        self.known = Memory(self._segment_ids, SHORT)
         self.following = Memory(lambda key: self._first_fit(*key))
         self.shorter: dict[str, str] = {}
 
@@ -235,10 +240,7 @@ class PieceModel:
         line = text.replace(" ", SPACE)
         if self.prefix_space:
             line = SPACE + line
-        parts = self.segments(line)
-        if max(map(len, parts)) <= SHORT:
-            return list(chain.from_iterable(map(self.known.__getitem__, parts)))
-        return list(chain.from_iterable(self.known[s] if len(s) <= SHORT else self._segment_ids(s) for s in parts))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.segments(line))))
 
     # ------------------------------------------------------------------------------------------ decoding
 
@@ -246,7 +248,7 @@ class PieceModel:
         """Text of ids: runs of byte pieces are read as UTF-8, every byte that is none becomes U+FFFD; the space that
         encoding put in front is taken away again."""
         raw, kinds = self.raw, self.kinds
-        if any(not 0 <= k < len(raw) for k in ids):
+        if ids and not 0 <= min(ids) <= max(ids) < len(raw):
             raise ValueError("id out of range")
         # The first piece that leaves a text or a space behind loses the space in front; bytes do so too.
         first = 0
@@ -255,7 +257,7 @@ class PieceModel:
         joined = b"".join(map(raw.__getitem__, ids))
         if self.prefix_space and first < len(ids) and kinds[ids[first]] == NORMAL and joined[:1] == b" ":
             joined = joined[1:]
-        if CONTROL not in {kinds[k] for k in ids[first:-1]}:  # else a control id parts two runs of bytes
+        if self.controls.isdisjoint(ids[first:-1]):  # else a control id parts two runs of bytes
             try:
                 return joined.decode()
             except UnicodeDecodeError:
@@ -293,30 +295,29 @@ def _loose(data: bytes) -> str:
 def encode_pieces(text: Column, model: str = MODEL, end_id: bool = False) -> Column:
     """Ids of a text as an array of integers; with ``end_id`` the model's end id comes last."""
 
+    # Iterators are not chained, so that what decodes these ids does not encode the text again.
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encoded(texts: pa.Array) -> pa.Array:
-        import numpy as np
-
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = PieceModel.of(path_of(model))
-        end = [pieces.end_id] if end_id else []
-        rows, sizes = [], [0]
-        for t in texts:
-            ids = pieces.encode(t.as_py())
-            ids += end
-            rows.append(np.array(ids, np.int32))
-            sizes.append(sizes[-1] + len(ids))
-        values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values))
+        for texts in batches:
+            flat, offsets = array("i"), array("i", [0])
+            for t in texts:
+                flat.extend(pieces.encode(t.as_py()))
+                if end_id:
+                    flat.append(pieces.end_id)
+                offsets.append(len(flat))
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
 
     return encoded(text)
 
 
 def decode_pieces(ids: Column, model: str = MODEL) -> Column:
-    """Text of an array of ids; null for null."""
+    """Text of an array of ids; null for null, and an error for an array that holds a null."""
 
     @F.arrow_udf(T.StringType())
-    def decoded(rows: pa.Array) -> pa.Array:
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = PieceModel.of(path_of(model))
-        return pa.array((None if not r.is_valid else pieces.decode(r.values.to_numpy().tolist()) for r in rows), pa.string())
+        for rows in batches:
+            yield pa.array((None if not r.is_valid else pieces.decode(r.values.to_numpy().tolist()) for r in rows), pa.string())
 
     return decoded(ids)
