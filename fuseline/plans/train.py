@@ -167,22 +167,59 @@ def _by_entropy(table: PairTable, corpus, length: int, window: int, known: dict[
     return None if best is None else (best[2], best[0], best[3], None)
 
 
-def _by_phi(table: PairTable, sample: list[int], length: int, slate: int, measured: int, kernel: Kernel):
-    """The best of the slate's first candidates by count x coupling x gain in phi; the first wins a tie."""
-    order = table.top(slate, length)
+def fused_sample(sample: Sequence[int], vectors: dict[int, np.ndarray], pair: Pair | None) -> np.ndarray:
+    """Points of a sample's tokens, the places of ``pair`` fused left to right."""
+    if pair is None:
+        return np.array([vectors[t] for t in sample])
+    middle, fused, i = simplex.np_midpoint(vectors[pair[0]], vectors[pair[1]]), [], 0
+    while i < len(sample):
+        hit = tuple(sample[i : i + 2]) == pair
+        fused.append(middle if hit else vectors[sample[i]])
+        i += 2 if hit else 1
+    return np.array(fused)
+
+
+def phis(sample: Sequence[int], points, pairs: Sequence[Pair | None], kernel: Kernel, spark: SparkSession | None = None) -> list[float | None]:
+    """phi of the sample with each of these pairs fused (None: as it is); 0.5 for an empty sample.
+
+    With ``spark`` every candidate is a task of its own: the sample, its points and the kernel go out with the closure (as large as the
+    sample, which the caller bounds), and one number a candidate comes back.  A kernel that raises, in the driver or in a
+    worker, gives None for that candidate; the others stand."""
+    vectors = {t: points[t].vector for t in {*sample, *(t for p in pairs if p is not None for t in p)}}
+    sample = list(sample)
+
+    def one(pair: Pair | None) -> float | None:
+        try:
+            return float(kernel(fused_sample(sample, vectors, pair))[0]) if sample else 0.5
+        except Exception:  # whatever a caller's kernel raises
+            return None
+
+    if spark is None:
+        return [one(p) for p in pairs]
+
+    def work(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            found = [one(None if r["a"] is None else (r["a"], r["b"])) for r in rows]
+            yield pa.record_batch([pa.array([r["k"] for r in rows], pa.int32()), pa.array(found, pa.float64())], names=["k", "phi"])
+
+    rows = [(k, *(p or (None, None))) for k, p in enumerate(pairs)]
+    tasks = spark.createDataFrame(rows, "k int, a int, b int").repartition(len(rows)).mapInArrow(work, "k int, phi double")
+    found = {r["k"]: r["phi"] for r in tasks.collect()}  # a row a candidate
+    return [found[k] for k in range(len(pairs))]
+
+
+def _by_phi(table: PairTable, sample: list[int], length: int, slate: int, measured: int, kernel: Kernel, spark: SparkSession | None):
+    """The best of the slate's first candidates by count x coupling x gain in phi; the first wins a tie.  Where the kernel fails, on a
+    candidate or on the sample as it is, the gain is 0."""
+    order = table.top(slate, length)[:measured]
     if not len(order):
         return None
-    points, product = table.points, table.products(length)
-    base = kernel(np.array([points[t].vector for t in sample]))[0] if sample else 0.5
+    product = table.products(length)
+    base, *after = phis(sample, table.points, [None, *table.pairs(order)], kernel, spark)
     best = None
-    for k in order[:measured].tolist():
-        (pair,) = table.pairs([k])
-        middle, fused, i = simplex.np_midpoint(points[pair[0]].vector, points[pair[1]].vector), [], 0
-        while i < len(sample):
-            hit = tuple(sample[i : i + 2]) == pair
-            fused.append(middle if hit else points[sample[i]].vector)
-            i += 2 if hit else 1
-        gain = (kernel(np.array(fused))[0] if fused else 0.5) - base
+    for k, phi in zip(order.tolist(), after, strict=True):
+        gain = 0.0 if phi is None or base is None else phi - base
         score = product[k] * (1.0 / (1.0 + scores.SOFTEN)) * max(0.0, gain + 0.1)
         if best is None or score > best[1]:
             best = (k, score, None, gain)
@@ -287,7 +324,7 @@ def train(
         if mode == "entropy":
             found = _by_entropy(table, corpus, length, window, known)
         elif measuring:
-            found = _by_phi(table, corpus.first(sample), length, slate, measured, kernel)
+            found = _by_phi(table, corpus.first(sample), length, slate, measured, kernel, None if local else spark)
         else:
             found = (top := table.pop_best(length)) and (*top, None, None)
         if not found:

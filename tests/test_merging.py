@@ -231,3 +231,45 @@ def test_half_a_snapshot_is_never_read(spark, tmp_path, monkeypatch):
         train(seqs, 256 + 30, "frequency", 2, 2, cut_every=6, state_to=folder)
     got = train(seqs, 256 + 30, "frequency", 2, 2, cut_every=6, state_to=folder)
     assert [s.rule for s in got.steps] == [s.rule for s in want.steps]
+
+
+def test_candidates_are_measured_by_workers_as_by_the_driver(spark):
+    seqs = corpus(spark, 20)
+    want = train(seqs, 262, "phi", 3, 2, local=True)
+    got = train(seqs, 262, "phi", 3, 2)
+    assert got.steps == want.steps and all(s.gain is not None for s in got.steps)
+    sample, points = [97, 98, 97, 98, 98], training.Model().points
+    pairs = [None, (97, 98), (98, 98)]
+    assert training.phis(sample, points, pairs, training.simplex.np_phi_kappa, spark) == training.phis(sample, points, pairs, training.simplex.np_phi_kappa)
+    assert training.phis([], points, pairs, training.simplex.np_phi_kappa, spark) == [0.5] * 3
+
+
+def test_a_failing_kernel_leaves_the_other_candidates(spark):
+    def fails(x):
+        if len(x) == 3:  # only with (97, 98) fused twice
+            raise RuntimeError("no model here")
+        return float(len(x)), 1.0
+
+    sample, points = [97, 98, 97, 98, 98], training.Model().points
+    assert training.phis(sample, points, [None, (97, 98), (98, 98)], fails, spark) == [5.0, None, 4.0]
+
+    def never(x):
+        raise RuntimeError("no model at all")
+
+    seqs = corpus(spark, 20)
+    plain = train(seqs, 260, "frequency", 3, 2, local=True)
+    with pytest.raises(RuntimeError):  # the report's own measurement is the caller's to mend
+        train(seqs, 260, "phi", 3, 2, kernel=never)
+    calls = []
+
+    def once(x):  # in the driver it works for the report, in workers never
+        import os
+
+        if os.getpid() != driver:
+            raise RuntimeError("no model in workers")
+        calls.append(1)
+        return 0.5, 1.0
+
+    driver = __import__("os").getpid()
+    out = train(seqs, 260, "phi", 3, 2, kernel=once)
+    assert [s.rule for s in out.steps] == [s.rule for s in plain.steps] and {s.gain for s in out.steps} == {0.0}
