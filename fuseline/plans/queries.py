@@ -12,6 +12,7 @@ from ..operators import codec, pairs, rewrite
 from ..operators import vectors as V
 from ..sources.corpus import read_table, to_sequences
 from ..sources.shared import scratch, shared_folder
+from ..streaming.counts import follow, latest, pair_count_stream
 from ..streaming.encode import encode_stream
 from .model import Model
 from .train import train
@@ -496,6 +497,14 @@ def stream_encode(spark, d):
     return spark.read.schema(encoded.schema).parquet(f"{folder}/rows")
 
 
+def stream_pair_counts(spark, d):
+    """Byte pairs of the documents, counted by a stream of files."""
+    folder = scratch(spark, "counts")
+    source = spark.readStream.schema(_docs(spark, d).schema).option("pathGlobFilter", "documents.parquet*").parquet(d)
+    follow(pair_count_stream(source), f"{folder}/rows", f"{folder}/log").awaitTermination()
+    return latest(spark, f"{folder}/rows")
+
+
 # ------------------------------------------------------------------------------------------------- oracles
 
 _IDS = "list_transform(regexp_extract_all(hex(encode(nfc_normalize({}))), '..'), lambda h: ('0x' || h)::INT)"
@@ -762,6 +771,7 @@ def oracle() -> dict[str, str]:
             list_max(list_transform(s, lambda x: strlen(x))) AS longest
             FROM (SELECT doc_id, {_segments('nfc_normalize(text)')} AS s FROM documents)""",
         "byte_pair_counts": _DOC_PAIRS,
+        "stream_pair_counts": _DOC_PAIRS,
         "byte_pair_min5": f"{_DOC_PAIRS} HAVING count(*) >= 5",
         "pair_counts_by_lang": f"SELECT lang, a, b, count(*) AS cnt FROM ({_pair_sql('documents', _IDS.format('text'), 'lang,')}) GROUP BY lang, a, b",
         "pair_context_entropy": f"SELECT a, b, cnt, round(entropy, 6) AS entropy FROM ({_entropy_sql(_contexts(_id_lists('benchmark', 'item_id'), 5), 5)})",
@@ -882,6 +892,6 @@ QUERIES = {
         sequence_velocity, granularity_case, simplex_project, simplex_project_sql, fr_distance_pairs, fr_nearest,
         midpoint_pairs, label_mean, center_distance, label_phi_kappa, label_frechet, train_entropy, train_frequency, train_documents,
         train_phi, train_resumed, train_restarted, training_report, training_ratio, train_saved, encode_learned, reserved_ids, token_scales,
-        model_roundtrip, model_tables, stream_encode,
+        model_roundtrip, model_tables, stream_encode, stream_pair_counts,
     )
 }

@@ -304,6 +304,31 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert {r.coord_id: r.n for r in per}[257] == sum(s.count(chr(257)) for s in want.values())
 
 
+@pytest.mark.parametrize("files", [1, 3, 7])
+def test_streamed_pair_counts_are_those_of_the_batch(spark, tmp_path, files):
+    """Any split into micro-batches, with a restart between them, ends with the batch's counts and the same best pair."""
+    from fuseline.streaming.counts import follow, into_table, latest, pair_count_stream
+
+    rows = [(k, prose(300, k).decode() if k % 5 else None) for k in range(21)]
+    schema = "doc_id long, text string"
+    table = PairTable(dict(Model().points), 2)
+    for part in range(files):
+        spark.createDataFrame(rows[part::files], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        # A new query on the same log in each turn is a restart: it knows the counts so far.
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = follow(pair_count_stream(source), str(tmp_path / "rows"), str(tmp_path / "log"), into_table(table))
+        query.awaitTermination()
+        assert query.exception() is None
+    seqs = to_sequences(spark.createDataFrame(rows, schema))
+    want = {(r.a, r.b): r.cnt for r in pairs.pair_counts(seqs).collect()}
+    assert {(r.a, r.b): r.cnt for r in latest(spark, str(tmp_path / "rows")).collect()} == want
+    assert {p: int(table.count[k]) for p, k in table.index.items()} == want
+    whole = PairTable(dict(Model().points), 2)
+    whole.push_changed([(*p, n) for p, n in want.items()])
+    best, other = table.pop_best(6_000), whole.pop_best(6_000)
+    assert table.pairs([best[0]]) == whole.pairs([other[0]]) and best[1] == other[1]
+
+
 def test_sql_functions(spark):
     from fuseline.plans.sql import register
 
