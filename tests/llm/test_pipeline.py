@@ -77,4 +77,4 @@ def test_each_operator_has_one_query():
     if importlib.util.find_spec("corpus_pipeline"):
         assert "pipeline" in entry.queries()
     names = [n.split("_")[0] for n in entry.queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{k}" for k in range(1, 11))
+    assert sorted(names) == sorted(f"op{k}" for k in range(1, 14))
