@@ -1,16 +1,27 @@
 """Main text of HTML pages by tree scoring.
 
-The page becomes a tree (unclosed ``p``, ``li`` and the like are closed as browsers do).  What is never article text
-goes first: scripts, styles, navigation, forms, asides, footers, page headers, hidden parts and containers whose
-class, id or role names menus, adverts, notices, comments and so on.  Then every paragraph-like block passes points
-to its ancestors: one, one for each comma, and one for each hundred characters (three at most); the parent gets
-all, the grandparent half, and so on.  A container's points are discounted by the share of its text inside links.  An
-``article`` or ``main`` around the best container is kept, and of its siblings those that score at least a fifth of it
-or read like paragraphs.  Without one, the best container is kept with all that stands beside it and beside its
-ancestors, bare text included, but for blocks of which half or more is links.
+The page becomes a tree (unclosed ``p``, ``li`` and the like are closed as browsers do).  What its tag, role or style says
+is no article text goes first: scripts, styles, navigation, forms, asides, footers, page headers, hidden parts, and comment
+threads by their name.  Then every paragraph-like block has points: one, one for each comma, and one for each hundred
+characters (three at most); of a block below 25 characters they count a quarter.
+
+* **Names only discount.**  A container whose class or id names adverts, menus, notices and so on is cut unless it holds nearly
+  all points of the article or page around it; one named for a list of links stays, too, where it reads like prose.  A name
+  counts by its last word or when its other words are about layout, so that ``notice-period`` is no notice.
+* **Scores choose.**  Blocks pass their points to their ancestors: the parent gets all, the grandparent half, and so on, and a
+  container's sum is discounted by the share of its text inside links.  An ``article`` or ``main`` around the best container is
+  kept, and of its siblings those that score at least a fifth of it or read like paragraphs.
+* **Without one**, the best container grows while what stands beside it carries a share of the score: boxes with a fifth of its
+  points, or several paragraphs, headings, lists and bare texts with a twentieth together.  What lies between such parts
+  belongs to them.  Where nothing of the kind stands beside it the growth ends, with an ``h1`` beside it as its title.
+  A table cell
+  of several blocks with most of its table's points is a container, other parts of tables, lists and quotations are not.
+  Boxes at the edge of a container made of boxes, or of the page's body, stay only with a fifth of the largest part's points;
+  blocks of which half or more is links go.
 
 Text: character references are decoded, white space inside a block (``br`` included) becomes one space, blocks are
-trimmed and joined by one line feed in page order.  Nothing else is dropped or cut.
+trimmed and joined by one line feed in page order.  A ``label`` or ``button`` inside a sentence, formulas and the texts of a
+drawing inside a paragraph are words of it.  Nothing else is dropped or cut.
 
 Odd input: a null or empty page gives the empty text; markup that is cut off or nested wrongly is repaired, and a quote
 in an attribute counts only behind ``=`` and where it is closed; a page without any tag is one block of text; among
@@ -25,6 +36,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -40,8 +52,9 @@ _SKIP = re.compile(r"[\s/]*")
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
-DROPPED = RAW | frozenset("head nav footer aside form button select dialog menu label input fieldset audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe object canvas annotation annotation-xml".split())
+DROPPED = RAW | frozenset("head nav footer aside form select dialog menu input fieldset audio video".split())
+DRAWN = frozenset("desc defs metadata".split())  # inside a drawing, no text
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -61,26 +74,40 @@ CLOSED_BY = {  # an open element of the key ends where one of these begins
 ITEMS = frozenset("li dt dd".split())
 CELLS = frozenset("table tr td th".split())  # a cell closes nothing outside its table
 
-#: Words in class, id and role that name what is not the article.
-AWAY = frozenset(
-    "ad ads adbox adblock adbanner adv advert adverts advertisement advertising adslot adsense banner banners breadcrumb breadcrumbs comment "
-    "comments commentlist cookie cookies consent contentinfo discussion disqus disclaimer footer footnav gdpr "
-    "login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pagination pager "
-    "paywall popup popups promo promos promoted promotion recommended recommendations related replies "
-    "respond share sharing shoutbox sidebar sidebars signin signup skyscraper social sponsor sponsored "
-    "sponsors subscribe subscription tagcloud toolbar topbar widget widgets complementary alert dialog "
-    "sidenav subnav copyright alerts".split()
+# Words in class and id that name what is not the article.
+COMMENTS = frozenset("comment comments commentlist disqus replies respond shoutbox".split())
+SURE = frozenset(
+    "ad ads adbox adblock adbanner adv advert adverts advertisement advertising adslot adsense breadcrumb breadcrumbs cookie "
+    "cookies consent footnav gdpr login masthead navbar newsletter pagination pager paywall sidebar sidebars signin signup "
+    "sidenav subnav skyscraper sponsor sponsored sponsors subscribe tagcloud topbar".split()
 )
+LINKS = frozenset("menu menus nav navigation recommended recommendations related share sharing social toolbar".split())
+AWAY = SURE | LINKS | frozenset(
+    "alert alerts banner banners copyright disclaimer discussion footer modal notice notices overlay popup popups promo promos "
+    "promoted promotion subscription widget widgets".split()
+)
+#: Words that say where or what shape a part is, not what it holds.
+LAYOUT = frozenset(
+    "area aside bar block bottom box btn button buttons center col column container div fixed group holder icons inner item items "
+    "js left list main module outer page panel right row section site slot sticky strip top unit user wrap wrapper zone".split()
+)
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 STATES = frozenset("no has with without".split())
 TITLES = frozenset("article post entry story title content".split())
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
+# How much of a named part's points count against those of all else around it.
+DISCOUNT = {"sure": 1 / 20, "title": 1 / 20, "weak": 1 / 3, "links": 1 / 3}
+SURE_POINTS = 20.0  # a part with a sure name and fewer points is never the article
+SHORT = 25  # characters below which a block's points count a quarter
+STRONG, SEVERAL = 0.2, 0.05  # shares of the score: of a box beside the article, of paragraphs and the like together
+
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score")
+    __slots__ = ("tag", "parent", "children", "score", "kind")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Node | None, kind: str = ""):
+        self.tag, self.parent, self.kind = tag, parent, kind
         self.children: list[Node | str] = []
         self.score = 0.0
 
@@ -106,7 +133,7 @@ def _tag_end(page: str, at: int) -> tuple[int, dict[str, str], bool] | None:
 
 
 def _away(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
-    """Whether an element is no part of an article."""
+    """Whether an element is no part of an article by its tag, state or role, or as a thread of comments."""
     if tag in DROPPED:
         return True
     if tag == "header":
@@ -117,16 +144,34 @@ def _away(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    for key in ("class", "id", "role"):
+    if ROLES.intersection(attrs.get("role", "").lower().split()):
+        return True
+    return any(COMMENTS.intersection(words) for _, words in _names(attrs))
+
+
+def _names(attrs: dict[str, str]):
+    """(words, words and joined neighbours) of each name in class and id that says what the element is."""
+    for key in ("class", "id"):
         for name in attrs.get(key, "").split():
             words = [w.lower() for w in _NAME.findall(name)]
-            if STATES.intersection(words):
-                continue  # "no-sidebar", "has-comments": about the page, not what the element is
-            if AWAY.intersection(words) or AWAY.intersection(a + b for a, b in zip(words, words[1:], strict=False)):
-                return True  # "side-bar" counts as "sidebar"
-            if "header" in words and not inside_article and not TITLES.intersection(words):
-                return True
-    return False
+            if words and not STATES.intersection(words):  # "no-sidebar", "has-comments": about the page
+                # "side-bar" counts as "sidebar"
+                yield words, {*words, *(a + b for a, b in zip(words, words[1:], strict=False))}
+
+
+def _kind(tag: str, attrs: dict[str, str], inside_article: bool) -> str:
+    """What an element's names say it is: a key of ``DISCOUNT``, or nothing."""
+    if not attrs or tag in ("html", "body", "article", "main"):
+        return ""
+    for words, joined in _names(attrs):
+        if SURE.intersection(joined):
+            return "sure"
+        if "header" in words and not inside_article and not TITLES.intersection(words):
+            return "title" if "page" in words else "sure"
+        named = AWAY.intersection(words)
+        if named and (words[-1] in AWAY or all(w in AWAY or w in LAYOUT for w in words)):
+            return "links" if words[-1] in LINKS or named <= LINKS else "weak"
+    return ""
 
 
 class _Builder:
@@ -139,8 +184,8 @@ class _Builder:
         self.cells: list[Node] = []
         self.open: Counter[str] = Counter()
 
-    def enter(self, tag: str) -> None:
-        child = Node(tag, self.node)
+    def enter(self, tag: str, kind: str = "") -> None:
+        child = Node(tag, self.node, kind)
         self.node.children.append(child)
         self.node = child
         self.open[tag] += 1
@@ -185,7 +230,7 @@ class _Builder:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page without the parts that are no article."""
+    """The tree of a page without the parts whose tag, role or state says that they are no article."""
     tree = _Builder()
     at, size = 0, len(page)
     skipping: list[str] = []  # open elements inside one that is left out
@@ -257,7 +302,8 @@ def parse(page: str) -> Node:
         if tag == "br":
             tree.node.children.append(" ")
             continue
-        if tag in RAW:
+        in_paragraph = bool(tree.blocks) and tree.blocks[-1].tag in PARAGRAPHS
+        if tag in RAW or tag == "svg" and not in_paragraph:
             at = at if empty else _raw_end(page, tag, at)
             continue
         tree.close_before(tag)
@@ -265,12 +311,13 @@ def parse(page: str) -> Node:
             if tag == "hr":
                 tree.node.children.append(Node("hr", tree.node))
             continue
-        if _away(tag, attrs, tree.in_article):
+        apart = tag in ("label", "button") and not in_paragraph or tag in DRAWN and tree.open["svg"] > 0
+        if apart or _away(tag, attrs, tree.in_article):
             skipping, skipped = [tag], Counter([tag])
             if tag in BLOCKS:
                 tree.node.children.append(Node("hr", tree.node))  # blocks on either side stay apart
             continue
-        tree.enter(tag)
+        tree.enter(tag, _kind(tag, attrs, tree.in_article))
     return tree.root
 
 
@@ -299,21 +346,81 @@ def _walk(root: Node):
         stack += [c for c in reversed(node.children) if type(c) is Node]
 
 
-def _sizes(root: Node) -> dict[int, tuple[int, int]]:
-    """Characters of text, and of them inside links, below each node."""
-    out: dict[int, tuple[int, int]] = {}
+@dataclass
+class Sizes:
+    """Of what is below a node: characters, those inside links, blocks of text and their points."""
+
+    text: int = 0
+    link: int = 0
+    blocks: int = 0
+    points: float = 0.0
+
+    @property
+    def density(self) -> float:
+        return self.link / self.text if self.text else 0.0
+
+
+def points_of(text: str) -> float:
+    """The points of a block with this text."""
+    points = 1 + text.count(",") + min(len(text) // 100, 3)
+    return points if len(text) >= SHORT else points / 4
+
+
+def sizes_of(root: Node) -> dict[int, Sizes]:
+    out: dict[int, Sizes] = {}
     for node in reversed(list(_walk(root))):
-        text = link = 0
+        own = Sizes()
         for c in node.children:
             if type(c) is Node:
-                t, k = out[id(c)]
-                text, link = text + t, link + k
+                s = out[id(c)]
+                own.text, own.link, own.blocks, own.points = own.text + s.text, own.link + s.link, own.blocks + s.blocks, own.points + s.points
             else:
-                text += len(c.strip())
-        out[id(node)] = (text, text if node.tag == "a" else link)
+                own.text += len(c.strip())
+        if node.tag == "a":
+            own.link = own.text
+        if text := _own_text(node):
+            own.blocks, own.points = own.blocks + 1, own.points + points_of(text)
+        out[id(node)] = own
     return out
 
 
+def cut_named(root: Node) -> Node:
+    """Cuts the parts that names discount below what else is there, and labels and buttons outside sentences."""
+    sizes = sizes_of(root)
+    titles = sum(n.tag == "h1" and sizes[id(n)].text > 0 for n in _walk(root))
+    stack = [(root, sizes[id(root)].points)]
+    while stack:
+        node, scope = stack.pop()
+        if node.tag in ("article", "main"):
+            scope = sizes[id(node)].points
+        prose = [k for k, c in enumerate(node.children) if type(c) is str and any(map(str.isalnum, c))]
+        for k, c in enumerate(node.children):
+            if type(c) is str:
+                continue
+            if c.tag == "label" and not prose or c.tag == "button" and not (prose and prose[0] < k < prose[-1]):
+                node.children[k] = ""
+            elif c.kind and not _outweighs(c.kind, sizes[id(c)], scope):
+                inside = [n for n in _walk(c) if n.tag == "h1" and sizes[id(n)].text] if c.kind == "title" else []
+                gap = Node("hr" if c.tag in BLOCKS else "span", node)  # blocks on either side stay apart
+                if inside and len(inside) == titles:
+                    gap.children = inside
+                    for n in inside:
+                        n.parent = gap
+                node.children[k] = gap
+            else:
+                stack.append((c, scope))
+    return root
+
+
+def _outweighs(kind: str, own: Sizes, scope: float) -> bool:
+    """Whether a part stays in spite of its name."""
+    if kind == "links" and own.blocks and own.density < 0.2 and own.text >= 40 * own.blocks:
+        return True
+    if kind in ("sure", "title") and own.points < SURE_POINTS:
+        return False
+    return DISCOUNT[kind] * own.points > scope - own.points + 1e-9
+
+
 def blocks(nodes: list[Node | str]) -> list[str]:
     """Texts of the blocks below the nodes, in page order."""
     found: list[str] = []
@@ -341,26 +448,30 @@ def blocks(nodes: list[Node | str]) -> list[str]:
     return found
 
 
-def _points(root: Node) -> list[Node]:
-    """Gives ancestors the points of their paragraphs; returns the nodes that have some."""
+def _own_text(node: Node) -> str:
+    """The text of a block without that of the blocks in it."""
+    if node.tag not in BLOCKS and node.tag != "#root":
+        return ""
+    return "".join(c if type(c) is str else _inline(c) for c in node.children if type(c) is str or c.tag not in BLOCKS).strip()
+
+
+def scores(root: Node, sizes: dict[int, Sizes]) -> list[Node]:
+    """Gives ancestors the points of their paragraphs, discounted by links; returns the nodes that have some, in page
+    order of the first block that gave them any."""
     scored: dict[int, Node] = {}
     for node in _walk(root):
-        if node.tag not in BLOCKS and node.tag != "#root":
+        text = _own_text(node)
+        if not text:
             continue
-        own = "".join(c if type(c) is str else _inline(c) for c in node.children if type(c) is str or c.tag not in BLOCKS)
-        own = own.strip()
-        if not own:
-            continue
-        points = 1 + own.count(",") + min(len(own) // 100, 3)
-        if node.tag not in PARAGRAPHS:
-            up: Node | None = node  # text that stands in a container itself counts for the container
-        else:
-            up = node.parent
-        share = 1.0
+        points, share = points_of(text), 1.0
+        # Text that stands in a container itself counts for the container.
+        up = node.parent if node.tag in PARAGRAPHS else node
         while up is not None and points * share > 1e-9:  # beyond that, ancestors get nothing that shows
             up.score += points * share
             scored[id(up)] = up
             up, share = up.parent, share / 2
+    for node in scored.values():
+        node.score *= 1 - sizes[id(node)].density
     return list(scored.values())
 
 
@@ -375,23 +486,70 @@ def _inline(node: Node) -> str:
     return "".join(parts)
 
 
-def _around(best: Node, sizes: dict[int, tuple[int, int]]) -> Node:
-    """The best container with what stands beside it and beside its ancestors, but for parts that are mostly links."""
-    kept = best
-    while best.parent is not None and best.tag not in ("body", "html"):
-        up = best.parent
-        prose = any(type(c) is str and c.strip() for c in up.children)
-        whole = Node(up.tag, None)
-        for c in up.children:
-            if c is best:
-                whole.children.append(kept)
-            elif type(c) is str or c.tag in HEADINGS or c.tag not in BLOCKS and prose:
-                whole.children.append(c)
-            else:
-                text, link = sizes[id(c)]
-                if not text or link < 0.5 * text:
-                    whole.children.append(c)
-        best, kept = up, whole
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure address details".split())
+PARTS = frozenset("ul ol dl li dt dd blockquote table tbody thead tr td th p pre figure figcaption".split())  # of an article, not the article
+
+
+def _is_text(c: Node | str, sizes: dict[int, Sizes]) -> bool:
+    return bool(c.strip()) if type(c) is str else sizes[id(c)].text > 0
+
+
+def _linked(c: Node | str, sizes: dict[int, Sizes], prose: bool) -> bool:
+    """Whether a part is mostly links; in a container with text of its own, inline links are words of it."""
+    if type(c) is str or c.tag in HEADINGS or c.tag not in BLOCKS and prose:
+        return False
+    return sizes[id(c)].text > 0 and sizes[id(c)].density >= 0.5
+
+
+def _spread(items: list[Node | str], is_article: list[bool], sizes: dict[int, Sizes]) -> list[Node | str]:
+    """From the first to the last child that belongs to the article, without blocks of links."""
+    belong = [k for k, yes in enumerate(is_article) if yes]
+    prose = any(type(c) is str and c.strip() for c in items)
+    return [c for k, c in enumerate(items) if belong and belong[0] <= k <= belong[-1] and (is_article[k] or not _linked(c, sizes, prose))]
+
+
+def _is_flow(c: Node | str, sizes: dict[int, Sizes]) -> bool:
+    """Paragraphs, headings, lists and bare text, with text that is not mostly links."""
+    return _is_text(c, sizes) and (type(c) is str or (c.tag in FLOW or c.tag not in BLOCKS) and sizes[id(c)].density < 0.5)
+
+
+def _points_in(c: Node | str, sizes: dict[int, Sizes]) -> float:
+    return points_of(c.strip()) if type(c) is str else sizes[id(c)].points or (points_of("x" * sizes[id(c)].text) if sizes[id(c)].text else 0.0)
+
+
+def _trimmed(node: Node, sizes: dict[int, Sizes]) -> list[Node | str]:
+    """The children of a container, without boxes at its edges that hold no share of its points."""
+    items = node.children
+    flow = [_is_flow(c, sizes) for c in items]
+    points = [_points_in(c, sizes) for c in items]
+    most = max(points, default=0.0)
+    boxes = sum(p for p, f in zip(points, flow, strict=True) if not f)
+    if node.tag not in ("body", "html", "#root") and boxes <= sum(points) / 2:
+        return _spread(items, [not _linked(c, sizes, any(flow)) for c in items], sizes)
+    return _spread(items, [f or p > 0 and p >= STRONG * most and not _linked(c, sizes, False) for c, f, p in zip(items, flow, points, strict=True)], sizes)
+
+
+def _around(best: Node, sizes: dict[int, Sizes]) -> list[Node | str]:
+    """The best container and what belongs to it beside it and beside its ancestors."""
+    kept: list[Node | str] = _trimmed(best, sizes)
+    held = sizes[id(best)].points
+    while (up := best.parent) is not None and best.tag not in ("body", "html"):
+        items = up.children
+        others = [c for c in items if c is not best and _is_text(c, sizes) and not _linked(c, sizes, False)]
+        strong = {id(c) for c in others if not _is_flow(c, sizes) and _points_in(c, sizes) >= max(STRONG * held, 1.0)}
+        flow = [c for c in others if _is_flow(c, sizes)]
+        several = len(flow) > 1 or any(type(c) is Node and sizes[id(c)].text > 80 for c in flow)
+        joined = several and sum(_points_in(c, sizes) for c in flow) >= SEVERAL * held
+        if others and not strong and not joined:
+            return [part for c in items for part in (kept if c is best else [c] if type(c) is Node and c.tag == "h1" else [])]
+        belongs = [c is best or id(c) in strong or (joined and _is_flow(c, sizes)) or type(c) is Node and c.tag == "h1" for c in items]
+        whole = _spread(items, belongs, sizes)
+        if len(whole) > 1:
+            inside = Node("div", None)
+            inside.children = kept
+            kept = [inside if c is best else c for c in whole]
+        held += sum(_points_in(c, sizes) for c in whole if c is not best)
+        best = up
     return kept
 
 
@@ -399,45 +557,42 @@ def main_text(page: str | None) -> str:
     """The article of a page."""
     if not page:
         return ""
-    root = parse(page)
-    sizes = _sizes(root)
-
-    def density(n: Node) -> float:
-        text, link = sizes[id(n)]
-        return link / text if text else 0.0
-
-    scored = _points(root)
+    root = cut_named(parse(page))
+    sizes = sizes_of(root)
+    scored = scores(root, sizes)
     if not scored:
         return ""
-    for n in scored:
-        n.score *= 1 - density(n)
     best = max(scored, key=lambda n: n.score)
-    # An article that holds nearly all points of the best container is the tighter choice, and one around it the safer.
     for tag in ("article", "main"):
         if (around := _open(best, tag)) is not None:
-            best = around
-            break
-    else:
-        # A list, quotation, table or section is a part of the article, not the article.
-        while best.parent is not None and best.tag in ("ul", "ol", "dl", "li", "blockquote", "table", "tbody", "thead", "tr", "td", "p", "pre", "figure"):
-            best = best.parent
-    if best.tag not in ("article", "main"):
-        return "\n".join(blocks([_around(best, sizes)]))
-    kept: list[Node | str] = [best]
-    if best.parent is not None:
-        least = max(2.0, best.score * 0.2)
-        kept = []
-        for s in best.parent.children:
-            if s is best:
+            return "\n".join(blocks(_with_siblings(around, sizes)))
+    while best.parent is not None and best.tag in PARTS and not _lays_out(best, sizes):
+        best = best.parent
+    return "\n".join(blocks(_around(best, sizes)))
+
+
+def _lays_out(node: Node, sizes: dict[int, Sizes]) -> bool:
+    """Whether a cell is a column of the page: blocks stand in it, and it holds most of its table's points."""
+    table = _open(node, "table") if node.tag == "td" and any(type(c) is Node and c.tag in BLOCKS for c in node.children) else None
+    return table is not None and sizes[id(node)].points > sizes[id(table)].points / 2
+
+
+def _with_siblings(best: Node, sizes: dict[int, Sizes]) -> list[Node | str]:
+    """An ``article`` or ``main`` and its siblings that score at least a fifth of it or read like paragraphs."""
+    if best.parent is None:
+        return [best]
+    least = max(2.0, best.score * STRONG)
+    kept: list[Node | str] = []
+    for s in best.parent.children:
+        if s is best:
+            kept.append(s)
+        elif type(s) is Node:
+            own = sizes[id(s)]
+            scores_well = s.tag in ("article", "main", "section", "div") and s.score >= least and own.density < 0.25
+            reads = s.tag in ("p", "blockquote", "pre") and own.text > 80 and own.density < 0.25
+            if scores_well or reads or s.tag == "h1":
                 kept.append(s)
-            elif type(s) is Node:
-                text, _ = sizes[id(s)]
-                sep = s.tag in ("article", "main", "section", "div") and s.score >= least and density(s) < 0.25
-                reads = s.tag in ("p", "blockquote", "pre") and text > 80 and density(s) < 0.25
-                title = s.tag == "h1"
-                if sep or reads or title:
-                    kept.append(s)
-    return "\n".join(blocks(kept))
+    return kept
 
 
 def with_main_text(pages: DataFrame, into: str = "text", html_col: str = "html") -> DataFrame:
