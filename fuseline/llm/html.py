@@ -402,10 +402,9 @@ def cut_named(root: Node) -> Node:
             elif c.kind and not _outweighs(c.kind, sizes[id(c)], scope):
                 inside = [n for n in _walk(c) if n.tag == "h1" and sizes[id(n)].text] if c.kind == "title" else []
                 gap = Node("hr" if c.tag in BLOCKS else "span", node)  # blocks on either side stay apart
-                if inside and len(inside) == titles:
-                    gap.children = inside
-                    for n in inside:
-                        n.parent = gap
+                if len(inside) == titles == 1:  # the page's only title
+                    gap = inside[0]
+                    gap.parent = node
                 node.children[k] = gap
             else:
                 stack.append((c, scope))
