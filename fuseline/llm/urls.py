@@ -5,7 +5,7 @@ Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z l
 rule's; the longest one that fits wins.  Rules and parts are SQL expressions; the rules become a map from
 host suffix to paths, so a URL looks up as many suffixes as its host has labels, however many rules there are.
 
-The model is trained on the driver from ``LABELLED``, a small table of labelled URLs (or one that the caller gives):
+The model is trained on the driver from ``labelled()``, a small table of URLs made of general words by a rule (or one that the caller gives):
 n-grams of host and path are hashed to ``2 ** bits`` weights.  It judges every URL that no rule decides.
 
 Odd input: a null URL or one without ``://`` has an empty host and an empty path and gets the model's verdict on
@@ -36,40 +36,49 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-BLOCK_HOSTS = (
-    "cheap-pills.example.org", "pills-online.example.net", "buy-pills.example.org", "viagra-shop.example.net",
-    "casino-win.example.org", "best-casino.example.net", "online-casino.example.org", "poker-win.example.net",
-    "free-bets.example.org", "bets-now.example.net", "sport-bets.example.org", "lottery-win.example.net",
-    "spam-farm.example.org", "link-farm.example.net", "spam-links.example.org", "seo-spam.example.net",
-    "ads-track.example.org", "track-ads.example.net", "adserver.example.org", "click-ads.example.net",
-    "free-money.example.org", "cheap-loans.example.net", "adult-cams.example.org", "xxx-video.example.net",
-    "win-lottery.example.org", "lottery-jackpot.example.net", "bets-and-poker.example.org", "poker-casino.example.net",
-    "viagra-pills.example.org", "cheap-viagra.example.net", "fast-money.example.org", "loans-online.example.net",
-    "adult-video.example.org", "xxx-cams.example.net", "spam-seo.example.org", "adserver-track.example.net",
-    "jackpot-win.example.org", "money-loans.example.net", "adult-xxx.example.org", "seo-farm.example.net",
-    "my-adserver.example.org", "sport-betting.example.net", "betting-bets.example.org", "click-track.example.net",
-)
-ALLOW_HOSTS = (
-    "library.example.org", "news.example.net", "weather.example.org", "university.example.net", "museum.example.org",
-    "science.example.net", "garden.example.org", "history.example.net", "recipes.example.org", "health.example.net",
-    "travel.example.org", "sports.example.net", "music.example.org", "films.example.net", "books.example.org",
-    "school.example.net", "city.example.org", "council.example.net", "theatre.example.org", "nature.example.net",
-    "wiki.example.org", "docs.example.net", "code.example.org", "research.example.net", "there.example.org",
-    "nation.example.net", "other.example.org", "the.example.net", "that.example.org", "this.example.net",
-    "their.example.org", "another.example.net", "without.example.org", "thing.example.net", "area.example.org",
-    "sports-news.example.net", "music-school.example.org", "city-museum.example.net", "nature-garden.example.org", "online-library.example.net",
-    "travel-books.example.org", "weather-now.example.net", "video-lessons.example.org", "winter-walks.example.net", "track-and-field.example.org",
-)
+# Words of the labelled table: topics that URL block lists name, words that such hosts put beside them, and everyday words.
+BLOCK_WORDS = (
+    "pills pharmacy viagra cialis casino poker slots roulette bets betting gambling lottery jackpot loans payday porn xxx adult cams "
+    "escorts hookup spam backlinks seo adserver ads adclick banners tracker tracking popups malware phishing warez keygen cracked "
+    "replica bitcoin giveaway prizes"
+).split()
+BLOCK_BESIDE = "cheap free win buy online best fast farm money now bonus deals".split()
+ALLOW_WORDS = (
+    "library news weather university museum science garden history recipes health travel sports music films books school city "
+    "council theatre nature wiki docs code research animals bridge camera children church climate coffee cooking culture "
+    "dance desert design doctor energy family farming fashion festival fishing forest furniture gallery geography harbour "
+    "hospital island journal kitchen language law lessons letters market mathematics meteo mountain network notes ocean "
+    "painting parents people philosophy photo physics planet poetry police politics radio railway river road shipping "
+    "society stars stories street students summer teachers tennis things thought together tradition trees valley village "
+    "voices water winter women world writers youth"
+).split()
+ALLOW_BESIDE = "my the open local north daily old first our national other green".split()
+#: Harmless hosts of words that block lists also use.
+ALLOW_MIXED = (
+    "online-library track-and-field adult-education credit-union free-museum farm-shop best-recipes music-video win-win "
+    "money-lessons trackside better-health alphabet bettina adsorption spillway pillar casing trading address adstock loaned"
+).split()
 _PREFIXES = ("", "www.", "m.", "blog.")
 _PATHS = ("/en/12", "/de/345/", "/fr/67.html", "/es/890")
 
 
+def labelled_hosts() -> list[tuple[str, frozenset[str], int]]:
+    """(host, its words, 1 for block): each word alone and before, behind and beside four others of its list."""
+    rows = []
+    for label, words, beside in ((1, BLOCK_WORDS, BLOCK_BESIDE), (0, ALLOW_WORDS, ALLOW_BESIDE)):
+        for k, w in enumerate(words):
+            one, two = beside[k % len(beside)], beside[(k * 5 + 3) % len(beside)]
+            for name in (w, f"{one}-{w}", f"{w}-{two}", f"{w}-{words[(k + 7) % len(words)]}"):
+                rows.append((name, frozenset(name.split("-")), label))
+    rows += [(name, frozenset(name.split("-")), 0) for name in ALLOW_MIXED]
+    return [(f"{name}.example.{('org', 'net')[k % 2]}", own, label) for k, (name, own, label) in enumerate(rows)]
+
+
 def labelled() -> list[tuple[str, str, int]]:
     """The small labelled table: (host, path, 1 for block)."""
     rows = []
-    for label, hosts in ((1, BLOCK_HOSTS), (0, ALLOW_HOSTS)):
-        for k, host in enumerate(hosts):
-            rows += [(p + host, _PATHS[(k + n) % len(_PATHS)], label) for n, p in enumerate(_PREFIXES)]
+    for k, (host, _, label) in enumerate(labelled_hosts()):
+        rows += [(p + host, _PATHS[(k + n) % len(_PATHS)], label) for n, p in enumerate(_PREFIXES)]
     return [*rows, ("", "", 0)]
 
 

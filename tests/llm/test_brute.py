@@ -326,21 +326,68 @@ def test_parts_and_rules_match_sql(spark):
     assert urls.with_verdict(df.limit(0)).count() == 0
 
 
-def test_held_out_hosts():
-    """Hosts that training has not seen, a quarter at a time."""
-    right, total = [0, 0], [0, 0]
-    for fold in range(4):
-        train, test = [], []
-        for label, hosts in ((1, urls.BLOCK_HOSTS), (0, urls.ALLOW_HOSTS)):
-            for k, host in enumerate(hosts):
-                (test if k % 4 == fold else train).append((host, "/en/12", label))
-        model = urls.train(train)
-        p = model.scores([h for h, _, _ in test], [x for _, x, _ in test])
-        for q, (_, _, y) in zip(p, test, strict=True):
-            right[y] += (q >= 0.5) == bool(y)
-            total[y] += 1
-    assert total == [len(urls.ALLOW_HOSTS), len(urls.BLOCK_HOSTS)]
-    assert right[0] / total[0] >= 0.9 and right[1] / total[1] >= 0.8
+def test_held_out_words():
+    """Hosts of words that training has not seen, an eighth of the words at a time: what is known of such a host is the word
+    beside it and n-grams that it shares with others."""
+    words = [*urls.BLOCK_WORDS, *urls.ALLOW_WORDS]
+    hits = {(y, g): 0 for y in (0, 1) for g in (False, True)}
+    for fold in range(8):
+        out = {w for k, w in enumerate(words) if k % 8 == fold}
+        rows = [(p + h, "/en/12", y) for h, own, y in urls.labelled_hosts() if not own & out for p in ("", "www.")]
+        held = [(h, y) for h, own, y in urls.labelled_hosts() if own & out]
+        scores = urls.train(rows).scores([h for h, _ in held], ["/en/12"] * len(held))
+        for (_, y), q in zip(held, scores, strict=True):
+            hits[y, bool(q >= 0.5)] += 1
+    precision, recall = hits[1, True] / (hits[1, True] + hits[0, True]), hits[1, True] / (hits[1, True] + hits[1, False])
+    print(f"precision {precision:.3f}, recall {recall:.3f}, {hits}")
+    assert precision >= 0.85 and recall >= 0.3
+
+
+def test_hosts_of_other_words():
+    """Hosts whose names are none of the table's: words derived from or joined with those of its lists, and others."""
+    good = (
+        "gardening thertion zoology bakery orchestra cycling astronomy carpentry chess beekeeping sailing pottery kindergarten cathedral "
+        "volcano opera grammar statistics knitting tourism"
+    )
+    bad = (
+        "viagras casinos-bonus cheap-pillstore sportsbetting bets-bonus best-slots free-spam xxxvideos payday-money fast-loan pokerstars "
+        "adtracker click-ads spamlinks jackpots online-pharmacies freebets bettingtips seo-boost hot-cams"
+    )
+    names = {h.split(".")[0] for h, _, _ in urls.labelled_hosts()}
+    model = urls.train()
+    for hosts, y, least in ((good.split(), 0, 0.9), (bad.split(), 1, 0.75)):  # measured: 19 and 16 of 20
+        assert not names & set(hosts)
+        q = model.scores([f"www.{h}.example.com" for h in hosts], ["/fr/9"] * len(hosts))
+        assert ((q >= 0.5) == bool(y)).mean() >= least
+
+
+def test_features_and_training_match_plain_python():
+    import math
+
+    import xxhash
+
+    rows = [("cheap-pills.org", "/a", 1), ("news.org", "", 0), ("", "", 0), ("win.net", "/en/1", 1), ("wiki.net", "/é", 0), ("aaaaaa.net", "/a", 0)]
+    bits, w, b, vw, vb = 8, [0.0] * 256, 0.0, [0.0] * 256, 0.0
+    plain = []
+    for host, path, _ in rows:
+        grams = [k + part[i : i + n] for k, part in (("h", f"^{host}$"), ("p", path + "$")) for n in (3, 4, 5) for i in range(len(part) - n + 1)]
+        plain.append({xxhash.xxh32(g.encode()).intdigest() % 256 for g in grams})
+    index, owner, value = urls.features([r[0] for r in rows], [r[1] for r in rows], bits)
+    for k, own in enumerate(plain):
+        assert index[owner == k].tolist() == sorted(own)
+        assert np.allclose(value[owner == k], 1 / math.sqrt(len(own)) if own else 0)
+    for _ in range(30):
+        errors = []
+        for own, (_, _, y) in zip(plain, rows, strict=True):
+            z = sum(w[i] for i in own) / math.sqrt(len(own) or 1) + b
+            errors.append(1 / (1 + math.exp(-z)) - y)
+        for i in range(256):
+            g = sum(e / math.sqrt(len(own)) for e, own in zip(errors, plain, strict=True) if i in own) / len(rows) + 1e-3 * w[i] / len(rows)
+            vw[i] = 0.9 * vw[i] - 4.0 * g
+        vb = 0.9 * vb - 0.5 * sum(errors) / len(rows)
+        w, b = [x + v for x, v in zip(w, vw, strict=True)], b + vb
+    model = urls.train(rows, bits=bits, rounds=30)
+    assert np.allclose(model.weights, w, atol=1e-9) and abs(model.bias - b) < 1e-9
 
 
 # ------------------------------------------------------------------------------------------ memory and joins
