@@ -12,8 +12,8 @@ time.  One block is the usual case.  With more, each is scanned for in a job of
 found by the text's MD5, so that no worker holds two automata; the matches of all blocks are then united.
 
 Odd input: a null or empty text has no words and no hits; items that are null or have no words have no pattern; an
-item without an id marks words as hit but is not listed; repeated items are listed once per id; repeated documents get
-the same result each; empty tables give no rows or no hits; additional columns stay as they are, whatever their
+item without an id marks words as hit but is not listed; ids are listed in their own type where that is an integer or a string, ids of
+other types as strings; repeated items are listed once per id; repeated documents get the same result each; empty tables give no rows or no hits; additional columns stay as they are, whatever their
 names: where ``into`` is taken, the result's name gets underscores until it is free.
 """
 
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import ascii_lower, checkpointed, fresh_name, small_batches
 
@@ -41,22 +42,26 @@ _KEEP = bytes(
 )
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-RESULT = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("items", T.ArrayType(T.LongType())),
-        T.StructField("word_runs", T.ArrayType(SPAN)),
-        T.StructField("spans", T.ArrayType(SPAN)),
-    ]
-)
+
+
+def result_type(id_type: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("n_words", T.LongType()),
+            T.StructField("n_hit", T.LongType()),
+            T.StructField("items", T.ArrayType(id_type)),
+            T.StructField("word_runs", T.ArrayType(SPAN)),
+            T.StructField("spans", T.ArrayType(SPAN)),
+        ]
+    )
 
 
 def _words(text: str) -> list[bytes]:
     return text.encode("utf-8").translate(_KEEP).split()
 
 
-Slice = tuple[int | None, str]  # an item's id and some of its words, with a blank between them
+Id = int | str
+Slice = tuple[Id | None, str]  # an item's id and some of its words, with a blank between them
 
 
 class Scanner:
@@ -92,7 +97,7 @@ class Scanner:
             cls._built[name] = cls(slices.value, window)
         return cls._built[name]
 
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[Id]]:
         """Words in the text, word ranges that matched (end exclusive), items found."""
         words = _words(text) if text else []
         if len(words) < self.shortest or self.empty or not words:
@@ -129,13 +134,7 @@ def _offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at_start[a], at_end[b - 1]) for a, b in runs]
 
 
-_KIND = pa.struct(
-    [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64()))]
-    + [(c, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))) for c in ("word_runs", "spans")]
-)
-
-
-def _result(text: str | None, n: int, runs: Iterable[tuple[int, int]], items: Iterable[int]) -> dict:
+def _result(text: str | None, n: int, runs: Iterable[tuple[int, int]], items: Iterable[Id]) -> dict:
     runs = united(runs)
     return {
         "n_words": n,
@@ -146,34 +145,46 @@ def _result(text: str | None, n: int, runs: Iterable[tuple[int, int]], items: It
     }
 
 
-def _scan_column(slices, name: str, window: int):
-    @F.arrow_udf(RESULT)
+def _scan_column(slices, name: str, window: int, kind: T.StructType):
+    arrow = to_arrow_type(kind)
+
+    @F.arrow_udf(kind)
     def scan(texts: pa.Array) -> pa.Array:
         scanner = Scanner.of(name, slices, window)
         out = []
         for t in texts:
             text = t.as_py()
             out.append(_result(text, *scanner.scan(text)))
-        return pa.array(out, _KIND)
+        return pa.array(out, arrow)
 
     return scan
 
 
-@F.arrow_udf(RESULT)
-def _united_column(texts: pa.Array, found: pa.Array) -> pa.Array:
-    """The results of several blocks (null where no block found anything) as one."""
-    out = []
-    for t, own in zip(texts, found, strict=True):
-        text, own = t.as_py(), own.as_py() or []
-        runs = [(r["start"], r["end"]) for x in own for r in x["word_runs"]]
-        out.append(_result(text, len(_words(text or "")), runs, {i for x in own for i in x["items"]}))
-    return pa.array(out, _KIND)
+def _united_column(kind: T.StructType):
+    arrow = to_arrow_type(kind)
+
+    @F.arrow_udf(kind)
+    def unite(texts: pa.Array, found: pa.Array) -> pa.Array:
+        """The results of several blocks (null where no block found anything) as one."""
+        out = []
+        for t, own in zip(texts, found, strict=True):
+            text, own = t.as_py(), own.as_py() or []
+            runs = [(r["start"], r["end"]) for x in own for r in x["word_runs"]]
+            out.append(_result(text, len(_words(text or "")), runs, {i for x in own for i in x["items"]}))
+        return pa.array(out, arrow)
+
+    return unite
+
+
+def _id_type(of: T.DataType) -> T.DataType:
+    return T.LongType() if isinstance(of, T.IntegralType) else T.StringType()
 
 
 def _slices(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
     """(item, words, nodes): the items in slices of at most ``SLICE`` windows, so that each window is in one of them."""
     words = F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(LOWER_WORD), F.lit(0))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), words.alias("w")).filter(F.size("w") > 0).distinct()
+    item = F.col(item_col).cast(_id_type(benchmark.schema[item_col].dataType))
+    items = benchmark.select(item.alias("item"), words.alias("w")).filter(F.size("w") > 0).distinct()
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(SLICE))
     each = items.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at") + 1, F.lit(SLICE + window - 1)).alias("w"))
     nodes = F.greatest(F.size("w") - window + 1, F.lit(1)) * F.least(F.size("w"), F.lit(window)) * 2
@@ -199,11 +210,12 @@ def with_hits(
     nodes = slices.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-nodes // max_nodes))
     text = F.col(f"`{text_col}`").cast("string")
+    kind = result_type(_id_type(benchmark.schema[item_col].dataType))
 
     def scan(k: int, col: Column) -> Column:
         block = slices.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k) if blocks > 1 else slices
         shared = spark.sparkContext.broadcast([(r["item"], r["words"]) for r in block.toLocalIterator()])
-        return _scan_column(shared, f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}", window)(col)
+        return _scan_column(shared, f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}", window, kind)(col)
 
     if blocks == 1:
         return docs.select("*", scan(0, text).alias(into))
@@ -219,7 +231,7 @@ def with_hits(
     # Copies of one text are dealt over salts, and so is what was found in it.
     salted = docs.select("*", F.md5(text).alias(digest), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias(salt))
     told = merged.select(F.col("digest").alias(digest), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt), F.col("own").alias(own))
-    return salted.join(told, [digest, salt], "left").select(*[F.col(f"`{c}`") for c in docs.columns], _united_column(text, own).alias(into))
+    return salted.join(told, [digest, salt], "left").select(*[F.col(f"`{c}`") for c in docs.columns], _united_column(kind)(text, own).alias(into))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

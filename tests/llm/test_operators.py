@@ -215,6 +215,21 @@ def test_hits_keep_a_column_of_that_name(spark):
     assert row.hits == "hits" and row.hits_.n_hit == 2
 
 
+@pytest.mark.parametrize("nodes", [2_000_000, 20])
+def test_hits_list_ids_of_any_type(spark, nodes):
+    """Numbers as numbers, texts as they are, others as texts; ties and repeated items once per id."""
+    words = ["a b", "c d", "a b", "a b", "?"]
+    for kind, ids, want in (
+        ("string", ["gsm-1", "é", "gsm-1", "10", "x"], ["10", "gsm-1"]),
+        ("int", [10, 2, 10, 9, 1], [9, 10]),
+        ("double", [1.5, 2.0, 1.5, 0.25, 1.0], ["0.25", "1.5"]),
+        ("string", [None, "b", None, "a", "c"], ["a"]),
+    ):
+        bench = spark.createDataFrame(list(zip(ids, words, strict=True)), f"item_id {kind}, text string")
+        rows = decontaminate.with_hits(docs(spark, [(1, "x a b"), (2, "a, B"), (3, None)]), bench, max_nodes=nodes).orderBy("doc_id").collect()
+        assert [(r.hits.n_hit, list(r.hits["items"])) for r in rows] == [(2, want), (2, want), (0, [])]
+
+
 def test_hits_with_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.with_hits(docs(spark, [(1, "a b")]), bench).first().hits.n_words == 2
