@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, small_batches
 
 __all__ = ["ascii_lower", "checkpointed", "fresh_name", "joined_back", "maybe_among", "raw_hash", "shared_folder", "small_batches", "table", "without"]
 
@@ -32,21 +32,6 @@ def ascii_lower(col: Column) -> Column:
     )
 
 
-#: Sizes of Arrow batches of texts.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches hold a thousand rows, unless the session sets a size of its own.  Batches of
-    whole texts are held several times over on both sides of the crossing; with the default of 10,000 rows that is
-    most of what a worker needs."""
-    conf = df.sparkSession.conf
-    for key, size in BATCHES.items():
-        if conf.get(key, None) is None:
-            conf.set(key, size)
-    return df
-
-
 def raw_hash(text_col: str) -> Column:
     """A 64-bit hash of a text as it stands (null as the empty text), which with the row's id names the row."""
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
