@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import simplex
 from ..functions.text import char_id, id_char, normalize_text, seq_ids
 from ..plans.model import SCALES, Model
+from ..sources.shared import small_batches
 from .merging import Merger, expansions
 from .rewrite import apply_rules
 
@@ -229,16 +230,53 @@ def average_coupling(stats: DataFrame) -> DataFrame:
 
 
 def scale_hierarchy(encoded: DataFrame, model: Model, id_col: str = "doc_id", seq: str = "seq") -> DataFrame:
-    """(id, scales): for each document the ids of its tokens by scale, in order of position.  One row holds one document's tokens, as its sequence does."""
-    spark = encoded.sparkSession
-    table = spark.createDataFrame([(k, p.scale) for k, p in model.points.items()], "coord_id int, scale string")
-    rows = tokens(encoded, id_col, seq).join(table, "coord_id")
+    """(id, scales): for each document the ids of its tokens by scale, in order of position.  One row holds one document's tokens, as its
+    sequence does, so rows stay where they are; only rows that share their id (found by a count of ids) meet in a shuffle."""
+    counted = encoded.groupBy(id_col).agg(F.count(F.lit(1)).alias("times"))
+    twice = counted.filter("times > 1").select(id_col)
+    if twice.isEmpty():
+        return _scales_of_rows(encoded, model, id_col, seq)
+    same = F.col(f"e.`{id_col}`").eqNullSafe(F.col(f"t.`{id_col}`"))
+    once, several = (encoded.alias("e").join(twice.alias("t"), same, how) for how in ("left_anti", "left_semi"))
+    table = encoded.sparkSession.createDataFrame([(k, p.scale) for k, p in model.points.items()], "coord_id int, scale string")
+    rows = tokens(several, id_col, seq).join(table, "coord_id")
     lists = rows.groupBy(id_col, "scale").agg(F.sort_array(F.collect_list(F.struct("pos", "coord_id"))).alias("t"))
-    return lists.groupBy(id_col).agg(
+    grouped = lists.groupBy(id_col).agg(
         F.map_from_entries(
             F.sort_array(F.collect_list(F.struct("scale", F.transform("t", lambda x: x["coord_id"]).alias("ids"))))
         ).alias("scales")
     )
+    return _scales_of_rows(once, model, id_col, seq).unionByName(grouped)
+
+
+def _scales_of_rows(encoded: DataFrame, model: Model, id_col: str, seq: str) -> DataFrame:
+    import numpy as np
+
+    from .pairs import _PAD, _codes
+
+    names = sorted({p.scale for p in model.points.values()})
+    number = np.full(max(model.points) + 2, -1)
+    for k, p in model.points.items():
+        number[k] = names.index(p.scale)
+
+    @F.arrow_udf("array<struct<scale: string, ids: array<int>>>")
+    def split(column: pa.Array) -> pa.Array:
+        texts = [s or "" for s in column.to_pylist()]
+        ids = _codes(texts)
+        doc = np.repeat(np.arange(len(texts)), [len(s) + 1 for s in texts])
+        scale = number[np.minimum(ids, len(number) - 1)]
+        known = (ids != _PAD) & (scale >= 0)
+        ids, key = ids[known], doc[known] * len(names) + scale[known]
+        order = np.argsort(key, kind="stable")
+        ids, key = ids[order], key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32)))
+        entries = pa.StructArray.from_arrays([pa.array(names).take(pa.array(key[first] % len(names))), lists], ["scale", "ids"])
+        ends = np.searchsorted(key[first] // len(names), np.arange(len(texts) + 1))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries)
+
+    rows = small_batches(encoded).select(id_col, split(F.col(seq)).alias("entries_"))
+    return rows.filter(F.size("entries_") > 0).select(id_col, F.map_from_entries("entries_").alias("scales"))
 
 
 def vocab_stats(encoded: DataFrame, model: Model, stats: DataFrame) -> DataFrame:
