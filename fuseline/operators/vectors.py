@@ -13,6 +13,8 @@ from ..sources.shared import shared_folder
 
 #: Centers that are broadcast: 8 MB of 64 components.
 CENTERS = 1 << 14
+#: Distances that a task of a block of queries and a share of the points gives, about: 100 MB.
+CELL = 1 << 22
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -70,15 +72,16 @@ def distances(
     id_col: str = "vec_id",
     vec_col: str = "vector",
     block: int = 2048,
-    share: int = 50_000,
+    share: int | None = None,
 ) -> DataFrame:
     """(query_id, id, d) of every point to every query; with ``k`` only the k nearest that each batch holds.
 
     Up to ``block`` queries (counted) are broadcast and the points stay where they are.  More are dealt into blocks of
     that size, the points into shares, and each block meets each share in a task of its own: one plan, whatever the
-    number of queries.
+    number of queries.  A task's result lies in memory, so a share is as small as ``CELL`` distances want it, or 50,000 points if only
+    the nearest are kept.
     """
-    spark = points.sparkSession
+    spark, share = points.sparkSession, share or (max(1, CELL // block) if k is None else 50_000)
     schema = f"query_id long, {id_col} long, d double"
     names = ["query_id", id_col, "d"]
     q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
