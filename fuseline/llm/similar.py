@@ -41,6 +41,8 @@ def words_of(text: str | None) -> bytes:
 #: Bytes that are hashed at a time.
 _RUN = 1 << 18
 _FACTOR = 0x5851F42D4C957F2D
+#: Bytes of shingle sets that a worker hands over at a time.
+PORTION = 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -132,6 +134,10 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(a) + len(b) - common) - 1e-9
 
 
+def _sets(nodes: list[int], sets: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], names=["node", "own"])
+
+
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
 
@@ -281,19 +287,27 @@ def links(
     rays = checkpointed(rays.select("hub", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node"))
     rest = members.filter("n > 2")
 
-    @F.arrow_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("own", T.BinaryType())]))
-    def sets_of(texts: pa.Array) -> pa.Array:
-        lines = [words_of(t.as_py()) for t in texts]
-        nodes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in lines], np.uint64).view(np.int64)
-        return pa.StructArray.from_arrays(
-            [pa.array(nodes), pa.array([shingles(x, size).tobytes() for x in lines], pa.binary())], ["node", "own"]
-        )
+    def sets_of(batches):
+        """The node and the shingle set of each text.  A map, not a column: the join below asks for nodes that are not null, and
+        Spark would put that question under the projection, so that a second worker in each task computed every set again."""
+        for batch in batches:
+            nodes, sets, held = [], [], 0
+            for t in batch.column(0):
+                line = words_of(t.as_py())
+                nodes.append(xxhash.xxh64_intdigest(line, SEED))
+                sets.append(shingles(line, size).tobytes())
+                held += len(sets[-1])
+                if held > PORTION:
+                    yield _sets(nodes, sets)
+                    nodes, sets, held = [], [], 0
+            if nodes:
+                yield _sets(nodes, sets)
 
     def with_sets(rows: DataFrame) -> DataFrame:
         """``rows`` with ``own``, the shingle set of their node."""
         wanted = checkpointed(distinct.join(rows.select("node").distinct(), "node").select("node", "raw"))
         some = maybe_among(docs.select(F.col(text_col).cast("string").alias("text")), raw_hash("text"), wanted.select("raw"), wanted.count())
-        sets = some.select(sets_of("text").alias("s")).select("s.node", "s.own").groupBy("node").agg(F.first("own").alias("own"))
+        sets = some.mapInArrow(sets_of, "node long, own binary").groupBy("node").agg(F.first("own").alias("own"))
         return rows.join(sets, "node")
 
     hubs = rays.select("hub", "salt", F.col("hub").alias("node")).distinct()
